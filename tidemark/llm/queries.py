@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import packing, simhash
+from tidemark.llm import language, packing, quality, simhash, toxicity
 from tidemark.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -23,13 +23,25 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_digest(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rules(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every operator over its whole table."""
-    return {f.__name__: f for f in (op3_best_fit_packing, op5_simhash)}
+    return {f.__name__: f for f in (op3_best_fit_packing, op4_language_id, op5_simhash, op9_quality_rules, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
