@@ -181,7 +181,7 @@ def learn(labelled: DataFrame, sample: int = 20_000, support: int = 4, entries:
 
     clean = {r[0]: r[1] for r in rows.filter("toxic <> 1").select("text").mapInArrow(clean_counts, "feature string, n long").groupBy("feature").agg(F.sum("n")).collect()}
     weight = {f: math.log((n + 0.5) / (n_toxic + 1)) - math.log((clean.get(f, 0) + 0.5) / (n_clean + 1)) for f, (_, n) in common.items()}
-    good = {f for f, w in weight.items() if w >= 1.5}
+    good = {f for f, w in weight.items() if w >= 2.5}
 
     def cases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
