@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import language, packing, quality, simhash, toxicity
+from tidemark.llm import chat, language, packing, quality, sharding, simhash, topk, toxicity
 from tidemark.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -19,6 +20,14 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(chat.format_turns(chat.with_injection(table(spark, sf_dir, "conversations"))))
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_digest(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -31,6 +40,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(topk.whole_vectors(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(table(spark, sf_dir, "documents"))
 
@@ -41,8 +54,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every operator over its whole table."""
-    return {f.__name__: f for f in (op3_best_fit_packing, op4_language_id, op5_simhash, op9_quality_rules, op10_toxicity)}
+    return {f.__name__: f for f in (op1_chat_format, op2_sharding, op3_best_fit_packing, op4_language_id, op5_simhash, op8_exact_top_k, op9_quality_rules, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_chat_format": chat.DIGEST_SQL, "op8_exact_top_k": topk.SEARCH_SQL}
