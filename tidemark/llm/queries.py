@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, language, lm, packing, quality, sharding, simhash, topk, toxicity
+from tidemark.llm import chat, language, lm, packing, pieces, quality, sharding, simhash, topk, toxicity
 from tidemark.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -44,6 +44,10 @@ def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.backoff_scores(table(spark, sf_dir, "documents"))
 
 
+def op7_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(topk.whole_vectors(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
 
@@ -58,7 +62,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every operator over its whole table."""
-    return {f.__name__: f for f in (op1_chat_format, op2_sharding, op3_best_fit_packing, op4_language_id, op5_simhash, op6_lm_scores, op8_exact_top_k, op9_quality_rules, op10_toxicity)}
+    return {f.__name__: f for f in (op1_chat_format, op2_sharding, op3_best_fit_packing, op4_language_id, op5_simhash, op6_lm_scores, op7_piece_sampling, op8_exact_top_k, op9_quality_rules, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
