@@ -127,25 +127,26 @@ def _merge(t: pa.Table) -> pa.Table:
     return pa.table({"lang": pa.array([t.column("lang")[0].as_py()], pa.string()), "counts": pa.array([np.sqrt(total).astype("<f4").tobytes()], pa.binary())})
 
 
-def predict(docs: DataFrame, model: Model, unsure: float = 0.6) -> DataFrame:
-    """doc_id, lang_pred, score, ambiguous for every row; only the text is read.
+def with_language(docs: DataFrame, model: Model, out: str) -> DataFrame:
+    """``docs`` with a struct column ``out`` (lang_pred, score) from the whole text alone.
 
-    A null text, or one without a letter, is ``und`` with score 0, and counts as ambiguous. Texts are read whole, however long.
+    A null text, or one without a letter, is ``und`` with score 0.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.languages, model.code, model.weights, model.sharpness))  # slots x bits: a fixed size
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.code, model.weights, model.sharpness))  # slots x bits: a fixed size
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("lang_pred string, score double")
+    def decode(text: pa.Array, letters: pa.Array) -> pa.Array:
         m = Model(*shared.value)
-        for batch in batches:
-            found = []
-            for text, has_letter in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-                found.append(m.decode(text.as_py().encode()) if has_letter else (UNDETERMINED, 0.0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
-
-    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", letters.alias("letters")).mapInArrow(run, "doc_id long, lang_pred string, score double")
-    return out.withColumn("ambiguous", F.col("score") < unsure)
+        found = [m.decode(t.as_py().encode()) if has else (UNDETERMINED, 0.0) for t, has in zip(text, letters.to_pylist(), strict=True)]
+        return pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=["lang_pred", "score"])
+
+    return docs.withColumn(out, decode("text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))))
+
+
+def predict(docs: DataFrame, model: Model, unsure: float = 0.6) -> DataFrame:
+    """doc_id, lang_pred, score, ambiguous (score under ``unsure``) for every row."""
+    out = with_language(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, "_l")
+    return out.select("doc_id", "_l.lang_pred", "_l.score").withColumn("ambiguous", F.col("score") < unsure)
 
 
 def held_out(doc_id: Column, folds: int = 5, fold: int = 0) -> Column:

@@ -133,6 +133,13 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     return attach(prints, by_print, "fp", "n")
 
 
+def one_of_each(docs: DataFrame, width: int = 3) -> DataFrame:
+    """``docs`` without near copies: of each component the row of the least doc_id stays, of repeated rows of that id one."""
+    kept = near_duplicates(docs, width).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_k")).distinct()
+    keyed = docs.withColumn("_k", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")))
+    return keyed.join(kept, "_k", "left_semi").dropDuplicates(["_k"]).drop("_k")
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 lower-case hex digits), component_id."""
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

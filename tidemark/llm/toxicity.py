@@ -31,6 +31,8 @@ WORDS = {
 _WORD = re.compile(r"[^\W\d_]+")
 _CLAUSE = re.compile(r"[.!?;:\n]+")
 PREFIXES = range(4, 9)
+#: Score from which a text counts as toxic.
+THRESHOLD = 0.7
 
 
 @dataclass(frozen=True)
@@ -246,17 +248,25 @@ def cover(texts: list[set[str]], weight: dict[str, float], support: int, entries
     return out
 
 
-def score(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7) -> DataFrame:
-    """doc_id, score, predicted, total (weight), clauses (that weigh anything) of every row, from the whole text alone. A null or empty text has the score of no match."""
+def with_toxicity(docs: DataFrame, lexicon: Lexicon, out: str) -> DataFrame:
+    """``docs`` with a struct column ``out`` (score, total weight, clauses that weigh anything) from the whole text alone.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A null or empty text has the score of no match.
+    """
+
+    @F.arrow_udf("score double, total double, clauses int")
+    def rate(text: pa.Array) -> pa.Array:
         scorer = Scorer(lexicon)
-        for batch in batches:
-            found = [scorer.score(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[i] for f in found], k) for i, k in enumerate((pa.float64(), pa.float64(), pa.int32())))], names=["doc_id", "score", "total", "clauses"])
+        found = [scorer.score(t.as_py()) for t in text]
+        return pa.StructArray.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate((pa.float64(), pa.float64(), pa.int32()))], names=["score", "total", "clauses"])
+
+    return docs.withColumn(out, rate("text"))
+
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, total double, clauses int")
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int")).select("doc_id", "score", "predicted", "total", "clauses")
+def score(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, score, predicted (1 from ``threshold`` up), total, clauses of every row."""
+    out = with_toxicity(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), lexicon, "_t")
+    return out.select("doc_id", "_t.score", (F.col("_t.score") >= threshold).cast("int").alias("predicted"), "_t.total", "_t.clauses")
 
 
 def held_out(doc_id: Column, folds: int = 3, fold: int = 1) -> Column:
