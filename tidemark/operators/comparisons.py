@@ -55,8 +55,8 @@ def correlation(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
 def reason_overlap(reasons: DataFrame, key: str) -> DataFrame:
     """Per reason: rows that have it, and rows that have nothing else. ``reasons``: key, code; repeats don't count."""
     flat = reasons.select(key, "code").distinct()
-    sets = flat.groupBy(key).agg(F.count("*").alias("k"), F.min("code").alias("only"))
-    alone = sets.filter("k = 1").groupBy(F.col("only").alias("code")).agg(F.count("*").alias("sole"))
+    sets = flat.groupBy(key).agg(F.count("*").alias("_k"), F.min("code").alias("only"))
+    alone = sets.filter("_k = 1").groupBy(F.col("only").alias("code")).agg(F.count("*").alias("sole"))
     return flat.groupBy("code").agg(F.count("*").alias("n")).join(alone, "code", "left").select("code", "n", F.coalesce("sole", F.lit(0)).alias("sole"))
 
 
