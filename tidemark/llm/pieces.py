@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -74,7 +75,7 @@ class PieceSampler:
 
     def arcs(self, chars: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All arcs over the characters of runs laid end to end: start, end, piece (minus 1: byte pieces), weight. ``room``: characters left in the run."""
-        starts, ends, pieces = [], [], []
+        starts, ends, pieces = [], [], []  # longest pieces first in the result
         h, one = np.zeros(len(chars), np.uint64), np.zeros(len(chars), bool)
         wide = chars.astype(np.uint64) + np.uint64(1)
         for k in range(1, self.widest + 1):
@@ -95,73 +96,80 @@ class PieceSampler:
             pieces.append(self.order[k][at])
         rest = np.flatnonzero(~one)
         n_bytes = 1 + (chars[rest] > 0x7F) + (chars[rest] > 0x7FF) + (chars[rest] > 0xFFFF)
-        weights = np.concatenate([*(self.score[p] for p in pieces), n_bytes * self.byte_weight])
-        return np.concatenate([*starts, rest]), np.concatenate([*ends, rest + 1]), np.concatenate([*pieces, np.full(len(rest), -1)]), weights
+        weights = np.concatenate([*(self.score[p] for p in pieces[::-1]), n_bytes * self.byte_weight])
+        return np.concatenate([*starts[::-1], rest]), np.concatenate([*ends[::-1], rest + 1]), np.concatenate([*pieces[::-1], np.full(len(rest), -1)]), weights
 
     def encode(self, keys: list[int], texts: list[str]) -> list[bytes]:
         """Ids (little-endian 32-bit) of each text; ``keys``: a 64-bit number per row that seeds its draws. An empty text has no ids."""
         runs = [_RUN.findall(" " + t) if t else [] for t in texts]
-        number: dict[str, int] = {}
-        which = np.array([number.setdefault(r, len(number)) for row in runs for r in row], np.int64)
-        counts = np.array([len(r) for r in runs])
-        if not len(which):
+        counts = np.fromiter(map(len, runs), np.int64, len(runs))
+        n_runs = int(counts.sum())
+        if not n_runs:
             return [b""] * len(texts)
-        chars = np.frombuffer("".join(number).encode("utf-32-le"), "<u4")
-        size = np.array([len(r) for r in number])
+        every = list(chain.from_iterable(runs))
+        different = list(dict.fromkeys(every))
+        number = dict(zip(different, range(len(different)), strict=True))
+        which = np.fromiter(map(number.__getitem__, every), np.int32, n_runs)
+        chars = np.frombuffer("".join(different).encode("utf-32-le"), "<u4")
+        size = np.fromiter(map(len, different), np.int64, len(different))
         last = np.cumsum(size)
         first = last - size
-        room = np.repeat(last, size) - np.arange(len(chars))
         # Places: every run has size + 1 of them, so that ends never meet starts of the next run.
         shift = np.repeat(np.arange(len(size)), size)
-        start, end, piece, weight = self.arcs(chars, room)
+        start, end, piece, weight = self.arcs(chars, last[shift] - np.arange(len(chars)))
+        by = np.argsort(end, kind="stable")  # by end, longest piece first
+        start, piece, weight = start[by], piece[by], weight[by]
         run = shift[start]
-        a, b = start + run, end + run
-        level = end - first[run]
-        by = np.lexsort((a, b, level))
-        a, b, piece, weight, level, start = a[by], b[by], piece[by], weight[by], level[by], start[by]
+        a, b = (start + run).astype(np.int32), (end[by] + run).astype(np.int32)
+        # Forward sums, by the length of what stands before.
+        level = (b - (first + np.arange(len(size)))[run]).astype(np.int16)
+        order = np.argsort(level, kind="stable")
+        edges = np.searchsorted(level[order], np.arange(1, int(size.max()) + 2))
         alpha = np.full(len(chars) + len(size), -np.inf)
         alpha[first + np.arange(len(size))] = 0.0
-        edges = np.searchsorted(level, np.arange(1, int(size.max()) + 2))
         for lo, hi in zip(edges, edges[1:], strict=False):
-            group = np.flatnonzero(np.diff(b[lo:hi], prepend=-1))
-            alpha[b[lo:hi][group]] = np.logaddexp.reduceat(alpha[a[lo:hi]] + weight[lo:hi], group)
-        # Arcs by end place, with the running share of the end's sum: one search finds the arc of any draw.
-        by = np.argsort(b, kind="stable")
-        a, b, piece, weight, start = a[by], b[by], piece[by], weight[by], start[by]
-        share = np.exp(alpha[a] + weight - alpha[b])
-        total = np.cumsum(share)
+            mine = order[lo:hi]
+            to = b[mine]
+            group = np.flatnonzero(np.diff(to, prepend=-1))
+            alpha[to[group]] = np.logaddexp.reduceat(alpha[a[mine]] + weight[mine], group)
+        # The arcs of an end are neighbours; ``upto`` is the running share of its sum, so a draw steps on while it lies beyond.
+        upto = np.exp(alpha[a] + weight - alpha[b])
         opens = np.flatnonzero(np.diff(b, prepend=-1))
-        group = np.repeat(np.arange(len(opens)), np.diff(opens, append=len(b)))
-        running = total - (total[opens] - share[opens])[group]
-        closes = np.append(opens[1:], len(b)) - 1
-        running = group + np.minimum(running / running[closes][group], 1.0)
-        running[closes] = np.arange(len(opens)) + 1.0
-        rank = np.full(len(alpha), -1, np.int64)
-        rank[b[opens]] = np.arange(len(opens))
-        # Draw backwards, all occurrences at once.
+        sums = np.cumsum(upto)
+        upto = sums - np.repeat(sums[opens] - upto[opens], np.diff(opens, append=len(b)))
+        upto[np.append(opens[1:], len(b)) - 1] = np.inf
+        entry = np.zeros(len(alpha), np.int32)
+        entry[b[opens]] = opens
+        # Draw backwards, all occurrences at once, each draw from the row's seed and the place in its text.
         row = np.repeat(np.arange(len(texts)), counts)
-        reach = np.cumsum(size[which])
-        base = reach - size[which]
-        row_start = np.concatenate([[0], np.cumsum(counts)])[:-1]
-        filled = counts > 0
-        offset = np.zeros(len(texts), np.int64)
-        offset[filled] = base[row_start[filled]]
-        seed = np.array(keys, np.uint64)[row]
-        at = (last + np.arange(len(size)))[which]
-        origin = (first + np.arange(len(size)))[which]
-        live, steps = np.arange(len(which)), []
+        base = np.cumsum(size[which]) - size[which]
+        filled = np.flatnonzero(counts)
+        begins = np.zeros(len(texts), np.int64)
+        begins[filled] = base[(np.cumsum(counts) - counts)[filled]]
+        home = (first + np.arange(len(size))).astype(np.int32)[which]
+        at = (last + np.arange(len(size))).astype(np.int32)[which]
+        seed = np.array(keys, np.uint64)[row] + (base - begins[row] - home + 1).astype(np.uint64) * _G
+        live, steps = np.arange(n_runs, dtype=np.int32), []
         while len(live):
-            place = (base[live] - offset[row[live]] + at[live] - origin[live]).astype(np.uint64)
-            u = (_scramble(seed[live] + (place + np.uint64(1)) * _G) >> np.uint64(11)).astype(np.float64) / 2.0**53
-            arc = np.searchsorted(running, rank[at[live]] + u, side="right")
+            u = (_scramble(seed + at.astype(np.uint64) * _G) >> np.uint64(11)) * 2.0**-53
+            arc = entry[at]
+            on = np.flatnonzero(upto[arc] <= u)
+            while len(on):
+                arc[on] += 1
+                on = on[upto[arc[on]] <= u[on]]
             steps.append((live, arc))
-            at[live] = a[arc]
-            live = live[at[live] > origin[live]]
-        who = np.concatenate([s for s, _ in steps])
-        arc = np.concatenate([x for _, x in steps])
-        turn = np.repeat(np.arange(len(steps)), [len(s) for s, _ in steps])
-        by = np.argsort(who * (len(steps) + 1) + (len(steps) - turn), kind="stable")
-        arc, who = arc[by], who[by]
+            at = a[arc]
+            more = at > home
+            live, at, home, seed = live[more], at[more], home[more], seed[more]
+        # Pieces in the order of the texts: an occurrence with n of them gets the n places after those before it, the last drawn first.
+        drawn = np.zeros(n_runs, np.int32)
+        for who, _ in steps:
+            drawn[who] += 1
+        stop = np.cumsum(drawn)
+        ordered = np.empty(int(stop[-1]), np.int32)
+        for k, (who, arc) in enumerate(steps, 1):
+            ordered[stop[who] - k] = arc
+        arc, who = ordered, np.repeat(row, drawn)
         # Ids: one a piece, or a character's bytes.
         ids = piece[arc]
         spelt = np.flatnonzero(ids < 0)
@@ -179,7 +187,7 @@ class PieceSampler:
                     for j in range(k):
                         out[head[sel] + j] = self.byte_id[raw[:, j]]
             ids, who = out, np.repeat(who, lengths)
-        per_row = np.bincount(row[who], minlength=len(texts))
+        per_row = np.bincount(who, minlength=len(texts))
         raw, ends = ids.astype("<u4").tobytes(), np.cumsum(per_row) * 4
         return [raw[e - 4 * n : e] for e, n in zip(ends.tolist(), per_row.tolist(), strict=True)]
 
