@@ -1,7 +1,7 @@
 """Sharding by balanced label propagation: linked documents move towards the shard where most of their group is, under quotas.
 
 Documents of one group are interchangeable, so the state is one row per linked group: how many members each shard holds. Each round
-every group proposes to move its smaller parts to its largest one; proposals between two shards are admitted, largest groups first, up to
+every group proposes to move its smaller parts to its largest one (of equal ones, another each round); proposals between two shards are admitted, largest groups first, up to
 quotas that keep every shard within its exact capacity. Documents without a link fill what is left, so counts end at most one apart.
 """
 
@@ -39,8 +39,14 @@ def running_total(df: DataFrame, part: list[str], value: str, by: Column, order:
 
 
 def quotas(wanted: dict[tuple[int, int], int], free: list[int]) -> dict[tuple[int, int], int]:
-    """How many of the wanted moves between each two shards are admitted: even swaps, then whatever the free places take, in turn."""
+    """How many of the wanted moves between each two shards are admitted: even swaps, exchanges around three shards, then whatever the free places take, in turn."""
     got = {(i, j): min(n, wanted.get((j, i), 0)) for (i, j), n in wanted.items()}
+    for i, j in list(wanted):
+        for k in range(len(free)):
+            ring = [(i, j), (j, k), (k, i)]
+            n = min(wanted.get(e, 0) - got.get(e, 0) for e in ring) if len({i, j, k}) == 3 else 0
+            for e in ring if n > 0 else ():
+                got[e] += n
     free, moved = list(free), True
     while moved:
         moved = False
@@ -71,8 +77,8 @@ def propagate(groups: DataFrame, capacity: list[int], rounds: int = 8) -> tuple[
     sums = state.agg(*(F.sum(F.col("have")[j]).alias(f"s{j}") for j in range(shards))).first()
     load = [x or 0 for x in sums]
     room = F.array(*(F.lit(c).cast("long") for c in capacity))
-    for _ in range(rounds):
-        places = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda j: F.struct(F.get("have", j).alias("m"), F.xxhash64("key", j).alias("h"), j.alias("s")))
+    for turn in range(rounds):
+        places = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda j: F.struct(F.get("have", j).alias("m"), F.xxhash64("key", j, F.lit(turn)).alias("h"), j.alias("s")))
         spread = state.withColumn("_p", places)
 
         def wish(p: Column) -> Column:
