@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import language, packing, simhash, toxicity
-from tidemark.llm.common import cut, table
+from tidemark.llm.common import cut, fresh, table
 from tidemark.llm.queries import tokenizer_path
 
 #: Under this score a language is a guess.
@@ -18,15 +18,17 @@ UNSURE = 0.5
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored under the toxic threshold, by a lexicon learned from the labels of those not held out."""
-    rated = toxicity.with_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), "_toxicity")
-    return rated.filter(F.col("_toxicity.score") < toxicity.THRESHOLD).select(*docs.columns)
+    out = fresh(docs, "_toxicity")
+    rated = toxicity.with_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), out)
+    return rated.filter(F.col(f"{out}.score") < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known: texts without a letter and toss-ups go."""
     model = language.train(docs.filter(~language.held_out(F.col("doc_id"))))
-    known = language.with_language(docs, model, "_language")
-    return known.filter((F.col("_language.lang_pred") != language.UNDETERMINED) & (F.col("_language.score") >= UNSURE)).select(*docs.columns)
+    out = fresh(docs, "_language")
+    known = language.with_language(docs, model, out)
+    return known.filter((F.col(f"{out}.lang_pred") != language.UNDETERMINED) & (F.col(f"{out}.score") >= UNSURE)).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,6 +32,14 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, longer by underscores until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def bucket_of(n: int, *cols: Column | str) -> Column:
     """An even bucket from 0 to n - 1, by hash."""
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import attach, cut
+from tidemark.llm.common import attach, cut, fresh
 
 #: Bits apart at which two fingerprints link, as the covering above is built for it.
 THRESHOLD = 2
@@ -135,9 +135,10 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
 
 def one_of_each(docs: DataFrame, width: int = 3) -> DataFrame:
     """``docs`` without near copies: of each component the row of the least doc_id stays, of repeated rows of that id one."""
-    kept = near_duplicates(docs, width).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_k")).distinct()
-    keyed = docs.withColumn("_k", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")))
-    return keyed.join(kept, "_k", "left_semi").dropDuplicates(["_k"]).drop("_k")
+    key = fresh(docs, "_k")
+    kept = near_duplicates(docs, width).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(key)).distinct()
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")))
+    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).drop(key)
 
 
 def digest(docs: DataFrame) -> DataFrame:
