@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.operators.temporal import bars_as_of, session_ordinals
+from tidemark.operators.calendar import run_ordinals
+from tidemark.operators.temporal import bars_as_of, newest_revisions, session_ordinals
 
 
 def zscore(df: DataFrame, value: str, by: list[str], out: str = "z") -> DataFrame:
@@ -59,3 +60,18 @@ def momentum_zscores(bars: DataFrame, sessions: DataFrame, cutoff: str, day: str
 def momentum_ranking(bars: DataFrame, sessions: DataFrame, cutoff: str, day: str) -> DataFrame:
     """All instruments ranked by momentum as known at a cutoff."""
     return tie_percentile(momentum_zscores(bars, sessions, cutoff, day).withColumn("_all", F.lit(1)), ["_all"], "momentum").drop("_all")
+
+
+def momentum_runs(bars: DataFrame, sessions: DataFrame, requests: DataFrame, latest: int = 2, reference: int = 13) -> DataFrame:
+    """Momentum rankings of many runs (run_id, day, cutoff: a small table) in one job.
+
+    The runs' last sessions are a small table that meets the bars on the session date, so bars are read and shuffled once however many
+    runs there are; each run then sees only what was known at its own cutoff.
+    """
+    ordinals = run_ordinals(requests, sessions, reference).select("run_id", "cutoff", "session_date", "n")
+    known = bars.filter("mode = 'RAW'").join(F.broadcast(ordinals), "session_date").filter((F.col("available_at") <= F.col("cutoff")) & (F.col("observed_at") <= F.col("cutoff")))
+    order = [F.desc("available_at"), F.desc("observed_at"), F.asc("observation_key")]
+    picked = newest_revisions(known, ["run_id", "instrument_id", "session_date"], order, F.col("quality_state") == "VALID")
+    at = lambda k: F.max(F.when(F.col("n") == k, F.col("close")))
+    wide = picked.groupBy("run_id", "instrument_id").agg((at(latest) / at(reference) - 1).alias("momentum")).filter("momentum IS NOT NULL")
+    return tie_percentile(zscore(wide, "momentum", ["run_id"]), ["run_id"], "momentum")

@@ -479,3 +479,21 @@ def _s13(v: Views) -> DataFrame:
 def _f05(v: Views) -> DataFrame:
     e = v.b_events.withColumn("schema_version", F.lit(2)).withColumn("observation_key", S.framed_hash(F.col("instrument_id"), F.col("event_type"), F.date_format("economic_time", "yyyy-MM-dd'T'HH:mm:ss"))).withColumn("payload_hash", F.when(F.col("event_id") % 97 != 0, F.sha2("payload", 256)).otherwise("x"))
     return contracts.events(e).select("event_id", F.array_join("violations", ",").alias("violations"))
+
+
+def run_requests(v: Views, n: int | None = None) -> DataFrame:
+    """A run for each session (the last ``n``), as known at the end of its day."""
+    out = v.b_sessions.select(F.col("session_date").cast("string").alias("run_id"), F.col("session_date").alias("day"), F.expr("CAST(session_date AS TIMESTAMP) + INTERVAL '20' HOUR").alias("cutoff"))
+    return out.orderBy(F.desc("day")).limit(n) if n else out
+
+
+@R.add("many_runs_momentum", """
+WITH r AS (SELECT session_date AS day, CAST(session_date AS TIMESTAMP) + INTERVAL '20' HOUR AS cutoff FROM b_sessions),
+o AS (SELECT r.day, cutoff, s.session_date, row_number() OVER (PARTITION BY r.day ORDER BY s.session_date DESC) AS n FROM r JOIN b_sessions s ON s.session_date <= r.day QUALIFY n <= 13),
+w AS (SELECT o.day, o.n, b.* FROM b_bars b JOIN o ON b.session_date = o.session_date WHERE mode = 'RAW' AND b.available_at <= cutoff AND observed_at <= cutoff QUALIFY row_number() OVER (PARTITION BY o.day, instrument_id, b.session_date ORDER BY b.available_at DESC, observed_at DESC, observation_key) = 1),
+m AS (SELECT day, instrument_id, max(close) FILTER (n = 2) / max(close) FILTER (n = 13) - 1 AS momentum FROM w WHERE quality_state = 'VALID' GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY momentum DESC, instrument_id) AS rank, count(*) OVER (PARTITION BY day) AS c FROM m WHERE momentum IS NOT NULL)
+SELECT CAST(day AS STRING) AS run_id, instrument_id, round(momentum, 6) AS momentum, rank, CASE WHEN c > 1 THEN round(100.0 * (c - avg(rank) OVER (PARTITION BY day, momentum)) / (c - 1), 6) END AS percentile FROM k""")
+def many_runs(v: Views) -> DataFrame:
+    out = ranking.momentum_runs(v.b_bars, v.b_sessions, run_requests(v))
+    return out.select("run_id", "instrument_id", F.round("momentum", 6).alias("momentum"), F.col("rank").cast("long").alias("rank"), F.round("percentile", 6).alias("percentile"))
