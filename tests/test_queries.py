@@ -47,3 +47,11 @@ def test_runs(spark, sf_dir, name):
 def test_entry_counts(spark, sf_dir):
     out = temporal.flagship(Views(spark, sf_dir)).collect()
     assert [r["rank"] for r in sorted(out, key=lambda r: r["rank"])] == list(range(1, len(out) + 1))
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert len(e.queries()) > 120 and set(e.oracle_sql()) <= set(e.queries())"], cwd=__file__.rsplit("/", 2)[0], capture_output=True, text=True)
+    assert said.returncode == 0, said.stderr

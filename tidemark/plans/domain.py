@@ -9,11 +9,10 @@ from tidemark.functions import scalars as S
 from tidemark.operators import actions, contracts, facts, model, publication, quality, ranking, research, screener, technical
 from tidemark.operators import calendar as K
 from tidemark.operators import temporal as T
-from tidemark.plans.temporal import AS_OF, FACTS_AS_OF, GRID, day
+from tidemark.plans.temporal import AS_OF, FACTS_AS_OF, day, last_day
 from tidemark.plans.views import Registry, Views
 
 R = Registry()
-LAST = F.lit("2000-12-31").cast("date")
 S_LAST = "s AS (SELECT * FROM b_scores WHERE as_of = DATE '2000-12-31')"
 
 
@@ -138,7 +137,7 @@ def _a01(v: Views) -> DataFrame:
 
 @R.add("a02_accept_inputs", "SELECT filing_id, CASE WHEN available_at > TIMESTAMP '2000-12-31 20:00:00' THEN 'FUTURE_INFORMATION' WHEN priority = 3 THEN 'INVALID_UNIT' WHEN date_diff('day', filed_date, DATE '2000-12-31') > 180 THEN 'STALE' END AS reason FROM b_facts")
 def _a02(v: Views) -> DataFrame:
-    return v.b_facts.select("filing_id", model.accept_input(F.col("value"), F.col("priority") != 3, F.col("available_at"), F.lit(AS_OF).cast("timestamp"), F.datediff(LAST, "filed_date"), 180).alias("reason"))
+    return v.b_facts.select("filing_id", model.accept_input(F.col("value"), F.col("priority") != 3, F.col("available_at"), F.lit(AS_OF).cast("timestamp"), F.datediff(last_day(), "filed_date"), 180).alias("reason"))
 
 
 @R.add("a03_derived_metrics", f"WITH {FACTS_AS_OF}, w AS (SELECT issuer_id, period_end, max(value) FILTER (metric = 'REVENUE') AS revenue, max(value) FILTER (metric = 'NET_INCOME') AS income, max(value) FILTER (metric = 'TOTAL_ASSETS') AS assets FROM facts GROUP BY 1, 2) SELECT issuer_id, CAST(period_end AS STRING) AS period_end, round(income / revenue, 6) AS margin, round(income / assets, 6) AS roa, CASE WHEN income IS NULL THEN 'NET_INCOME' WHEN assets IS NULL THEN 'TOTAL_ASSETS' END AS missing FROM w")
@@ -232,12 +231,12 @@ def _a18(v: Views) -> DataFrame:
 @R.add("a19_simulate", f"WITH {S_LAST}, x AS (SELECT 'base' AS scenario, instrument_id, composite, eligible FROM s UNION ALL SELECT 'raise', instrument_id, CASE WHEN instrument_id = 8 THEN 99.0 ELSE composite END, eligible OR instrument_id = 8 FROM s) SELECT scenario, instrument_id, row_number() OVER (PARTITION BY scenario ORDER BY composite DESC, instrument_id) AS rank FROM x WHERE eligible AND composite IS NOT NULL")
 def _a19(v: Views) -> DataFrame:
     what = v.b_scores.sparkSession.sql("SELECT 'base' AS scenario, CAST(NULL AS BIGINT) AS instrument_id, CAST(NULL AS DOUBLE) AS composite UNION ALL SELECT 'raise', 8, 99.0D")
-    return model.simulate(v.b_scores.filter(F.col("as_of") == LAST), what, ["as_of"]).select("scenario", "instrument_id", F.col("rank").cast("long").alias("rank"))
+    return model.simulate(v.b_scores.filter(F.col("as_of") == last_day()), what, ["as_of"]).select("scenario", "instrument_id", F.col("rank").cast("long").alias("rank"))
 
 
 @R.add("r01_result_scores", f"WITH {S_LAST}, r AS (SELECT instrument_id, composite, row_number() OVER (ORDER BY composite DESC, instrument_id) AS rank, count(*) OVER () AS n FROM s WHERE eligible) SELECT 'run-1' AS run_id, instrument_id, rank, CAST(round_even(CAST(composite AS DECIMAL(38,12)), 6) AS DOUBLE) AS composite, CAST(round_even(CAST(100.0 * (n - rank) / CAST(n - 1 AS DOUBLE) AS DECIMAL(38,12)), 6) AS DOUBLE) AS percentile FROM r")
 def _r01(v: Views) -> DataFrame:
-    scored = model.score_runs(v.b_scores.filter(F.col("as_of") == LAST), ["as_of"]).withColumn("rank", F.col("rank").cast("long"))
+    scored = model.score_runs(v.b_scores.filter(F.col("as_of") == last_day()), ["as_of"]).withColumn("rank", F.col("rank").cast("long"))
     return publication.result_scores(scored, F.lit("run-1"))
 
 
@@ -249,27 +248,27 @@ def _r02(v: Views) -> DataFrame:
 
 @R.add("q01_publication_guard", f"WITH {S_LAST} SELECT 'MISSING' AS rule, (SELECT count(*) FROM b_instruments) - (SELECT count(*) FROM s WHERE instrument_id % 5 <> 0) AS n UNION ALL SELECT 'UNEXPECTED', 0 UNION ALL SELECT 'BOTH', 0 UNION ALL SELECT 'NO_REASON', (SELECT count(*) FROM s WHERE NOT eligible AND instrument_id % 5 <> 0 AND profile = 'GENERAL') UNION ALL SELECT 'RANK_GAP', 0")
 def _q01(v: Views) -> DataFrame:
-    s = v.b_scores.filter((F.col("as_of") == LAST) & (F.col("instrument_id") % 5 != 0))
+    s = v.b_scores.filter((F.col("as_of") == last_day()) & (F.col("instrument_id") % 5 != 0))
     scored = ranking.ordinal_rank(s.filter("eligible"), ["as_of"])
     return publication.guard(scored, s.filter("NOT eligible").withColumn("reason", F.when(F.col("profile") != "GENERAL", "UNSUPPORTED_PROFILE")), v.b_instruments)
 
 
 @R.add("q02_rank_sequence", f"WITH {S_LAST}, r AS (SELECT instrument_id, row_number() OVER (ORDER BY composite DESC, instrument_id) AS rank, row_number() OVER (ORDER BY market_cap DESC, instrument_id) AS other FROM s WHERE eligible) SELECT instrument_id, rank, other FROM r WHERE rank <> other")
 def _q02(v: Views) -> DataFrame:
-    s = v.b_scores.filter((F.col("as_of") == LAST) & F.col("eligible"))
+    s = v.b_scores.filter((F.col("as_of") == last_day()) & F.col("eligible"))
     a, b = ranking.ordinal_rank(s, ["as_of"]), ranking.ordinal_rank(s, ["as_of"], "market_cap").select("instrument_id", F.col("rank").alias("other"))
     return a.join(b, "instrument_id").filter("rank <> other").select("instrument_id", F.col("rank").cast("long").alias("rank"), F.col("other").cast("long").alias("other"))
 
 
 @R.add("q03_late_lineage", f"SELECT observation_key FROM b_bars WHERE session_date = DATE '2000-12-31' AND available_at > TIMESTAMP '2000-12-20'")
 def _q03(v: Views) -> DataFrame:
-    used = v.b_bars.filter(F.col("session_date") == LAST).select("observation_key")
+    used = v.b_bars.filter(F.col("session_date") == last_day()).select("observation_key")
     return publication.late_lineage(used, v.b_bars, "2000-12-20")
 
 
 @R.add("q04_source_retention", "SELECT i.instrument_id, count(DISTINCT b.observation_key) AS sources FROM b_instruments i LEFT JOIN b_bars b ON i.instrument_id = b.instrument_id AND b.session_date = DATE '2000-12-31' GROUP BY 1")
 def _q04(v: Views) -> DataFrame:
-    return publication.source_retention(v.b_instruments, v.b_bars.filter(F.col("session_date") == LAST))
+    return publication.source_retention(v.b_instruments, v.b_bars.filter(F.col("session_date") == last_day()))
 
 
 @R.add("v01_record_reviews", "SELECT n.o_orderkey AS review_id, CASE WHEN n.o_orderkey % 3 <> 0 THEN 'RECORDED' WHEN n.o_orderkey % 2 = 0 THEN 'REPEATED' ELSE 'CONFLICT' END AS outcome FROM orders n")
@@ -298,7 +297,7 @@ def _v05(v: Views) -> DataFrame:
 @R.add("e01_ranking_rows", f"WITH {S_LAST} SELECT s.instrument_id, string_agg(CAST(p.signal_at AS STRING), ',' ORDER BY p.signal_at) AS history FROM s LEFT JOIN b_panel p ON p.instrument_id = s.instrument_id AND p.signal_at > DATE '2000-09-30' AND p.signal_at <= DATE '2000-12-31' GROUP BY 1")
 def _e01(v: Views) -> DataFrame:
     near = v.b_panel.filter("signal_at > DATE'2000-09-30' AND signal_at <= DATE'2000-12-31'").groupBy("instrument_id").agg(F.array_join(F.array_sort(F.collect_list(F.col("signal_at").cast("string"))), ",").alias("history"))
-    return v.b_scores.filter(F.col("as_of") == LAST).select("instrument_id").join(near, "instrument_id", "left")
+    return v.b_scores.filter(F.col("as_of") == last_day()).select("instrument_id").join(near, "instrument_id", "left")
 
 
 @R.add("e02_company_search", "WITH q AS (SELECT * FROM (VALUES (1, 'red'), (2, 'brand#1'), (2, 'ring'), (3, 'eco')) t(query_id, token)), d AS (SELECT document_id, lower(symbol) AS sy, lower(name) AS na, lower(sector) AS se, lower(industry) AS ind FROM b_search), p AS (SELECT q.query_id, d.document_id, greatest(CASE WHEN sy = token THEN 10 ELSE 0 END, CASE WHEN starts_with(sy, token) THEN 5 ELSE 0 END, CASE WHEN starts_with(na, token) THEN 4 ELSE 0 END, CASE WHEN contains(na, ' ' || token) THEN 3 ELSE 0 END, CASE WHEN contains(na, token) THEN 2 ELSE 0 END, CASE WHEN contains(se, token) THEN 2 ELSE 0 END, CASE WHEN starts_with(ind, token) THEN 2 ELSE 0 END) AS points FROM d CROSS JOIN q) SELECT query_id, document_id, CAST(sum(points) AS BIGINT) AS relevance FROM p GROUP BY 1, 2 HAVING bool_and(points > 0)")
@@ -309,7 +308,7 @@ def _e02(v: Views) -> DataFrame:
 
 @R.add("e04_sector_comparison", f"WITH {S_LAST} SELECT sector, count(*) AS members, round(median(composite), 6) AS median_score, concat_ws(',', CASE WHEN count(*) FILTER (eligible) < 25 THEN 'FEW_ELIGIBLE' END, CASE WHEN count(*) < 20 THEN 'SMALL_SECTOR' END) AS warnings FROM s GROUP BY 1")
 def _e04(v: Views) -> DataFrame:
-    g = v.b_scores.filter(F.col("as_of") == LAST).groupBy("sector").agg(F.count("*").alias("members"), F.round(F.percentile("composite", F.lit(0.5)), 6).alias("median_score"), F.count_if("eligible").alias("_e"))
+    g = v.b_scores.filter(F.col("as_of") == last_day()).groupBy("sector").agg(F.count("*").alias("members"), F.round(F.percentile("composite", F.lit(0.5)), 6).alias("median_score"), F.count_if("eligible").alias("_e"))
     return g.select("sector", "members", "median_score", F.array_join(S.reasons((F.col("_e") < 25, "FEW_ELIGIBLE"), (F.col("members") < 20, "SMALL_SECTOR")), ",").alias("warnings"))
 
 

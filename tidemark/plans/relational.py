@@ -11,11 +11,10 @@ from tidemark.operators import calendar as K
 from tidemark.operators import comparisons as C
 from tidemark.operators import contracts, facts, ranking, reference, screener
 from tidemark.operators import temporal as T
-from tidemark.plans.temporal import AS_OF, PICK, day
+from tidemark.plans.temporal import AS_OF, PICK, day, last_day
 from tidemark.plans.views import Registry, Views
 
 R = Registry()
-LAST = F.lit("2000-12-31").cast("date")
 
 
 @R.add("g01_universe_union", "SELECT s_suppkey AS instrument_id, bool_or(code = 'A') AS in_a, bool_or(code = 'B') AS in_b, bool_and(s_suppkey % 10 <> 1) AS primary_class FROM (SELECT 'A' AS code, s_suppkey FROM supplier WHERE s_suppkey % 3 <> 0 UNION ALL SELECT 'B', s_suppkey FROM supplier WHERE s_suppkey % 4 <> 0) x GROUP BY 1")
@@ -26,7 +25,7 @@ def _g01(v: Views) -> DataFrame:
 
 @R.add("g02_price_features", f"WITH {PICK}, o AS (SELECT session_date, row_number() OVER (ORDER BY session_date DESC) AS n FROM b_sessions WHERE session_date <= DATE '2000-12-31' AND available_at <= TIMESTAMP '{AS_OF}') SELECT instrument_id, max(close) FILTER (n = 1) AS last_close, max(close) FILTER (n = 2) AS latest_close, max(close) FILTER (n = 13) AS reference_close, count(*) FILTER (n <= 12) AS history, round(quantile_cont(CASE WHEN n <= 20 THEN close * volume END, 0.5), 4) AS median_value FROM pick JOIN o ON pick.session_date = o.session_date GROUP BY 1")
 def _g02(v: Views) -> DataFrame:
-    o = T.session_ordinals(v.b_sessions, LAST, 1 << 30, F.lit(AS_OF).cast("timestamp"))
+    o = T.session_ordinals(v.b_sessions, last_day(), 1 << 30, F.lit(AS_OF).cast("timestamp"))
     return ranking.price_features(T.bars_as_of(v.b_bars, AS_OF, "RAW"), o).withColumn("median_value", F.round("median_value", 4))
 
 
@@ -38,7 +37,7 @@ def _g04(v: Views) -> DataFrame:
 
 @R.add("g05_recent_metrics", "SELECT issuer_id, string_agg(DISTINCT metric, ',' ORDER BY metric) AS metrics FROM b_facts WHERE filed_date >= DATE '2000-07-04' AND filed_date <= DATE '2000-12-31' GROUP BY 1")
 def _g05(v: Views) -> DataFrame:
-    recent = v.b_facts.filter(F.col("filed_date").between(F.date_sub(LAST, 180), LAST))
+    recent = v.b_facts.filter(F.col("filed_date").between(F.date_sub(last_day(), 180), last_day()))
     return recent.groupBy("issuer_id").agg(F.array_join(F.array_sort(F.collect_set("metric")), ",").alias("metrics"))
 
 
@@ -50,7 +49,7 @@ def _g06(v: Views) -> DataFrame:
 @R.add("g07_cohort_bounds", "SELECT sector, round(quantile_cont(composite, 0.025), 6) AS low, round(quantile_cont(composite, 0.975), 6) AS high FROM b_scores WHERE as_of = DATE '2000-12-31' AND composite IS NOT NULL GROUP BY 1")
 def _g07(v: Views) -> DataFrame:
     p = F.percentile("composite", F.array(F.lit(0.025), F.lit(0.975)))
-    return v.b_scores.filter((F.col("as_of") == LAST) & F.col("composite").isNotNull()).groupBy("sector").agg(p.alias("p")).select("sector", F.round(F.col("p")[0], 6).alias("low"), F.round(F.col("p")[1], 6).alias("high"))
+    return v.b_scores.filter((F.col("as_of") == last_day()) & F.col("composite").isNotNull()).groupBy("sector").agg(p.alias("p")).select("sector", F.round(F.col("p")[0], 6).alias("low"), F.round(F.col("p")[1], 6).alias("high"))
 
 
 @R.add("g08_cohort_moments", "WITH b AS (SELECT sector, quantile_cont(composite, 0.025) AS lo, quantile_cont(composite, 0.975) AS hi FROM b_scores WHERE composite IS NOT NULL GROUP BY 1) SELECT s.sector, count(*) AS n, round(avg(greatest(lo, least(hi, composite))), 6) AS mean, round(stddev_pop(greatest(lo, least(hi, composite))), 6) AS sd FROM b_scores s JOIN b ON s.sector = b.sector WHERE composite IS NOT NULL GROUP BY 1")
@@ -62,17 +61,17 @@ def _g08(v: Views) -> DataFrame:
 
 @R.add("g09_profile_coverage", "SELECT profile, count(*) AS n, count(*) FILTER (eligible) AS eligible FROM b_scores WHERE as_of = DATE '2000-12-31' GROUP BY 1")
 def _g09(v: Views) -> DataFrame:
-    return v.b_scores.filter(F.col("as_of") == LAST).groupBy("profile").agg(F.count("*").alias("n"), F.count_if("eligible").alias("eligible"))
+    return v.b_scores.filter(F.col("as_of") == last_day()).groupBy("profile").agg(F.count("*").alias("n"), F.count_if("eligible").alias("eligible"))
 
 
 @R.add("g10_sector_counts", "SELECT sector, count(*) AS members, count(*) FILTER (eligible) AS eligible, count(*) FILTER (profile = 'GENERAL') AS \"general\" FROM b_scores WHERE as_of = DATE '2000-12-31' GROUP BY 1")
 def _g10(v: Views) -> DataFrame:
-    return screener.sector_counts(v.b_scores.filter(F.col("as_of") == LAST))
+    return screener.sector_counts(v.b_scores.filter(F.col("as_of") == last_day()))
 
 
 @R.add("g11_sector_metric_summary", "SELECT sector, round(median(market_cap), 2) AS median_cap, count(*) AS n, round(max(composite), 6) AS best FROM (SELECT *, bool_or(primary_class) OVER (PARTITION BY issuer_id) AS p FROM b_scores WHERE as_of = DATE '2000-12-31') x WHERE NOT p OR primary_class GROUP BY 1")
 def _g11(v: Views) -> DataFrame:
-    reps = screener.representatives(v.b_scores.filter(F.col("as_of") == LAST), [])
+    reps = screener.representatives(v.b_scores.filter(F.col("as_of") == last_day()), [])
     return reps.groupBy("sector").agg(F.round(F.percentile("market_cap", F.lit(0.5)), 2).alias("median_cap"), F.count("*").alias("n"), F.round(F.max("composite"), 6).alias("best"))
 
 
@@ -136,9 +135,9 @@ def _g21(v: Views) -> DataFrame:
     return contracts.duplicates(v.lineitem, ["l_orderkey", "l_linenumber"])
 
 
-@R.add("l01_ranking_page", "SELECT instrument_id, round(composite, 6) AS composite FROM b_scores WHERE as_of = DATE '2000-12-31' ORDER BY composite DESC NULLS LAST, instrument_id LIMIT 20 OFFSET 20")
+@R.add("l01_ranking_page", "SELECT instrument_id, round(composite, 6) AS composite FROM b_scores WHERE as_of = DATE '2000-12-31' ORDER BY composite DESC NULLS last_day(), instrument_id LIMIT 20 OFFSET 20")
 def _l01(v: Views) -> DataFrame:
-    return screener.ranking_page(v.b_scores.filter(F.col("as_of") == LAST), "composite", True, "instrument_id", 1, 20).select("instrument_id", F.round("composite", 6).alias("composite"))
+    return screener.ranking_page(v.b_scores.filter(F.col("as_of") == last_day()), "composite", True, "instrument_id", 1, 20).select("instrument_id", F.round("composite", 6).alias("composite"))
 
 
 @R.add("l02_top_weights", "SELECT CAST(as_of AS STRING) AS as_of, instrument_id, 1.0 / count(*) OVER (PARTITION BY as_of) AS weight FROM (SELECT * FROM b_scores WHERE eligible QUALIFY row_number() OVER (PARTITION BY as_of ORDER BY composite DESC, instrument_id) <= 8) x")
@@ -225,7 +224,7 @@ def _u06(v: Views) -> DataFrame:
 
 @R.add("u08_compare_models", "WITH s AS (SELECT * FROM b_scores WHERE as_of = DATE '2000-12-31'), a AS (SELECT instrument_id, row_number() OVER (ORDER BY composite DESC, instrument_id) AS rank FROM s WHERE eligible), b AS (SELECT instrument_id, row_number() OVER (ORDER BY composite DESC, instrument_id) AS rank FROM s WHERE composite IS NOT NULL AND instrument_id % 6 <> 0) SELECT coalesce(a.instrument_id, b.instrument_id) AS instrument_id, a.rank AS rank_before, b.rank AS rank_after, CASE WHEN a.rank IS NULL THEN 'RECOVERED' WHEN b.rank IS NULL THEN 'LOST' WHEN a.rank = b.rank THEN 'SAME' ELSE 'MOVED' END AS change FROM a FULL JOIN b ON a.instrument_id = b.instrument_id")
 def _u08(v: Views) -> DataFrame:
-    s = v.b_scores.filter(F.col("as_of") == LAST)
+    s = v.b_scores.filter(F.col("as_of") == last_day())
     a, b = (ranking.ordinal_rank(s.filter(c), ["as_of"]).withColumn("rank", F.col("rank").cast("long")) for c in ("eligible", "composite IS NOT NULL AND instrument_id % 6 <> 0"))
     return C.compare_models(a, b, "instrument_id").select("instrument_id", "rank_before", "rank_after", "change")
 
@@ -425,7 +424,7 @@ def _t05(v: Views) -> DataFrame:
 
 @R.add("t06_cross_section_errors", "SELECT instrument_id, concat_ws(',', CASE WHEN valid_to IS NOT NULL AND valid_to <= DATE '2000-12-31' THEN 'NOT_LISTED' END, CASE WHEN NOT primary_class THEN 'SECONDARY_CLASS' END) AS errors FROM b_instruments")
 def _t06(v: Views) -> DataFrame:
-    return v.b_instruments.select("instrument_id", F.array_join(S.reasons((F.col("valid_to") <= LAST, "NOT_LISTED"), (~F.col("primary_class"), "SECONDARY_CLASS")), ",").alias("errors"))
+    return v.b_instruments.select("instrument_id", F.array_join(S.reasons((F.col("valid_to") <= last_day(), "NOT_LISTED"), (~F.col("primary_class"), "SECONDARY_CLASS")), ",").alias("errors"))
 
 
 @R.add("m02_primary_class", "SELECT issuer_id, instrument_id FROM b_instruments QUALIFY row_number() OVER (PARTITION BY issuer_id ORDER BY CASE WHEN primary_class THEN 0 ELSE 1 END, symbol) = 1")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,10 +13,16 @@ R = Registry()
 AS_OF = "2000-12-31 20:00:00"
 
 
-def day(c: str) -> F.Column:
+def day(c: str) -> Column:
+    """A date as text under its own name."""
     return F.col(c).cast("string").alias(c)
 
 
+def last_day() -> Column:
+    """The day of the single-run queries."""
+    return F.lit("2000-12-31").cast("date")
+
+
 @R.add("s01_factor_inputs_as_of", f"""
 WITH k AS (SELECT * FROM b_bars WHERE available_at <= TIMESTAMP '{AS_OF}' AND quality_state = 'VALID'),
 l AS (SELECT instrument_id, arg_max(close, (session_date, observation_key)) AS latest_close, max(session_date) AS latest FROM k GROUP BY 1),
