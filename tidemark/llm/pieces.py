@@ -207,7 +207,7 @@ def sampler(path: str, sharpness: float) -> PieceSampler:
     return _samplers[path, sharpness]
 
 
-def encode(rows: DataFrame, key: str, text: str, path: str, sharpness: float = 1.0, seed: int = 0, batch_chars: int = 1_000_000) -> DataFrame:
+def encode(rows: DataFrame, key: str, text: str, path: str, sharpness: float = 1.0, seed: int = 0, batch_chars: int = 600_000) -> DataFrame:
     """``key``, ``ids`` (little-endian 32-bit) and ``text`` for every row. The draws depend on the key's text form and ``seed`` only; equal rows segment alike.
 
     A null text gives null ids, an empty one none. Texts are taken whole.
