@@ -121,9 +121,9 @@ def _n02(v: Views) -> DataFrame:
     return audits.mapping_versions(base).groupBy("version").agg(F.count("*").alias("mappings"))
 
 
-@R.add("n05_regulatory_facts", "SELECT s_nationkey AS entity, count(*) AS facts, count(*) FILTER (s_acctbal < 0) AS negative FROM supplier WHERE s_suppkey % 7 <> 0 GROUP BY 1")
+@R.add("n05_regulatory_facts", "SELECT s_nationkey AS entity, count(*) AS facts, count(*) FILTER (s_acctbal < 0) AS negative FROM supplier WHERE s_acctbal <> 0 GROUP BY 1")
 def _n05(v: Views) -> DataFrame:
-    links = v.supplier.filter("s_suppkey % 7 <> 0").select("s_suppkey")
+    links = v.supplier.filter("s_acctbal <> 0").select("s_suppkey")
     return v.supplier.join(links, "s_suppkey", "left_semi").groupBy(F.col("s_nationkey").alias("entity")).agg(F.count("*").alias("facts"), F.count_if(F.col("s_acctbal") < 0).alias("negative"))
 
 
@@ -224,9 +224,9 @@ def _b10(v: Views) -> DataFrame:
     return audits.active(t, "a", "b").select("n", F.round("active", 6).alias("active"), F.round("information_ratio", 6).alias("information_ratio"))
 
 
-@R.add("b11_next_bar_orders", "WITH s AS (SELECT as_of, instrument_id FROM b_scores WHERE eligible AND instrument_id <> 3 QUALIFY row_number() OVER (PARTITION BY as_of ORDER BY composite DESC, instrument_id) <= 3), d AS (SELECT DISTINCT session_date FROM b_sessions) SELECT instrument_id, CAST(as_of AS STRING) AS as_of, CAST(min(session_date) AS STRING) AS executes FROM s LEFT JOIN d ON d.session_date > s.as_of GROUP BY instrument_id, s.as_of")
+@R.add("b11_next_bar_orders", "WITH s AS (SELECT as_of, instrument_id FROM b_scores WHERE eligible QUALIFY row_number() OVER (PARTITION BY as_of ORDER BY composite DESC, instrument_id) <= 3), d AS (SELECT DISTINCT session_date FROM b_sessions) SELECT instrument_id, CAST(as_of AS STRING) AS as_of, CAST(min(session_date) AS STRING) AS executes FROM s LEFT JOIN d ON d.session_date > s.as_of GROUP BY instrument_id, s.as_of")
 def _b11(v: Views) -> DataFrame:
-    best = research.top_weights(v.b_scores.filter("eligible AND instrument_id <> 3"), 3).select("as_of", "instrument_id")
+    best = research.top_weights(v.b_scores.filter("eligible"), 3).select("as_of", "instrument_id")
     return audits.next_bar(best, v.b_sessions).select("instrument_id", day("as_of"), day("executes"))
 
 

@@ -246,9 +246,9 @@ def _r02(v: Views) -> DataFrame:
     return publication.run_identity(requests, "policy", "as_of").select(day("as_of"), "run_key", "supersedes")
 
 
-@R.add("q01_publication_guard", f"WITH {S_LAST} SELECT 'MISSING' AS rule, (SELECT count(*) FROM b_instruments) - (SELECT count(*) FROM s WHERE instrument_id % 5 <> 0) AS n UNION ALL SELECT 'UNEXPECTED', 0 UNION ALL SELECT 'BOTH', 0 UNION ALL SELECT 'NO_REASON', (SELECT count(*) FROM s WHERE NOT eligible AND instrument_id % 5 <> 0 AND profile = 'GENERAL') UNION ALL SELECT 'RANK_GAP', 0")
+@R.add("q01_publication_guard", f"WITH {S_LAST} SELECT 'MISSING' AS rule, (SELECT count(*) FROM b_instruments) - (SELECT count(*) FROM s WHERE sector <> 'ASIA') AS n UNION ALL SELECT 'UNEXPECTED', 0 UNION ALL SELECT 'BOTH', 0 UNION ALL SELECT 'NO_REASON', (SELECT count(*) FROM s WHERE NOT eligible AND sector <> 'ASIA' AND profile = 'GENERAL') UNION ALL SELECT 'RANK_GAP', 0")
 def _q01(v: Views) -> DataFrame:
-    s = v.b_scores.filter((F.col("as_of") == last_day()) & (F.col("instrument_id") % 5 != 0))
+    s = v.b_scores.filter((F.col("as_of") == last_day()) & (F.col("sector") != "ASIA"))
     scored = ranking.ordinal_rank(s.filter("eligible"), ["as_of"])
     return publication.guard(scored, s.filter("NOT eligible").withColumn("reason", F.when(F.col("profile") != "GENERAL", "UNSUPPORTED_PROFILE")), v.b_instruments)
 
@@ -403,10 +403,10 @@ def _st03(v: Views) -> DataFrame:
     return quality.identity_conflicts(v.b_events, "instrument_id", "event_type")
 
 
-@R.add("st05_replay", "SELECT event_id FROM events WHERE event_type = 'error' AND event_id NOT IN (SELECT event_id FROM events WHERE event_id % 4 = 0)")
+@R.add("st05_replay", "SELECT event_id FROM events WHERE event_type = 'error' AND event_id NOT IN (SELECT event_id FROM events WHERE value > 20)")
 def _st05(v: Views) -> DataFrame:
     dead = v.b_events.filter("event_type = 'error'")
-    return quality.missing(dead, v.b_events.filter("event_id % 4 = 0"), ["event_id"])
+    return quality.missing(dead, v.b_events.filter("value > 20"), ["event_id"])
 
 
 @R.add("st07_page_conflicts", "SELECT l_orderkey, l_linenumber, count(DISTINCT l_quantity) AS versions FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_quantity) > 1")
@@ -454,14 +454,14 @@ def _st14(v: Views) -> DataFrame:
     return K.refresh_plan(v.events.withColumn("day", F.col("ts").cast("date")), "2024-01-20", 5).select("event_id", day("refresh_on"))
 
 
-@R.add("s11_parse_bars", "SELECT l_orderkey AS page, CAST(l_suppkey AS STRING) AS symbol, l_extendedprice AS close, CASE WHEN l_quantity > 5 THEN l_tax END AS vwap FROM lineitem WHERE l_orderkey % 20 = 0")
+@R.add("s11_parse_bars", "SELECT l_orderkey AS page, CAST(l_suppkey AS STRING) AS symbol, l_extendedprice AS close, CASE WHEN l_quantity > 5 THEN l_tax END AS vwap FROM lineitem")
 def _s11(v: Views) -> DataFrame:
     from tidemark.sources.readers import parse_bars
 
     n = F.when(F.col("l_quantity") > 5, F.col("l_quantity").cast("long")).otherwise(0)
     bar = F.struct(F.lit("2024-01-02T05:00:00Z").alias("t"), *(F.col("l_extendedprice").alias(c) for c in "ohlc"), n.alias("v"), n.alias("n"), F.when(n > 0, F.col("l_tax")).otherwise(0.0).alias("vw"))
     page = F.to_json(F.struct(F.map_from_arrays(F.array(F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_suppkey").cast("string"))), F.array(F.array(bar))).alias("bars")))
-    rows = parse_bars(v.lineitem.filter("l_orderkey % 20 = 0").select(page.alias("document")))
+    rows = parse_bars(v.lineitem.select(page.alias("document")))
     return rows.select(F.substring_index("symbol", "/", 1).cast("long").alias("page"), F.substring_index("symbol", "/", -1).alias("symbol"), "close", "vwap")
 
 

@@ -80,11 +80,11 @@ def _g12(v: Views) -> DataFrame:
     return v.b_facts.groupBy("issuer_id").agg(F.max(F.greatest("available_at", F.col("filed_date").cast("timestamp"))).cast("date").cast("string").alias("evidence"))
 
 
-REASONS = "r AS (SELECT o_custkey AS k, o_orderpriority AS code FROM orders WHERE o_orderstatus = 'P' AND o_orderkey % 9 = 0 GROUP BY 1, 2)"
+REASONS = "r AS (SELECT o_custkey AS k, o_orderpriority AS code FROM orders WHERE o_orderstatus = 'P' GROUP BY 1, 2)"
 
 
 def _reasons(v: Views) -> DataFrame:
-    return v.orders.filter("o_orderstatus = 'P' AND o_orderkey % 9 = 0").select(F.col("o_custkey").alias("k"), F.col("o_orderpriority").alias("code"))
+    return v.orders.filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("k"), F.col("o_orderpriority").alias("code"))
 
 
 @R.add("g13_exclusion_overlap", f"WITH {REASONS}, s AS (SELECT k, count(*) AS c FROM r GROUP BY 1) SELECT code, count(*) AS n, count(*) FILTER (c = 1) AS sole FROM r JOIN s ON r.k = s.k GROUP BY 1")
@@ -206,10 +206,10 @@ def _u04(v: Views) -> DataFrame:
 
 def _two_runs(v: Views) -> tuple[DataFrame, DataFrame]:
     one = v.b_panel.filter("score IS NOT NULL").select("instrument_id", F.col("signal_at").cast("string").alias("as_of"), F.round("score", 6).alias("score"))
-    return one.filter("instrument_id % 13 <> 0"), one.filter("instrument_id % 11 <> 0").withColumn("score", F.when(F.col("instrument_id") == 7, F.col("score") + 0.001).otherwise(F.col("score")))
+    return one.filter("abs(score) > 0.01"), one.filter("abs(score) < 2").withColumn("score", F.when(F.col("instrument_id") == 7, F.col("score") + 0.001).otherwise(F.col("score")))
 
 
-TWO = "p AS (SELECT instrument_id, CAST(signal_at AS STRING) AS as_of, round(score, 6) AS score FROM b_panel WHERE score IS NOT NULL), a AS (SELECT * FROM p WHERE instrument_id % 13 <> 0), b AS (SELECT instrument_id, as_of, CASE WHEN instrument_id = 7 THEN score + 0.001 ELSE score END AS score FROM p WHERE instrument_id % 11 <> 0)"
+TWO = "p AS (SELECT instrument_id, CAST(signal_at AS STRING) AS as_of, round(score, 6) AS score FROM b_panel WHERE score IS NOT NULL), a AS (SELECT * FROM p WHERE abs(score) > 0.01), b AS (SELECT instrument_id, as_of, CASE WHEN instrument_id = 7 THEN score + 0.001 ELSE score END AS score FROM p WHERE abs(score) < 2)"
 
 
 @R.add("u05_compare_scores", f"WITH {TWO} SELECT count(*) FILTER (a.instrument_id IS NULL) AS missing_left, count(*) FILTER (b.instrument_id IS NULL) AS missing_right, round(max(abs(a.score - b.score)), 6) AS largest, false AS agrees FROM a FULL JOIN b ON a.instrument_id = b.instrument_id AND a.as_of = b.as_of")
@@ -222,10 +222,10 @@ def _u06(v: Views) -> DataFrame:
     return C.different_cells(*_two_runs(v), ["instrument_id", "as_of"], ["score"], [])
 
 
-@R.add("u08_compare_models", "WITH s AS (SELECT * FROM b_scores WHERE as_of = DATE '2000-12-31'), a AS (SELECT instrument_id, row_number() OVER (ORDER BY composite DESC, instrument_id) AS rank FROM s WHERE eligible), b AS (SELECT instrument_id, row_number() OVER (ORDER BY composite DESC, instrument_id) AS rank FROM s WHERE composite IS NOT NULL AND instrument_id % 6 <> 0) SELECT coalesce(a.instrument_id, b.instrument_id) AS instrument_id, a.rank AS rank_before, b.rank AS rank_after, CASE WHEN a.rank IS NULL THEN 'RECOVERED' WHEN b.rank IS NULL THEN 'LOST' WHEN a.rank = b.rank THEN 'SAME' ELSE 'MOVED' END AS change FROM a FULL JOIN b ON a.instrument_id = b.instrument_id")
+@R.add("u08_compare_models", "WITH s AS (SELECT * FROM b_scores WHERE as_of = DATE '2000-12-31'), a AS (SELECT instrument_id, row_number() OVER (ORDER BY composite DESC, instrument_id) AS rank FROM s WHERE eligible), b AS (SELECT instrument_id, row_number() OVER (ORDER BY composite DESC, instrument_id) AS rank FROM s WHERE composite IS NOT NULL AND sector <> 'ASIA') SELECT coalesce(a.instrument_id, b.instrument_id) AS instrument_id, a.rank AS rank_before, b.rank AS rank_after, CASE WHEN a.rank IS NULL THEN 'RECOVERED' WHEN b.rank IS NULL THEN 'LOST' WHEN a.rank = b.rank THEN 'SAME' ELSE 'MOVED' END AS change FROM a FULL JOIN b ON a.instrument_id = b.instrument_id")
 def _u08(v: Views) -> DataFrame:
     s = v.b_scores.filter(F.col("as_of") == last_day())
-    a, b = (ranking.ordinal_rank(s.filter(c), ["as_of"]).withColumn("rank", F.col("rank").cast("long")) for c in ("eligible", "composite IS NOT NULL AND instrument_id % 6 <> 0"))
+    a, b = (ranking.ordinal_rank(s.filter(c), ["as_of"]).withColumn("rank", F.col("rank").cast("long")) for c in ("eligible", "composite IS NOT NULL AND sector <> 'ASIA'"))
     return C.compare_models(a, b, "instrument_id").select("instrument_id", "rank_before", "rank_after", "change")
 
 
@@ -386,11 +386,11 @@ def _f17(v: Views) -> DataFrame:
     return contracts.snapshots(snaps).select("o_orderkey", F.array_join("violations", ",").alias("violations"))
 
 
-CALENDAR = "d AS (SELECT CAST(unnest(generate_series(DATE '1998-01-01', DATE '1998-12-31', INTERVAL 1 DAY)) AS DATE) AS day), x AS (SELECT DISTINCT o_orderstatus AS exchange FROM orders), h AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day, o_orderstatus AS exchange FROM orders WHERE o_orderkey % 5 = 0), cal AS (SELECT d.day, x.exchange, h.day IS NULL AS holiday FROM d CROSS JOIN x LEFT JOIN h ON d.day = h.day AND x.exchange = h.exchange)"
+CALENDAR = "d AS (SELECT CAST(unnest(generate_series(DATE '1998-01-01', DATE '1998-12-31', INTERVAL 1 DAY)) AS DATE) AS day), x AS (SELECT DISTINCT o_orderstatus AS exchange FROM orders), h AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day, o_orderstatus AS exchange FROM orders WHERE o_orderpriority = '1-URGENT'), cal AS (SELECT d.day, x.exchange, h.day IS NULL AS holiday FROM d CROSS JOIN x LEFT JOIN h ON d.day = h.day AND x.exchange = h.exchange)"
 
 
 def _calendar(v: Views) -> DataFrame:
-    held = v.orders.filter("o_orderkey % 5 = 0").select(F.col("o_orderdate").cast("date").alias("day"), F.col("o_orderstatus").alias("exchange"))
+    held = v.orders.filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderdate").cast("date").alias("day"), F.col("o_orderstatus").alias("exchange"))
     return K.build_calendar(held, v.orders.select(F.col("o_orderstatus").alias("exchange")).distinct(), "1998-01-01", "1998-12-31")
 
 
@@ -461,7 +461,7 @@ def _m08(v: Views) -> DataFrame:
     return reference.link_identifiers(held, v.customer.select(F.col("c_custkey").alias("identifier"), F.col("c_nationkey").alias("instrument_id")))
 
 
-@R.add("m09_import_snapshot", "SELECT o_custkey AS universe, CAST(CAST(o_orderdate AS DATE) AS STRING) AS day FROM orders WHERE o_orderkey % 2 = 1 AND (o_custkey, CAST(o_orderdate AS DATE)) NOT IN (SELECT (o_custkey, CAST(o_orderdate AS DATE)) FROM orders WHERE o_orderkey % 2 = 0) GROUP BY 1, 2")
+@R.add("m09_import_snapshot", "SELECT o_custkey AS universe, CAST(CAST(o_orderdate AS DATE) AS STRING) AS day FROM orders WHERE o_orderstatus <> 'F' AND (o_custkey, CAST(o_orderdate AS DATE)) NOT IN (SELECT (o_custkey, CAST(o_orderdate AS DATE)) FROM orders WHERE o_orderstatus = 'F') GROUP BY 1, 2")
 def _m09(v: Views) -> DataFrame:
-    rows = v.orders.select("o_orderkey", F.col("o_custkey").alias("universe"), F.col("o_orderdate").cast("date").cast("string").alias("day"))
-    return reference.only_new(rows.filter("o_orderkey % 2 = 0"), rows.filter("o_orderkey % 2 = 1"), ["universe", "day"])
+    rows = v.orders.select("o_orderstatus", F.col("o_custkey").alias("universe"), F.col("o_orderdate").cast("date").cast("string").alias("day"))
+    return reference.only_new(rows.filter("o_orderstatus = 'F'"), rows.filter("o_orderstatus <> 'F'"), ["universe", "day"])

@@ -79,9 +79,9 @@ def _k01(v: Views) -> DataFrame:
     return T.latest_per(v.b_bars, ["instrument_id", "session_date"], [F.desc("available_at"), F.desc("observation_key")]).select("instrument_id", day("session_date"), "observation_key", "close")
 
 
-@R.add("k05_append_if_absent", "SELECT observation_key, close FROM b_bars b WHERE instrument_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM b_bars t WHERE t.observation_key = b.observation_key AND t.available_at < TIMESTAMP '1999-01-01')")
+@R.add("k05_append_if_absent", "SELECT observation_key, close FROM b_bars b WHERE NOT EXISTS (SELECT 1 FROM b_bars t WHERE t.observation_key = b.observation_key AND t.available_at < TIMESTAMP '1999-01-01')")
 def _k05(v: Views) -> DataFrame:
-    new, held = v.b_bars.filter("instrument_id % 2 = 0"), v.b_bars.filter(F.col("available_at") < F.lit("1999-01-01").cast("timestamp"))
+    new, held = v.b_bars, v.b_bars.filter(F.col("available_at") < F.lit("1999-01-01").cast("timestamp"))
     return new.join(held.select("observation_key"), "observation_key", "left_anti").select("observation_key", "close")
 
 
@@ -184,10 +184,10 @@ def _j10(v: Views) -> DataFrame:
 
 
 @R.add("j11_scoped_issues", """
-WITH s AS (SELECT event_id, CASE WHEN event_id % 50 = 0 THEN NULL ELSE instrument_id END AS instrument_id FROM b_events WHERE event_type = 'error' AND event_id % 5 = 0)
+WITH s AS (SELECT event_id, CASE WHEN event_id % 50 = 0 THEN NULL ELSE instrument_id END AS instrument_id FROM b_events WHERE event_type = 'error')
 SELECT i.instrument_id, count(*) AS issues FROM b_instruments i JOIN s ON s.instrument_id = i.instrument_id OR s.instrument_id IS NULL GROUP BY 1""")
 def _j11(v: Views) -> DataFrame:
-    issues = v.b_events.filter("event_type = 'error' AND event_id % 5 = 0").select("event_id", F.when(F.col("event_id") % 50 != 0, F.col("instrument_id")).alias("instrument_id"))
+    issues = v.b_events.filter("event_type = 'error'").select("event_id", F.when(F.col("event_id") % 50 != 0, F.col("instrument_id")).alias("instrument_id"))
     own = v.b_instruments.select("instrument_id").join(issues.filter("instrument_id IS NOT NULL"), "instrument_id").groupBy("instrument_id").agg(F.count("*").alias("n"))
     everyone = issues.filter("instrument_id IS NULL").agg(F.count("*").alias("all"))  # one row, counted rather than multiplied out
     return v.b_instruments.select("instrument_id").join(own, "instrument_id", "left").join(F.broadcast(everyone)).select("instrument_id", (F.coalesce("n", F.lit(0)) + F.col("all")).alias("issues")).filter("issues > 0")
@@ -204,12 +204,12 @@ def _j13(v: Views) -> DataFrame:
 
 
 @R.add("j14_calendar_gaps", """
-WITH d AS (SELECT CAST(unnest(generate_series(DATE '1998-01-01', DATE '1998-12-31', INTERVAL 1 DAY)) AS DATE) AS day), h AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 40 = 0)
+WITH d AS (SELECT CAST(unnest(generate_series(DATE '1998-01-01', DATE '1998-12-31', INTERVAL 1 DAY)) AS DATE) AS day), h AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 400000)
 SELECT CAST(d.day AS STRING) AS day FROM d LEFT JOIN h ON d.day = h.day WHERE h.day IS NULL""")
 def _j14(v: Views) -> DataFrame:
     from tidemark.operators.calendar import day_range
 
-    held = v.orders.filter("o_orderkey % 40 = 0").select(F.col("o_orderdate").cast("date").alias("day")).distinct()
+    held = v.orders.filter("o_orderpriority = '1-URGENT' AND o_totalprice > 400000").select(F.col("o_orderdate").cast("date").alias("day")).distinct()
     return day_range(v.orders.sparkSession, "1998-01-01", "1998-12-31").join(held, "day", "left_anti").select(day("day"))
 
 
