@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,16 +75,3 @@ def attach(left: DataFrame, right: DataFrame, key: str, weight: str, hot_keys: i
     spread = near.withColumn("_s", F.when(F.col("_hot"), F.xxhash64(*left.columns)).otherwise(F.col(key)))
     both = spread.join(cold, (F.col("_s") == F.col("_k")) & (F.col("_hot") == F.col("_f")), "left")
     return both.select(*left.columns, *(F.coalesce(F.col(f"_h.{c}"), F.col(f"_c.{c}")).alias(c) for c in payload))
-
-
-def slices(items: list, sizes: list[int], most: int = 4_000_000) -> Iterator[list]:
-    """Runs of ``items`` whose sizes add up to ``most`` at most (one larger item stands alone)."""
-    run, total = [], 0
-    for item, size in zip(items, sizes, strict=True):
-        if run and total + size > most:
-            yield run
-            run, total = [], 0
-        run.append(item)
-        total += size
-    if run:
-        yield run
