@@ -16,12 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not set_dir:
-        set_dir = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", set_dir)
-    return set_dir.rstrip("/")
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where none is set, as in tests."""
+    chosen = spark.conf.get("spark.checkpoint.dir", None)
+    if not chosen:
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+        chosen = spark.sparkContext.getCheckpointDir()
+    return chosen.rstrip("/")
 
 
 def cut(df: DataFrame, tag: str) -> DataFrame:
