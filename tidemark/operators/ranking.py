@@ -74,4 +74,4 @@ def momentum_runs(bars: DataFrame, sessions: DataFrame, requests: DataFrame, lat
     picked = newest_revisions(known, ["run_id", "instrument_id", "session_date"], order, F.col("quality_state") == "VALID")
     at = lambda k: F.max(F.when(F.col("n") == k, F.col("close")))
     wide = picked.groupBy("run_id", "instrument_id").agg((at(latest) / at(reference) - 1).alias("momentum")).filter("momentum IS NOT NULL")
-    return tie_percentile(zscore(wide, "momentum", ["run_id"]), ["run_id"], "momentum")
+    return tie_percentile(wide, ["run_id"], "momentum")
