@@ -270,6 +270,13 @@ def test_simhash_of_awkward_rows(spark):
     assert simhash.digest(empty_docs(spark)).count() == 0
 
 
+def test_one_row_of_each_component_whatever_the_ids(spark):
+    a, b, c = (" ".join(f"{x}{i * i}" for i in range(60)) for x in "abc")
+    rows = [(None, a), (None, b), (None, b.upper()), (5, c), (5, a + " "), (3, a), (7, None), (None, ""), (None, None)]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"] or 0, (r["text"] or "").lower()[:2]) for r in kept)) == [(0, "b0"), (3, "a0"), (5, "c0"), (7, "")]
+
+
 def test_long_chains_settle(spark):
     edges = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert simhash.components(edges).agg(F.max("root")).first()[0] == 0

@@ -40,13 +40,17 @@ def _fingerprint(text: str | None, width: int) -> int:
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little", signed=True)
 
 
+def _signed(word: int) -> int:
+    return word - (1 << 64) if word >= 1 << 63 else word
+
+
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, fp) of every row: per bit the majority over the XXH64 hashes of the whole text's word shingles, repeats included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [_fingerprint(t.as_py(), width) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f - (1 << 64) if f >= 1 << 63 else f for f in fps], pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_signed(f) for f in fps], pa.int64())], names=["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
@@ -134,11 +138,23 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, width: int = 3) -> DataFrame:
-    """``docs`` without near copies: of each component the row of the least doc_id stays, of repeated rows of that id one."""
-    key = fresh(docs, "_k")
-    kept = near_duplicates(docs, width).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(key)).distinct()
-    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")))
-    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).drop(key)
+    """``docs`` without near copies: of each component one row stays, that of the least doc_id (nulls last), of repeated rows of that id one.
+
+    Rows are told apart by a number that is written with the table, never by doc_id: null and repeated ids take part like any other.
+    """
+    fp, row = fresh(docs, "_fp"), fresh(docs, "_row")
+
+    @F.arrow_udf("long")
+    def printed(text: pa.Array) -> pa.Array:
+        return pa.array([_signed(_fingerprint(t.as_py(), width)) for t in text], pa.int64())
+
+    keyed = cut(docs.withColumn(fp, printed("text")).withColumn(row, F.monotonically_increasing_id()), "keyed")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").cast("long").alias("id"), F.col(row).alias("row"))
+    own = cut(keyed.groupBy(F.col(fp).alias("fp")).agg(F.min(order).alias("first")), "own")
+    roots = components(cut(links(own.select("fp")), "links"))
+    rooted = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("first", F.coalesce("root", "fp").alias("root"))
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    return keyed.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def digest(docs: DataFrame) -> DataFrame:
