@@ -394,6 +394,15 @@ def test_quality_bands(spark):
     assert quality.rules(odd_docs(spark)).count() == len(ODD) + 3 and quality.rules(empty_docs(spark)).count() == 0
 
 
+def test_quality_chunks_cover_every_byte(spark, texts):
+    prose = " ".join(t for t in texts.values() if len(t) < 3000).encode().decode("ascii", "ignore")
+    again = "this one sentence comes again. " * 500
+    rows = [(1, prose[:4400] + again[:3700]), (2, prose[:8192] + again[:4000]), (3, prose[:4096]), (4, prose[:4097]), (5, prose[:8192]), (6, prose[:12287])]
+    got = {r["doc_id"]: (r["n_chunks"], r["bad_chunks"]) for r in quality.rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (2, 1), 2: (3, 1), 3: (0, 0), 4: (2, 0), 5: (2, 0), 6: (3, 0)}
+    assert not quality.rules(spark.createDataFrame(rows[:1], "doc_id long, text string")).first()["kept"]
+
+
 # Toxicity
 
 

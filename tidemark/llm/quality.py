@@ -20,8 +20,9 @@ class Bands:
 
     ``low`` and ``high`` are limits at the sizes of ``sizes`` (bytes), straight lines over the logarithm of the size between: short
     texts compress less, so their limits lie higher. Under ``low`` a text is repetitive, over ``high`` it doesn't compress as language
-    does. A text is also rejected if over ``bad_chunks`` of its chunks of ``chunk`` bytes lie outside the limits of that size.
-    Texts under ``least`` bytes are too short for a verdict and pass.
+    does. A text of over ``chunk`` bytes is also rejected if over ``bad_chunks`` of its chunks of ``chunk`` bytes lie outside the limits of
+    that size; the last chunk ends with the text and may overlap the one before, so every byte lies in a judged chunk. A text of up to
+    ``chunk`` bytes is a single chunk, which the verdict on the whole text covers. Texts under ``least`` bytes are too short for a verdict and pass.
     """
 
     sizes: tuple[int, ...] = (128, 512, 2048, 8192, 65536)
@@ -86,8 +87,9 @@ def rules(docs: DataFrame, bands: Bands | None = None) -> DataFrame:
                 ratio = len(squeeze(raw)) / len(raw)
                 low, high = bands.limits(len(raw))
                 ok = len(raw) < bands.least or low <= ratio <= high
-                if len(raw) >= 2 * bands.chunk:
-                    shares = [len(squeeze(c)) / len(c) for c in (raw[i : i + bands.chunk] for i in range(0, len(raw) - bands.chunk + 1, bands.chunk))]
+                if len(raw) > bands.chunk:
+                    starts = [*range(0, len(raw) - bands.chunk, bands.chunk), len(raw) - bands.chunk]
+                    shares = [len(squeeze(raw[i : i + bands.chunk])) / bands.chunk for i in starts]
                     chunks, bad = len(shares), sum(not chunk_low <= s <= chunk_high for s in shares)
                     ok = ok and bad <= bands.bad_chunks * chunks
             return n, len(text) - sum(map(text.count, BLANK)), sum(map(text.count, SYMBOLS)), duplicate_lines(text), repeats, len(raw), ratio, chunks, bad, base_failed, ok and not base_failed
