@@ -414,6 +414,15 @@ def test_grammar_weighs_clauses():
     assert weight("not good. moron") == 6
 
 
+def test_grammar_finds_targets_after_a_threat_or_insult():
+    s = toxicity.Scorer(toxicity.Lexicon({"moron": 6.0}))
+    weight = lambda t: s.score(t)[1]
+    assert weight("i will kill you") == weight("you kill") == 6 and weight("we are going to hurt them") == 6 and weight("kill or hurt you") == 12
+    assert weight("moron, you") == weight("you moron") == weight("you moron, you") == pytest.approx(7.8)
+    assert weight("i will not kill you") == pytest.approx(0.6) and weight("it said kill you") == pytest.approx(2.4)
+    assert weight("kill a b c you") == 6 and weight("kill a b c d you") == 0 and weight("kill. you") == 0
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     d, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))

@@ -1,8 +1,9 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words become classes (insult, threat, target, negation, report, other) by a lexicon whose insult entries are learned from labels; small
-sequential transducers, one for each idea, are composed into one table of states; a clause's weight is that of its path. So
-"you are an <insult>" weighs more than the insult alone, "not an <insult>" and "she said ... <insult>" far less.
+Words become classes (insult, threat, target, negation, report, other) by a lexicon whose insult entries are learned from labels. A
+transducer that reads a clause from its end marks the insults and threats that a target follows; small ones that read it from its start,
+one for each idea, are composed into one table of states; a clause's weight is that of its path. So "you are an <insult>" weighs more
+than the insult alone, "not an <insult>" and "she said ... <insult>" far less, and "<threat> you" weighs as much as "you <threat>".
 """
 
 from __future__ import annotations
@@ -20,7 +21,12 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, INSULT_AT, THREAT_AT = range(8)
+#: Insults and threats become these where a target follows.
+AT = {INSULT: INSULT_AT, THREAT: THREAT_AT}
+KINDS = range(8)
+#: Words within which a target belongs to an insult or threat, on either side.
+REACH = 4
 #: Function words of the grammar in English, German, French and Spanish (fixed values).
 WORDS = {
     THREAT: "kill hurt destroy stab shoot strangle umbringen töten verletzen tuer blesser détruire matar herir destruir",
@@ -47,7 +53,7 @@ class Transducer:
         index, todo, arcs = {(0, 0): 0}, [(0, 0)], {}
         while todo:
             pair = todo.pop()
-            for symbol in range(6):
+            for symbol in KINDS:
                 a, f = self.arcs[pair[0], symbol]
                 b, g = other.arcs[pair[1], symbol]
                 if (a, b) not in index:
@@ -58,23 +64,35 @@ class Transducer:
 
 
 def near(trigger: int, subject: int, reach: int, factor: float, without: float = 1.0) -> Transducer:
-    """``subject`` within ``reach`` words after ``trigger`` gets ``factor``, elsewhere ``without``."""
+    """``subject`` within ``reach`` words after ``trigger`` gets ``factor``, elsewhere ``without``; a target may also follow it."""
     arcs = {}
     for state in range(reach + 1):
-        for symbol in range(6):
+        for symbol in KINDS:
             after = reach if symbol == trigger else max(state - 1, 0)
-            arcs[state, symbol] = (after, (factor if state else without) if symbol == subject else 1.0)
+            met = state or trigger == TARGET and symbol == AT[subject]
+            arcs[state, symbol] = (after, (factor if met else without) if symbol in (subject, AT[subject]) else 1.0)
     return Transducer(arcs, reach + 1)
 
 
 def since(trigger: int, subjects: tuple[int, ...], factor: float) -> Transducer:
     """``subjects`` anywhere after ``trigger`` in the clause get ``factor``."""
-    return Transducer({(s, x): (1 if s or x == trigger else 0, factor if s and x in subjects else 1.0) for s in (0, 1) for x in range(6)}, 2)
+    hit = {*subjects, *(AT[x] for x in subjects)}
+    return Transducer({(s, x): (1 if s or x == trigger else 0, factor if s and x in hit else 1.0) for s in (0, 1) for x in KINDS}, 2)
+
+
+def facing(kinds: list[int], reach: int = REACH) -> list[int]:
+    """Word classes of a clause, read from its end: an insult or threat with a target within ``reach`` words after it becomes its class in ``AT``."""
+    out, state = kinds[:], 0
+    for i in range(len(kinds) - 1, -1, -1):
+        if state:
+            out[i] = AT.get(kinds[i], kinds[i])
+        state = reach if kinds[i] == TARGET else max(state - 1, 0)
+    return out
 
 
 def grammar() -> Transducer:
-    """Target before insult or threat, negation before either, reported speech: one machine. A threat without a target weighs nothing."""
-    parts = [near(TARGET, INSULT, 4, 1.3), near(TARGET, THREAT, 4, 1.0, 0.0), near(NEGATION, INSULT, 3, 0.25), near(NEGATION, THREAT, 3, 0.1), since(REPORT, (INSULT, THREAT), 0.4)]
+    """Target beside insult or threat, negation before either, reported speech: one machine. A threat without a target weighs nothing."""
+    parts = [near(TARGET, INSULT, REACH, 1.3), near(TARGET, THREAT, REACH, 1.0, 0.0), near(NEGATION, INSULT, 3, 0.25), near(NEGATION, THREAT, 3, 0.1), since(REPORT, (INSULT, THREAT), 0.4)]
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.compose(part)
@@ -116,8 +134,8 @@ class Scorer:
 
     def clause(self, clause: str) -> float:
         state, total = 0, 0.0
-        for word in _WORD.findall(clause):
-            kind, weight = self.entry(word)
+        found = [self.entry(word) for word in _WORD.findall(clause)]
+        for kind, (_, weight) in zip(facing([kind for kind, _ in found]), found, strict=True):
             state, factor = self.machine.arcs[state, kind]
             total += weight * factor
         return total
