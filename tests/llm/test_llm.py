@@ -277,6 +277,27 @@ def test_one_row_of_each_component_whatever_the_ids(spark):
     assert sorted(((r["doc_id"] or 0, (r["text"] or "").lower()[:2]) for r in kept)) == [(0, "b0"), (3, "a0"), (5, "c0"), (7, "")]
 
 
+def test_no_pair_of_similar_shingle_sets_stays(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = []
+    for base in range(12):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([6, 40, 150, 400]))]
+        for _ in range(8):
+            mine = [f"x{rng.randrange(10**6)}" if rng.random() < 0.03 else w for w in words]
+            rows += [(len(rows), " ".join(mine))]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in rows for w in [t.split()]}
+    near = {(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    kept = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    label = {i: i for i in sets}
+    for _ in sets:
+        for i, j in near:
+            label[i] = label[j] = min(label[i], label[j])
+    prints = plain_components([(i, plain_fingerprint(t)) for i, t in rows])
+    assert near and kept == {i for i in sets if label[i] == i and prints[i] == i}
+
+
 def test_long_chains_settle(spark):
     edges = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert simhash.components(edges).agg(F.max("root")).first()[0] == 0

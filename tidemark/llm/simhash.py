@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import overlap
 from tidemark.llm.common import attach, cut, fresh
 
 #: Bits apart at which two fingerprints link, as the covering above is built for it.
@@ -137,21 +138,36 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     return attach(prints, by_print, "fp", "n")
 
 
-def one_of_each(docs: DataFrame, width: int = 3) -> DataFrame:
+def one_of_each(docs: DataFrame, width: int = 3, overlap_width: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` without near copies: of each component one row stays, that of the least doc_id (nulls last), of repeated rows of that id one.
 
-    Rows are told apart by a number that is written with the table, never by doc_id: null and repeated ids take part like any other.
+    Texts link by fingerprints up to THRESHOLD bits apart, and by a Jaccard similarity of at least ``similarity`` between their sets of
+    ``overlap_width``-word shingles; no such pair is missed. Rows are told apart by a number that is written with the table, never by
+    doc_id: null and repeated ids take part like any other.
     """
-    fp, row = fresh(docs, "_fp"), fresh(docs, "_row")
+    fp, row, key = fresh(docs, "_fp"), fresh(docs, "_row"), fresh(docs, "_key")
 
-    @F.arrow_udf("long")
+    @F.arrow_udf("fp long, key long")
     def printed(text: pa.Array) -> pa.Array:
-        return pa.array([_signed(_fingerprint(t.as_py(), width)) for t in text], pa.int64())
+        all_ = [t.as_py() for t in text]
+        fps, keys = [_signed(_fingerprint(t, width)) for t in all_], [overlap.set_key(overlap.shingles(t, overlap_width)) for t in all_]
+        return pa.StructArray.from_arrays([pa.array(fps, pa.int64()), pa.array(keys, pa.int64())], names=["fp", "key"])
 
-    keyed = cut(docs.withColumn(fp, printed("text")).withColumn(row, F.monotonically_increasing_id()), "keyed")
+    keyed = docs.withColumn(fp, printed("text"))
+    keyed = cut(keyed.select(*docs.columns, F.col(f"{fp}.fp").alias(fp), F.col(f"{fp}.key").alias(key)).withColumn(row, F.monotonically_increasing_id()), "keyed")
+    texts = keyed.select(F.col(fp).alias("fp"), F.col(key).alias("key"), F.col(row).alias("row"), "text")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").cast("long").alias("id"), F.col(row).alias("row"))
     own = cut(keyed.groupBy(F.col(fp).alias("fp")).agg(F.min(order).alias("first")), "own")
-    roots = components(cut(links(own.select("fp")), "links"))
+    # Pairs in stars first; what they link need not meet pair by pair.
+    groups = overlap.buckets(texts, overlap_width, similarity)
+    some = overlap.checked(texts, overlap.candidates(groups, similarity, stars=True), overlap_width, similarity)
+    edges = cut(links(own.select("fp")).unionByName(overlap.equal_sets(texts)).unionByName(some).filter("a <> b"), "links")
+    roots = components(edges)
+    rest = overlap.candidates(overlap.rerooted(groups, roots), similarity, stars=False)
+    if rest.limit(1).count():
+        more = overlap.checked(texts, rest, overlap_width, similarity).filter("a <> b")
+        if more.limit(1).count():
+            roots = components(edges.unionByName(more))
     rooted = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("first", F.coalesce("root", "fp").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
     return keyed.join(kept, row, "left_semi").select(*docs.columns)
