@@ -306,32 +306,71 @@ def test_long_chains_settle(spark):
 # Language-model scores
 
 
-def test_backoff_matches_a_plain_version(docs, texts):
-    rows = {r["doc_id"]: r for r in lm.backoff_scores(docs, part_grams=30_000).collect()}
-    words = {d: t.encode().lower().split() for d, t in texts.items()}
-    counts = Counter(tuple(w[i : i + n]) for w in words.values() for n in (1, 2, 3) for i in range(len(w) - n + 1))
-    total = sum(map(len, words.values()))
-    for d, w in words.items():
-        score = 0.0
-        for j in range(len(w)):
-            n, factor = min(3, j + 1), 1.0
-            while n > 1 and counts[tuple(w[j - n + 1 : j + 1])] < 2:
-                n, factor = n - 1, factor * 0.4
-            gram = tuple(w[j - n + 1 : j + 1])
-            score += math.log(factor * counts[gram] / (counts[gram[:-1]] if n > 1 else total))
-        assert rows[d]["n_words"] == len(w) and rows[d]["log_score"] == pytest.approx(score, rel=1e-9, abs=1e-9)
+def plain_backoff(texts, model, least):
+    """(n_words, log_score, n_seen, n_again) of each text, from counts in memory."""
+    split = lambda t: (t or "").encode().lower().split()
+    three, two, one = Counter(), Counter(), Counter()
+    for w in map(split, model):
+        line = [0, 0, *w, 1]
+        three.update(zip(line, line[1:], line[2:], strict=False))
+        two.update(zip(line[1:], line[2:], strict=False))
+        one.update(line[2:])
+    after_two, after_one, total, out = Counter(), Counter(), sum(one.values()), []
+    for (a, b, _), n in three.items():
+        after_two[a, b] += n
+    for (a, _), n in two.items():
+        after_one[a] += n
+    for w in map(split, texts):
+        line, score, seen, again = [0, 0, *w], 0.0, 0, 0
+        for a, b, c in zip(line, line[1:], line[2:], strict=False):
+            n = three[a, b, c]
+            seen, again = seen + (n >= least), again + (n > 1)
+            share = n / after_two[a, b] if n >= least else 0.4 * two[b, c] / after_one[b] if two[b, c] >= least else 0.16 * max(one[c], 1) / total
+            score += math.log(share)
+        out.append((len(w), score, seen, again))
+    return out
+
+
+def same_scores(rows, texts, want):
+    rows = {r["doc_id"]: r for r in rows}
+    assert len(rows) == len(texts)
+    for d, (n, score, seen, again) in zip(texts, want, strict=True):
+        r = rows[d]
+        assert (r["n_words"], r["n_seen"], r["n_again"]) == (n, seen, again) and r["log_score"] == pytest.approx(score, rel=1e-9, abs=1e-6)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_backoff_matches_a_plain_version(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = lm.backoff_scores(docs).collect()
+    same_scores(rows, texts, plain_backoff(texts.values(), texts.values(), 1))
+    assert all(math.isfinite(r["log_score"]) and r["log_score"] <= 0 for r in rows)
+
+
+def test_backoff_with_frequent_contexts_pruning_and_another_model(spark, docs, texts):
+    said = list(texts.values())
+    same_scores(lm.backoff_scores(docs, rare=20).collect(), texts, plain_backoff(said, said, 1))
+    same_scores(lm.backoff_scores(docs, least=2, rare=20).collect(), texts, plain_backoff(said, said, 2))
+    model = docs.filter("doc_id % 3 = 0")
+    same_scores(lm.backoff_scores(docs, model, rare=20, spelt=50).collect(), texts, plain_backoff(said, [t for d, t in texts.items() if d % 3 == 0], 1))
+
+
+def test_spellings_never_begin_another(spark):
+    words = [bytes([x]) * n for x in (0x00, 0x7F, 0x80, 0xC0, 0xFF) for n in (1, 2, 126, 127, 300)]
+    s = lm.Spelling.of([b"w%d" % i for i in range(20_000)])
+    codes = sorted([*s.common.values(), *map(s.spell, words)])
+    assert len(set(codes)) == len(codes) and not any(b.startswith(a) for a, b in zip(codes, codes[1:], strict=False))
+    pairs = [(bytearray(a + b"\x85\x01"),) for a in map(s.spell, [b"w3", b"w19000", *words])]
+    assert {bytes(r[0]) for r in spark.createDataFrame(pairs, "c binary").select(lm.after_first(F.col("c"))).collect()} == {b"\x85\x01"}
 
 
 def test_backoff_of_awkward_rows(spark):
     rows = lm.backoff_scores(odd_docs(spark)).collect()
     assert len(rows) == len(ODD) + 3
     assert {r["doc_id"]: r["mean_score"] for r in rows}[1] is None and {r["doc_id"]: r["n_words"] for r in rows}[10] == 30_000
-    assert lm.backoff_scores(empty_docs(spark)).count() == 0
-
-
-def test_packed_numbers_round_trip():
-    for x in (np.array([], np.uint64), np.array([0, 1, 255, 256, 2**63], np.uint64), np.arange(1000, dtype=np.uint64)):
-        assert (lm._unpack(lm._pack(x)) == x).all()
+    assert lm.backoff_scores(empty_docs(spark)).count() == 0 and lm.backoff_scores(odd_docs(spark), empty_docs(spark)).count() == len(ODD) + 3
+    assert len(lm.backoff_scores(odd_docs(spark), least=3).collect()) == len(ODD) + 3
 
 
 # Pieces
