@@ -416,7 +416,7 @@ def test_top_k_with_ties_gaps_and_large_values(spark):
     rows = [(int(i), [float(x) for x in rng.normal(size=5)]) for i in range(0, 400)]
     rows += [(1000 + i, [1.0] * 5) for i in range(30)] + [(2000, None), (2001, [1.0, None, 1.0, 1.0, 1.0]), (2002, [float("nan")] * 5), (2003, [float("inf")] * 5), (None, [1.0] * 5), (2004, [1e10] * 5)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1))
-    got = topk.search(topk.whole_vectors(df), F.col("vec_id") % 100 == 0, block_rows=16, group_blocks=3, query_rows=2, query_chunk=1).collect()
+    got = topk.search(topk.whole_vectors(df), F.col("vec_id") % 100 == 0, block_rows=16, group_blocks=3, bound_blocks=4, query_rows=2, query_chunk=1, seed_queries=1).collect()
     fine = {i: [math.floor(1024 * x) for x in v] for i, v in rows if i is not None and i not in (2000, 2001, 2002, 2003)}
     for q in [i for i in fine if i % 100 == 0]:
         want = sorted(((-sum(a * b for a, b in zip(fine[q], v, strict=True)), i) for i, v in fine.items() if i != q))[:10]
@@ -424,6 +424,24 @@ def test_top_k_with_ties_gaps_and_large_values(spark):
     assert topk.search(topk.whole_vectors(df.limit(0)), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_top_k_sends_only_blocks_that_can_answer(spark, monkeypatch):
+    """Vectors in clusters by id: a query's chunk meets few blocks, and repeated vec_ids are candidates each."""
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in 3 * np.eye(8)[i // 100] + rng.normal(size=8) / 50]) for i in range(800)] + [(5, [9.0] + [0.0] * 7)] * 2
+    kept, cut = [], topk.cut
+    monkeypatch.setattr(topk, "cut", lambda df, tag: kept.append((tag, cut(df, tag))) or kept[-1][1])
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.search(topk.whole_vectors(df), F.col("vec_id") % 100 == 50, block_rows=20, group_blocks=2, query_rows=1, query_chunk=1).collect()
+    pairs = dict(kept)["pairs"].count()
+    assert pairs < 0.3 * 8 * 41
+    assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 50][:2] == [5, 5]
+    fine = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows]
+    for q, v in fine:
+        if q % 100 == 50:
+            want = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in fine if i != q)[:10]
+            assert [(-r["score"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == want
+
+
 # Quality
 
 
