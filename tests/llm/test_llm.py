@@ -387,6 +387,51 @@ def test_pieces_are_lossless_and_repeatable(spark):
     assert pieces.digest(empty_docs(spark), path).count() == 0
 
 
+def plain_pieces(s, key, text):
+    """One lattice over the whole text, place by place, with the same draws."""
+    line = " " + text if text else ""
+    ids = {b: i for i, b in enumerate(s.bytes_of) if s.score[i]}
+    arcs, alpha = [[] for _ in range(len(line) + 1)], [0.0] + [-math.inf] * len(line)
+    for end in range(1, len(line) + 1):
+        for start in range(max(0, end - s.widest), end):
+            if (i := ids.get(line[start:end].encode())) is not None and "▁" not in line[start:end]:
+                arcs[end].append((start, [i], s.score[i]))
+        if not any(start == end - 1 for start, *_ in arcs[end]):
+            raw = line[end - 1].encode()
+            arcs[end].append((end - 1, [int(s.byte_id[b]) for b in raw], len(raw) * s.byte_weight))
+        x = [alpha[start] + w for start, _, w in arcs[end]]
+        alpha[end] = max(x) + math.log(sum(math.exp(v - max(x)) for v in x))
+    at, out = len(line), []
+    while at:
+        z = (key + (at + 1) * 0x9E3779B97F4A7C15) % 2**64
+        u = float(pieces._scramble(np.array([z], np.uint64))[0] >> np.uint64(11)) * 2.0**-53
+        upto = 0.0
+        for start, drawn, w in arcs[at]:
+            upto += math.exp(alpha[start] + w - alpha[at])
+            if upto > u:
+                break
+        out[:0] = drawn
+        at = start
+    return out
+
+
+def test_pieces_match_a_plain_lattice(texts):
+    """Words of any length, Chinese, spaces and repeated lines: no cut but where no piece crosses."""
+    path = tokenizer_path("piece_bpe_32k.model")
+    said = [t[:3000] for t in list(texts.values())[:40]] + ["x" * 700, "abcdefghij" * 60, "https://" + "aXq9/" * 100, "汉字编码" * 120, " " * 300 + "a" + " " * 40, "the" * 100 + "\n\n  " + "é" * 90, "a▁b", *[t for t in ODD if t and len(t) < 6000]]
+    keys = [i * 7919 for i in range(len(said))]
+    for s in (pieces.PieceSampler(path), pieces.PieceSampler(path, stretch=20, window=17, slice_chars=64)):
+        for key, text, got in zip(keys, said, s.encode(keys, said), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == plain_pieces(s, key, text), text[:40]
+            assert s.decode(got) == text
+
+
+def test_pieces_of_clashing_names(spark):
+    df = spark.createDataFrame([("k", "some text", 1)], "ids string, text string, decoded int")
+    got = pieces.decode(pieces.encode(df, "ids", "text", tokenizer_path("piece_bpe_32k.model")), "ids", tokenizer_path("piece_bpe_32k.model"), "back").first()
+    assert got["key"] == "k" and got["back"] == "some text"
+
+
 def test_pieces_follow_path_weights():
     s = pieces.PieceSampler(tokenizer_path("piece_bpe_32k.model"))
     known = {b: i for i, b in enumerate(s.bytes_of) if s.score[i]}

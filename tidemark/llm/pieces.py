@@ -1,8 +1,10 @@
 """SentencePiece segmentations sampled by forward filtering and backward sampling over the piece lattice, and their exact decoding.
 
 Every way to spell a text with pieces is a path of the lattice; a path's weight is the product of its pieces' weights. Forward sums over
-paths are computed once for each different run of a batch, then a path is drawn backwards for each occurrence, all occurrences at once. The
-draws come from a hash of the row's key and the place in the text, so a row's segmentation never depends on its neighbours or on retries.
+paths are computed once for each different run of a batch, then a path is drawn backwards for each occurrence, all occurrences at once. A
+run without a space may be as long as the text: long ones take their forward sums in windows that carry the last sums over, and are drawn
+backwards window by window. The draws come from a hash of the row's key and the place in the text, so a row's segmentation never depends
+on its neighbours, on windows or on retries.
 """
 
 from __future__ import annotations
@@ -17,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces never cross from a word to the spaces after it or to a line feed, so these runs segment on their own; longer ones in steps of LONGEST.
-LONGEST = 64
-_RUN = re.compile(rf" {{0,{LONGEST // 2}}}[^ \n]{{1,{LONGEST // 2}}}| {{0,{LONGEST - 1}}}\n| {{1,{LONGEST}}}")
+#: Pieces never cross from a word to the spaces after it or over a line feed (a model with such pieces is refused), so these runs segment on their own.
+_RUN = re.compile(r" *[^ \n]+| *\n| +")
+_PIECE = re.compile(r" *[^ \n]*| *\n")
 _SPACE = "▁"
 _P, _G = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
+_MASK = (1 << 64) - 1
 
 
 def _scramble(z: np.ndarray) -> np.ndarray:
@@ -37,9 +40,10 @@ class PieceSampler:
     U+2581, which pieces write for a space. Thus every text has a path and reads back exactly.
     """
 
-    def __init__(self, path: str, sharpness: float = 1.0):
+    def __init__(self, path: str, sharpness: float = 1.0, stretch: int = 256, window: int = 1 << 14, slice_chars: int = 300_000):
         import sentencepiece
 
+        self.stretch, self.window, self.slice_chars = stretch, window, slice_chars
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.bytes_of: list[bytes] = [b""] * sp.get_piece_size()
         self.byte_id = np.full(256, -1, np.int64)
@@ -50,6 +54,8 @@ class PieceSampler:
                 self.byte_id[value], self.bytes_of[i] = i, bytes([value])
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 text = sp.id_to_piece(i).replace(_SPACE, " ")
+                if not _PIECE.fullmatch(text):
+                    raise ValueError(f"piece {text!r} crosses from a word to a space or over a line feed")
                 self.bytes_of[i] = text.encode()
                 texts.append((text, i, -sharpness * float(np.log(2.0 + abs(sp.get_score(i))))))
         if (self.byte_id < 0).any():
@@ -100,8 +106,87 @@ class PieceSampler:
         return np.concatenate([*starts[::-1], rest]), np.concatenate([*ends[::-1], rest + 1]), np.concatenate([*pieces[::-1], np.full(len(rest), -1)]), weights
 
     def encode(self, keys: list[int], texts: list[str]) -> list[bytes]:
-        """Ids (little-endian 32-bit) of each text; ``keys``: a 64-bit number per row that seeds its draws. An empty text has no ids."""
-        runs = [_RUN.findall(" " + t) if t else [] for t in texts]
+        """Ids (little-endian 32-bit) of each text; ``keys``: a 64-bit number per row that seeds its draws. An empty text has no ids.
+
+        Runs of over ``stretch`` characters go by windows; the others of a text go together, ``slice_chars`` characters at a time.
+        """
+        parts: list[list[bytes]] = [[] for _ in texts]
+        waiting: list[tuple[int, int, list[str]]] = []  # row, seed, runs
+        size = 0
+
+        def flush() -> None:
+            for (row, _, _), ids in zip(waiting, self._short([s for _, s, _ in waiting], [r for _, _, r in waiting]), strict=True):
+                parts[row][parts[row].index(None)] = ids
+            waiting.clear()
+
+        for row, (key, text) in enumerate(zip(keys, texts, strict=True)):
+            runs, begin, at = [], 0, 0
+
+            def close(upto: int, row: int = row, key: int = key) -> None:
+                nonlocal runs, begin, size
+                if runs:
+                    waiting.append((row, (key + begin * int(_G)) & _MASK, runs))
+                    parts[row].append(None)
+                    size += upto - begin
+                    if size > self.slice_chars:
+                        flush()
+                        size = 0
+                runs, begin = [], upto
+
+            for run in _RUN.findall(" " + text) if text else ():
+                if len(run) > self.stretch:
+                    close(at)
+                    parts[row].append(self._long((key + at * int(_G)) & _MASK, run))
+                    begin = at + len(run)
+                else:
+                    runs.append(run)
+                at += len(run)
+                if at - begin > self.slice_chars:
+                    close(at)
+            close(at)
+        flush()
+        return [b"".join(p) for p in parts]
+
+    def _long(self, seed: int, run: str) -> bytes:
+        """Ids of one run of any length: forward sums by windows, of which only the last ``widest`` are kept; then windows backwards, each summed again and drawn from."""
+        chars, w = np.frombuffer(run.encode("utf-32-le"), "<u4"), self.widest
+        n, carried = len(chars), [np.append(np.full(w, -np.inf), 0.0)]  # sums of the places from lo - w to lo
+
+        def sums(lo: int, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            hi, left = min(lo + self.window, n), max(lo - w, 0)
+            part = chars[left:hi]
+            start, end, piece, weight = self.arcs(part, len(part) - np.arange(len(part)))
+            start, end = start + left - (lo - w), end + left - (lo - w)
+            by = np.argsort(end, kind="stable")
+            by = by[np.searchsorted(end[by], w, "right") :]
+            start, piece, weight = start[by], piece[by], weight[by]
+            edges = np.searchsorted(end[by], np.arange(w + 1, w + hi - lo + 2))
+            alpha = np.concatenate([before, np.zeros(hi - lo)])
+            for i, (a, b) in enumerate(zip(edges.tolist(), edges[1:].tolist(), strict=False), w + 1):
+                x = alpha[start[a:b]] + weight[a:b]
+                top = x.max()
+                alpha[i] = top + np.log(np.exp(x - top).sum())
+            return alpha, start, piece, weight, edges
+
+        windows = range(0, n, self.window)
+        for lo in windows[:-1]:
+            carried.append(sums(lo, carried[-1])[0][-w - 1 :])
+        at, drawn = n, []
+        for lo in reversed(windows):
+            alpha, start, piece, weight, edges = sums(lo, carried.pop())
+            while at > lo:
+                i = at - lo - 1
+                a, b = edges[i], edges[i + 1]
+                u = float(_scramble(np.array([(seed + (at + 1) * int(_G)) & _MASK], np.uint64))[0] >> np.uint64(11)) * 2.0**-53
+                upto = np.cumsum(np.exp(alpha[start[a:b]] + weight[a:b] - alpha[at - lo + w]))
+                arc = a + min(int(np.searchsorted(upto, u, "right")), b - a - 1)
+                at = int(start[arc]) + lo - w
+                drawn.append([int(piece[arc])] if piece[arc] >= 0 else [int(self.byte_id[x]) for x in chr(chars[at]).encode()])
+        return np.asarray(list(chain.from_iterable(reversed(drawn))), "<u4").tobytes()
+
+    def _short(self, keys: list[int], runs: list[list[str]]) -> list[bytes]:
+        """Ids of rows of short runs, all at once: each different run is summed once, each occurrence drawn on its own."""
+        texts = runs
         counts = np.fromiter(map(len, runs), np.int64, len(runs))
         n_runs = int(counts.sum())
         if not n_runs:
@@ -207,10 +292,12 @@ def sampler(path: str, sharpness: float) -> PieceSampler:
     return _samplers[path, sharpness]
 
 
-def encode(rows: DataFrame, key: str, text: str, path: str, sharpness: float = 1.0, seed: int = 0, batch_chars: int = 600_000) -> DataFrame:
-    """``key``, ``ids`` (little-endian 32-bit) and ``text`` for every row. The draws depend on the key's text form and ``seed`` only; equal rows segment alike.
+def encode(rows: DataFrame, key: str, text: str, path: str, sharpness: float = 1.0, seed: int = 0, batch_chars: int = 300_000) -> DataFrame:
+    """``key``, ``ids`` (little-endian 32-bit) and ``text``, under these names, for every row.
 
-    A null text gives null ids, an empty one none. Texts are taken whole.
+    The draws depend on the key's text form and ``seed`` only; equal rows segment alike. A null text gives null ids, an empty one none; a
+    null key counts as an empty one. Texts are taken whole, whatever their length and however long a stretch without spaces; other
+    columns are left out; an empty table gives none.
     """
     import xxhash
 
@@ -225,30 +312,29 @@ def encode(rows: DataFrame, key: str, text: str, path: str, sharpness: float = 1
                     chars += len(texts[-1] or "")
                 found = pieces.encode(keys[at : at + len(texts)], [t or "" for t in texts])
                 part = batch.slice(at, len(texts))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([None if t is None else f for t, f in zip(texts, found, strict=True)], pa.binary()), part.column(1)], names=[key, "ids", "text"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([None if t is None else f for t, f in zip(texts, found, strict=True)], pa.binary()), part.column(1)], names=["key", "ids", "text"])
                 at += len(texts)
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(F.col(key), F.col(text).alias("_t"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_k")).mapInArrow(run, f"{key} {kind}, ids binary, text string")
+    return rows.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_k")).mapInArrow(run, f"key {kind}, ids binary, text string")
 
 
-def decode(rows: DataFrame, ids: str, path: str) -> DataFrame:
-    """``rows`` with ``decoded``, the text of the column ``ids``; null for null."""
+def decode(rows: DataFrame, ids: str, path: str, out: str = "decoded") -> DataFrame:
+    """``rows`` with ``out``, the text of the column ``ids``; null for null."""
 
     @F.pandas_udf("string")
     def text(column: pd.Series) -> pd.Series:
         pieces = sampler(path, 1.0)
         return pd.Series([None if x is None else pieces.decode(x) for x in column], dtype=object)
 
-    return rows.withColumn("decoded", text(F.col(ids)))
+    return rows.withColumn(out, text(F.col(ids)))
 
 
 def digest(docs: DataFrame, path: str) -> DataFrame:
-    """Encode every whole text and decode it again: doc_id, n_ids, ids_crc32, decoded_chars, decoded_crc32, lossless."""
+    """Encode every whole text and decode it again: doc_id, n_ids, ids_crc32, decoded_chars, decoded_crc32, lossless. Null texts give nulls and count as lossless."""
     there = encode(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", "text", path)
-    back = decode(there, "ids", path)
-    return back.select(
-        "doc_id",
+    return decode(there, "ids", path).select(
+        F.col("key").alias("doc_id"),
         (F.octet_length("ids") / 4).cast("long").alias("n_ids"),
         F.crc32("ids").alias("ids_crc32"),
         F.char_length("decoded").cast("long").alias("decoded_chars"),
