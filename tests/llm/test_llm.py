@@ -193,6 +193,36 @@ def test_language_of_awkward_rows(spark, docs):
     assert language.train(empty_docs(spark)).languages == ("und",)
 
 
+def test_language_matches_a_plain_decoder(docs, texts):
+    """Counts of every n-gram in memory, then the losses of each code word, one text at a time."""
+    model = language.train(docs)
+    lang = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    counts = {x: Counter() for x in model.languages}
+    for d, t in texts.items():
+        if lang[d]:
+            counts[lang[d]].update(language.ngram_slots(t.encode()).tolist())
+    shares = []
+    for x in model.languages:
+        c = np.zeros(language.SLOTS)
+        c[list(counts[x])] = list(counts[x].values())
+        bands = np.split(c, [language.PAIRS, language.PAIRS + language.HASHED])
+        shares.append(np.concatenate([(b + 0.5) / (b.sum() + 0.5 * np.count_nonzero(b) + 1) for b in bands]))
+    shares = np.asarray(shares)
+    for d, t in list(texts.items())[:60]:
+        slots, costs = language.ngram_slots(t.encode()), []
+        margin = [np.clip(np.log(shares[bit > 0].mean(0)) - np.log(shares[bit < 0].mean(0)), -6, 6)[slots].mean() for bit in model.code.T]
+        for word in model.code:
+            costs.append(sum(math.log1p(math.exp(-8.0 * b * m)) for b, m in zip(word, margin, strict=True)))
+        got, score = model.decode(t.encode())
+        rest = [math.exp(min(costs) - c) for c in costs]
+        assert model.languages[int(np.argmin(costs))] == got and score == pytest.approx(max(rest) / sum(rest), abs=1e-4)
+
+
+def test_language_training_over_many_tasks(spark, docs):
+    few, many = (language.train(docs.repartition(n)) for n in (2, 150))
+    assert few.languages == many.languages and (few.weights == many.weights).all()
+
+
 def test_code_words_are_apart():
     for k in (2, 4, 7, 12, 40):
         code = language.code_words(k)
@@ -546,6 +576,33 @@ def test_grammar_finds_targets_after_a_threat_or_insult():
     assert weight("kill a b c you") == 6 and weight("kill a b c d you") == 0 and weight("kill. you") == 0
 
 
+def test_grammar_matches_plain_rules(texts):
+    """Every word against the words around it, without a machine of states."""
+    import random
+
+    s, rng, kinds = toxicity.Scorer(toxicity.Lexicon({"moron": 6.0, "fool": 3.0}, {"lowei": 5.0})), random.Random(5), {w: k for k, ws in toxicity.WORDS.items() for w in ws.split()}
+    weigh = lambda w: s.lexicon.words.get(w) or (5.0 if w.startswith("lowei") and w != "lowei" else 6.0 if kinds.get(w) == toxicity.THREAT else 0.0)
+    pool = ["moron", "fool", "loweix", "lowei", "kill", "matar", "you", "him", "not", "nicht", "said", "dit", "house", "tree", "or", ".", "\n", ";"]
+    said = [" ".join(rng.choice(pool) for _ in range(rng.randrange(30))) for _ in range(400)] + [t[:2000] for t in texts.values()]
+    for text in said:
+        total = 0.0
+        for clause in re.split(r"[.!?;:\n]+", text.lower()):
+            words = re.findall(r"[^\W\d_]+", clause)
+            kind = [toxicity.INSULT if weigh(w) and kinds.get(w) != toxicity.THREAT else kinds.get(w) for w in words]
+            for i, w in enumerate(words):
+                target = toxicity.TARGET in kind[max(0, i - 4) : i] + kind[i + 1 : i + 5]
+                negated = toxicity.NEGATION in kind[max(0, i - 3) : i]
+                reported = toxicity.REPORT in kind[:i]
+                threat = kind[i] == toxicity.THREAT
+                total += weigh(w) * ((1.0 if threat else 1.3) if target else 0.0 if threat else 1.0) * ((0.1 if threat else 0.25) if negated else 1.0) * (0.4 if reported else 1.0)
+        assert s.score(text)[1] == pytest.approx(total, rel=1e-9, abs=1e-12), text
+
+
+def test_one_word_said_without_end_weighs_little():
+    found = toxicity.features("for " * 3000 + "wordy wordy")
+    assert found["=for"] == pytest.approx(math.sqrt(3000)) and found["word*"] == found["=wordy"] == pytest.approx(math.sqrt(2))
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     d, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
@@ -553,7 +610,7 @@ def test_toxicity_on_held_out_rows(spark):
     rows = toxicity.detect(d, labels).join(labels, "doc_id").filter("held_out").collect()
     hit = [r["predicted"] for r in rows if r["toxic"] == 1]
     clean = [r["predicted"] for r in rows if r["toxic"] == 0]
-    assert np.mean(hit) > 0.75 and np.mean(clean) < 0.01 and all(0 <= r["score"] <= 1 for r in rows)
+    assert np.mean(hit) >= 0.9 and np.mean(clean) < 0.01 and all(0 <= r["score"] <= 1 for r in rows)
 
 
 def test_toxicity_of_awkward_rows(spark):

@@ -77,35 +77,44 @@ class Model:
 
 
 def language_counts(docs: DataFrame, known: str = "lang") -> DataFrame:
-    """(lang, counts): n-gram counts of all texts by language, summed in each task first; as many small rows as tasks and languages."""
+    """(lang, slot, n): n-gram counts of all texts by language, summed in each task first; at most languages x SLOTS rows, however many tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = text.as_py().encode()
-                at = sums.setdefault(lang, np.zeros(SLOTS))
+                at = sums.setdefault(lang, np.zeros(SLOTS, np.int64))
                 for i in range(0, max(len(raw), 1), 1 << 20):
-                    at += np.bincount(ngram_slots(raw[i : i + (1 << 20)]), minlength=SLOTS)
-        langs = sorted(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([np.sqrt(sums[x]).astype("<f4").tobytes() for x in langs], pa.binary())], names=["lang", "counts"])
+                    at += np.bincount(ngram_slots(raw[i : i + (1 << 20) + 2]), minlength=SLOTS)
+        for lang, counts in sums.items():
+            slots = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(slots), pa.string()), pa.array(slots, pa.int32()), pa.array(counts[slots], pa.int64())], names=["lang", "slot", "n"])
 
-    return docs.filter(F.col(known).isNotNull() & F.col("text").isNotNull()).select(F.col(known).alias("lang"), "text").mapInArrow(run, "lang string, counts binary")
+    told = docs.filter(F.col(known).isNotNull() & F.col("text").isNotNull()).select(F.col(known).alias("lang"), "text").mapInArrow(run, "lang string, slot int, n long")
+    return told.groupBy("lang", "slot").agg(F.sum("n").alias("n"))
 
 
 def train(docs: DataFrame, sample: int = 20_000) -> Model:
     """Fit on labelled rows (``lang``, ``text``); of more than ``sample`` rows, the whole texts of those with the least hash of doc_id.
 
     The bound is on the fit alone; it keeps its cost from growing with the corpus. Per bit, naive Bayes weighs the n-grams of the
-    languages whose bit is set, each language counting alike, against the others.
+    languages whose bit is set, each language counting alike, against the others. Rows without ``lang`` or text teach nothing; very long
+    texts are counted whole; repeated rows count each time (and share their place in the sample); other columns are ignored; without any
+    labelled row the model knows only ``und``.
     """
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = labelled.count()
+    labelled = docs.filter(F.col("lang").isNotNull())
+    n = labelled.count()  # reads one column
     if n > sample:
         share = int(sample / n * (1 << 30))
         labelled = labelled.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) < share)
-    merge = language_counts(labelled).groupBy("lang").applyInArrow(_merge, "lang string, counts binary")
-    rows = sorted((r["lang"], np.frombuffer(r["counts"], "<f4").astype(np.float64) ** 2) for r in merge.collect())  # a row of fixed size per language
+    packed = F.collect_list(F.struct("slot", "n"))  # SLOTS at most
+    merged = language_counts(labelled).groupBy("lang").agg(packed.alias("c")).select("lang", F.col("c.slot").alias("slot"), F.col("c.n").alias("n"))
+    rows = []
+    for r in sorted(merged.collect(), key=lambda r: r["lang"]):
+        counts = np.zeros(SLOTS)
+        counts[r["slot"]] = r["n"]
+        rows.append((r["lang"], counts))
     if not rows:
         return Model((UNDETERMINED,), np.ones((1, 1)), np.zeros((SLOTS, 1), np.float32))
     share = []
@@ -122,15 +131,10 @@ def train(docs: DataFrame, sample: int = 20_000) -> Model:
     return Model(tuple(x for x, _ in rows), code, np.clip(weights, -6, 6).astype(np.float32))
 
 
-def _merge(t: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_py(), "<f4").astype(np.float64) ** 2 for x in t.column("counts"))
-    return pa.table({"lang": pa.array([t.column("lang")[0].as_py()], pa.string()), "counts": pa.array([np.sqrt(total).astype("<f4").tobytes()], pa.binary())})
-
-
 def with_language(docs: DataFrame, model: Model, out: str) -> DataFrame:
     """``docs`` with a struct column ``out`` (lang_pred, score) from the whole text alone.
 
-    A null text, or one without a letter, is ``und`` with score 0.
+    A null or empty text, or one without a letter, is ``und`` with score 0. Of languages that cost alike the first by name is taken.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.code, model.weights, model.sharpness))  # slots x bits: a fixed size
 
@@ -144,7 +148,10 @@ def with_language(docs: DataFrame, model: Model, out: str) -> DataFrame:
 
 
 def predict(docs: DataFrame, model: Model, unsure: float = 0.6) -> DataFrame:
-    """doc_id, lang_pred, score, ambiguous (score under ``unsure``) for every row."""
+    """doc_id, lang_pred, score, ambiguous (score under ``unsure``) for every row.
+
+    Very long texts are read whole, in steps; repeated rows get equal answers; other columns, whatever their names, are left out; an empty table gives none.
+    """
     out = with_language(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, "_l")
     return out.select("doc_id", "_l.lang_pred", "_l.score").withColumn("ambiguous", F.col("score") < unsure)
 

@@ -66,7 +66,8 @@ def rules(docs: DataFrame, bands: Bands | None = None) -> DataFrame:
 
     Columns: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_bytes, ratio (compressed share, null for empty
     texts), n_chunks, bad_chunks (counts), base_failed, kept. A null or empty text has no words and fails the base rule. Repeated
-    rows each get their row. Nothing is shuffled: texts meet no other text.
+    rows each get their row. Very long texts are read whole; other columns, whatever their names, are left out; an empty table gives none.
+    Nothing is shuffled: texts meet no other text.
     """
     bands = bands or Bands()
 
