@@ -153,10 +153,16 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, odds)))), total, matched
 
 
-def features(text: str) -> set[str]:
-    """Words of a text (``=word``) and the starts of longer ones (``start*``)."""
-    words = set(_WORD.findall(text.lower()))
-    return {f"={w}" for w in words if len(w) > 2} | {f"{w[:k]}*" for w in words for k in PREFIXES if len(w) > k}
+def features(text: str) -> dict[str, float]:
+    """Words of a text (``=word``) and the starts of longer ones (``start*``), each with the root of how often it occurs: a text that says one word without end says little."""
+    seen: Counter[str] = Counter()
+    for w, n in Counter(_WORD.findall(text.lower())).items():
+        if len(w) > 2:
+            seen[f"={w}"] += n
+        for k in PREFIXES:
+            if len(w) > k:
+                seen[f"{w[:k]}*"] += n
+    return {f: math.sqrt(n) for f, n in seen.items()}
 
 
 def origin(text: str) -> int:
@@ -167,12 +173,13 @@ def origin(text: str) -> int:
     return min((xxhash.xxh64_intdigest(b" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))), default=0) >> 1
 
 
-def learn(labelled: DataFrame, sample: int = 20_000, support: int = 4, entries: int = 2_000) -> Lexicon:
+def learn(labelled: DataFrame, sample: int = 20_000, support: int = 4) -> Lexicon:
     """Insult entries from ``labelled`` (doc_id, text, toxic).
 
     The fit reads the whole texts of at most about ``sample`` rows, those with the least hash of doc_id. An entry must occur in
-    toxic texts of ``support`` different origins (near copies count once) and hardly in others; of the many words that stand beside
-    insults, only those stay that explain texts which better entries don't. At most ``entries`` are kept, best first.
+    toxic texts of ``support`` different origins (near copies count once) and far more often than in others; of the many words that stand beside
+    insults, only those stay that explain texts which better entries don't. Candidates and entries are as many as the sample holds; that
+    bounds what the driver gets. Null texts and labels teach nothing.
     """
     rows = labelled.filter(F.col("toxic").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
     n = rows.count()
@@ -185,35 +192,37 @@ def learn(labelled: DataFrame, sample: int = 20_000, support: int = 4, entries:
     def toxic_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text in batch.column(0):
-                found = sorted(features(text.as_py()))
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([origin(text.as_py())] * len(found), pa.int64())], names=["feature", "origin"])
+                found = features(text.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([origin(text.as_py())] * len(found), pa.int64()), pa.array(list(found.values()), pa.float64())], names=["feature", "origin", "n"])
 
-    toxic = rows.filter("toxic = 1").select("text").mapInArrow(toxic_features, "feature string, origin long")
-    wide = toxic.groupBy("feature").agg(F.countDistinct("origin").alias("origins"), F.count(F.lit(1)).alias("n")).filter(F.col("origins") >= support)
-    common = {r[0]: (r[1], r[2]) for r in wide.orderBy(F.desc("origins"), "feature").limit(200_000).collect()}
+    toxic = rows.filter("toxic = 1").select("text").mapInArrow(toxic_features, "feature string, origin long, n double")
+    wide = toxic.groupBy("feature").agg(F.countDistinct("origin").alias("origins"), F.sum("n").alias("n")).filter(F.col("origins") >= support)
+    common = {r["feature"]: r["n"] for r in wide.collect()}
 
     def clean_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
+        seen: dict[str, float] = defaultdict(float)
         for batch in batches:
             for text in batch.column(0):
-                seen.update(f for f in features(text.as_py()) if f in common)
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["feature", "n"])
+                for f, n in features(text.as_py()).items():
+                    if f in common:
+                        seen[f] += n
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.float64())], names=["feature", "n"])
 
-    clean = {r[0]: r[1] for r in rows.filter("toxic <> 1").select("text").mapInArrow(clean_counts, "feature string, n long").groupBy("feature").agg(F.sum("n")).collect()}
-    weight = {f: math.log((n + 0.5) / (n_toxic + 1)) - math.log((clean.get(f, 0) + 0.5) / (n_clean + 1)) for f, (_, n) in common.items()}
+    clean = {r[0]: r[1] for r in rows.filter("toxic <> 1").select("text").mapInArrow(clean_counts, "feature string, n double").groupBy("feature").agg(F.sum("n")).collect()}
+    weight = {f: math.log((n + 0.5) / (n_toxic + 1)) - math.log((clean.get(f, 0) + 0.5) / (n_clean + 1)) for f, n in common.items()}
     good = {f for f, w in weight.items() if w >= 2.5}
 
     def cases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text in batch.column(0):
-                found = sorted(features(text.as_py()) & good)
+                found = sorted(features(text.as_py()).keys() & good)
                 yield pa.RecordBatch.from_arrays([pa.array([origin(text.as_py())], pa.int64()), pa.array([found], pa.list_(pa.string()))], names=["origin", "found"])
 
     have = rows.filter("toxic = 1").select("text").mapInArrow(cases, "origin long, found array<string>").groupBy("origin").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
     lexicon = Lexicon()
     if not n_toxic:
         return lexicon
-    for f in cover([set(r["found"]) for r in have.collect()], weight, support, entries):
+    for f in cover([set(r["found"]) for r in have.collect()], weight, support):
         (lexicon.words if f[0] == "=" else lexicon.stems)[f.strip("=*")] = min(7.5, weight[f])
     totals = score(rows.select("doc_id", "text"), replace(lexicon, bias=0.0)).select("doc_id", "total").join(rows.select("doc_id", "toxic"), "doc_id")
     bins = totals.groupBy(F.least(F.round("total", 0), F.lit(40.0)).alias("x"), (F.col("toxic") == 1).alias("y")).count().collect()
@@ -230,11 +239,11 @@ def calibrate(bins: list[tuple[float, bool, int]], rounds: int = 50) -> dict[str
         g = np.array([error.sum() - (bias + 4), (error * x).sum() - 10 * (slope - 0.7)])
         h = np.array([[spread.sum() + 1, (spread * x).sum()], [(spread * x).sum(), (spread * x * x).sum() + 10]])
         step = np.linalg.solve(h, g)
-        bias, slope = float(np.clip(bias + step[0], -6, -2)), float(np.clip(slope + step[1], 0.3, 1.0))
+        bias, slope = float(np.clip(bias + step[0], -8, -2)), float(np.clip(slope + step[1], 0.3, 2.0))
     return {"bias": bias, "slope": slope}
 
 
-def cover(texts: list[set[str]], weight: dict[str, float], support: int, entries: int, times: int = 6) -> list[str]:
+def cover(texts: list[set[str]], weight: dict[str, float], support: int, times: int = 6) -> list[str]:
     """Features, best first, until every text has ``times`` of them or no feature is left that ``support`` unfinished texts have.
 
     Of equally good ones the longest is taken, then those of the same texts that it implies are passed over.
@@ -244,7 +253,7 @@ def cover(texts: list[set[str]], weight: dict[str, float], support: int, entries
         for f in found:
             at[f].add(i)
     need, out = [times] * len(texts), []
-    while at and len(out) < entries:
+    while at:
         best = max(at, key=lambda f: (len(at[f]) * weight[f], len(f), f))
         if len(at[best]) < support:
             break
@@ -269,13 +278,15 @@ def cover(texts: list[set[str]], weight: dict[str, float], support: int, entries
 def with_toxicity(docs: DataFrame, lexicon: Lexicon, out: str) -> DataFrame:
     """``docs`` with a struct column ``out`` (score, total weight, clauses that weigh anything) from the whole text alone.
 
-    A null or empty text has the score of no match.
+    A null or empty text has the score of no match. Very long texts are read whole, clause by clause; rows don't meet, so repeated ones score alike.
     """
+    made: list[Scorer] = []  # one for a task
 
     @F.arrow_udf("score double, total double, clauses int")
     def rate(text: pa.Array) -> pa.Array:
-        scorer = Scorer(lexicon)
-        found = [scorer.score(t.as_py()) for t in text]
+        if not made:
+            made.append(Scorer(lexicon))
+        found = [made[0].score(t.as_py()) for t in text]
         return pa.StructArray.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate((pa.float64(), pa.float64(), pa.int32()))], names=["score", "total", "clauses"])
 
     return docs.withColumn(out, rate("text"))
@@ -299,5 +310,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
 
 
 def detect(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Score all of ``docs``. Columns: doc_id, held_out, score, predicted, total, clauses."""
+    """Score all of ``docs``. Columns: doc_id, held_out, score, predicted, total, clauses.
+
+    Every row gets a score, null and empty texts and repeated rows too; other columns of ``docs``, whatever their names, are left out;
+    without labels only the fixed words of the grammar weigh; an empty table gives none.
+    """
     return score(docs, fit(docs, labels)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "total", "clauses")
