@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cut, gapless
+from tidemark.llm.common import cut, fresh, gapless
 
 PIECE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType())])
 #: The pre-tokenizer's pattern of the byte-level vocabularies (fixed value).
@@ -31,21 +31,30 @@ def byte_letters() -> dict[str, int]:
 class Encoder:
     """Token ids of texts as little-endian 32-bit bytes, equal to those of the ``tokenizers`` file at ``path``.
 
-    ``tiktoken`` runs the ranks of that file several times as fast; a text that holds an added token's string goes to ``tokenizers``.
+    ``tiktoken`` runs the ranks of that file several times as fast, where the file is a plain byte-level vocabulary; any other file, and a
+    text that holds an added token's string, goes to ``tokenizers``.
     """
 
     def __init__(self, path: str):
+        import json
+
         import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.fast = Tokenizer.from_file(path), None
+        spec = json.loads(self.tokenizer.to_str())
+        model, before = spec["model"], spec.get("pre_tokenizer") or {}
+        unusual = [spec.get("normalizer"), before.get("add_prefix_space"), *(model.get(x) for x in ("ignore_merges", "dropout", "byte_fallback", "continuing_subword_prefix", "end_of_word_suffix"))]
+        plain = model.get("type") == "BPE" and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not any(unusual)
         self.added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        if not plain:
+            return
         letters = byte_letters()
         ranks = {bytes(letters[c] for c in token): i for token, i in self.tokenizer.get_vocab().items() if token not in self.added}
         self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
-        if any(a in text for a in self.added):
+        if self.fast is None or any(a in text for a in self.added):
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return np.asarray(self.fast.encode_ordinary(text), "<u4").tobytes()
 
@@ -161,7 +170,7 @@ def plan_packing(histogram: dict[int, int], capacity: int = 2048, classes: int =
 
     def pick(kind: tuple[int, ...]) -> list[int]:
         """Lengths that fill a sequence to the last token: by class all but the last, which is whatever is missing."""
-        heads = [[x] for x in by_class.get(kind[0], []) if left[x]][:4]
+        heads = [[x] for x in by_class.get(kind[0], []) if left[x]]
         if len(kind) == 3:
             heads = [[*h, x] for h in heads for x in by_class.get(kind[1], []) if left[x] > h.count(x)]
         for got in heads if len(kind) > 1 else ():
@@ -211,7 +220,7 @@ def plan_packing(histogram: dict[int, int], capacity: int = 2048, classes: int =
 
 
 def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to ``pieces`` (doc_id, piece, start, length and more), read several times: pass a written table.
+    """Add ``sequence_id`` and ``offset`` to ``pieces`` (doc_id, piece, start, length and any others), read several times: pass a written table.
 
     Pieces of one length are interchangeable, so each only needs its number among those of its length; lengths are few, and a hot
     one is numbered over many tasks.
@@ -228,8 +237,9 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
         i = r - row[:, 1]
         return pd.DataFrame({"sequence_id": row[:, 2] + i // row[:, 3], "offset": row[:, 4] + i % row[:, 3] * n})
 
-    ranked = gapless(pieces, ["length"], ["doc_id", "piece", "start"], "_rank")
-    return ranked.withColumn("_at", place("length", "_rank")).select(*pieces.columns, "_at.sequence_id", "_at.offset")
+    rank, at = fresh(pieces, "_rank"), fresh(pieces, "_at")
+    ranked = gapless(pieces, ["length"], ["doc_id", "piece", "start"], rank, max(histogram.values(), default=0), len(histogram))
+    return ranked.withColumn(at, place("length", rank)).select(*pieces.columns, f"{at}.sequence_id", f"{at}.offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
