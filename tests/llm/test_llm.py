@@ -104,6 +104,36 @@ def test_sharding_splits_a_hot_group_and_swaps_full_shards(spark):
     assert sum(len(s) > 1 for s in pairs.values()) <= 12  # nothing is free here: moves are swaps
 
 
+def test_sharding_cuts_as_little_as_the_best_placing(spark):
+    """All placings of a few groups on two shards of equal size, tried one by one: where one cuts nothing, nothing is cut."""
+    import itertools
+    import random
+
+    rng = random.Random(4)
+    for _ in range(6):
+        sizes = [rng.randint(1, 5) for _ in range(7)]
+        n = sum(sizes)
+        sizes += [1] * 6  # documents without a link fill the rest
+        n += 6
+        texts = [f"t{g}" for g, size in enumerate(sizes) for _ in range(size)]
+        placed = sharding.shard_rows(sharding.items(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), shards=2)
+        cut = sharding.cut_edges(placed).first()["cut"]
+        halves = {sum(s for s, side in zip(sizes, sides, strict=True) if side) for sides in itertools.product((0, 1), repeat=len(sizes))}
+        assert n // 2 in halves and cut == 0
+        assert placed.filter("whole").count() == n
+
+
+def test_sharding_ends_only_when_no_move_is_admitted(spark):
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.floor(F.col("id") / 20).cast("string").alias("text"))
+    rows = sharding.shard_rows(sharding.items(docs)).collect()
+    laws(rows)
+    split = {r["key"] for r in rows if not r["whole"]}
+    places = {}
+    for r in rows:
+        places.setdefault(r["key"], set()).add(r["shard"])
+    assert {k for k, s in places.items() if len(s) > 1} == split
+
+
 def test_sharding_of_awkward_rows(spark):
     laws(sharding.digest(odd_docs(spark)).collect())
     assert sharding.digest(empty_docs(spark)).count() == 0
@@ -118,6 +148,12 @@ def test_encoder_equals_the_tokenizer():
         assert np.frombuffer(e.encode(t), "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_patterns_are_laid_with_any_length_of_their_classes():
+    """Only the eighth length of the class has a partner."""
+    plan = packing.plan_packing({2048 - i: 1 for i in range(1, 8)} | {2048 - 9: 5, 9: 5})
+    assert plan.sequences == 12
+
+
 def test_plans_place_every_piece_once():
     for seed in range(40):
         rng = np.random.default_rng(seed)
@@ -629,9 +665,10 @@ def test_attach_keeps_every_row_of_hot_keys(spark):
     assert out.count() == 3000 and out.filter("v = k * 2").count() == 3000
 
 
-def test_gapless_numbers(spark):
-    df = spark.range(500).select((F.col("id") % 3).alias("p"), "id")
-    rows = gapless(df, ["p"], ["id"], "n", buckets=8).collect()
+@pytest.mark.parametrize("parts", [3, None])
+def test_gapless_numbers(spark, parts):
+    df = spark.range(500).select((F.col("id") % 3).alias("p"), "id", F.lit(1).alias("_bucket"))
+    rows = gapless(df, ["p"], ["id"], "n", 167, parts, cell_rows=20).collect()
     for p in range(3):
         mine = [r["n"] for r in rows if r["p"] == p]
         assert sorted(mine) == list(range(len(mine)))

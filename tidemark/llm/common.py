@@ -16,11 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where none is set, as in tests."""
-    chosen = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the session's checkpoint folder. A local session without either gets a temporary one; on a cluster that is an error."""
+    chosen = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not chosen:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         chosen = spark.sparkContext.getCheckpointDir()
     return chosen.rstrip("/")
 
@@ -29,7 +30,18 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, so later steps neither recompute it nor depend on an executor's disk."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._written_at = path
+    return back
+
+
+def discard(*written: DataFrame) -> None:
+    """Remove tables that ``cut`` wrote, once all that is made of them is written too."""
+    for df in written:
+        if path := getattr(df, "_written_at", None):
+            sc = df.sparkSession.sparkContext
+            place = sc._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -45,20 +57,26 @@ def bucket_of(n: int, *cols: Column | str) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
 
 
-def gapless(df: DataFrame, part: list[str], order: list[str], out: str, buckets: int = 128, bounded: bool = True) -> DataFrame:
+#: Rows that a task numbers or sums in one go, about; and cells up to which their starts are broadcast.
+CELL_ROWS, FEW_CELLS = 200_000, 100_000
+
+
+def gapless(df: DataFrame, part: list[str], order: list[str], out: str, largest: int, parts: int | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Number the rows of each ``part`` from 0 without gaps, no matter how many rows one part holds.
 
-    Rows are dealt into hash buckets by ``order``; a bucket starts where the counts of those before it end, and only within a
-    (part, bucket) cell is there a sort. ``bounded`` says that there are few parts by construction (shards, lengths): then the
-    starts (parts x buckets rows) are broadcast, else joined on (part, bucket).
+    Rows are dealt into hash buckets by ``order``, as many as the ``largest`` part (a row count) needs to have about ``cell_rows`` in
+    each; a bucket starts where the counts of those before it end, and only within a (part, bucket) cell is there a sort. Where the
+    number of ``parts`` is known and there are at most FEW_CELLS cells, their starts are broadcast; else they are joined.
     """
-    dealt = df.withColumn("_bucket", bucket_of(buckets, *order))
-    cell = [*part, "_bucket"]
-    before = Window.partitionBy(*part).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1) if part else Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n")).select(*cell, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    joined = dealt.join(F.broadcast(starts) if bounded else starts, cell)
+    buckets = max(1, -(-largest // cell_rows))
+    b, start, n = (fresh(df, x) for x in ("_bucket", "_start", "_n"))
+    dealt = df.withColumn(b, bucket_of(buckets, *order))
+    cell = [*part, b]
+    before = Window.partitionBy(*part).orderBy(b).rowsBetween(Window.unboundedPreceding, -1) if part else Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(*cell).agg(F.count(F.lit(1)).alias(n)).select(*cell, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
+    joined = dealt.join(F.broadcast(starts) if parts and parts * buckets <= FEW_CELLS else starts, cell)
     within = F.row_number().over(Window.partitionBy(*cell).orderBy(*order)) - 1
-    return joined.withColumn(out, (F.col("_start") + within).cast("long")).drop("_bucket", "_start")
+    return joined.withColumn(out, (F.col(start) + within).cast("long")).drop(b, start)
 
 
 def attach(left: DataFrame, right: DataFrame, key: str, weight: str, hot_keys: int = 1000) -> DataFrame:

@@ -7,11 +7,13 @@ quotas that keep every shard within its exact capacity. Documents without a link
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import attach, bucket_of, cut, gapless
+from tidemark.llm.common import CELL_ROWS, FEW_CELLS, attach, bucket_of, cut, discard, gapless
 
 #: Group key of the documents that have no link.
 FREE = 0
@@ -28,14 +30,14 @@ def items(docs: DataFrame) -> DataFrame:
     )
 
 
-def running_total(df: DataFrame, part: list[str], value: str, by: Column, order: list[str], out: str) -> DataFrame:
-    """The sum of ``value`` before each row within ``part``, rows ordered by the bucket ``by`` (few values), then ``order``; no task needs a whole part."""
+def running_total(df: DataFrame, part: list[str], value: str, by: Column, order: list[str], out: str, few: bool) -> DataFrame:
+    """The sum of ``value`` before each row within ``part``, rows ordered by the bucket ``by``, then ``order``; no task needs a whole part. ``few``: the cells (part, bucket) are few enough to broadcast their sums."""
     dealt = df.withColumn("_by", by)
     cell = [*part, "_by"]
     before = Window.partitionBy(*part).orderBy("_by").rowsBetween(Window.unboundedPreceding, -1) if part else Window.orderBy("_by").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy(*cell).agg(F.sum(value).alias("_n")).select(*cell, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     within = F.coalesce(F.sum(value).over(Window.partitionBy(*cell).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return dealt.join(F.broadcast(starts), cell).withColumn(out, F.col("_start") + within).drop("_by", "_start")
+    return dealt.join(F.broadcast(starts) if few else starts, cell).withColumn(out, F.col("_start") + within).drop("_by", "_start")
 
 
 def quotas(wanted: dict[tuple[int, int], int], free: list[int]) -> dict[tuple[int, int], int]:
@@ -60,14 +62,15 @@ def quotas(wanted: dict[tuple[int, int], int], free: list[int]) -> dict[tuple[in
     return {k: v for k, v in got.items() if v}
 
 
-def propagate(groups: DataFrame, capacity: list[int], rounds: int = 8) -> tuple[DataFrame, list[int]]:
+def propagate(groups: DataFrame, capacity: list[int]) -> tuple[DataFrame, list[int]]:
     """``have`` (members by shard) of every linked group (key, n, n over 1), and each shard's load.
 
-    The start deals members around the shards, so loads are even; then at most ``rounds`` rounds run, fewer if nothing moves. Only
-    sums by pair of shards reach the driver.
+    The start deals members around the shards, so loads are even; then rounds run until none admits a move. They end, for every move
+    goes to a part at least as large, so that the sum of squared parts grows. Only sums by pair of shards reach the driver.
     """
-    shards = len(capacity)
-    numbered = running_total(groups, [], "n", bucket_of(1024, "key"), ["key"], "_o")
+    shards, n_groups = len(capacity), groups.count()
+    buckets = max(1, -(-n_groups // CELL_ROWS))
+    numbered = running_total(groups, [], "n", bucket_of(buckets, "key"), ["key"], "_o", buckets <= FEW_CELLS)
 
     def dealt(j: int) -> Column:
         first = F.pmod(F.lit(j) - F.col("_o"), F.lit(shards))
@@ -77,7 +80,7 @@ def propagate(groups: DataFrame, capacity: list[int], rounds: int = 8) -> tuple[
     sums = state.agg(*(F.sum(F.col("have")[j]).alias(f"s{j}") for j in range(shards))).first()
     load = [x or 0 for x in sums]
     room = F.array(*(F.lit(c).cast("long") for c in capacity))
-    for turn in range(rounds):
+    for turn in itertools.count():
         places = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda j: F.struct(F.get("have", j).alias("m"), F.xxhash64("key", j, F.lit(turn)).alias("h"), j.alias("s")))
         spread = state.withColumn("_p", places)
 
@@ -91,22 +94,25 @@ def propagate(groups: DataFrame, capacity: list[int], rounds: int = 8) -> tuple[
         wanted = {(r["i"], r["j"]): r["n"] for r in moves.groupBy("i", "j").agg(F.sum("m").alias("n")).collect()}  # shards x shards
         quota = quotas(wanted, [c - x for c, x in zip(capacity, load, strict=True)])
         if not quota:
-            break
-        rank = (63 - F.floor(F.log2(F.col("pull") + 1))).cast("int") * 64 + bucket_of(64, "key")
-        ranked = running_total(moves, ["i", "j"], "m", rank, ["key", "m"], "_before")
+            discard(moves)
+            return state, load
+        spread = max(1, -(-n_groups // CELL_ROWS))
+        rank = (63 - F.floor(F.log2(F.col("pull") + 1))).cast("long") * spread + bucket_of(spread, "key")
+        ranked = running_total(moves, ["i", "j"], "m", rank, ["key", "m"], "_before", 64 * shards * shards * spread <= FEW_CELLS)
         limit = F.coalesce(*(F.when((F.col("i") == i) & (F.col("j") == j), F.lit(q)) for (i, j), q in quota.items()), F.lit(0))
         admitted = ranked.withColumn("_a", F.greatest(F.lit(0), F.least(F.col("m"), limit - F.col("_before")))).filter("_a > 0")
         change = admitted.groupBy("key").agg(F.array(*(F.sum(F.when(F.col("j") == s, F.col("_a")).when(F.col("i") == s, -F.col("_a")).otherwise(0)) for s in range(shards))).alias("_c"))
         joined = state.join(change, "key", "left")
-        state = cut(joined.select("key", "n", F.when(F.col("_c").isNull(), F.col("have")).otherwise(F.zip_with("have", "_c", lambda a, b: a + b)).alias("have")), "groups")
+        old, state = state, cut(joined.select("key", "n", F.when(F.col("_c").isNull(), F.col("have")).otherwise(F.zip_with("have", "_c", lambda a, b: a + b)).alias("have")), "groups")
+        discard(old, moves)
         for (i, j), q in quota.items():
             load[i] -= q
             load[j] += q
-    return state, load
+    raise AssertionError  # the rounds end above
 
 
-def shard_rows(rows: DataFrame, shards: int = 8, rounds: int = 8) -> DataFrame:
-    """``rows`` (doc_id, size, text_crc32, key; one row per document, read several times) with ``shard`` and ``slot`` (gapless from 0 in its shard).
+def shard_rows(rows: DataFrame, shards: int = 8) -> DataFrame:
+    """``rows`` (doc_id, size, text_crc32, key; one row per document, read several times) with ``shard``, ``slot`` (gapless from 0 in its shard) and ``whole`` (all of its group lies there).
 
     Row counts of any two shards differ by one at most. A group larger than a shard is split over as few as hold it. Repeated rows
     are documents of their own; an empty table gives an empty result.
@@ -114,16 +120,18 @@ def shard_rows(rows: DataFrame, shards: int = 8, rounds: int = 8) -> DataFrame:
     n = rows.count()
     capacity = [n // shards + (j < n % shards) for j in range(shards)]
     counts = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "counts")
-    state, load = propagate(counts.filter("n > 1"), capacity, rounds)
+    state, load = propagate(counts.filter("n > 1"), capacity)
     ends = F.array(*(sum((F.col("have")[i] for i in range(1, j + 1)), F.col("have")[0]) for j in range(shards)))
-    known = counts.join(state.select("key", ends.alias("ends")), "key", "left")
+    whole = F.size(F.filter("have", lambda m: m > 0)) == 1
+    known = counts.join(state.select("key", ends.alias("ends"), whole.alias("whole")), "key", "left")
     left = [c - x for c, x in zip(capacity, load, strict=True)]
     free_ends = F.array(*(F.lit(sum(left[: j + 1])).cast("long") for j in range(shards)))
-    grouped = attach(rows, known.select("key", "n", "ends"), "key", "n").withColumn("_g", F.when(F.col("ends").isNull(), F.lit(FREE)).otherwise(F.col("key")))
-    tagged = grouped.withColumn("ends", F.coalesce("ends", free_ends)).withColumn("_free", F.col("_g") == FREE)
-    ranked = gapless(tagged, ["_g", "_free"], ["doc_id", "text_crc32", "size"], "_r", buckets=1024, bounded=False)
+    grouped = attach(rows, known.select("key", "n", "ends", "whole"), "key", "n").withColumn("_g", F.when(F.col("ends").isNull(), F.lit(FREE)).otherwise(F.col("key")))
+    tagged = grouped.withColumn("ends", F.coalesce("ends", free_ends)).withColumn("whole", F.coalesce("whole", F.lit(True))).withColumn("_free", F.col("_g") == FREE)
+    largest = max(sum(left), counts.agg(F.max("n")).first()[0] or 0)
+    ranked = gapless(tagged, ["_g", "_free"], ["doc_id", "text_crc32", "size"], "_r", largest)
     placed = ranked.withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("_r"))))
-    return gapless(placed.select(*rows.columns, "shard"), ["shard"], ["doc_id", "text_crc32", "size"], "slot", buckets=1024)
+    return gapless(placed.select(*rows.columns, "shard", "whole"), ["shard"], ["doc_id", "text_crc32", "size"], "slot", max(capacity), shards)
 
 
 def cut_edges(placed: DataFrame) -> DataFrame:
@@ -134,6 +142,10 @@ def cut_edges(placed: DataFrame) -> DataFrame:
 
 
 def digest(docs: DataFrame, shards: int = 8) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard (null: the law is ``rows``)."""
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard (null: the law is ``rows``), whole (false: its group is split).
+
+    Null texts are equal, and none to an empty one; very long texts count by their bytes; null doc_ids and repeated rows are documents
+    like others; other columns, whatever their names, are left out; an empty table gives none.
+    """
     placed = shard_rows(cut(items(docs), "items"), shards)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "whole")

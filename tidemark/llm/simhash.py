@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import overlap
-from tidemark.llm.common import attach, cut, fresh
+from tidemark.llm.common import attach, cut, discard, fresh
 
 #: Bits apart at which two fingerprints link, as the covering above is built for it.
 THRESHOLD = 2
@@ -112,12 +112,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     both = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     label = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "node"), "roots")
+    held = label
     for _ in range(rounds):
         seen = both.join(label.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("_m")).withColumnRenamed("a", "node")
         least = label.join(seen, "node").select("node", F.col("root").alias("_old"), F.least("root", "_m").alias("_r"))
         up = label.select(F.col("node").alias("_r"), F.col("root").alias("_up"))
         moved = cut(least.join(up, "_r").select("node", F.least("_r", "_up").alias("root"), (F.least("_r", "_up") < F.col("_old")).alias("_moved")), "roots")
-        label = moved.select("node", "root")
+        discard(held)
+        held, label = moved, moved.select("node", "root")
         if not moved.filter("_moved").limit(1).count():
             return label
     raise RuntimeError("components did not settle")
