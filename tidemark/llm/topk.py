@@ -114,8 +114,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, block_rows: int =
     apart: such ids get the k best of all their rows' answers. No rows give none; other columns are ignored; tasks have a bounded size.
     """
     number = F.col("block")
-    packed = cut(blocks(vectors.repartitionByRange("vec_id"), block_rows), "blocks")
-    chunks = cut(blocks(vectors.filter(is_query).repartitionByRange("vec_id"), query_rows).withColumn("c", _range_of(number, query_chunk)), "queries")
+
+    def packed_by_range(rows: DataFrame, size: int, per_task: int) -> DataFrame:
+        tasks = max(1, -(-rows.count() // (size * per_task)))  # a run of blocks never spans two of them, so they should be full
+        return blocks(rows.repartitionByRange(tasks, "vec_id"), size)
+
+    packed = cut(packed_by_range(vectors, block_rows, max(64, group_blocks)), "blocks")
+    chunks = cut(packed_by_range(vectors.filter(is_query), query_rows, query_chunk).withColumn("c", _range_of(number, query_chunk)), "queries")
     n_chunks = [r[0] for r in chunks.select("c").distinct().collect()]  # one per query_rows x query_chunk queries
     n_groups = [r[0] for r in packed.select(_range_of(number, bound_blocks)).distinct().collect()]  # one per bound_blocks x block_rows rows
     every = lambda values: F.explode(F.lit(values or [0]))
