@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -57,18 +58,22 @@ def bucket_of(n: int, *cols: Column | str) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
 
 
-#: Rows that a task numbers or sums in one go, about; and cells up to which their starts are broadcast.
-CELL_ROWS, FEW_CELLS = 200_000, 100_000
+#: Cells up to which their starts are broadcast.
+FEW_CELLS = 100_000
 
 
-def gapless(df: DataFrame, part: list[str], order: list[str], out: str, largest: int, parts: int | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
+def cells(rows: int, least: int = 1000) -> int:
+    """Into how many buckets to deal that many rows: about as many as a bucket then holds rows, which are ``least`` or more."""
+    return max(1, -(-rows // max(least, math.isqrt(rows))))
+
+
+def gapless(df: DataFrame, part: list[str], order: list[str], out: str, largest: int, parts: int | None = None, cell_rows: int = 1000) -> DataFrame:
     """Number the rows of each ``part`` from 0 without gaps, no matter how many rows one part holds.
 
-    Rows are dealt into hash buckets by ``order``, as many as the ``largest`` part (a row count) needs to have about ``cell_rows`` in
-    each; a bucket starts where the counts of those before it end, and only within a (part, bucket) cell is there a sort. Where the
+    Rows are dealt into hash buckets by ``order``, as many as ``cells`` says for the ``largest`` part (a row count); a bucket starts where the counts of those before it end, and only within a (part, bucket) cell is there a sort. Where the
     number of ``parts`` is known and there are at most FEW_CELLS cells, their starts are broadcast; else they are joined.
     """
-    buckets = max(1, -(-largest // cell_rows))
+    buckets = cells(largest, cell_rows)
     b, start, n = (fresh(df, x) for x in ("_bucket", "_start", "_n"))
     dealt = df.withColumn(b, bucket_of(buckets, *order))
     cell = [*part, b]

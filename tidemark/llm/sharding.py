@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import CELL_ROWS, FEW_CELLS, attach, bucket_of, cut, discard, gapless
+from tidemark.llm.common import FEW_CELLS, attach, bucket_of, cells, cut, discard, gapless
 
 #: Group key of the documents that have no link.
 FREE = 0
@@ -69,7 +69,7 @@ def propagate(groups: DataFrame, capacity: list[int]) -> tuple[DataFrame, list[i
     goes to a part at least as large, so that the sum of squared parts grows. Only sums by pair of shards reach the driver.
     """
     shards, n_groups = len(capacity), groups.count()
-    buckets = max(1, -(-n_groups // CELL_ROWS))
+    buckets = cells(n_groups)
     numbered = running_total(groups, [], "n", bucket_of(buckets, "key"), ["key"], "_o", buckets <= FEW_CELLS)
 
     def dealt(j: int) -> Column:
@@ -96,7 +96,7 @@ def propagate(groups: DataFrame, capacity: list[int]) -> tuple[DataFrame, list[i
         if not quota:
             discard(moves)
             return state, load
-        spread = max(1, -(-n_groups // CELL_ROWS))
+        spread = cells(n_groups)
         rank = (63 - F.floor(F.log2(F.col("pull") + 1))).cast("long") * spread + bucket_of(spread, "key")
         ranked = running_total(moves, ["i", "j"], "m", rank, ["key", "m"], "_before", 64 * shards * shards * spread <= FEW_CELLS)
         limit = F.coalesce(*(F.when((F.col("i") == i) & (F.col("j") == j), F.lit(q)) for (i, j), q in quota.items()), F.lit(0))
@@ -136,8 +136,8 @@ def shard_rows(rows: DataFrame, shards: int = 8) -> DataFrame:
 
 def cut_edges(placed: DataFrame) -> DataFrame:
     """One row: links (pairs of one key), and how many of them run between shards."""
-    cells = placed.groupBy("key", "shard").agg(F.count(F.lit(1)).alias("m"))
-    groups = cells.groupBy("key").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("kept"))
+    dealt = placed.groupBy("key", "shard").agg(F.count(F.lit(1)).alias("m"))
+    groups = dealt.groupBy("key").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("kept"))
     return groups.agg(F.sum(F.expr("n * (n - 1) div 2")).alias("links"), F.sum(F.expr("(n * n - kept) div 2")).alias("cut"))
 
 
