@@ -2,11 +2,27 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """``df``, computed once and kept in the checkpoint folder: the plans that read it neither repeat its work nor depend on an executor's disk.
+
+    The folder is the session's (``spark.checkpoint.dir``); a local session without one gets a temporary folder, any other an error.
+    """
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        chosen = spark.conf.get("spark.checkpoint.dir", None)
+        if not chosen and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(chosen or tempfile.mkdtemp(prefix="tidemark-"))
+    return df.checkpoint()
+
+
 class LookAheadViolation(ValueError):
     """A read would reach past its knowledge cutoff."""
 

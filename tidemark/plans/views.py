@@ -9,6 +9,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
+#: Inputs of the scoring views: key, unit, size and days before the statement.
+INPUTS = """
+RAW_CLOSE:USD:1e-05:0 ADJUSTED_CLOSE:USD:1e-05:0 SHARES_OUTSTANDING:shares:1:0 MEDIAN_DOLLAR_VOLUME:USD:8:0 MOMENTUM_RECENT:USD:1.1e-05:0
+MOMENTUM_OLD:USD:1e-05:0 TOTAL_ASSETS:USD:30:0 COMMON_EQUITY:USD:12:0 CASH:USD:2:0 DEBT_CURRENT:USD:2:0 DEBT_NONCURRENT:USD:6:0
+PREFERRED_EQUITY:USD:0.2:0 MINORITY_INTEREST:USD:0.1:0 GOODWILL:USD:1:0 INTANGIBLES:USD:0.5:0 CET1_CAPITAL:USD:3:0 RISK_WEIGHTED_ASSETS:USD:20:0
+NONACCRUAL_LOANS:USD:0.2:0 PAST_DUE_90_LOANS:USD:0.1:0 GROSS_LOANS:USD:15:0 TOTAL_ADJUSTED_CAPITAL:USD:4:0 AUTHORIZED_CONTROL_LEVEL_RBC:USD:1:0
+PRETAX_INCOME_TTM:USD:3:0 INTEREST_EXPENSE_TTM:USD:0.4:0 OPERATING_CASH_FLOW_TTM:USD:4:0 CAPEX_TTM:USD:1:0 REVENUE_TTM:USD:20:0
+COST_OF_REVENUE_TTM:USD:12:0 NET_INCOME_TTM:USD:2:0 NET_INCOME_COMMON_TTM:USD:2:0 COMMON_DIVIDENDS_TTM:USD:0.5:0 COMMON_REPURCHASES_TTM:USD:0.4:0
+STOCK_ISSUANCE_TTM:USD:0.2:0 OPERATING_INCOME_COMMON_TTM:USD:2:0 OPERATING_INCOME_TTM:USD:2.5:0 LOSSES_LAE_TTM:USD:6:0 UNDERWRITING_EXPENSE_TTM:USD:3:0
+NET_PREMIUMS_TTM:USD:10:0 REAL_ESTATE_DA_TTM:USD:2:0 REAL_ESTATE_GAINS_TTM:USD:0.2:0 REAL_ESTATE_LOSSES_TTM:USD:0.1:0
+REAL_ESTATE_IMPAIRMENTS_TTM:USD:0.1:0 FFO_JV_NCI_TTM:USD:0.05:0 MAINTENANCE_CAPEX_TTM:USD:0.3:0 TENANT_IMPROVEMENTS_TTM:USD:0.2:0
+LEASING_COMMISSIONS_TTM:USD:0.1:0 NONCASH_RENT_TTM:USD:0.1:0 TAX_EXPENSE_TTM:USD:0.5:0 DA_TTM:USD:2:0 PROPERTY_GAINS_TTM:USD:0.2:0
+PROPERTY_LOSSES_TTM:USD:0.1:0 EBITDARE_AFFILIATES_TTM:USD:0.1:0 CASH_INTEREST_TTM:USD:1:0 DIVIDENDS_DECLARED_TTM:USD:2.5:0 SAME_STORE_NOI_TTM:USD:3.3:0
+TOTAL_ASSETS_PRIOR:USD:28:365 COMMON_EQUITY_PRIOR:USD:11:365 CASH_PRIOR:USD:2:365 DEBT_CURRENT_PRIOR:USD:2:365 DEBT_NONCURRENT_PRIOR:USD:5:365
+PREFERRED_EQUITY_PRIOR:USD:0.2:365 MINORITY_INTEREST_PRIOR:USD:0.1:365 GOODWILL_PRIOR:USD:1:365 INTANGIBLES_PRIOR:USD:0.5:365
+SAME_STORE_NOI_PRIOR_TTM:USD:3:365 AFFO_PRIOR_TTM:USD:3.5:91 DIVIDENDS_DECLARED_PRIOR_TTM:USD:2.4:91 OCCUPIED_AREA:square_feet:0.9:0
+AVAILABLE_AREA:square_feet:1:0 CET1_REQUIREMENT_BASE:pure:0.045:0 CET1_REQUIREMENT_BUFFER:pure:0.025:0 ANNUAL_TAX_1:USD:0.6:0 ANNUAL_PRETAX_1:USD:3:0
+ANNUAL_TAX_2:USD:0.6:365 ANNUAL_PRETAX_2:USD:3:365 ANNUAL_TAX_3:USD:0.6:730 ANNUAL_PRETAX_3:USD:3:730 OPERATING_ROA_Q1:pure:0.02:0
+OPERATING_ROA_Q2:pure:0.02:91 OPERATING_ROA_Q3:pure:0.02:182 OPERATING_ROA_Q4:pure:0.02:273 OPERATING_ROA_Q5:pure:0.02:364
+OPERATING_ROA_Q6:pure:0.02:455 OPERATING_ROA_Q7:pure:0.02:546 OPERATING_ROA_Q8:pure:0.02:637 OPERATING_ROA_Q9:pure:0.02:728
+OPERATING_ROA_Q10:pure:0.02:819 OPERATING_ROA_Q11:pure:0.02:910 OPERATING_ROA_Q12:pure:0.02:1001
+"""
+_KEYS = ", ".join(f"({i}, '{k}', '{u}', CAST({size} AS DOUBLE), {back})" for i, (k, u, size, back) in enumerate(x.split(":") for x in INPUTS.split()))
+
 VIEWS = {
     "b_instruments": """
         SELECT s_suppkey AS instrument_id, CASE WHEN s_suppkey % 10 = 1 THEN s_suppkey - 1 ELSE s_suppkey END AS issuer_id,
@@ -54,6 +78,28 @@ VIEWS = {
         SELECT i.instrument_id, i.issuer_id, i.symbol, i.sector, i.profile, i.primary_class, p.signal_at AS as_of, p.score AS composite, p.market_cap,
                p.score IS NOT NULL AND i.profile = 'GENERAL' AS eligible
         FROM {b_panel} AS p JOIN {b_instruments} AS i ON p.instrument_id = i.instrument_id""",
+    "b_years": """
+        SELECT l_suppkey AS instrument_id, CAST(year(l_shipdate) AS INT) AS run, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 100 AS size, CAST(count(*) AS INT) AS n
+        FROM {lineitem} GROUP BY l_suppkey, year(l_shipdate)""",
+    "b_cards": """
+        SELECT run, y.instrument_id, issuer_id, make_date(run, 12, 31) AS score_date, CAST(make_date(run, 12, 31) AS TIMESTAMP) + INTERVAL '20' HOUR AS cutoff, make_date(run, 9, 30) AS statement_end,
+               CASE WHEN y.instrument_id % 10 < 5 THEN 'GENERAL' WHEN y.instrument_id % 10 < 7 THEN 'BANK' WHEN y.instrument_id % 10 = 7 THEN 'PC_INSURER' WHEN y.instrument_id % 10 = 8 THEN 'LIFE_INSURER' ELSE 'EQUITY_REIT' END AS profile,
+               CASE WHEN n % 11 <> 0 THEN sector END AS peer_group, n % 29 <> 0 AS profile_supported, n % 31 <> 0 AS in_universe, n % 37 <> 0 AS active, primary_class,
+               CASE WHEN n % 23 = 0 THEN 'FUND' ELSE 'COMMON_STOCK' END AS security_type, n * 5 AS history_count, CAST(floor(n / 2) AS INT) AS liquidity_count,
+               CAST(make_date(run, 12, 31) - CAST(n * 2 AS INT) AS DATE) AS filing_date, CASE WHEN n % 5 = 0 THEN 'CA' ELSE 'US' END AS jurisdiction,
+               CASE WHEN n % 13 = 0 THEN 'SUBSIDIARY' ELSE 'PUBLIC_PARENT' END AS regulatory_scope, CASE WHEN n % 19 <> 0 THEN 'STANDARDIZED' END AS capital_approach,
+               n % 7 <> 0 AS reit_reconciled, n % 17 <> 0 AS same_store_pool_consistent, CASE WHEN n % 9 = 0 THEN 0 ELSE 2 END AS requirement_count
+        FROM {b_years} AS y JOIN {b_instruments} AS i ON y.instrument_id = i.instrument_id""",
+    "b_inputs": f"""
+        SELECT run, instrument_id, key, CASE WHEN fault <> 0 THEN CASE WHEN unit = 'pure' THEN scale * part ELSE size * scale * part END END AS value,
+               CASE WHEN fault = 4 THEN 'EUR' ELSE unit END AS unit, CASE WHEN fault = 1 THEN 0 ELSE 1 END AS sources,
+               CAST(CAST(make_date(run, 12, 31) - CASE WHEN fault = 2 THEN -1 ELSE 20 END AS DATE) AS TIMESTAMP) AS available_at,
+               CAST(CAST(make_date(run, 12, 31) - CASE WHEN fault = 3 THEN -1 ELSE 19 END AS DATE) AS TIMESTAMP) AS observed_at,
+               CAST(period_end - 90 AS DATE) AS period_start, period_end,
+               make_date(run, 1, 1) AS effective_from, CASE WHEN fault = 5 THEN make_date(run, 6, 1) ELSE make_date(run + 1, 1, 1) END AS effective_to
+        FROM (SELECT *, CAST(CASE WHEN key IN ('RAW_CLOSE', 'ADJUSTED_CLOSE') THEN make_date(run, 12, 31) ELSE make_date(run, 9, 30) END - (back + CASE WHEN fault = 5 THEN 150 WHEN fault = 6 THEN -100 ELSE 0 END) AS DATE) AS period_end
+              FROM (SELECT run, instrument_id, size, key, unit, scale, back, (instrument_id * 7 + no * 13 + run * 3) % 131 AS fault, CAST((instrument_id * 31 + run * 17 + no * 7) % 23 + 2 AS DOUBLE) / 14 - CASE WHEN (instrument_id + no * 5 + run) % 41 = 0 THEN 2 ELSE 0 END AS part
+                    FROM {{b_years}} AS y JOIN (VALUES {_KEYS}) AS k(no, key, unit, scale, back) ON true) AS e) AS d""",
 }
 
 
