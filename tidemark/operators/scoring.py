@@ -133,11 +133,11 @@ def keys_of(*groups: str) -> list[str]:
 
 def widen(accepted: DataFrame, cards: DataFrame, on: list[str], keys: list[str], dated: list[str] = ()) -> DataFrame:
     """Cards with a column per key and one for its reason, from one aggregate; an absent input is not reported. ``dated`` keys also get their dates."""
-    pick = lambda k, c: F.max(F.when(F.col("key") == k, F.col(c)))
-    columns = [x for k in keys for x in (pick(k, "value").alias(k), pick(k, "reason").alias(why(k)))]
-    columns += [x for k in dated for x in (pick(k, "period_start").alias(f"{k}__start"), pick(k, "period_end").alias(f"{k}__end"))]
+    pick = lambda k, column, name: F.expr(f"max(CASE WHEN key = '{k}' THEN {column} END) AS {name}")
+    columns = [x for k in keys for x in (pick(k, "value", k), pick(k, "reason", why(k)))]
+    columns += [x for k in dated for x in (pick(k, "period_start", f"{k}__start"), pick(k, "period_end", f"{k}__end"))]
     wide = cards.join(accepted.filter(F.col("key").isin(keys)).groupBy(*on).agg(*columns), on, "left")
-    return wide.withColumns({why(k): F.when(F.col(k).isNull(), F.coalesce(why(k), F.lit("NOT_REPORTED"))) for k in keys})
+    return wide.withColumns({why(k): F.expr(f"CASE WHEN {k} IS NULL THEN coalesce({why(k)}, 'NOT_REPORTED') END") for k in keys})
 
 
 def add(wide: DataFrame, quantities: dict[str, str | tuple[str, str, float]]) -> DataFrame:
@@ -148,13 +148,13 @@ def add(wide: DataFrame, quantities: dict[str, str | tuple[str, str, float]]) ->
         terms = list(dict.fromkeys(_NAME.findall(rule))) if isinstance(rule, str) else rule[:2]
         if any(t in batch for t in terms):
             wide, batch = wide.withColumns(batch), {}
-        lacks = [F.when(F.col(t).isNull(), F.coalesce(why(t), F.lit("NOT_REPORTED")) if why(t) in known else F.lit("NOT_REPORTED")) for t in terms]
+        lacks = ", ".join(f"CASE WHEN {t} IS NULL THEN " + (f"coalesce({why(t)}, 'NOT_REPORTED')" if why(t) in known else "'NOT_REPORTED'") + " END" for t in terms)
         if isinstance(rule, str):
-            value, reason = F.expr(rule), F.coalesce(*lacks)
+            value, reason = rule, f"coalesce({lacks})"
         else:
-            top, bottom, added = F.col(rule[0]), F.col(rule[1]), rule[2]
-            value, reason = F.when(bottom > 0, top / bottom + added), F.coalesce(*lacks, F.when(bottom <= 0, "INVALID_DENOMINATOR"))
-        batch |= {name: value, why(name): reason}
+            top, bottom, added = rule
+            value, reason = f"CASE WHEN {bottom} > 0 THEN {top} / {bottom} + {added}D END", f"coalesce({lacks}, CASE WHEN {bottom} <= 0 THEN 'INVALID_DENOMINATOR' END)"
+        batch |= {name: F.expr(value), why(name): F.expr(reason)}
     return wide.withColumns(batch)
 
 
@@ -294,12 +294,10 @@ def assess(inputs: DataFrame, cards: DataFrame, on: list[str], statutory: DataFr
 
 def metric_rows(assessed: DataFrame, keep: list[str]) -> DataFrame:
     """Long rows (``keep``, family, metric, raw, reason) of the seven metrics of each row's profile; of no others where the profile is unknown."""
-    one = lambda family, name: F.struct(F.lit(family).alias("family"), F.lit(name).alias("metric"), F.col(name).alias("raw"), F.when(F.col(name).isNull(), F.coalesce(why(name), F.lit("NOT_REPORTED"))).alias("reason"))
-    choice = None
-    for profile, (value, quality) in PROFILE_METRICS.items():
-        rows = F.array(*(one("value", n) for n in value), *(one("quality", n) for n in quality), one("momentum", "momentum"))
-        choice = F.when(F.col("profile") == profile, rows) if choice is None else choice.when(F.col("profile") == profile, rows)
-    return assessed.select(*keep, F.explode(choice).alias("_m")).select(*keep, "_m.*")
+    one = lambda family, name: f"named_struct('family', '{family}', 'metric', '{name}', 'raw', {name}, 'reason', CASE WHEN {name} IS NULL THEN coalesce({why(name)}, 'NOT_REPORTED') END)"
+    mine = lambda value, quality: "array(" + ", ".join([*(one("value", n) for n in value), *(one("quality", n) for n in quality), one("momentum", "momentum")]) + ")"
+    choice = " ".join(f"WHEN '{p}' THEN {mine(*families)}" for p, families in PROFILE_METRICS.items())
+    return assessed.select(*keep, F.explode(F.expr(f"CASE profile {choice} END")).alias("_m")).select(*keep, "_m.*")
 
 
 def used(assessed: DataFrame) -> list[str]:
