@@ -26,7 +26,9 @@ def test_company_facts(spark):
     docs = spark.createDataFrame([(json.dumps(doc),)], "document string")
     subs = spark.createDataFrame([("a", "10-K", "2024-02-01T10:00:00Z")], "accession string, form string, accepted string")
     rows = readers.company_facts(docs, subs, ["Revenues"], "2024-01-01", "2024-12-31").collect()
-    assert [(r["cik"], r["value"], r["mismatched"]) for r in rows] == [(7, 5.0, False)]
+    assert [(r["cik"], r["value"], r["form"]) for r in rows] == [(7, 5.0, "10-K")]
+    with pytest.raises(Exception, match="disagrees with its submission"):
+        readers.company_facts(docs, subs.withColumn("form", F.lit("10-Q")), ["Revenues"], "2024-01-01", "2024-12-31").collect()
 
 
 def test_submission_catalog(spark):
@@ -37,10 +39,24 @@ def test_submission_catalog(spark):
 
 
 def test_call_report(spark, tmp_path):
-    (tmp_path / "r.txt").write_text("IDRSSD\tRCOAP793\tRCFAP793\nid\tdescription\tother\n1\t0.12\t\n2\t0.1\t0.2\n3\t1\t1\n3\t2\t2\n")
+    (tmp_path / "r.txt").write_text("IDRSSD\tRCOAP793\tRCFAP793\nid\tdescription\tother\n1\t0.12\t\n2\t0.1\t0.2\n")
     entities = spark.createDataFrame([(1, "one"), (2, "two"), (3, "three")], "rssd long, name string")
     out = sorted((r["rssd"], r["concept"], r["value"]) for r in readers.read_call_report(spark, str(tmp_path / "r.txt"), entities, ["RCOAP793", "RCFAP793", "RCOWP793"]).collect())
     assert out == [(1, "RCOAP793", 0.12), (2, "RCFAP793", 0.2), (2, "RCOAP793", 0.1)]
+    (tmp_path / "again.txt").write_text("IDRSSD\tRCOAP793\n3\t1\n3\t2\n")
+    with pytest.raises(Exception, match="more than once"):
+        readers.read_call_report(spark, str(tmp_path / "again.txt"), entities, ["RCOAP793"]).collect()
+
+
+def test_archive_refuses_changed_bytes(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"run": "x"}')
+    import hashlib
+
+    right = hashlib.sha256(b'{"run": "x"}').hexdigest()
+    read = lambda sha: readers.read_archive(spark, str(tmp_path), "run STRING", spark.createDataFrame([("a.json", sha)], "name string, sha256 string"))
+    assert read(right).first()["document"]["run"] == "x"
+    with pytest.raises(Exception, match="differ from their hash"):
+        read("0" * 64).collect()
 
 
 def test_pages(spark):
@@ -53,8 +69,8 @@ def test_pages(spark):
 
 def test_publication_is_all_or_nothing(spark, tmp_path):
     path, scores = str(tmp_path), spark.createDataFrame([(1, 0.5)], "instrument_id int, composite double")
-    ok, bad = (spark.createDataFrame([("MISSING", n)], "rule string, n int") for n in (0, 2))
-    with pytest.raises(ValueError, match="MISSING"):
+    ok, bad = (spark.createDataFrame([(n, 0)], "missing int, rank_gap int") for n in (0, 2))
+    with pytest.raises(ValueError, match="missing"):
         sinks.write_publication({"scores": scores}, bad, path, "r0")
     sinks.write_publication({"scores": scores}, ok, path, "r1")
     scores.write.parquet(f"{path}/scores/run=r2")  # a run that died before its manifest
@@ -67,8 +83,10 @@ def test_append_and_export(spark, tmp_path):
         sinks.append_if_absent(a, str(tmp_path / "t"), "k")
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
     nested = a.withColumn("n", F.array("v"))
-    one, two = (sinks.export_csv(d, str(tmp_path / n)).first() for d, n in ((nested, "e"), (nested.orderBy(F.desc("k")), "f")))
-    assert one["rows"] == 3 and one["digest"] == two["digest"]
+    one, two = (sorted((r["cells"], r["empty"], r["digest"]) for r in sinks.export_csv(d, str(tmp_path / n)).collect()) for d, n in ((nested, "e"), (nested.orderBy(F.desc("k")), "f")))
+    assert one == two and [r[:2] for r in one] == [(3, 0)] * 3
+    text = b"".join(f.read_bytes() for f in (tmp_path / "e").glob("*.csv"))
+    assert text.startswith("\ufeffk".encode()) and b"[" in text
 
 
 def envelope(spark, rows):

@@ -5,11 +5,11 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-from tidemark.plans import audits, domain, relational, scoring, temporal
+from tidemark.plans import audits, domain, relational, scoring, stored, temporal
 from tidemark.plans.views import TABLES, Views
 
-MADE = temporal.R.made | relational.R.made | domain.R.made | audits.R.made | scoring.R.made
-SQL = temporal.R.sql | relational.R.sql | domain.R.sql | audits.R.sql | scoring.R.sql
+MADE = temporal.R.made | relational.R.made | domain.R.made | audits.R.made | scoring.R.made | stored.R.made
+SQL = temporal.R.sql | relational.R.sql | domain.R.sql | audits.R.sql | scoring.R.sql | stored.R.sql
 
 
 def cells(rows, columns):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import reasons
+from tidemark.operators.calendar import next_sessions
 
 
 def soft_reasons(rows: DataFrame, rules: DataFrame) -> DataFrame:
@@ -106,10 +107,9 @@ def active(series: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def next_bar(signals: DataFrame, sessions: DataFrame) -> DataFrame:
-    """The first session strictly after each signal's date. Sessions are a small calendar; each date is looked up once."""
-    dates = signals.select("as_of").distinct()
-    first = dates.join(F.broadcast(sessions.select("session_date")), F.col("session_date") > F.col("as_of")).groupBy("as_of").agg(F.min("session_date").alias("executes"))
-    return signals.join(F.broadcast(first), "as_of", "left")
+    """The first session strictly after each signal's date, met by equality on the day."""
+    days = next_sessions(sessions.select("session_date")).select(F.col("day").alias("as_of"), F.col("next_session").alias("executes"))
+    return signals.join(days, "as_of", "left")
 
 
 def fan_out(events: DataFrame, kind: str, targets: list[str]) -> dict[str, DataFrame]:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.temporal import asof_join
+
 
 def day_range(spark: SparkSession, first: str, last: str) -> DataFrame:
     """Every day from first to last."""
@@ -27,19 +29,28 @@ def due_month_ends(calendar: DataFrame) -> DataFrame:
 
 
 def next_opening(calendar: DataFrame, days: DataFrame) -> DataFrame:
-    """For each asked day the next open one; null if a calendar day between is missing."""
-    c = calendar.select("exchange", F.col("day").alias("_d"), "holiday")
-    met = days.join(c, "exchange").filter(F.col("_d") > F.col("day"))
-    first = met.groupBy("exchange", "day").agg(F.min(F.when(~F.col("holiday"), F.col("_d"))).alias("opening"))
-    between = met.join(first, ["exchange", "day"]).filter(F.col("_d") <= F.col("opening")).groupBy("exchange", "day").agg(F.count("*").alias("_n"))
-    return first.join(between, ["exchange", "day"], "left").select("exchange", "day", F.when(F.col("_n") == F.datediff("opening", "day"), F.col("opening")).alias("opening"))
+    """For each asked day the next open one; null if a calendar day between is missing. Two as-of joins per exchange, no pairs of days."""
+    numbered = calendar.withColumn("_i", F.row_number().over(Window.partitionBy("exchange").orderBy("day")))
+    opened = numbered.filter(~F.col("holiday")).select("exchange", F.col("day").alias("opening"), F.col("_i").alias("_open"))
+    passed = numbered.select("exchange", F.col("day").alias("_d"), F.col("_i").alias("_past"))
+    met = asof_join(days.select("exchange", "day").distinct(), opened, ["exchange"], "day", "opening", ["_open"], "forward", strict=True)
+    met = asof_join(met, passed, ["exchange"], "day", "_d", ["_past"])
+    whole = F.col("_open") - F.coalesce("_past", F.lit(0)) == F.datediff("opening", "day")
+    return met.select("exchange", "day", F.when(whole, F.col("opening")).alias("opening"))
 
 
 def sessions_around(calendar: DataFrame, days: DataFrame) -> DataFrame:
-    """For each asked day the latest open day before it and the first from it on."""
-    c = calendar.filter(~F.col("holiday")).select("exchange", F.col("day").alias("_d"))
-    met = days.join(c, "exchange")
-    return met.groupBy("exchange", "day").agg(F.max(F.when(F.col("_d") < F.col("day"), F.col("_d"))).alias("completed"), F.min(F.when(F.col("_d") >= F.col("day"), F.col("_d"))).alias("upcoming"))
+    """For each asked day the latest open day before it and the first from it on: an as-of join each way."""
+    opened = calendar.filter(~F.col("holiday")).select("exchange", F.col("day").alias("completed"))
+    met = asof_join(days.select("exchange", "day").distinct(), opened, ["exchange"], "day", "completed", [], strict=True)
+    return asof_join(met, opened.withColumnRenamed("completed", "upcoming"), ["exchange"], "day", "upcoming", [], "forward").select("exchange", "day", "completed", "upcoming")
+
+
+def next_sessions(sessions: DataFrame, before: int = 366) -> DataFrame:
+    """(day, next_session and the session's other columns) for every day up to the last session, from ``before`` days ahead of the first: what a date meets by equality. Sessions are a calendar."""
+    start = F.coalesce(F.lag("session_date").over(Window.orderBy("session_date")), F.date_sub("session_date", before))
+    each = sessions.withColumn("_from", start).withColumn("day", F.explode(F.sequence("_from", F.date_sub("session_date", 1))))
+    return each.drop("_from").withColumnRenamed("session_date", "next_session")
 
 
 def complete_through(coverage: DataFrame, key: str, first: str, last: str) -> DataFrame:

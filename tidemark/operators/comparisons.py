@@ -70,3 +70,12 @@ def reason_pairs(reasons: DataFrame, key: str) -> DataFrame:
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """All rows of several frames of one schema."""
     return reduce(lambda a, b: a.unionByName(b), frames)
+
+
+def replay(stored: DataFrame, rebuilt: DataFrame, run: list[str], ident: str, tolerance: float = 1e-9) -> DataFrame:
+    """Per run: rows, rows whose rank differs or that only one side has, the largest difference of composites, and whether the stored run is reproduced."""
+    a, b = (d.select(*run, ident, F.col("rank").alias(f"_r{i}"), F.col("composite").alias(f"_c{i}")) for i, d in ((0, stored), (1, rebuilt)))
+    both = a.join(b, [*run, ident], "full")
+    gap, moved = F.abs(F.col("_c0") - F.col("_c1")), ~F.col("_r0").eqNullSafe(F.col("_r1"))
+    other = moved | F.coalesce(gap > tolerance, F.col("_c0").isNull() != F.col("_c1").isNull())
+    return both.groupBy(*run).agg(F.count("*").alias("rows"), F.count_if(moved).alias("other_rank"), F.round(F.max(gap), 6).alias("largest"), (F.count_if(other) == 0).alias("reproduces"))

@@ -111,3 +111,22 @@ def source_priority(facts: DataFrame, mappings: DataFrame, concept: str) -> Data
     """Facts with metric, priority (999 if unmapped) and multiplied value of a concept mapping; the raw value stays."""
     met = facts.join(F.broadcast(mappings), concept, "left")
     return met.withColumn("priority", F.coalesce("priority", F.lit(999))).withColumn("canonical_value", F.col("value") * F.coalesce("multiplier", F.lit(1.0)))
+
+
+def mapped(rows: DataFrame, mappings: DataFrame, day: str, concept: str = "concept") -> DataFrame:
+    """Rows with the metric of their concept under every version (version, concept, metric, valid_from, valid_to: end excluded, none is open) in force on ``day``."""
+    m = mappings.withColumnRenamed("concept", "_concept")
+    in_force = (F.col(concept) == F.col("_concept")) & (F.col(day) >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col(day) < F.col("valid_to")))
+    return rows.join(m, in_force).drop("_concept", "valid_from", "valid_to")
+
+
+def regulatory_facts(rows: DataFrame, links: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Regulatory report items (entity, item, value, period_end) as facts: the issuer linked to the entity on that date, metric and quality.
+
+    ``links``: entity, issuer_id, effective_from, effective_to, one in force at a time; ``mapping``: item, metric, positive.
+    """
+    l = links.withColumnRenamed("entity", "_entity")  # noqa: E741
+    in_force = (F.col("entity") == F.col("_entity")) & (F.col("period_end") >= F.col("effective_from")) & (F.col("effective_to").isNull() | (F.col("period_end") < F.col("effective_to")))
+    met = rows.join(l, in_force, "left").join(mapping, "item", "left")
+    state = F.when(F.col("issuer_id").isNull(), "UNLINKED").when(F.col("metric").isNull(), "UNMAPPED").when(F.col("positive") & (F.col("value") <= 0), "INVALID_SIGN").otherwise("VALID")
+    return met.withColumn("quality_state", state).drop("_entity", "effective_from", "effective_to", "positive")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.scalars import framed_hash
+from tidemark.operators.calendar import next_sessions
 
 
 def result_scores(scored: DataFrame, run: Column) -> DataFrame:
@@ -20,19 +21,27 @@ def run_identity(requests: DataFrame, *fields: str) -> DataFrame:
     return keyed.withColumn("supersedes", F.lag("run_key").over(Window.partitionBy("policy").orderBy("as_of", "run_key")))
 
 
-def guard(scores: DataFrame, exclusions: DataFrame, universe: DataFrame, expected: int | None = None) -> DataFrame:
-    """Violations (rule, n) of a publication: a run may be published only when every n is 0.
+def guard(scores: DataFrame, exclusions: DataFrame, universe: DataFrame, run: list[str]) -> DataFrame:
+    """Violations of every run: a run may be published only when all are 0. One aggregate over the three tables.
 
-    Scored and excluded instruments are exactly the universe, none is both, ranks run from 1 without gaps, and excluded ones have a reason.
+    Scored and excluded instruments are exactly the universe, none is both, ranks go from 1 without gaps, and excluded ones have a reason.
     """
-    s, x, u = (d.select("instrument_id").distinct() for d in (scores, exclusions, universe))
-    rule = lambda name, df: df.agg(F.lit(name).alias("rule"), F.count("*").alias("n"))
-    ranks = scores.agg(F.lit("RANK_GAP").alias("rule"), F.when((F.max("rank") == F.count("*")) & (F.min("rank") == 1) & (F.count_distinct("rank") == F.count("*")), 0).otherwise(1).cast("long").alias("n"))
-    parts = [rule("MISSING", u.join(s.union(x), "instrument_id", "left_anti")), rule("UNEXPECTED", s.union(x).distinct().join(u, "instrument_id", "left_anti")), rule("BOTH", s.join(x, "instrument_id", "left_semi")), rule("NO_REASON", exclusions.filter("reason IS NULL")), ranks]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    flag = lambda df, s, x, u, reason, rank: df.select(*run, "instrument_id", F.lit(s).alias("s"), F.lit(x).alias("x"), F.lit(u).alias("u"), reason.alias("no_reason"), rank.cast("long").alias("rank"))
+    none, no = F.lit(None), F.lit(False)
+    rows = flag(scores, True, False, False, no, F.col("rank")).unionByName(flag(exclusions, False, True, False, F.col("reason").isNull(), none)).unionByName(flag(universe, False, False, True, no, none))
+    each = rows.groupBy(*run, "instrument_id").agg(*(F.bool_or(c).alias(c) for c in ("s", "x", "u", "no_reason")), F.max("rank").alias("rank"))
+    n = F.count("rank")
+    gap = F.when((n == 0) | ((F.min("rank") == 1) & (F.max("rank") == n) & (F.count_distinct("rank") == n)), 0).otherwise(1).cast("long")
+    return each.groupBy(*run).agg(F.count_if(~F.col("s") & ~F.col("x")).alias("missing"), F.count_if(~F.col("u")).alias("unexpected"), F.count_if(F.col("s") & F.col("x")).alias("both"), F.count_if("no_reason").alias("no_reason"), gap.alias("rank_gap"))
+
+
+def timing_guard(runs: DataFrame, sessions: DataFrame) -> DataFrame:
+    """``state`` of each run (run_id, decided_at, published_at): published before the next session opens, a day after the decision at the earliest, on a calendar that was known when it was decided."""
+    upcoming = next_sessions(sessions.select("session_date", "available_at")).select("day", F.col("next_session").alias("_next"), F.col("available_at").alias("_known"))
+    met = runs.withColumn("day", F.to_date("decided_at")).join(upcoming, "day", "left")
+    late = F.col("published_at") >= F.col("_next").cast("timestamp")
+    state = F.when(F.col("_next").isNull() | (F.col("_known") > F.col("decided_at")), "CALENDAR_UNKNOWN").when(F.col("published_at") < F.col("decided_at") + F.expr("INTERVAL '1' DAY"), "EARLY").when(late, "LATE").otherwise("OK")
+    return met.withColumn("state", state)
 
 
 def late_lineage(lineage: DataFrame, bars: DataFrame, cutoff: str) -> DataFrame:

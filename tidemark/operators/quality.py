@@ -74,3 +74,10 @@ def triage(reasons: DataFrame, key: str) -> DataFrame:
     has = lambda c: F.count_if(F.startswith("code", F.lit(c))) > 0
     action = F.when(has("1-"), "REVIEW").when(has("2-"), "COLLECT").when(has("5-"), "WAIT").otherwise("NONE")
     return reasons.groupBy(key).agg(action.alias("action"))
+
+
+def coverage_rows(items: DataFrame, issues: DataFrame) -> DataFrame:
+    """A coverage row (run, day, valid) of every complete single-day run; withdrawn (not valid) while the run has a blocking issue."""
+    whole = items.groupBy("run").agg(F.min("day").alias("day"), F.max("day").alias("_last"), F.bool_and("complete").alias("_all")).filter("day = _last AND _all")
+    blocked = issues.select("run").distinct().withColumn("_blocked", F.lit(True))
+    return whole.join(blocked, "run", "left").select("run", "day", F.col("_blocked").isNull().alias("valid"))

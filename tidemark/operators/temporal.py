@@ -4,22 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """``df``, computed once and kept in the checkpoint folder: the plans that read it neither repeat its work nor depend on an executor's disk.
-
-    The folder is the session's (``spark.checkpoint.dir``); a local session without one gets a temporary folder, any other an error.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder (``spark.checkpoint.dir``), which driver and executors share; a local session without one gets a temporary folder, any other an error."""
     if not spark.sparkContext.getCheckpointDir():
         chosen = spark.conf.get("spark.checkpoint.dir", None)
         if not chosen and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(chosen or tempfile.mkdtemp(prefix="tidemark-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """``df``, computed once and kept in the checkpoint folder: the plans that read it neither repeat its work nor depend on an executor's disk."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -136,3 +138,15 @@ def superseding_symbols(symbols: DataFrame) -> DataFrame:
     """Successions: a symbol that ends on the day another of the same key begins."""
     a, b = symbols.alias("a"), symbols.alias("b")
     return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.effective_to") == F.col("b.effective_from")) & (F.col("a.symbol") != F.col("b.symbol")))
+
+
+def origins(links: DataFrame, ident: str, parent: str) -> DataFrame:
+    """(``ident``, origin) of rows that name the row they were made from: the end of each chain, itself where there is no parent. Every round doubles the step, so a chain of n needs log n joins; a ring is an error."""
+    at = settle(links.select(ident, F.coalesce(parent, ident).alias("origin")))
+    for _ in range(64):
+        up = at.select(F.col(ident).alias("origin"), F.col("origin").alias("_up"))
+        nxt = settle(at.join(up, "origin", "left").select(ident, F.coalesce("_up", "origin").alias("origin"), (F.col("_up") != F.col("origin")).alias("_moved")))
+        at = nxt.select(ident, "origin")
+        if nxt.filter("_moved").isEmpty():
+            return at
+    raise ValueError("artifacts name each other in a ring")

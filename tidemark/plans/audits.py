@@ -9,6 +9,7 @@ from tidemark.functions import scalars as S
 from tidemark.operators import audits, comparisons, model, quality, ranking, research, screener
 from tidemark.operators import calendar as K
 from tidemark.operators import temporal as T
+from tidemark.operators.publication import timing_guard as publication_timing
 from tidemark.plans.domain import _known, _long, _norm
 from tidemark.plans.temporal import AS_OF, FACTS_AS_OF, day, last_day
 from tidemark.plans.views import Registry, Views
@@ -83,17 +84,19 @@ def _u09(v: Views) -> DataFrame:
     return audits.compare_publications(_on(v, "2000-11-30"), _on(v, "2000-12-31")).select("instrument_id", "change", F.round("moved", 6).alias("moved"))
 
 
-@R.add("u10_audit_export", f"WITH {TWO_DATES} SELECT 'MISSING' AS issue, instrument_id FROM b WHERE instrument_id % 9 = 0 UNION ALL SELECT 'DIFFERENT', instrument_id FROM b WHERE instrument_id % 9 <> 0 AND instrument_id % 5 = 0")
+@R.add("u10_audit_export", f"WITH {TWO_DATES} SELECT 'MISSING' AS issue, b.instrument_id FROM b JOIN b_instruments i ON b.instrument_id = i.instrument_id WHERE sector = 'ASIA' UNION ALL SELECT 'DIFFERENT', b.instrument_id FROM b JOIN b_instruments i ON b.instrument_id = i.instrument_id WHERE sector <> 'ASIA' AND profile <> 'GENERAL'")
 def _u10(v: Views) -> DataFrame:
-    p = _on(v, "2000-12-31").select("instrument_id", "market_cap")
-    export = p.filter("instrument_id % 9 <> 0").withColumn("market_cap", F.when(F.col("instrument_id") % 5 == 0, F.lit(-1.0)).otherwise(F.col("market_cap")))
-    return audits.audit_export(export, p, "instrument_id", ["market_cap"])
+    p = _on(v, "2000-12-31")
+    export = p.filter("sector <> 'ASIA'").select("instrument_id", F.when(F.col("profile") != "GENERAL", F.lit(-1.0)).otherwise(F.col("market_cap")).alias("market_cap"))
+    return audits.audit_export(export, p.select("instrument_id", "market_cap"), "instrument_id", ["market_cap"])
 
 
-@R.add("t07_timing_guard", "SELECT CAST(session_date AS STRING) AS run_id, CASE WHEN available_at > CAST(session_date AS TIMESTAMP) - INTERVAL '30' DAY THEN 'CALENDAR_UNKNOWN' WHEN month(session_date) = 2 THEN 'EARLY' ELSE 'OK' END AS state FROM b_sessions")
+@R.add("t07_timing_guard", """WITH o AS (SELECT o_orderkey AS run_id, o_orderdate + o_orderkey % 9 * INTERVAL '1' DAY AS published_at, o_orderdate AS decided_at, CAST(o_orderdate AS DATE) AS day FROM orders),
+n AS (SELECT o.*, c.session_date, c.available_at FROM o ASOF LEFT JOIN (SELECT session_date, available_at FROM b_sessions) c ON o.day < c.session_date)
+SELECT run_id, CASE WHEN session_date IS NULL OR available_at > decided_at THEN 'CALENDAR_UNKNOWN' WHEN published_at < decided_at + INTERVAL '1' DAY THEN 'EARLY' WHEN published_at >= CAST(session_date AS TIMESTAMP) THEN 'LATE' ELSE 'OK' END AS state FROM n""")
 def _t07(v: Views) -> DataFrame:
-    s = v.b_sessions.withColumn("decided_at", F.expr("CAST(session_date AS TIMESTAMP) - INTERVAL '30' DAY"))
-    return s.select(F.col("session_date").cast("string").alias("run_id"), F.when(F.col("available_at") > F.col("decided_at"), "CALENDAR_UNKNOWN").when(F.month("session_date") == 2, "EARLY").otherwise("OK").alias("state"))
+    runs = v.orders.select(F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("decided_at"), (F.col("o_orderdate") + F.make_dt_interval((F.col("o_orderkey") % 9).cast("int"))).alias("published_at"))
+    return publication_timing(runs, v.b_sessions).select("run_id", "state")
 
 
 @R.add("m01_resolve_listings", "WITH l AS (SELECT p_brand AS symbol, count(DISTINCT p_type) AS n, min(p_type) AS t FROM part GROUP BY 1) SELECT s_suppkey, CASE WHEN n = 1 THEN t END AS cik, coalesce(n > 1, false) AS ambiguous FROM (SELECT s_suppkey, 'Brand#' || CAST(s_suppkey % 30 AS STRING) AS symbol FROM supplier) s LEFT JOIN l ON s.symbol = l.symbol")
@@ -105,26 +108,33 @@ def _m01(v: Views) -> DataFrame:
     return resolve_listings(members, listings).select("s_suppkey", "cik", "ambiguous")
 
 
-@R.add("m05_resolve_members", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_custkey * 10 WHEN c_nationkey % 2 = 0 THEN c_nationkey * 1000 END AS instrument_id, c_custkey % 3 = 0 AND c_nationkey % 2 = 0 AND c_custkey * 10 <> c_nationkey * 1000 AS conflict, c_custkey % 3 <> 0 AND c_nationkey % 2 <> 0 AS is_new FROM customer")
+@R.add("m05_resolve_members", "SELECT c_custkey, CASE WHEN c_acctbal > 5000 THEN c_custkey * 10 WHEN n_regionkey <= 2 THEN c_nationkey * 1000 END AS instrument_id, c_acctbal > 5000 AND n_regionkey <= 2 AND c_custkey * 10 <> c_nationkey * 1000 AS conflict, c_acctbal <= 5000 AND n_regionkey > 2 AS is_new FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def _m05(v: Views) -> DataFrame:
     from tidemark.operators.reference import resolve_members
 
     m = v.customer.select("c_custkey", F.col("c_custkey").cast("string").alias("figi"), F.col("c_nationkey").cast("string").alias("cik"))
-    by_figi = v.customer.filter("c_custkey % 3 = 0").select(F.col("c_custkey").cast("string").alias("figi"), (F.col("c_custkey") * 10).alias("instrument_id"))
-    by_cik = v.nation.filter("n_nationkey % 2 = 0").select(F.col("n_nationkey").cast("string").alias("cik"), (F.col("n_nationkey") * 1000).cast("long").alias("instrument_id"))
+    by_figi = v.customer.filter("c_acctbal > 5000").select(F.col("c_custkey").cast("string").alias("figi"), (F.col("c_custkey") * 10).alias("instrument_id"))
+    by_cik = v.nation.filter("n_regionkey <= 2").select(F.col("n_nationkey").cast("string").alias("cik"), (F.col("n_nationkey") * 1000).cast("long").alias("instrument_id"))
     return resolve_members(m, by_figi, by_cik).select("c_custkey", "instrument_id", "conflict", "is_new")
 
 
-@R.add("n02_metric_mappings", "WITH m AS (SELECT DISTINCT p_type AS concept, p_brand AS metric FROM part) SELECT version, count(*) AS mappings FROM (SELECT 1 AS version, concept, metric FROM m UNION ALL SELECT 2, concept, metric FROM m UNION ALL SELECT 2, 'RECONCILED', 'COMMON_EQUITY') x GROUP BY 1")
+@R.add("n02_metric_mappings", "SELECT o_orderkey, version, metric FROM orders JOIN (VALUES (1, '1-URGENT', 'REVENUE', DATE '1995-01-01', DATE '1998-01-01'), (1, '1-URGENT', 'SALES', DATE '1998-01-01', NULL), (2, '1-URGENT', 'REVENUE', DATE '1995-01-01', NULL), (2, '2-HIGH', 'COMMON_EQUITY', DATE '1997-01-01', DATE '2000-01-01')) k(version, concept, metric, valid_from, valid_to) ON o_orderpriority = concept AND CAST(o_orderdate AS DATE) >= valid_from AND (valid_to IS NULL OR CAST(o_orderdate AS DATE) < valid_to)")
 def _n02(v: Views) -> DataFrame:
-    base = v.part.select(F.col("p_type").alias("concept"), F.col("p_brand").alias("metric")).distinct()
-    return audits.mapping_versions(base).groupBy("version").agg(F.count("*").alias("mappings"))
+    from tidemark.operators.facts import mapped
 
+    mapping = v.orders.sparkSession.sql("SELECT * FROM VALUES (1, '1-URGENT', 'REVENUE', DATE'1995-01-01', DATE'1998-01-01'), (1, '1-URGENT', 'SALES', DATE'1998-01-01', NULL), (2, '1-URGENT', 'REVENUE', DATE'1995-01-01', NULL), (2, '2-HIGH', 'COMMON_EQUITY', DATE'1997-01-01', DATE'2000-01-01') AS t(version, concept, metric, valid_from, valid_to)")
+    rows = v.orders.select("o_orderkey", F.col("o_orderpriority").alias("concept"), F.col("o_orderdate").cast("date").alias("period_end"))
+    return mapped(rows, mapping, "period_end").select("o_orderkey", "version", "metric")
 
-@R.add("n05_regulatory_facts", "SELECT s_nationkey AS entity, count(*) AS facts, count(*) FILTER (s_acctbal < 0) AS negative FROM supplier WHERE s_acctbal <> 0 GROUP BY 1")
+
+@R.add("n05_regulatory_facts", "SELECT o_orderkey AS report_id, CASE WHEN c_acctbal > 0 AND o_orderdate >= TIMESTAMP '1996-01-01' THEN c_nationkey END AS issuer_id, metric, CASE WHEN NOT (c_acctbal > 0 AND o_orderdate >= TIMESTAMP '1996-01-01') THEN 'UNLINKED' WHEN metric IS NULL THEN 'UNMAPPED' WHEN positive AND o_totalprice - 150000 <= 0 THEN 'INVALID_SIGN' ELSE 'VALID' END AS quality_state FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN (VALUES ('1-URGENT', 'CET1_CAPITAL', true), ('2-HIGH', 'GROSS_LOANS', true), ('3-MEDIUM', 'NET_INCOME', false)) k(item, metric, positive) ON o_orderpriority = item")
 def _n05(v: Views) -> DataFrame:
-    links = v.supplier.filter("s_acctbal <> 0").select("s_suppkey")
-    return v.supplier.join(links, "s_suppkey", "left_semi").groupBy(F.col("s_nationkey").alias("entity")).agg(F.count("*").alias("facts"), F.count_if(F.col("s_acctbal") < 0).alias("negative"))
+    from tidemark.operators.facts import regulatory_facts
+
+    rows = v.orders.select(F.col("o_orderkey").alias("report_id"), F.col("o_custkey").alias("entity"), F.col("o_orderpriority").alias("item"), (F.col("o_totalprice") - 150_000).alias("value"), F.col("o_orderdate").cast("date").alias("period_end"))
+    links = v.customer.filter("c_acctbal > 0").select(F.col("c_custkey").alias("entity"), F.col("c_nationkey").cast("long").alias("issuer_id"), F.lit("1996-01-01").cast("date").alias("effective_from"), F.lit(None).cast("date").alias("effective_to"))
+    mapping = v.orders.sparkSession.sql("SELECT * FROM VALUES ('1-URGENT', 'CET1_CAPITAL', true), ('2-HIGH', 'GROSS_LOANS', true), ('3-MEDIUM', 'NET_INCOME', false) AS t(item, metric, positive)")
+    return regulatory_facts(rows, links, mapping).select("report_id", "issuer_id", "metric", "quality_state")
 
 
 @R.add("p06_prepared_flags", f"WITH {FACTS_AS_OF}, f AS (SELECT issuer_id, max(filed_date) AS filed, count(DISTINCT metric) AS metrics FROM facts GROUP BY 1) SELECT i.instrument_id, coalesce(metrics, 0) AS metrics, concat_ws(',', CASE WHEN f.issuer_id IS NULL THEN 'NO_FACTS' END, CASE WHEN profile <> 'GENERAL' THEN 'PROFILE_UNSUPPORTED:' || profile END, CASE WHEN date_diff('day', filed, DATE '2000-12-31') > 10 THEN 'STALE_FILING' END) AS blocking FROM b_instruments i LEFT JOIN f ON i.issuer_id = f.issuer_id")
@@ -237,10 +247,11 @@ def _b14(v: Views) -> DataFrame:
     return comparisons.score_difference(stored, again, ["instrument_id"], ["z"]).withColumn("largest", F.round("largest", 9))
 
 
-@R.add("st11_coverage", "SELECT o_custkey % 50 AS run, CAST(CAST(min(o_orderdate) AS DATE) AS STRING) AS since, bool_and(o_orderstatus <> 'P' OR o_orderkey % 2 = 0) AS valid FROM orders GROUP BY 1")
+@R.add("st11_coverage", "SELECT run, CAST(day AS STRING) AS day, c_acctbal >= 0 AS valid FROM (SELECT o_custkey AS run, min(CAST(date_trunc('year', o_orderdate) AS DATE)) AS day FROM orders GROUP BY 1 HAVING count(DISTINCT date_trunc('year', o_orderdate)) = 1 AND bool_and(o_orderstatus <> 'P')) x JOIN customer ON run = c_custkey")
 def _st11(v: Views) -> DataFrame:
-    blocking = (F.col("o_orderstatus") == "P") & (F.col("o_orderkey") % 2 != 0)
-    return v.orders.groupBy((F.col("o_custkey") % 50).alias("run")).agg(F.min("o_orderdate").cast("date").cast("string").alias("since"), (~F.bool_or(blocking)).alias("valid"))
+    items = v.orders.select(F.col("o_custkey").alias("run"), F.date_trunc("year", "o_orderdate").cast("date").alias("day"), (F.col("o_orderstatus") != "P").alias("complete"))
+    issues = v.customer.filter("c_acctbal < 0").select(F.col("c_custkey").alias("run"))
+    return quality.coverage_rows(items, issues).select("run", day("day"), "valid")
 
 
 @R.add("st04_quarantine", "SELECT event_id, 'BAD_VALUE' AS reason FROM events WHERE value < 5 OR value IS NULL")

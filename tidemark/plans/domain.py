@@ -129,9 +129,9 @@ def _p13(v: Views) -> DataFrame:
     return _known(v).groupBy("metric", S.period_kind(F.col("period_start"), F.col("period_end")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@R.add("a01_simple_composite", "WITH r AS (SELECT instrument_id, signal_at, score AS a, market_cap AS b, volume AS c FROM b_panel WHERE score IS NOT NULL AND signal_at >= DATE '2000-01-01'), z AS (SELECT *, (a - avg(a) OVER w) / nullif(stddev_pop(a) OVER w, 0) AS za, (b - avg(b) OVER w) / nullif(stddev_pop(b) OVER w, 0) AS zb, (c - avg(c) OVER w) / nullif(stddev_pop(c) OVER w, 0) AS zc FROM r WINDOW w AS (PARTITION BY signal_at)) SELECT instrument_id, CAST(signal_at AS STRING) AS signal_at, round((coalesce(za, 0) + coalesce(zb, 0) + coalesce(zc, 0)) / 3, 6) AS composite FROM z")
+@R.add("a01_simple_composite", "WITH r AS (SELECT instrument_id, signal_at, score AS a, market_cap AS b, volume AS c FROM b_panel WHERE score IS NOT NULL), z AS (SELECT *, (a - avg(a) OVER w) / nullif(stddev_pop(a) OVER w, 0) AS za, (b - avg(b) OVER w) / nullif(stddev_pop(b) OVER w, 0) AS zb, (c - avg(c) OVER w) / nullif(stddev_pop(c) OVER w, 0) AS zc FROM r WINDOW w AS (PARTITION BY signal_at)) SELECT instrument_id, CAST(signal_at AS STRING) AS signal_at, round((coalesce(za, 0) + coalesce(zb, 0) + coalesce(zc, 0)) / 3, 6) AS composite FROM z")
 def _a01(v: Views) -> DataFrame:
-    raw = v.b_panel.filter("score IS NOT NULL AND signal_at >= DATE'2000-01-01'").select("instrument_id", "signal_at", F.col("score").alias("value_raw"), F.col("market_cap").alias("momentum_raw"), F.col("volume").alias("quality_raw"))
+    raw = v.b_panel.filter("score IS NOT NULL").select("instrument_id", "signal_at", F.col("score").alias("value_raw"), F.col("market_cap").alias("momentum_raw"), F.col("volume").alias("quality_raw"))
     return model.simple_composite(raw, ["signal_at"]).select("instrument_id", day("signal_at"), F.round("composite", 6).alias("composite"))
 
 
@@ -153,7 +153,7 @@ def _a08(v: Views) -> DataFrame:
     return model.eligibility(rows).select("instrument_id", day("as_of"), F.array_join("exclusions", ",").alias("exclusions"))
 
 
-NORM = """WITH s AS (SELECT *, bool_or(primary_class) OVER (PARTITION BY as_of, issuer_id) AS any_p FROM b_scores WHERE composite IS NOT NULL AND as_of >= DATE '2000-06-30'),
+NORM = """WITH s AS (SELECT *, bool_or(primary_class) OVER (PARTITION BY as_of, issuer_id) AS any_p FROM b_scores WHERE composite IS NOT NULL),
 fit AS (SELECT * FROM s WHERE NOT any_p OR primary_class),
 pb AS (SELECT as_of, sector, quantile_cont(composite, 0.025) AS lo, quantile_cont(composite, 0.975) AS hi FROM fit GROUP BY 1, 2), fb AS (SELECT as_of, quantile_cont(composite, 0.025) AS lo, quantile_cont(composite, 0.975) AS hi FROM fit GROUP BY 1),
 pm AS (SELECT f.as_of, f.sector, lo, hi, count(*) AS n, avg(greatest(lo, least(hi, composite))) AS m, stddev_pop(greatest(lo, least(hi, composite))) AS sd FROM fit f JOIN pb ON f.as_of = pb.as_of AND f.sector = pb.sector GROUP BY 1, 2, 3, 4),
@@ -167,7 +167,7 @@ norm AS (SELECT *, CASE WHEN cohort IS NOT NULL THEN greatest(-3, least(3, CASE
 def _norm(v: Views) -> DataFrame:
     from pyspark.sql.window import Window
 
-    s = v.b_scores.filter("composite IS NOT NULL AND as_of >= DATE'2000-06-30'").withColumn("any_p", F.bool_or("primary_class").over(Window.partitionBy("as_of", "issuer_id")))
+    s = v.b_scores.filter("composite IS NOT NULL").withColumn("any_p", F.bool_or("primary_class").over(Window.partitionBy("as_of", "issuer_id")))
     return model.normalize(s, ["as_of"], "sector", None, "composite", ~F.col("any_p") | F.col("primary_class"), 20, 40)
 
 
@@ -246,11 +246,21 @@ def _r02(v: Views) -> DataFrame:
     return publication.run_identity(requests, "policy", "as_of").select(day("as_of"), "run_key", "supersedes")
 
 
-@R.add("q01_publication_guard", f"WITH {S_LAST} SELECT 'MISSING' AS rule, (SELECT count(*) FROM b_instruments) - (SELECT count(*) FROM s WHERE sector <> 'ASIA') AS n UNION ALL SELECT 'UNEXPECTED', 0 UNION ALL SELECT 'BOTH', 0 UNION ALL SELECT 'NO_REASON', (SELECT count(*) FROM s WHERE NOT eligible AND sector <> 'ASIA' AND profile = 'GENERAL') UNION ALL SELECT 'RANK_GAP', 0")
+@R.add("q01_publication_guard", """WITH u AS (SELECT s.session_date AS as_of, i.instrument_id FROM b_sessions s JOIN b_instruments i ON i.valid_to IS NULL OR i.valid_to > s.session_date),
+s AS (SELECT as_of, instrument_id, row_number() OVER (PARTITION BY as_of ORDER BY composite DESC, instrument_id) + CASE WHEN month(as_of) = 3 THEN 1 ELSE 0 END AS rank FROM b_scores WHERE eligible AND sector <> 'ASIA'),
+x AS (SELECT as_of, instrument_id, CASE WHEN profile <> 'GENERAL' THEN 'PROFILE' END AS reason FROM b_scores WHERE sector <> 'ASIA' AND (NOT eligible OR composite > 0.5)),
+k AS (SELECT as_of, instrument_id FROM u UNION SELECT as_of, instrument_id FROM s UNION SELECT as_of, instrument_id FROM x),
+r AS (SELECT k.as_of, 'MISSING' AS rule, count(*) FILTER (s.rank IS NULL AND x.as_of IS NULL) AS n, count(*) FILTER (u.as_of IS NULL) AS un, count(*) FILTER (s.rank IS NOT NULL AND x.as_of IS NOT NULL) AS both_, count(*) FILTER (x.as_of IS NOT NULL AND x.reason IS NULL) AS nr,
+  CASE WHEN count(s.rank) = 0 OR (min(s.rank) = 1 AND max(s.rank) = count(s.rank)) THEN 0 ELSE 1 END AS gap
+  FROM k LEFT JOIN u ON k.as_of = u.as_of AND k.instrument_id = u.instrument_id LEFT JOIN s ON k.as_of = s.as_of AND k.instrument_id = s.instrument_id LEFT JOIN x ON k.as_of = x.as_of AND k.instrument_id = x.instrument_id GROUP BY 1)
+SELECT CAST(as_of AS STRING) AS as_of, n AS missing, un AS unexpected, both_ AS both, nr AS no_reason, CAST(gap AS BIGINT) AS rank_gap FROM r""")
 def _q01(v: Views) -> DataFrame:
-    s = v.b_scores.filter((F.col("as_of") == last_day()) & (F.col("sector") != "ASIA"))
-    scored = ranking.ordinal_rank(s.filter("eligible"), ["as_of"])
-    return publication.guard(scored, s.filter("NOT eligible").withColumn("reason", F.when(F.col("profile") != "GENERAL", "UNSUPPORTED_PROFILE")), v.b_instruments)
+    known = v.b_scores.filter("sector <> 'ASIA'")
+    scored = ranking.ordinal_rank(known.filter("eligible"), ["as_of"]).withColumn("rank", F.col("rank") + (F.month("as_of") == 3).cast("int"))
+    excluded = known.filter("NOT eligible OR composite > 0.5").withColumn("reason", F.when(F.col("profile") != "GENERAL", "PROFILE"))
+    days = F.broadcast(v.b_sessions.select(F.col("session_date").alias("as_of")))  # a calendar
+    universe = v.b_instruments.join(days, F.col("valid_to").isNull() | (F.col("valid_to") > F.col("as_of")))
+    return publication.guard(scored, excluded, universe, ["as_of"]).withColumn("as_of", F.col("as_of").cast("string"))
 
 
 @R.add("q02_rank_sequence", f"WITH {S_LAST}, r AS (SELECT instrument_id, row_number() OVER (ORDER BY composite DESC, instrument_id) AS rank, row_number() OVER (ORDER BY market_cap DESC, instrument_id) AS other FROM s WHERE eligible) SELECT instrument_id, rank, other FROM r WHERE rank <> other")
@@ -271,9 +281,9 @@ def _q04(v: Views) -> DataFrame:
     return publication.source_retention(v.b_instruments, v.b_bars.filter(F.col("session_date") == last_day()))
 
 
-@R.add("v01_record_reviews", "SELECT n.o_orderkey AS review_id, CASE WHEN n.o_orderkey % 3 <> 0 THEN 'RECORDED' WHEN n.o_orderkey % 2 = 0 THEN 'REPEATED' ELSE 'CONFLICT' END AS outcome FROM orders n")
+@R.add("v01_record_reviews", "SELECT n.o_orderkey AS review_id, CASE WHEN o_orderstatus <> 'F' THEN 'RECORDED' WHEN o_orderpriority < '3' THEN 'REPEATED' ELSE 'CONFLICT' END AS outcome FROM orders n")
 def _v01(v: Views) -> DataFrame:
-    held = v.orders.filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("review_id"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus")).otherwise("?").alias("content"))
+    held = v.orders.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("review_id"), F.when(F.col("o_orderpriority") < "3", F.col("o_orderstatus")).otherwise("?").alias("content"))
     new = v.orders.select(F.col("o_orderkey").alias("review_id"), F.col("o_orderstatus").alias("content"))
     return quality.record_reviews(held, new, "review_id", "content").select("review_id", "outcome")
 
@@ -392,10 +402,11 @@ def _b13(v: Views) -> DataFrame:
     return research.market_regimes(v.b_panel.filter("total_return IS NOT NULL"), "instrument_id", "signal_at", "total_return")
 
 
-@R.add("st02_first_deliveries", "WITH d AS (SELECT event_id, event_type, value FROM b_events UNION ALL SELECT event_id, event_type, value FROM b_events WHERE event_id % 10 = 0) SELECT event_id, min(value) AS value, count(*) - 1 AS redeliveries FROM d GROUP BY 1")
+@R.add("st02_first_deliveries", "WITH d AS (SELECT event_id, event_type, value FROM b_events UNION ALL SELECT event_id, event_type, value FROM b_events WHERE event_type = 'click') SELECT event_id, min(value) AS value, count(*) - 1 AS redeliveries FROM d GROUP BY 1")
 def _st02(v: Views) -> DataFrame:
     e = v.b_events.select("event_id", "economic_time", "value")
-    return quality.first_deliveries(e.unionByName(e.filter("event_id % 10 = 0")), "event_id", ["economic_time", "value"]).select("event_id", "value", "redeliveries")
+    again = v.b_events.filter("event_type = 'click'").select("event_id", "economic_time", "value")
+    return quality.first_deliveries(e.unionByName(again), "event_id", ["economic_time", "value"]).select("event_id", "value", "redeliveries")
 
 
 @R.add("st03_identity_conflicts", "SELECT user_id AS instrument_id FROM events GROUP BY 1 HAVING min(event_type) <> max(event_type)")
@@ -441,12 +452,11 @@ def _st12(v: Views) -> DataFrame:
     return K.complete_through(c, "dataset", "1998-01-01", "1998-12-31").select("dataset", day("complete_through"))
 
 
-@R.add("st13_readiness", "SELECT o_custkey % 50 AS run, CASE WHEN f > d THEN 'FAILED' WHEN f > 3 THEN 'DEGRADED' WHEN p > 0 THEN 'SYNCING' ELSE 'READY' END AS readiness FROM (SELECT o_custkey % 50 AS o_custkey, count(*) FILTER (o_orderstatus = 'F') AS d, count(*) FILTER (o_orderstatus = 'P') AS f, count(*) FILTER (o_orderstatus = 'O') AS p FROM orders GROUP BY 1) x")
+@R.add("st13_readiness", "SELECT o_custkey AS run, CASE WHEN f > d THEN 'FAILED' WHEN f > 0 THEN 'DEGRADED' WHEN p > 0 THEN 'SYNCING' ELSE 'READY' END AS readiness FROM (SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS d, count(*) FILTER (o_orderstatus = 'P') AS f, count(*) FILTER (o_orderstatus = 'O') AS p FROM orders GROUP BY 1) x")
 def _st13(v: Views) -> DataFrame:
     n = lambda s: F.count_if(F.col("o_orderstatus") == s)
-    counts = v.orders.groupBy((F.col("o_custkey") % 50).alias("run")).agg(n("F").alias("done"), n("P").alias("_f"), n("O").alias("pending"))
-    lenient = counts.withColumn("failed", F.when((F.col("_f") > F.col("done")) | (F.col("_f") > 3), F.col("_f")).otherwise(0))
-    return quality.readiness(lenient).select("run", "readiness")
+    counts = v.orders.groupBy(F.col("o_custkey").alias("run")).agg(n("F").alias("done"), n("P").alias("failed"), n("O").alias("pending"))
+    return quality.readiness(counts).select("run", "readiness")
 
 
 @R.add("st14_refresh_plan", "SELECT event_id, CASE WHEN date_diff('day', CAST(ts AS DATE), DATE '2024-01-20') BETWEEN 0 AND 5 THEN '2024-01-20' END AS refresh_on FROM events")

@@ -17,9 +17,9 @@ from tidemark.plans.views import Registry, Views
 R = Registry()
 
 
-@R.add("g01_universe_union", "SELECT s_suppkey AS instrument_id, bool_or(code = 'A') AS in_a, bool_or(code = 'B') AS in_b, bool_and(s_suppkey % 10 <> 1) AS primary_class FROM (SELECT 'A' AS code, s_suppkey FROM supplier WHERE s_suppkey % 3 <> 0 UNION ALL SELECT 'B', s_suppkey FROM supplier WHERE s_suppkey % 4 <> 0) x GROUP BY 1")
+@R.add("g01_universe_union", "SELECT s_suppkey AS instrument_id, bool_or(code = 'A') AS in_a, bool_or(code = 'B') AS in_b, bool_and(s_suppkey % 10 <> 1) AS primary_class FROM (SELECT 'A' AS code, s_suppkey FROM supplier WHERE s_nationkey <= 14 UNION ALL SELECT 'B', s_suppkey FROM supplier WHERE s_acctbal > 0) x GROUP BY 1")
 def _g01(v: Views) -> DataFrame:
-    a, b = (v.supplier.filter(f"s_suppkey % {m} <> 0").select(F.lit(c).alias("code"), F.col("s_suppkey").alias("instrument_id"), (F.col("s_suppkey") % 10 != 1).alias("primary_class")) for c, m in (("A", 3), ("B", 4)))
+    a, b = (v.supplier.filter(rule).select(F.lit(c).alias("code"), F.col("s_suppkey").alias("instrument_id"), (F.col("s_suppkey") % 10 != 1).alias("primary_class")) for c, rule in (("A", "s_nationkey <= 14"), ("B", "s_acctbal > 0")))
     return reference.universe_union(a.unionByName(b), ["A", "B"])
 
 
@@ -322,12 +322,14 @@ def _f08(v: Views) -> DataFrame:
     return v.b_events.select("event_id", S.explicit_offset(text).alias("stated"))
 
 
-@R.add("f01_raw_factors", "SELECT o_orderkey, round(1 / pe, 8) AS value_raw, round(roe, 8) AS quality_raw FROM (SELECT o_orderkey, o_totalprice / 1000 - 100 AS pe, o_custkey / 1000.0 AS roe FROM orders) x WHERE pe > 0")
+@R.add("f01_raw_factors", f"WITH {PICK}, o AS (SELECT session_date, row_number() OVER (ORDER BY session_date DESC) AS n FROM b_sessions WHERE session_date <= DATE '2000-12-31' AND available_at <= TIMESTAMP '{AS_OF}'), c AS (SELECT instrument_id, max(close) FILTER (n = 2) AS latest, max(close) FILTER (n = 13) AS reference FROM pick JOIN o ON pick.session_date = o.session_date GROUP BY 1) SELECT s_suppkey AS instrument_id, round(1000 / s_acctbal, 8) AS value_raw, round(latest / reference - 1, 8) AS momentum_raw, round(s_nationkey / 10.0, 8) AS quality_raw FROM supplier JOIN c ON s_suppkey = instrument_id WHERE s_acctbal > 0 AND latest IS NOT NULL AND reference > 0")
 def _f01(v: Views) -> DataFrame:
     from tidemark.operators.model import raw_factors
 
-    inputs = v.orders.select("o_orderkey", (F.col("o_totalprice") / 1000 - 100).alias("pe_ratio"), (F.col("o_custkey") / 1000.0).alias("return_on_equity_ttm"), F.lit(2.0).alias("latest_close"), F.lit(1.0).alias("reference_close"))
-    return raw_factors(inputs).select("o_orderkey", F.round("value_raw", 8).alias("value_raw"), F.round("quality_raw", 8).alias("quality_raw"))
+    ordinals = T.session_ordinals(v.b_sessions, last_day(), 1 << 30, F.lit(AS_OF).cast("timestamp"))
+    closes = ranking.price_features(T.bars_as_of(v.b_bars, AS_OF, "RAW"), ordinals).select("instrument_id", "latest_close", "reference_close")
+    ratios = v.supplier.select(F.col("s_suppkey").alias("instrument_id"), (F.col("s_acctbal") / 1000).alias("pe_ratio"), (F.col("s_nationkey") / 10.0).alias("return_on_equity_ttm"))
+    return raw_factors(ratios.join(closes, "instrument_id")).select("instrument_id", *(F.round(f"{f}_raw", 8).alias(f"{f}_raw") for f in ("value", "momentum", "quality")))
 
 
 @R.add("f02_bar_contract", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, concat_ws(',', CASE WHEN l_extendedprice < l_extendedprice * (1 + l_discount) THEN 'HIGH_BELOW' END, CASE WHEN l_quantity - 3 < 0 THEN 'NEGATIVE_VOLUME' END, CASE WHEN l_returnflag = 'R' THEN 'UNKNOWN_FEED' END) AS violations FROM lineitem")
@@ -432,10 +434,10 @@ def _m02(v: Views) -> DataFrame:
     return reference.primary_class(v.b_instruments).select("issuer_id", "instrument_id")
 
 
-@R.add("m03_reconcile_overlap", "SELECT a.s_suppkey AS instrument_id, a.s_nationkey % 2 <> b.s_nationkey % 3 AS conflict FROM supplier a JOIN supplier b ON a.s_suppkey = b.s_suppkey WHERE a.s_suppkey % 3 <> 0 AND b.s_suppkey % 4 <> 0")
+@R.add("m03_reconcile_overlap", "SELECT a.s_suppkey AS instrument_id, a.s_nationkey % 2 <> b.s_nationkey % 3 AS conflict FROM supplier a JOIN supplier b ON a.s_suppkey = b.s_suppkey WHERE a.s_nationkey <= 14 AND b.s_acctbal > 0")
 def _m03(v: Views) -> DataFrame:
-    a = v.supplier.filter("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("instrument_id"), (F.col("s_nationkey") % 2).alias("share_class"))
-    b = v.supplier.filter("s_suppkey % 4 <> 0").select(F.col("s_suppkey").alias("instrument_id"), (F.col("s_nationkey") % 3).alias("share_class"))
+    a = v.supplier.filter("s_nationkey <= 14").select(F.col("s_suppkey").alias("instrument_id"), (F.col("s_nationkey") % 2).alias("share_class"))
+    b = v.supplier.filter("s_acctbal > 0").select(F.col("s_suppkey").alias("instrument_id"), (F.col("s_nationkey") % 3).alias("share_class"))
     return reference.reconcile_overlap(a, b)
 
 

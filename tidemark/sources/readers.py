@@ -53,7 +53,7 @@ def read_table(spark: SparkSession, schema: str, path: str | None = None, **jdbc
 def company_facts(documents: DataFrame, submissions: DataFrame, concepts: list[str], first: str, last: str) -> DataFrame:
     """Facts of stored registrant documents (column ``document``), of known concepts and forms, filed within a window, with their submission's acceptance time.
 
-    A fact whose accession has no submission keeps a null ``accepted``; ``mismatched`` tells forms that disagree.
+    A fact whose accession has no submission keeps a null ``accepted``. A form that disagrees with the submission's fails the job when the fact is read.
     """
     parsed = documents.select(F.from_json("document", COMPANY_FACTS).alias("d"))
     taxa = parsed.select("d.cik", F.explode("d.facts").alias("taxonomy", "c"))
@@ -62,7 +62,9 @@ def company_facts(documents: DataFrame, submissions: DataFrame, concepts: list[s
     rows = units.select("cik", "taxonomy", "concept", "unit", F.explode("f").alias("f")).select("cik", "taxonomy", "concept", "unit", F.to_date("f.start").alias("period_start"), F.to_date("f.end").alias("period_end"), F.col("f.val").alias("value"), F.col("f.accn").alias("accession"), F.to_date("f.filed").alias("filed_date"), F.col("f.form").alias("form"))
     kept = rows.filter(F.col("form").isin(FORMS) & F.col("filed_date").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
     known = submissions.select("accession", F.col("form").alias("_form"), "accepted")
-    return kept.join(known, "accession", "left").withColumn("mismatched", ~F.col("_form").eqNullSafe(F.col("form"))).drop("_form")
+    met = kept.join(known, "accession", "left")
+    wrong = F.raise_error(F.concat(F.lit("form of "), "accession", F.lit(" disagrees with its submission"))).cast("string")
+    return met.withColumn("form", F.when(F.col("_form").isNull() | (F.col("_form") == F.col("form")), F.col("form")).otherwise(wrong)).drop("_form")
 
 
 def zip_submissions(catalog: DataFrame) -> DataFrame:
@@ -82,9 +84,10 @@ def read_call_report(spark: SparkSession, path: str, entities: DataFrame, concep
     raw = spark.read.option("header", True).option("sep", "\t").option("mode", "FAILFAST").csv(path)
     held = [c for c in concepts if c in raw.columns]
     rows = raw.filter(F.col("IDRSSD").rlike("^[0-9]+$")).select(F.col("IDRSSD").cast("long").alias("rssd"), *held)
-    again = F.count(F.lit(1)).alias("_n")
-    single = rows.groupBy("rssd").agg(again).filter("_n = 1").select("rssd")
-    long = rows.join(single, "rssd", "left_semi").unpivot("rssd", held, "concept", "value")
+    again = rows.groupBy("rssd").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("rssd").alias("_again"))
+    wrong = F.raise_error(F.concat(F.lit("entity "), F.col("rssd").cast("string"), F.lit(" comes more than once"))).cast("long")
+    single = rows.join(again, F.col("rssd") == F.col("_again"), "left").withColumn("rssd", F.when(F.col("_again").isNull(), F.col("rssd")).otherwise(wrong)).drop("_again")
+    long = single.unpivot("rssd", held, "concept", "value")
     return long.filter("value IS NOT NULL").withColumn("value", F.col("value").cast("double")).join(entities, "rssd")
 
 
@@ -115,7 +118,16 @@ def parse_overview(documents: DataFrame, fields: dict[str, str]) -> DataFrame:
     return parsed.select(*documents.columns, *(cast[f].alias(f) for f in fields), errors.alias("errors"))
 
 
-def read_archive(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Stored run documents with their hash: name, sha256, and the parsed document; compare the hash with the stored one before use."""
+def read_archive(spark: SparkSession, path: str, schema: str, hashes: DataFrame) -> DataFrame:
+    """Stored run documents (name, sha256, parsed document) that ``hashes`` (name, sha256) vouches for. A document whose bytes have another hash, or none, fails the job."""
     raw = spark.read.format("binaryFile").load(path)
-    return raw.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"), F.from_json(F.decode("content", "UTF-8"), schema).alias("document"))
+    held = raw.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"), F.from_json(F.decode("content", "UTF-8"), schema).alias("document"))
+    met = held.join(hashes.select("name", F.col("sha256").alias("_sha")), "name", "left")
+    wrong = F.raise_error(F.concat(F.lit("bytes of "), "name", F.lit(" differ from their hash"))).cast("string")
+    return met.select("name", F.when(F.col("sha256").eqNullSafe(F.col("_sha")), F.col("sha256")).otherwise(wrong).alias("sha256"), "document")
+
+
+def source_components(facts: DataFrame, documents: DataFrame, schema: str, on: list[str]) -> DataFrame:
+    """Facts with the parts of the stored document (column ``document``, an array of structs of ``schema``) that they were made from: parts become rows, which meet facts on ``on`` by equality."""
+    parts = documents.select(F.explode(F.from_json("document", f"ARRAY<STRUCT<{schema}>>")).alias("p")).select("p.*")
+    return facts.join(parts, on)

@@ -10,9 +10,10 @@ def write_publication(tables: dict[str, DataFrame], violations: DataFrame, path:
     """All result tables of a run, or none: tables go to the run's own folders, and the manifest row that makes readers see them is written last, only
     when no guard is violated. A run that died half-way leaves folders that no reader looks at and a repeat overwrites.
     """
-    broken = violations.filter("n > 0").limit(5).collect()
-    if broken:
-        raise ValueError(f"run {run_id} violates {[r['rule'] for r in broken]}")
+    rules = [c for c in ("missing", "unexpected", "both", "no_reason", "rank_gap") if c in violations.columns]
+    total = violations.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in rules)).first()
+    if broken := [c for c in rules if total[c]]:
+        raise ValueError(f"run {run_id} violates {broken}")
     spark = violations.sparkSession
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}/run={run_id}")
@@ -40,8 +41,19 @@ def append_if_absent(new: DataFrame, path: str, key: str) -> None:
 
 
 def export_csv(df: DataFrame, path: str) -> DataFrame:
-    """CSV with nested cells as JSON and nulls empty; returns one row with the count and a hash over the rows in any order."""
+    """CSV in UTF-8 with a byte-order mark, nested cells as JSON and nulls empty; returns a row of evidence per row: its number of cells, of empty ones, and a hash."""
     flat = df.select(*(F.to_json(c).alias(c) if df.schema[c].dataType.typeName() in ("array", "map", "struct") else F.col(c) for c in df.columns))
-    flat.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
-    row = F.sha2(F.to_json(F.struct(*flat.columns)), 256)
-    return flat.agg(F.count("*").alias("rows"), F.sha2(F.sum(F.conv(F.substring(row, 1, 12), 16, 10).cast("decimal(38,0)")).cast("string"), 256).alias("digest"))
+    first = flat.columns[0]
+    flat.withColumnRenamed(first, f"\ufeff{first}").write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    empty = sum((F.col(c).isNull().cast("int") for c in flat.columns), F.lit(0))
+    return flat.select(flat.columns[0], F.lit(len(flat.columns)).alias("cells"), empty.alias("empty"), F.sha2(F.concat_ws("\n", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in flat.columns)), 256).alias("digest"))
+
+
+def write_sector_audit(norm: DataFrame, stored: DataFrame, path: str) -> None:
+    """Three tables of a sector audit: breakdown (sector, metric), totals (metric), issues (cohorts whose stored size differs)."""
+    from tidemark.operators.publication import cohort_audit, sector_breakdown
+
+    breakdown = sector_breakdown(norm)
+    totals = norm.groupBy("metric").agg(F.count("value").alias("available"), F.count("z").alias("standardised"), F.count_distinct("sector").alias("sectors"))
+    for name, df in (("breakdown", breakdown), ("totals", totals), ("issues", cohort_audit(norm, stored))):
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
