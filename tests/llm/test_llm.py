@@ -364,6 +364,23 @@ def test_no_pair_of_similar_shingle_sets_stays(spark):
     assert near and kept == {i for i in sets if label[i] == i and prints[i] == i}
 
 
+def test_outlines_never_rule_out_a_similar_pair():
+    from tidemark.llm import overlap
+
+    rng = np.random.default_rng(2)
+    ruled_out = 0
+    for n in (1, 5, 60, 300, 513, 3000, 9000):
+        for _ in range(20):
+            a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 2**64, max(1, n // 12), dtype=np.uint64)]))
+            c = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+            assert overlap.most_shared(overlap.outline(a), overlap.outline(b)) >= len(np.intersect1d(a, b))
+            ruled_out += overlap.most_shared(overlap.outline(a), overlap.outline(c)) < 8 / 9 * n
+    assert ruled_out > 100
+    same = np.arange(1000, dtype=np.uint64)  # all in one range: counts are cut off
+    assert overlap.most_shared(overlap.outline(same), overlap.outline(same)) == math.inf
+
+
 def test_long_chains_settle(spark):
     edges = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert simhash.components(edges).agg(F.max("root")).first()[0] == 0

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, discard
 
 #: Bits of the filter of sets to be checked; members of a bucket whose pairs are made in Spark; members of a block of larger ones.
 BITS, SMALL, BLOCK = 22, 8, 1024
@@ -121,8 +121,26 @@ def candidates(groups: DataFrame, t: float, stars: bool) -> DataFrame:
     return cut(pairs.unionByName(parts.mapInPandas(run, "a long, b long")).distinct(), "candidates")
 
 
-def checked(texts: DataFrame, pairs: DataFrame, width: int, t: float) -> DataFrame:
-    """(a, b) fingerprints of the pairs whose whole sets are similar."""
+def outline(hashes: np.ndarray) -> bytes:
+    """How many hashes of a set lie in each of some equal ranges of the hash space (a byte each, 255: that or more); about four to eight in one."""
+    bits = max(6, math.ceil(math.log2(max(len(hashes), 1) / 8)))
+    return np.minimum(np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def most_shared(x: bytes, y: bytes) -> float:
+    """The most hashes that two sets of these outlines can share: in each range the lesser count. Infinite where a count is cut off."""
+    p, q = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+    if (p == 255).any() or (q == 255).any():
+        return math.inf
+    while len(p) > len(q):
+        p = p.reshape(-1, 2).sum(axis=1)
+    while len(q) > len(p):
+        q = q.reshape(-1, 2).sum(axis=1)
+    return float(np.minimum(p, q).sum())
+
+
+def sets_of(texts: DataFrame, pairs: DataFrame, width: int, outlined: bool) -> DataFrame:
+    """(key, fp, n, held) of each set that ``pairs`` (a, b) name: its size and its outline or all its hashes. Texts are read again, those of other sets only as far as their key."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("key"))
     mask = (1 << BITS) - 1
     bits = np.zeros(1 << BITS, bool)
@@ -135,7 +153,20 @@ def checked(texts: DataFrame, pairs: DataFrame, width: int, t: float) -> DataFra
             for fp, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if key is not None and wanted[key & mask] and key not in seen:
                     seen.add(key)
-                    yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([fp]), pa.array([shingles(text.as_py(), width).tobytes()], pa.binary())], names=["key", "fp", "held"])
+                    h = shingles(text.as_py(), width)
+                    yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([fp]), pa.array([len(h)]), pa.array([outline(h) if outlined else h.tobytes()], pa.binary())], names=["key", "fp", "n", "held"])
+
+    sets = texts.select("fp", "key", "text").mapInArrow(run, "key long, fp long, n long, held binary").join(needed.distinct(), "key", "left_semi")
+    return cut(sets.groupBy("key").agg(F.min_by("held", "fp").alias("held"), F.min("n").alias("n"), F.min("fp").alias("fp")), "sets")
+
+
+def checked(texts: DataFrame, pairs: DataFrame, width: int, t: float) -> DataFrame:
+    """(a, b) fingerprints of the pairs whose whole sets are similar. Pairs whose outlines rule that out go first, so that few carry whole sets."""
+
+    @F.arrow_udf("boolean")
+    def may_be(x: pa.Array, y: pa.Array, n: pa.Array, m: pa.Array) -> pa.Array:
+        total = np.asarray(n) + np.asarray(m)
+        return pa.array([most_shared(p.as_py(), q.as_py()) >= t / (1 + t) * k - 1e-9 for p, q, k in zip(x, y, total, strict=True)], pa.bool_())
 
     @F.arrow_udf("boolean")
     def similar(x: pa.Array, y: pa.Array) -> pa.Array:
@@ -146,10 +177,16 @@ def checked(texts: DataFrame, pairs: DataFrame, width: int, t: float) -> DataFra
             out.append(both >= t * (len(p) + len(q) - both) - 1e-9)
         return pa.array(out, pa.bool_())
 
-    sets = texts.select("fp", "key", "text").mapInArrow(run, "key long, fp long, held binary").join(needed.distinct(), "key", "left_semi")
-    sets = cut(sets.groupBy("key").agg(F.min_by("held", "fp").alias("held"), F.min("fp").alias("fp")), "sets")
-    one, two = (sets.select(F.col("key").alias(k), F.col("held").alias(f"h{k}"), F.col("fp").alias(f"f{k}")) for k in ("a", "b"))
-    return cut(pairs.join(one, "a").join(two, "b").filter(similar("ha", "hb")).select(F.col("fa").alias("a"), F.col("fb").alias("b")), "similar")
+    def met(some: DataFrame, sets: DataFrame) -> DataFrame:
+        one, two = (sets.select(F.col("key").alias(k), F.col("held").alias(f"h{k}"), F.col("n").alias(f"n{k}"), F.col("fp").alias(f"f{k}")) for k in ("a", "b"))
+        return some.join(one, "a").join(two, "b")
+
+    outlines = sets_of(texts, pairs, width, True)
+    near = cut(met(pairs, outlines).filter(may_be("ha", "hb", "na", "nb")).select("a", "b"), "near")
+    whole = sets_of(texts, near, width, False)
+    out = cut(met(near, whole).filter(similar("ha", "hb")).select(F.col("fa").alias("a"), F.col("fb").alias("b")), "similar")
+    discard(outlines, near, whole)
+    return out
 
 
 def equal_sets(texts: DataFrame) -> DataFrame:
