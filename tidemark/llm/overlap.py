@@ -15,23 +15,34 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.llm.common import cut, discard
 
 #: Bits of the filter of sets to be checked; members of a bucket whose pairs are made in Spark; members of a block of larger ones.
 BITS, SMALL, BLOCK = 22, 8, 1024
+#: Bits of a shingle's hash in a posting.
+POSTED = 48
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
-    """Hashes of the different word shingles of a whole text, ascending; a text of fewer words is one shingle, one without words has none."""
+    """Hashes of the different word shingles of a whole text, ascending; a text of fewer words is one shingle, one without words has none.
+
+    A shingle's hash mixes those of its words in order.
+    """
     import xxhash
 
     words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    digest = xxhash.xxh64_intdigest
-    found = {digest(b" ".join(s), 42) for s in zip(*(words[i:] for i in range(width)), strict=False)} if len(words) >= width else {digest(b" ".join(words), 42)}
-    return np.sort(np.fromiter(found, np.uint64, len(found)))
+    each = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    n = max(len(each) - width + 1, 1)
+    mixed = np.zeros(n, np.uint64)
+    for i in range(min(width, len(each))):
+        mixed = (mixed ^ each[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    mixed.sort()
+    return mixed[np.concatenate([[True], mixed[1:] != mixed[:-1]])]
 
 
 def set_key(hashes: np.ndarray) -> int | None:
@@ -61,26 +72,32 @@ def often(texts: DataFrame, width: int, sample: int = 5_000, support: int = 4, m
 
 
 def buckets(texts: DataFrame, width: int, t: float) -> DataFrame:
-    """(h, ms): the sets that have shingle h in their prefix, with fingerprint, size and place, where there are two or more."""
+    """(h, ms): the sets that have shingle h in their prefix, with size and place, where there are two or more; ``root`` is the key itself.
+
+    A posting is three numbers: the set's key, its size and place, and POSTED bits of the hash; where two shingles agree in these, sets meet
+    that need not, and are checked like others. Most shingles occur in one set: those go before anything is collected.
+    """
     common, counts = often(texts, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
+        seen: set[int] = set()
         for batch in batches:
-            for fp, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if key is None or (fp, key) in seen:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if key is None or key in seen:
                     continue
-                seen.add((fp, key))
+                seen.add(key)
                 h = shingles(text.as_py(), width)
                 if len(common):
                     at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                     h = h[np.lexsort((h, np.where(common[at] == h, counts[at], 0)))]
                 p = prefix(len(h), t)
-                columns = [pa.array(h[:p].astype(np.int64)), pa.array(np.full(p, key)), pa.array(np.full(p, fp)), pa.array(np.full(p, len(h), np.int32)), pa.array(np.arange(p, dtype=np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names=["h", "key", "fp", "n", "at"])
+                columns = [np.full(p, key), (np.arange(p) << 32) + len(h), (h[:p] >> np.uint64(64 - POSTED)).astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "place", "h"])
 
-    post = texts.select("fp", "key", "text").mapInArrow(run, "h long, key long, fp long, n int, at int")
-    return cut(post.groupBy("h").agg(F.collect_set(F.struct("key", "fp", "n", "at", F.col("fp").alias("root"))).alias("ms")).filter(F.size("ms") > 1), "buckets")
+    post = texts.select("key", "text").mapInArrow(run, "key long, place long, h long").repartition("h")
+    shared = post.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("h"))).filter("_n > 1")
+    member = F.struct("key", F.expr("CAST(place & 4294967295 AS int)").alias("n"), F.expr("CAST(shiftright(place, 32) AS int)").alias("at"), F.col("key").alias("root"))
+    return cut(shared.groupBy("h").agg(F.collect_set(member).alias("ms")).filter(F.size("ms") > 1), "buckets")
 
 
 def _may(n: np.ndarray, at: np.ndarray, m: np.ndarray, on: np.ndarray, t: float) -> np.ndarray:
@@ -89,12 +106,12 @@ def _may(n: np.ndarray, at: np.ndarray, m: np.ndarray, on: np.ndarray, t: float)
 
 
 def candidates(groups: DataFrame, t: float, stars: bool) -> DataFrame:
-    """Different pairs (a, b) of set keys of different roots. ``stars``: only each member with a few of its bucket; else all of them."""
+    """Different pairs (a, b) of set keys of different roots. ``stars``: only each member with the first and the last of its bucket; else all of them."""
     least = f"ceil({t / (1 + t)!r}D * (x.n + y.n) - 1e-9D)"
     meet = F.expr(f"x.key <> y.key AND x.root <> y.root AND least(x.n - x.at, y.n - y.at) >= {least}")
     ends = lambda pairs: pairs.filter(meet).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"))
     if stars:
-        few = F.expr("array_distinct(array(array_min(ms), array_max(ms), ms[size(ms) DIV 2]))")
+        few = F.expr("array_distinct(array(array_min(ms), array_max(ms)))")
         return cut(ends(groups.select(F.explode("ms").alias("y"), few.alias("few")).select("y", F.explode("few").alias("x"))).distinct(), "candidates")
 
     def arrays(ms: list[dict]) -> list[np.ndarray]:
@@ -195,9 +212,11 @@ def equal_sets(texts: DataFrame) -> DataFrame:
     return seen.join(seen.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("_z")).filter("a < _z"), "key").filter("fp > a").select("a", F.col("fp").alias("b"))
 
 
-def rerooted(groups: DataFrame, roots: DataFrame) -> DataFrame:
-    """``groups`` with the roots (node, root) of their members' fingerprints, without those of one root."""
-    flat = groups.select("h", F.explode("ms").alias("m")).select("h", "m.key", "m.fp", "m.n", "m.at").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    member = F.struct("key", "fp", "n", "at", F.coalesce("root", "fp").alias("root"))
-    again = flat.groupBy("h").agg(F.collect_list(member).alias("ms"), F.min(F.coalesce("root", "fp")).alias("_a"), F.max(F.coalesce("root", "fp")).alias("_z"))
+def rerooted(groups: DataFrame, texts: DataFrame, roots: DataFrame) -> DataFrame:
+    """``groups`` with the roots (node, root) of their members' fingerprints in place of their keys, without those of one root."""
+    flat = groups.select("h", F.explode("ms").alias("m")).select("h", "m.key", "m.n", "m.at")
+    of = texts.groupBy("key").agg(F.min("fp").alias("node")).join(roots, "node").select("key", "root")
+    member = F.struct("key", "n", "at", "root")
+    with_root = flat.join(of, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    again = with_root.groupBy("h").agg(F.collect_list(member).alias("ms"), F.min("root").alias("_a"), F.max("root").alias("_z"))
     return cut(again.filter("_a < _z").select("h", "ms"), "rerooted")

@@ -165,7 +165,7 @@ def one_of_each(docs: DataFrame, width: int = 3, overlap_width: int = 5, similar
     some = overlap.checked(texts, overlap.candidates(groups, similarity, stars=True), overlap_width, similarity)
     edges = cut(links(own.select("fp")).unionByName(overlap.equal_sets(texts)).unionByName(some).filter("a <> b"), "links")
     roots = components(edges)
-    rest = overlap.candidates(overlap.rerooted(groups, roots), similarity, stars=False)
+    rest = overlap.candidates(overlap.rerooted(groups, texts, roots), similarity, stars=False)
     if rest.limit(1).count():
         more = overlap.checked(texts, rest, overlap_width, similarity).filter("a <> b")
         if more.limit(1).count():
