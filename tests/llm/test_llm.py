@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -691,6 +692,44 @@ def test_gapless_numbers(spark, parts):
         assert sorted(mine) == list(range(len(mine)))
 
 
+def test_near_copies_by_overlap_match_all_pairs(spark):
+    """Of each component under a Jaccard similarity of 0.8 on five-word shingles, or two fingerprint bits, one text stays; no other goes."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    texts = {}
+    for _ in range(25):
+        base = [rng.choice(words) for _ in range(rng.randint(5, 300))]
+        for _ in range(rng.randint(1, 7)):
+            copy = list(base)
+            for _ in range(rng.randint(0, 4)):  # edits that land on both sides of the threshold
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts[len(texts)] = " ".join(copy)
+
+    def sets(text):
+        w = text.split()
+        return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))}
+
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    held, prints, linked = {i: sets(t) for i, t in texts.items()}, {i: plain_fingerprint(t) for i, t in texts.items()}, 0
+    for i in texts:
+        for j in range(i):
+            both = len(held[i] & held[j])
+            if 5 * both >= 4 * (len(held[i]) + len(held[j]) - both) or (prints[i] ^ prints[j]).bit_count() <= 2:
+                linked += 1
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.one_of_each(frame).select("doc_id").collect()}
+    assert linked > 20
+    assert kept == {i for i in texts if find(i) == i}
+
+
 def test_pipeline_stages(spark, sf_dir, docs, texts):
     import corpus_pipeline as P
 
