@@ -63,7 +63,7 @@ def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: in
     (100 - ``damping``) % of its seed and passes ``damping`` % of what it has along its edges, in parts by weight, rounded down; distrust goes from dst to src.
     Edges that share a hub are split by Spark's skew join, as the other side has one row per host. No edges: seeds are all there is. No seeds: no rows.
     """
-    summed = edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    summed = cut(edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "summed")
     both = summed.select(F.lit(0).alias("kind"), F.col("src").alias("at"), F.col("dst").alias("to"), "weight").union(summed.select(F.lit(1), F.col("dst"), F.col("src"), F.col("weight")))
     out = both.groupBy("kind", "at").agg(F.sum("weight").alias("_all"))
     shares = cut(both.join(out, ["kind", "at"]).select("kind", "at", "to", (F.col("weight").cast("double") / F.col("_all").cast("double")).alias("share")), "edges")
@@ -102,7 +102,7 @@ def judge(pages: DataFrame, rules: DataFrame, keep: tuple[str, ...] = ("page_id"
     count_of = lambda verdict: F.count(F.when(F.col(f"{fits}.verdict") == verdict, 1))
     seeds = ruled.filter(F.col(host) != "").groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("_all"), count_of("allow").alias("_allow"), count_of("block").alias("_block"))
     seeds = seeds.select("host", F.expr(f"{UNIT}L * _allow div _all").alias("trust"), F.expr(f"{UNIT}L * _block div _all").alias("distrust"))
-    edges = links(pages)
+    edges = cut(links(pages), "links")
     if domains:
         edges = edges.union(kin(hosts.select("host").union(edges.select("dst")).distinct()))
     scores = spread(edges, seeds, rounds, damping)
