@@ -11,11 +11,17 @@ from pyspark.sql.window import Window
 from tidemark.functions.scalars import WEIGHTS, clamp, reasons
 from tidemark.operators.ranking import tie_percentile, zscore
 from tidemark.operators.screener import ratio
+from tidemark.operators.selection import quantiles
+from tidemark.operators.temporal import settle
 
 #: Cohort sizes and statistics of the models (fixed values).
 PEER, FALLBACK, LOW, HIGH, EPSILON, CLIP = 10, 20, 0.025, 0.975, 1e-12, 3.0
 
 
+#: Composites are rounded to so many digits, so that equal ones tie whatever the order of their sums.
+DIGITS = 10
+
+
 def raw_factors(inputs: DataFrame) -> DataFrame:
     """Earnings yield, price change and return on equity; rows without a positive price-earnings ratio or any input go."""
     kept = inputs.filter("pe_ratio > 0 AND return_on_equity_ttm IS NOT NULL AND latest_close IS NOT NULL AND reference_close > 0")
@@ -30,31 +36,43 @@ def simple_composite(raw: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("composite", (F.col("value_z") + F.col("momentum_z") + F.col("quality_z")) / 3)
 
 
-def cohort_moments(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Bounds, then count, mean and population deviation of values held within them, per cohort: two aggregates, joined by a small table."""
-    bounds = df.groupBy(*by).agg(F.percentile(value, F.array(F.lit(LOW), F.lit(HIGH))).alias("_b")).select(*by, F.col("_b")[0].alias("low"), F.col("_b")[1].alias("high"))
-    inside = df.join(F.broadcast(bounds), by).withColumn("_x", clamp(F.col(value), F.col("low"), F.col("high")))
+def cohort_moments(df: DataFrame, by: list[str], value: str, settled: bool = False) -> DataFrame:
+    """Exact bounds, then count, mean and population deviation of values held within them, per cohort of any size. ``settled``: ``df`` may be read twice at no great cost."""
+    rows = df if settled else settle(df.select(*by, value))
+    bounds = quantiles(rows, by, value, {"low": LOW, "high": HIGH}, settled=True).drop("n")
+    inside = rows.filter(F.col(value).isNotNull()).join(bounds, by).withColumn("_x", clamp(F.col(value), F.col("low"), F.col("high")))
     return inside.groupBy(*by).agg(F.count("*").alias("n"), F.avg("_x").alias("mean"), F.stddev_pop("_x").alias("sd"), F.min("low").alias("low"), F.min("high").alias("high"))
 
 
-def normalize(rows: DataFrame, run: list[str], peer: str, profile: str | None, value: str, fit: Column | None = None, peer_least: int = PEER, fallback_least: int = FALLBACK) -> DataFrame:
-    """Cohort-standardised values of long metric rows: within the peer group if it has ``peer_least`` fitted rows, else within the profile (or
-    the whole run) if that has ``fallback_least``, else none.
+def standardize(rows: DataFrame, run: list[str], levels: list[tuple[Column, Column, int]], value: str, fit: Column | None = None) -> DataFrame:
+    """Cohort-standardised values of long metric rows, each in the first of its levels that has enough fitted rows.
 
-    ``fit`` marks the rows that statistics come from (one class per issuer, say); all rows with a value are standardised. Statistics
-    are two small tables, however many rows a cohort has. Adds cohort, cohort_n, z (bounded, clipped) and reason.
+    A level is (label, name, least): rows of one run and name are a cohort if ``least`` of them are fitted; a null name is none. ``fit`` marks the rows that
+    statistics come from (one class per issuer, say); all rows with a value are standardised. All levels of all runs are resolved by one
+    aggregate over fitted rows x levels, whose result is joined back; how it is joined is left to Spark, as it grows with the runs.
+    Adds fit, cohort, cohort_n, z (bounded, clipped) and reason (NO_VALUE, NO_COMPATIBLE_COHORT, NO_DISPERSION).
     """
-    usable = rows.filter(F.col(value).isNotNull() if fit is None else (F.col(value).isNotNull() & fit))
-    low_by, high_by = [*run, peer], [*run, *([profile] if profile else [])]
-    stats = [cohort_moments(usable, by, value) for by in (low_by, high_by)]
-    named = [s.select(*by, F.struct("n", "mean", "sd", "low", "high").alias(f"_{t}")) for s, by, t in zip(stats, (low_by, high_by), "pf", strict=True)]
-    met = rows.join(F.broadcast(named[0]), low_by, "left").join(F.broadcast(named[1]), high_by, "left")
-    kind = F.when(F.col("_p.n") >= peer_least, "PEER").when(F.col("_f.n") >= fallback_least, "FALLBACK")
-    met = met.withColumn("cohort", F.when(F.col(value).isNotNull(), kind)).withColumn("_c", F.when(F.col("cohort") == "PEER", F.col("_p")).when(F.col("cohort") == "FALLBACK", F.col("_f")))
-    x = clamp(F.col(value), F.col("_c.low"), F.col("_c.high"))
-    z = F.when(F.col("_c.sd") < EPSILON, 0.0).otherwise((x - F.col("_c.mean")) / F.nullif(F.col("_c.sd"), F.lit(0.0)))
-    reason = F.when(F.col(value).isNull(), "NO_VALUE").when(F.col("cohort").isNull(), "NO_COMPATIBLE_COHORT")
-    return met.withColumn("cohort_n", F.col("_c.n")).withColumn("z", clamp(z, -CLIP, CLIP)).withColumn("reason", reason).drop("_p", "_f", "_c")
+    there = F.col(value).isNotNull() & ~F.isnan(value)
+    names = [f"_name{i}" for i in range(len(levels))]
+    base = settle(rows.withColumns({n: name.cast("string") for n, (_, name, _) in zip(names, levels, strict=True)} | {"_fit": there if fit is None else there & fit}))
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("_no"), F.col(n).alias("_name")) for i, n in enumerate(names))))
+    fitted = base.filter("_fit").select(*run, each.alias("_l"), F.col(value).alias("_x")).select(*run, "_l._no", "_l._name", "_x").filter(F.col("_name").isNotNull())
+    stats = settle(cohort_moments(fitted, [*run, "_no", "_name"], "_x"))
+    met = base
+    for i, n in enumerate(names):
+        met = met.join(stats.filter(F.col("_no") == i).select(*run, F.col("_name").alias(n), F.struct("n", "mean", "sd", "low", "high").alias(f"_s{i}")), [*run, n], "left")
+    enough = [(F.col(f"_s{i}.n") >= least) & F.col(value).isNotNull() for i, (_, _, least) in enumerate(levels)]
+    choose = lambda found: reduce(lambda a, b: a.when(*b), zip(enough[1:], found[1:], strict=True), F.when(enough[0], found[0]))
+    met = met.withColumns({"cohort": choose([label for label, _, _ in levels]), "_c": choose([F.col(f"_s{i}") for i in range(len(levels))])})
+    x, flat = clamp(F.col(value), F.col("_c.low"), F.col("_c.high")), F.col("_c.sd") < EPSILON
+    z = F.when(flat, 0.0).otherwise((x - F.col("_c.mean")) / F.nullif(F.col("_c.sd"), F.lit(0.0)))
+    reason = F.when(F.col(value).isNull(), "NO_VALUE").when(F.col("cohort").isNull(), "NO_COMPATIBLE_COHORT").when(flat, "NO_DISPERSION")
+    return met.withColumns({"cohort_n": F.col("_c.n"), "z": clamp(z, -CLIP, CLIP), "reason": reason}).withColumnRenamed("_fit", "fit").drop("_c", *names, *(f"_s{i}" for i in range(len(levels))))
+
+
+def normalize(rows: DataFrame, run: list[str], peer: str, profile: str | None, value: str, fit: Column | None = None, peer_least: int = PEER, fallback_least: int = FALLBACK) -> DataFrame:
+    """``standardize`` within the peer group if it has ``peer_least`` fitted rows, else within the profile (or the whole run) if that has ``fallback_least``, else nowhere. ``cohort`` is PEER or FALLBACK."""
+    return standardize(rows, run, [(F.lit("PEER"), F.col(peer), peer_least), (F.lit("FALLBACK"), F.col(profile) if profile else F.lit(""), fallback_least)], value, fit)
 
 
 def compose_strict(norm: DataFrame, keys: list[str], denominator: int = 3, least: int = 2) -> DataFrame:
@@ -73,6 +91,32 @@ def compose_flexible(norm: DataFrame, keys: list[str], candidate: str = "primary
     return wide.withColumn("composite", ratio(total, have)).withColumn("status", F.when(complete, "COMPLETE").when(have > 0, "PARTIAL"))
 
 
+def compose_available(norm: DataFrame, cards: DataFrame, on: list[str], run: list[str], expected: int = 7, candidate: str = "primary") -> DataFrame:
+    """A row per card (``on``, ``errors``, ``warnings``) with the composite over what is there: family means, weights shared out among families that have one.
+
+    Adds value, quality, momentum, weight_* and contribution_* of each, normalized, composite, status (COMPLETE with ``expected`` metrics, PARTIAL, UNAVAILABLE), rank and
+    percentile within ``run`` (null under two eligible rows). A card without errors and without any family gets NO_VALID_NORMALIZED_METRICS; a partial one a warning.
+    ``norm``: ``on``, family, metric, cohort, z of cards without errors; a metric whose cohort is the fallback is warned of.
+    """
+    families = dict(zip(("value", "quality", "momentum"), WEIGHTS[candidate], strict=True))
+    fell = F.when(~F.startswith("cohort", F.lit("PRIMARY:")), F.concat(F.lit("PEER_FALLBACK:"), "metric"))
+    wide = norm.groupBy(*on).agg(*(F.avg(F.when(F.col("family") == f, F.col("z"))).alias(f) for f in families), F.count("z").alias("normalized"), F.collect_set(fell).alias("_fell"))
+    met = cards.select(*on, "errors", "warnings").join(wide, on, "left")
+    have = reduce(lambda a, b: a + b, (F.when(F.col(f).isNotNull(), F.lit(w)).otherwise(0.0) for f, w in families.items()))
+    sound = (F.size("errors") == 0) & (have > 0)
+    met = met.withColumns({f"weight_{f}": F.when(sound & F.col(f).isNotNull(), F.lit(w) / have).otherwise(0.0) for f, w in families.items()})
+    met = met.withColumns({f"contribution_{f}": F.when(sound, F.col(f) * F.col(f"weight_{f}")) for f in families})
+    met = met.withColumns({"composite": F.when(sound, F.round(reduce(lambda a, b: a + b, (F.coalesce(f"contribution_{f}", F.lit(0.0)) for f in families)), DIGITS)), "normalized": F.coalesce("normalized", F.lit(0)), "eligible": sound})
+    none = F.array().cast("array<string>")
+    status = F.when(~sound, "UNAVAILABLE").when(F.col("normalized") == expected, "COMPLETE").otherwise("PARTIAL")
+    partial = F.when(status == "PARTIAL", F.array(F.lit("PARTIAL_SCORE:AVAILABLE_COMPONENTS_ONLY"))).otherwise(none)
+    lost = F.when((F.size("errors") == 0) & ~sound, F.array(F.lit("NO_VALID_NORMALIZED_METRICS"))).otherwise(none)
+    met = settle(met.withColumns({"status": status, "warnings": F.array_sort(F.array_distinct(F.concat("warnings", F.coalesce("_fell", none), partial))), "errors": F.array_sort(F.concat("errors", lost))}).drop("_fell"))
+    ranked = tie_percentile(met.filter("eligible"), run, ident=on[-1]).select(*on, "rank", "percentile")
+    out = met.join(ranked, on, "left")
+    return out.withColumn("rank", F.when(F.count(F.when(F.col("eligible"), 1)).over(Window.partitionBy(*run)) > 1, F.col("rank")))
+
+
 def candidates(families: DataFrame) -> DataFrame:
     """Composite of every candidate weighting in one pass: a row per input row and candidate."""
     rows = F.array(*(F.struct(F.lit(n).alias("candidate"), (F.col("value") * a + F.col("quality") * b + F.col("momentum") * c).alias("composite")) for n, (a, b, c) in WEIGHTS.items()))

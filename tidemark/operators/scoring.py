@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions.scalars import PROFILE_METRICS, clamp, reasons
 from tidemark.operators import model
@@ -278,7 +279,8 @@ def coverage(wide: DataFrame) -> list[tuple[Column, str]]:
 def assess(inputs: DataFrame, cards: DataFrame, on: list[str], statutory: DataFrame) -> DataFrame:
     """A row per card with all quantities, ``errors`` and ``warnings`` (sorted codes).
 
-    Capital requirements are the inputs named CET1_REQUIREMENT_*, as many as the card's ``requirement_count`` (none: missing).
+    Capital requirements are the inputs named CET1_REQUIREMENT_*, as many as the card's ``requirement_count`` (none: missing). Errors begin with the
+    card's ``blocking_reasons``, if it has such a column.
     """
     accepted = accept(inputs, cards, on)
     keys = [*dict.fromkeys([*keys_of("GENERAL", "FINANCIAL", "REIT"), *YEARS, *QUARTERS])]
@@ -289,7 +291,10 @@ def assess(inputs: DataFrame, cards: DataFrame, on: list[str], statutory: DataFr
     wide = refuse(add(add(wide, FINANCIAL), REIT), "affo_payout_prior", ~F.col("AFFO_PRIOR_TTM__end").eqNullSafe(F.col("DIVIDENDS_DECLARED_PRIOR_TTM__end")), "INSUFFICIENT_HISTORY")
     broken, warned = risks(wide)
     tax = ((F.col("profile") == "GENERAL") & F.col("tax_fallback"), "STATUTORY_TAX_FALLBACK")
-    return wide.withColumns({"errors": F.array_distinct(reasons(*universal(wide), *broken, *coverage(wide))), "warnings": reasons(*warned, tax)})
+    errors = reasons(*universal(wide), *broken, *coverage(wide))
+    if "blocking_reasons" in wide.columns:
+        errors = F.concat(errors, F.coalesce("blocking_reasons", F.array().cast("array<string>")))
+    return wide.withColumns({"errors": F.array_sort(F.array_distinct(errors)), "warnings": reasons(*warned, tax)})
 
 
 def metric_rows(assessed: DataFrame, keep: list[str]) -> DataFrame:
@@ -306,38 +311,70 @@ def used(assessed: DataFrame) -> list[str]:
     return [c for n in names for c in (n, why(n)) if c in assessed.columns]
 
 
+def _levels(pool: Column, label: Column) -> list[tuple[Column, Column, int]]:
+    """Cohort levels of a metric row: its peer group within the pool, then the pool."""
+    peer = F.col("peer_group")
+    return [(F.concat(F.lit("PRIMARY:"), peer), F.when(peer != "", F.concat_ws("|", pool, peer)), model.PEER), (label, pool, model.FALLBACK)]
+
+
 def strict(assessed: DataFrame, run: list[str], ident: str) -> tuple[DataFrame, DataFrame]:
-    """The strict model: standardised metric rows of the cards without errors, and a row per card with composite, ``eligible`` and all ``errors``.
+    """The strict model: standardised metric rows of the cards without errors, and a row per card with composite, ``eligible``, all ``errors`` and ``warnings``.
 
-    Statistics come from those cards once: the peer group within the profile if it has ten, else the profile if it has twenty. Cards and
-    metric rows are settled in the checkpoint folder, for several aggregates read them.
+    Statistics come from those cards once: the peer group within the profile if it has ten, else the profile if it has twenty, of which PEER_FALLBACK:
+    and the metric warns. Cards and metric rows are settled in the checkpoint folder, for several aggregates read them.
     """
     assessed = settle(assessed.select(*run, ident, "profile", "peer_group", "errors", "warnings", *used(assessed)))
-    base = settle(metric_rows(assessed.filter(F.size("errors") == 0), [*run, ident, "profile", "peer_group"]))
-    peers = base.withColumn("_peer", F.concat_ws(":", "profile", F.when(F.col("peer_group") != "", F.col("peer_group")))).withColumn("_peer", F.when(F.col("peer_group") != "", F.col("_peer")))
-    norm = model.normalize(peers, [*run, "metric"], "_peer", "profile", "raw").drop("_peer")
-    families = norm.groupBy(*run, ident).agg(*(F.sum(F.when(F.col("family") == f, F.coalesce("z", F.lit(0.0)))).alias(f) for f in ("value", "quality", "momentum")), *(F.count(F.when(F.col("family") == f, F.col("z"))).alias(f"n_{f}") for f in ("value", "quality", "momentum")))
+    base = metric_rows(assessed.filter(F.size("errors") == 0), [*run, ident, "profile", "peer_group"])
+    pool = F.concat(F.lit("PROFILE:"), "profile")
+    norm = settle(model.standardize(base, [*run, "metric"], _levels(pool, pool), "raw"))
+    fell = F.when(F.startswith("cohort", F.lit("PROFILE:")), F.concat(F.lit("PEER_FALLBACK:"), "metric"))
+    families = norm.groupBy(*run, ident).agg(*(F.sum(F.when(F.col("family") == f, F.coalesce("z", F.lit(0.0)))).alias(f) for f in ("value", "quality", "momentum")), *(F.count(F.when(F.col("family") == f, F.col("z"))).alias(f"n_{f}") for f in ("value", "quality", "momentum")), F.collect_set(fell).alias("_fell"))
     short = reasons(*((F.col(f"n_{f}") < least, f"INSUFFICIENT_NORMALIZED_{f.upper()}") for f, least in (("value", 2), ("quality", 2), ("momentum", 1))))
-    scored = families.select(*run, ident, short.alias("_short"), (0.5 * F.col("value") / 3 + 0.3 * F.col("quality") / 3 + 0.2 * F.col("momentum")).alias("composite"))
+    scored = families.select(*run, ident, short.alias("_short"), "_fell", (0.5 * F.col("value") / 3 + 0.3 * F.col("quality") / 3 + 0.2 * F.col("momentum")).alias("composite"))
     out = assessed.select(*run, ident, "errors", "warnings").join(scored, [*run, ident], "left")
-    errors = F.array_sort(F.array_distinct(F.concat("errors", F.coalesce("_short", F.array().cast("array<string>")))))
-    out = out.withColumn("errors", errors).withColumn("eligible", F.size("errors") == 0).withColumn("composite", F.when(F.col("eligible"), F.col("composite"))).drop("_short")
+    none = F.array().cast("array<string>")
+    errors, warnings = (F.array_sort(F.array_distinct(F.concat(c, F.coalesce(more, none)))) for c, more in (("errors", "_short"), ("warnings", "_fell")))
+    out = out.withColumns({"errors": errors, "warnings": warnings}).withColumn("eligible", F.size("errors") == 0).withColumn("composite", F.when(F.col("eligible"), F.col("composite"))).drop("_short", "_fell")
     return norm, out
 
 
-def soft(code: Column, version: str) -> Column:
+#: Versions of the available-components model, and from which on momentum is compared over all prices, and issuers count once.
+VERSIONS, PRICE_POOL_SINCE, ISSUER_SINCE = ["1.3", "1.4", "1.5"], "1.4", "1.5"
+MULTI_CLASS = "MULTI_CLASS_ISSUER_CAPITALIZATION_UNAVAILABLE"
+
+
+def assess_versions(inputs: DataFrame, cards: DataFrame, on: list[str], statutory: DataFrame, versions: list[str] = VERSIONS) -> DataFrame:
+    """``assess`` for each version: a row per card and ``version``.
+
+    From ISSUER_SINCE on an issuer with several cards in a run has no shares of its own class, and its cards carry MULTI_CLASS. Only those cards are assessed
+    twice; all others once for all versions. ``cards`` have issuer_id and blocking_reasons; the last of ``on`` tells the cards of a run apart.
+    """
+    several = F.count(F.lit(1)).over(Window.partitionBy(*on[:-1], "issuer_id")) > 1
+    marked = settle(cards.withColumn("_several", several))
+    early, late = ([v for v in versions if (v >= ISSUER_SINCE) == since] for since in (False, True))
+    of = lambda names: F.array(*(F.lit(v) for v in names)).cast("array<string>")
+    whole = marked.withColumns({"_split": F.lit(False), "_versions": F.when(F.col("_several"), of(early)).otherwise(of(versions))})
+    split = marked.filter("_several").withColumns({"_split": F.lit(True), "_versions": of(late), "blocking_reasons": F.concat("blocking_reasons", F.array(F.lit(MULTI_CLASS)))})
+    unshared = inputs.filter("key <> 'SHARES_OUTSTANDING'").join(marked.filter("_several").select(*on), on, "left_semi")
+    every = inputs.withColumn("_split", F.lit(False)).unionByName(unshared.withColumn("_split", F.lit(True)))
+    done = assess(every, whole.unionByName(split).drop("_several"), [*on, "_split"], statutory)
+    return done.withColumn("version", F.explode("_versions")).drop("_versions", "_split")
+
+
+def soft(code: Column, version: Column) -> Column:
     """Whether a reason only limits a row under a version of the available-components model."""
-    exact = [*SOFT, *(c for since, codes in SOFT_SINCE.items() if version >= since for c in codes)]
-    return reduce(lambda a, b: a | b, (F.startswith(code, F.lit(s)) for s in SOFT_STARTS), code.isin(exact))
+    rules = [code.isin(SOFT), *(F.startswith(code, F.lit(s)) for s in SOFT_STARTS), *((version >= since) & code.isin(codes) for since, codes in SOFT_SINCE.items())]
+    return reduce(lambda a, b: a | b, rules)
 
 
-def available_components(assessed: DataFrame, keep: list[str], version: str) -> tuple[DataFrame, DataFrame]:
-    """The reset of a version (1.3 to 1.5): cards with hard ``errors`` and ``warnings`` (LIMITATION: and the soft reasons), and their metric rows as far as they may be used.
+def available_components(assessed: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The reset of each row's ``version`` (1.3 to 1.5): cards with hard ``errors`` and ``warnings`` (LIMITATION: and the soft reasons), and their metric rows as far as they may be used.
 
     Rows outside a supported general profile keep momentum alone. Stale shares disable value, a stale filing all but momentum, missing
-    sessions or a short history momentum.
+    sessions or a short history momentum. The last reason that applies is told.
     """
     price_only = ~(F.col("profile_supported") & (F.col("profile") == "GENERAL"))
+    version = F.col("version")
     cards = assessed.withColumns({
         "_soft": F.filter("errors", lambda e: soft(e, version)),
         "_original": F.col("errors"),
@@ -348,10 +385,33 @@ def available_components(assessed: DataFrame, keep: list[str], version: str) ->
     only = F.when(F.col("price_only"), F.array(F.lit("LIMITATION:PRICE_ONLY_UNSUPPORTED_ACCOUNTING_PROFILE"))).otherwise(F.array().cast("array<string>"))
     cards = cards.withColumn("warnings", F.array_sort(F.array_distinct(F.concat("warnings", limits, only))))
     had = lambda code: F.array_contains("_original", code)
-    stale = had("STALE") | (had("STALE_OR_MISSING_FILING") if version >= "1.4" else F.lit(False))
+    stale = had("STALE") | ((version >= "1.4") & had("STALE_OR_MISSING_FILING"))
     gaps = F.exists("_original", lambda e: F.startswith(e, F.lit("MISSING_SESSION:"))) | (F.coalesce(F.col("history_count"), F.lit(0)) < HISTORY_LEAST)
-    flags = cards.withColumns({"_shares": had("STALE_SHARES"), "_stale": stale, "_gaps": gaps})
-    rows = metric_rows(flags, [*keep, "price_only", "_shares", "_stale", "_gaps"]).filter(~F.col("price_only") | (F.col("family") == "momentum"))
+    cards = settle(cards.withColumns({"_shares": had("STALE_SHARES"), "_stale": stale, "_gaps": gaps}).select(*dict.fromkeys([*keep, "version", "profile", "errors", "warnings", "price_only", "_shares", "_stale", "_gaps", *used(assessed)])))
+    rows = metric_rows(cards, [*dict.fromkeys([*keep, "version"]), "errors", "price_only", "_shares", "_stale", "_gaps", "profile"]).filter(~F.col("price_only") | (F.col("family") == "momentum"))
     disabled = F.when((F.col("family") == "momentum") & F.col("_gaps"), "INSUFFICIENT_HISTORY").when((F.col("family") != "momentum") & F.col("_stale"), "STALE_FILING").when((F.col("family") == "value") & F.col("_shares"), "STALE_SHARES")
     rows = rows.withColumns({"reason": F.coalesce(disabled, "reason"), "raw": F.when(disabled.isNull(), F.col("raw"))}).drop("price_only", "_shares", "_stale", "_gaps")
-    return cards.drop("_soft", "_original"), rows
+    return cards.drop("_shares", "_stale", "_gaps", *used(assessed)), rows
+
+
+def reset_versions(inputs: DataFrame, cards: DataFrame, on: list[str], statutory: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``available_components`` of all versions in one plan, from inputs and cards: what the strict model finds in each version's own population is where the reset begins."""
+    assessed = settle(assess_versions(inputs, cards, on, statutory))
+    by = ["version", *on]
+    _, found = strict(assessed, by[:-1], on[-1])
+    told = found.select(*by, "errors", F.filter("warnings", lambda w: ~F.startswith(w, F.lit("PEER_FALLBACK:"))).alias("warnings"))
+    return available_components(assessed.drop("errors", "warnings").join(told, by), [*by, *keep])
+
+
+def versioned_cohorts(rows: DataFrame, run: list[str]) -> DataFrame:
+    """Metric rows (version, ``run``, issuer_id, primary_class, profile, peer_group, family, metric, raw) of cards without errors, standardised in each version's cohorts, all in one pass.
+
+    A metric is compared within its profile; momentum, from PRICE_POOL_SINCE on, over all prices of the run. In either pool the peer group comes first.
+    From ISSUER_SINCE on statistics come from an issuer's primary classes, or from all its classes if none of them is primary and has a value.
+    """
+    universe = (F.col("version") >= PRICE_POOL_SINCE) & (F.col("family") == "momentum")
+    pool = F.when(universe, F.lit("PRICE_UNIVERSE")).otherwise(F.concat(F.lit("PROFILE:"), "profile"))
+    valued = F.col("primary_class") & F.col("raw").isNotNull()
+    marked = rows.withColumn("_pool", pool).withColumn("_primary", F.max(valued.cast("int")).over(Window.partitionBy("version", *run, "metric", "_pool", "issuer_id")) == 1)
+    fit = (F.col("version") < ISSUER_SINCE) | F.col("primary_class") | ~F.col("_primary")
+    return model.standardize(marked, ["version", *run, "metric"], _levels(F.col("_pool"), F.col("_pool")), "raw", fit).drop("_pool", "_primary")

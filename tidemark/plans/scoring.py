@@ -97,13 +97,18 @@ for _p, (_v, _q, _anchor) in FAMILIES.items():
         COVERAGE.append((f"profile = '{_p}' AND " + " + ".join(f"CAST({x} IS NOT NULL AS INT)" for x in _metrics.split()) + " < 2", f"INSUFFICIENT_{_name}_COVERAGE"))
     if _anchor:
         COVERAGE.append((f"profile = '{_p}' AND {_anchor} IS NULL", "MISSING_PROFILE_ANCHOR"))
-ASSESSED = f"{CHAIN},\ne AS (SELECT *, {_codes(*UNIVERSAL, *FINANCIAL_RISK, *REIT_RISK, *COVERAGE)} AS errors, {_codes(*WARNED)} AS warnings FROM m)"
+ERRORS = f"(SELECT *, list_sort(list_distinct(list_concat({_codes(*UNIVERSAL, *FINANCIAL_RISK, *REIT_RISK, *COVERAGE)}, list_filter(string_split(blocked, ','), lambda x: x <> '')))) AS errors, {_codes(*WARNED)} AS warnings FROM m)"
+ASSESSED = f"{CHAIN},\ne AS {ERRORS}"
 #: Long metric rows of table {t}, for the rows that satisfy {where}.
 LONG = " UNION ALL ".join(f"SELECT run, instrument_id, profile, peer_group, '{f}' AS family, '{x}' AS metric, {x} AS raw FROM {{t}} WHERE profile = '{p}' AND {{where}}" for p, (v, q, _) in FAMILIES.items() for f, names in (("value", v), ("quality", q), ("momentum", "momentum")) for x in names.split())
 
 
+def _cards(v: Views) -> DataFrame:
+    return v.b_cards.withColumn("blocking_reasons", F.filter(F.split("blocked", ","), lambda x: x != ""))
+
+
 def _assessed(v: Views) -> DataFrame:
-    return M.assess(v.b_inputs, v.b_cards, ON, v.lineitem.sparkSession.sql(LAW))
+    return M.assess(v.b_inputs, _cards(v), ON, v.spark.sql(LAW))
 
 
 def _numbers(*names: str) -> list:
@@ -136,7 +141,7 @@ def _a03(v: Views) -> DataFrame:
 def _a04(v: Views) -> DataFrame:
     accepted = M.accept(v.b_inputs, v.b_cards, ON)
     wide = M.widen(accepted, v.b_cards.filter("profile = 'GENERAL'"), ON, [*M.keys_of("GENERAL"), *M.YEARS], M.YEARS)
-    out = M.general(M.normal_tax(M.shared(wide), v.lineitem.sparkSession.sql(LAW)))
+    out = M.general(M.normal_tax(M.shared(wide), v.spark.sql(LAW)))
     fcf, there = F.col(M.why("fcf_yield")), F.col("market_cap").isNotNull()
     told = F.when((F.col("CAPEX_TTM") < 0) & there, fcf).when((F.col("CAPEX_TTM") >= 0) & F.col("OPERATING_CASH_FLOW_TTM").isNotNull() & ~there, fcf)
     return out.select(*ON, *_numbers("tax_rate", "ebit_ev", "fcf_yield", "book_market", "gross_profitability", "roic", "cash_earnings"), told.alias("fcf_why"))
@@ -180,46 +185,94 @@ def _a09(v: Views) -> DataFrame:
     return a.select(*ON, F.array_join("errors", ",").alias("errors"), F.array_join("warnings", ",").alias("warnings"), have.alias("have"))
 
 
-COHORTS = f"""b AS (SELECT run, instrument_id, profile, nullif(peer_group, '') AS peer_group, family, metric, raw FROM ({LONG.format(t='e', where='len(errors) = 0')}) l),
-k AS (SELECT *, count(raw) OVER (PARTITION BY run, metric, profile, peer_group) AS np, count(raw) OVER (PARTITION BY run, metric, profile) AS nf FROM b),
-c AS (SELECT *, CASE WHEN raw IS NULL THEN NULL WHEN peer_group IS NOT NULL AND np >= 10 THEN 'PEER' WHEN nf >= 20 THEN 'FALLBACK' END AS cohort FROM k),
-q AS (SELECT *, CASE WHEN cohort = 'PEER' THEN quantile_cont(raw, 0.025) OVER pw ELSE quantile_cont(raw, 0.025) OVER fw END AS lo, CASE WHEN cohort = 'PEER' THEN quantile_cont(raw, 0.975) OVER pw ELSE quantile_cont(raw, 0.975) OVER fw END AS hi
-  FROM c WINDOW pw AS (PARTITION BY run, metric, profile, peer_group), fw AS (PARTITION BY run, metric, profile)),
-st AS (SELECT q.run, q.metric, q.instrument_id, avg(greatest(q.lo, least(q.hi, o.raw))) AS mean, stddev_pop(greatest(q.lo, least(q.hi, o.raw))) AS sd FROM q JOIN b o ON q.run = o.run AND q.metric = o.metric AND q.profile = o.profile AND o.raw IS NOT NULL AND (q.cohort = 'FALLBACK' OR q.peer_group = o.peer_group) WHERE q.cohort IS NOT NULL GROUP BY 1, 2, 3),
-z AS (SELECT q.*, CASE WHEN cohort IS NOT NULL THEN greatest(-3, least(3, CASE WHEN sd < 1e-12 THEN 0 ELSE (greatest(lo, least(hi, raw)) - mean) / sd END)) END AS z, CASE cohort WHEN 'PEER' THEN np WHEN 'FALLBACK' THEN nf END AS cohort_n FROM q LEFT JOIN st ON q.run = st.run AND q.metric = st.metric AND q.instrument_id = st.instrument_id)"""
+def _cohorts(t: str) -> str:
+    """Tables k, c, q, st and z (each followed by {t}) of the metric rows b{t}: run, instrument_id, metric, pool, label, peer_group, raw, fit."""
+    return f"""k{t} AS (SELECT *, count(raw) FILTER (fit) OVER (PARTITION BY run, metric, pool, peer_group) AS np, count(raw) FILTER (fit) OVER (PARTITION BY run, metric, pool) AS nf FROM b{t}),
+c{t} AS (SELECT *, CASE WHEN raw IS NULL THEN NULL WHEN peer_group IS NOT NULL AND np >= 10 THEN 'PRIMARY:' || peer_group WHEN nf >= 20 THEN pool END AS cohort, peer_group IS NOT NULL AND np >= 10 AS near FROM k{t}),
+q{t} AS (SELECT *, CASE WHEN near THEN quantile_cont(CASE WHEN fit THEN raw END, 0.025) OVER pw ELSE quantile_cont(CASE WHEN fit THEN raw END, 0.025) OVER fw END AS lo, CASE WHEN near THEN quantile_cont(CASE WHEN fit THEN raw END, 0.975) OVER pw ELSE quantile_cont(CASE WHEN fit THEN raw END, 0.975) OVER fw END AS hi
+  FROM c{t} WINDOW pw AS (PARTITION BY run, metric, pool, peer_group), fw AS (PARTITION BY run, metric, pool)),
+st{t} AS (SELECT q.run, q.metric, q.instrument_id, avg(greatest(q.lo, least(q.hi, o.raw))) AS mean, stddev_pop(greatest(q.lo, least(q.hi, o.raw))) AS sd FROM q{t} q JOIN b{t} o ON q.run = o.run AND q.metric = o.metric AND q.pool = o.pool AND o.raw IS NOT NULL AND o.fit AND (NOT q.near OR q.peer_group = o.peer_group) WHERE q.cohort IS NOT NULL GROUP BY 1, 2, 3),
+z{t} AS (SELECT q.*, CASE WHEN cohort IS NOT NULL THEN greatest(-3, least(3, CASE WHEN sd < 1e-12 THEN 0 ELSE (greatest(lo, least(hi, raw)) - mean) / sd END)) END AS z, CASE WHEN cohort IS NULL THEN NULL WHEN near THEN np ELSE nf END AS cohort_n,
+  CASE WHEN raw IS NULL THEN 'NO_VALUE' WHEN cohort IS NULL THEN 'NO_COMPATIBLE_COHORT' WHEN sd < 1e-12 THEN 'NO_DISPERSION' END AS told FROM q{t} q LEFT JOIN st{t} s ON q.run = s.run AND q.metric = s.metric AND q.instrument_id = s.instrument_id)"""
+
+
+STRICT = f"""b AS (SELECT run, instrument_id, profile, 'PROFILE:' || profile AS pool, nullif(peer_group, '') AS peer_group, family, metric, raw, true AS fit FROM ({LONG.format(t='e', where='len(errors) = 0')}) l),
+{_cohorts('')},
+fam AS (SELECT run, instrument_id, sum(coalesce(z, 0)) FILTER (family = 'value') / 3 AS fv, sum(coalesce(z, 0)) FILTER (family = 'quality') / 3 AS fq, sum(coalesce(z, 0)) FILTER (family = 'momentum') AS fm,
+  count(z) FILTER (family = 'value') AS nv, count(z) FILTER (family = 'quality') AS nq, count(z) FILTER (family = 'momentum') AS nm, list('PEER_FALLBACK:' || metric) FILTER (starts_with(cohort, 'PROFILE:')) AS fell FROM z GROUP BY 1, 2),
+o AS (SELECT e.run, e.instrument_id, list_sort(list_distinct(list_concat(errors, CASE WHEN fam.run IS NULL THEN [] ELSE list_filter([CASE WHEN nv < 2 THEN 'INSUFFICIENT_NORMALIZED_VALUE' END, CASE WHEN nq < 2 THEN 'INSUFFICIENT_NORMALIZED_QUALITY' END, CASE WHEN nm < 1 THEN 'INSUFFICIENT_NORMALIZED_MOMENTUM' END], lambda x: x IS NOT NULL) END))) AS errors,
+  list_sort(list_distinct(list_concat(warnings, coalesce(fell, [])))) AS warnings, 0.5 * fv + 0.3 * fq + 0.2 * fm AS composite FROM e LEFT JOIN fam ON e.run = fam.run AND e.instrument_id = fam.instrument_id)"""
 
 
-@R.add("a10_strict_cohorts", f"WITH {ASSESSED}, {COHORTS} SELECT run, instrument_id, metric, family, cohort, cohort_n, round(z, 6) AS z FROM z")
+@R.add("a10_strict_cohorts", f"WITH {ASSESSED}, {STRICT} SELECT run, instrument_id, metric, family, cohort, cohort_n, round(z, 6) AS z, told AS reason FROM z")
 def _a10(v: Views) -> DataFrame:
     norm, _ = M.strict(_assessed(v), ["run"], "instrument_id")
-    return norm.select(*ON, "metric", "family", "cohort", "cohort_n", F.round("z", 6).alias("z"))
+    return norm.select(*ON, "metric", "family", "cohort", "cohort_n", F.round("z", 6).alias("z"), "reason")
 
 
-@R.add("a11_strict_runs", f"""WITH {ASSESSED}, {COHORTS}, fam AS (SELECT run, instrument_id, sum(coalesce(z, 0)) FILTER (family = 'value') / 3 AS fv, sum(coalesce(z, 0)) FILTER (family = 'quality') / 3 AS fq, sum(coalesce(z, 0)) FILTER (family = 'momentum') AS fm,
-  count(z) FILTER (family = 'value') AS nv, count(z) FILTER (family = 'quality') AS nq, count(z) FILTER (family = 'momentum') AS nm FROM z GROUP BY 1, 2),
-o AS (SELECT e.run, e.instrument_id, list_sort(list_distinct(list_concat(errors, CASE WHEN fam.run IS NULL THEN [] ELSE list_filter([CASE WHEN nv < 2 THEN 'INSUFFICIENT_NORMALIZED_VALUE' END, CASE WHEN nq < 2 THEN 'INSUFFICIENT_NORMALIZED_QUALITY' END, CASE WHEN nm < 1 THEN 'INSUFFICIENT_NORMALIZED_MOMENTUM' END], lambda x: x IS NOT NULL) END))) AS errors,
-  0.5 * fv + 0.3 * fq + 0.2 * fm AS composite FROM e LEFT JOIN fam ON e.run = fam.run AND e.instrument_id = fam.instrument_id)
-SELECT run, instrument_id, array_to_string(errors, ',') AS errors, CASE WHEN len(errors) = 0 THEN round(composite, 6) END AS composite, CASE WHEN len(errors) = 0 THEN row_number() OVER (PARTITION BY run, len(errors) = 0 ORDER BY composite DESC, instrument_id) END AS rank FROM o""")
+@R.add("a11_strict_runs", f"""WITH {ASSESSED}, {STRICT}
+SELECT run, instrument_id, array_to_string(errors, ',') AS errors, array_to_string(warnings, ',') AS warnings, CASE WHEN len(errors) = 0 THEN round(composite, 6) END AS composite, CASE WHEN len(errors) = 0 THEN row_number() OVER (PARTITION BY run, len(errors) = 0 ORDER BY composite DESC, instrument_id) END AS rank FROM o""")
 def _a11(v: Views) -> DataFrame:
     _, out = M.strict(_assessed(v), ["run"], "instrument_id")
+    out = settle(out)
     ranked = model.score_runs(out, ["run"]).select(*ON, F.col("rank").cast("long").alias("rank"))
-    return out.join(ranked, ON, "left").select(*ON, F.array_join("errors", ",").alias("errors"), F.round("composite", 6).alias("composite"), "rank")
+    return out.join(ranked, ON, "left").select(*ON, F.array_join("errors", ",").alias("errors"), F.array_join("warnings", ",").alias("warnings"), F.round("composite", 6).alias("composite"), "rank")
+
+
+SOFT_SQL = """(x IN ('INSUFFICIENT_VALUE_COVERAGE', 'INSUFFICIENT_QUALITY_COVERAGE', 'INSUFFICIENT_NORMALIZED_VALUE', 'INSUFFICIENT_NORMALIZED_QUALITY', 'INSUFFICIENT_NORMALIZED_MOMENTUM', 'MISSING_MOMENTUM_BOUNDARY', 'INVALID_MARKET_CAP', 'STALE_SHARES', 'STALE', 'INSUFFICIENT_HISTORY', 'MISSING_PROFILE_ANCHOR', 'NON_POSITIVE_EBITDARE')
+  OR starts_with(x, 'MODEL_NOT_SUPPORTED') OR starts_with(x, 'MISSING_SESSION:') OR starts_with(x, 'MISSING_RISK_INPUT:') OR (version >= '1.4' AND x = 'STALE_OR_MISSING_FILING')
+  OR (version >= '1.5' AND x IN ('NON_PRIMARY_SHARE_CLASS', 'INACTIVE_OR_UNSUPPORTED_SECURITY:DEPOSITARY_RECEIPT', 'MULTI_CLASS_ISSUER_CAPITALIZATION_UNAVAILABLE')))"""
+#: All versions at once: in these tables a run stands for a run and version (ten times the run, and the version's last digit); while inputs are assessed, cards of issuers with several have a second run 10,000 up.
+RESET = f"""vc AS (SELECT *, count(*) OVER (PARTITION BY run, issuer_id) > 1 AS several FROM b_cards), vx AS (SELECT * FROM vc UNION ALL SELECT * REPLACE (run + 10000 AS run, concat_ws(',', nullif(blocked, ''), 'MULTI_CLASS_ISSUER_CAPITALIZATION_UNAVAILABLE') AS blocked) FROM vc WHERE several),
+vi AS (SELECT * FROM b_inputs UNION ALL SELECT * REPLACE (run + 10000 AS run) FROM b_inputs i WHERE key <> 'SHARES_OUTSTANDING' AND EXISTS (SELECT 1 FROM vc WHERE several AND vc.run = i.run AND vc.instrument_id = i.instrument_id)),
+{CHAIN.replace("b_inputs", "vi").replace("b_cards", "vx")}, e0 AS {ERRORS},
+e AS (SELECT e0.* REPLACE (run % 10000 * 10 + d AS run), '1.' || d AS version FROM e0, (VALUES (3), (4), (5)) t(d) WHERE CASE WHEN d < 5 THEN run < 10000 ELSE run >= 10000 OR NOT several END),
+{STRICT},
+r AS (SELECT e.* REPLACE (list_filter(o.errors, lambda x: NOT {SOFT_SQL}) AS errors, list_sort(list_concat(e.warnings, list_transform(list_filter(o.errors, lambda x: {SOFT_SQL}), lambda x: 'LIMITATION:' || x), CASE WHEN profile_supported AND profile = 'GENERAL' THEN [] ELSE ['LIMITATION:PRICE_ONLY_UNSUPPORTED_ACCOUNTING_PROFILE'] END)) AS warnings),
+  NOT (profile_supported AND profile = 'GENERAL') AS price_only, list_contains(o.errors, 'STALE_SHARES') AS old_shares, list_contains(o.errors, 'STALE') OR (version >= '1.4' AND list_contains(o.errors, 'STALE_OR_MISSING_FILING')) AS old_filing,
+  history_count < 252 OR len(list_filter(o.errors, lambda x: starts_with(x, 'MISSING_SESSION:'))) > 0 AS gaps FROM e JOIN o ON e.run = o.run AND e.instrument_id = o.instrument_id),
+u AS (SELECT r.run, version, l.instrument_id, issuer_id, primary_class, l.profile, nullif(l.peer_group, '') AS peer_group, family, metric, errors, CASE WHEN family = 'momentum' AND gaps THEN 'INSUFFICIENT_HISTORY' WHEN family <> 'momentum' AND old_filing THEN 'STALE_FILING' WHEN family = 'value' AND old_shares THEN 'STALE_SHARES' END AS off, raw AS given
+  FROM ({LONG.format(t='r', where='true')}) l JOIN r ON l.run = r.run AND l.instrument_id = r.instrument_id WHERE NOT price_only OR family = 'momentum')"""
+VERSIONED = f"""{RESET},
+n2 AS (SELECT *, CASE WHEN off IS NULL THEN given END AS raw, CASE WHEN version >= '1.4' AND family = 'momentum' THEN 'PRICE_UNIVERSE' ELSE 'PROFILE:' || profile END AS pool FROM u WHERE len(errors) = 0),
+b2 AS (SELECT *, version < '1.5' OR primary_class OR count(*) FILTER (primary_class AND raw IS NOT NULL) OVER (PARTITION BY run, metric, pool, issuer_id) = 0 AS fit FROM n2),
+{_cohorts('2')}"""
+COMPOSED = f"""{VERSIONED},
+g2 AS (SELECT run, instrument_id, avg(z) FILTER (family = 'value') AS fv, avg(z) FILTER (family = 'quality') AS fq, avg(z) FILTER (family = 'momentum') AS fm, count(z) AS normalized, list('PEER_FALLBACK:' || metric) FILTER (NOT starts_with(cohort, 'PRIMARY:')) AS fell FROM z2 GROUP BY 1, 2),
+h2 AS (SELECT r.run, r.version, r.instrument_id, r.errors, r.warnings, fv, fq, fm, coalesce(normalized, 0) AS normalized, fell, CASE WHEN len(r.errors) > 0 THEN 0 ELSE CASE WHEN fv IS NULL THEN 0 ELSE 0.5 END + CASE WHEN fq IS NULL THEN 0 ELSE 0.3 END + CASE WHEN fm IS NULL THEN 0 ELSE 0.2 END END AS have FROM r LEFT JOIN g2 ON r.run = g2.run AND r.instrument_id = g2.instrument_id),
+i2 AS (SELECT *, CASE WHEN have > 0 THEN round((coalesce(0.5 * fv, 0) + coalesce(0.3 * fq, 0) + coalesce(0.2 * fm, 0)) / CAST(have AS DOUBLE), 10) END AS composite FROM h2),
+j2 AS (SELECT *, CASE WHEN have > 0 AND count(*) FILTER (have > 0) OVER (PARTITION BY run) > 1 THEN row_number() OVER (PARTITION BY run, have > 0 ORDER BY composite DESC, instrument_id) END AS rank FROM i2)"""
+KEPT = ["issuer_id", "primary_class", "peer_group"]
+
+
+def _reset(v: Views) -> tuple[DataFrame, DataFrame]:
+    return M.reset_versions(v.b_inputs, _cards(v), ON, v.spark.sql(LAW), KEPT)
+
+
+def _versioned(v: Views) -> tuple[DataFrame, DataFrame]:
+    cards, rows = _reset(v)
+    return cards, M.versioned_cohorts(rows.filter(F.size("errors") == 0), ["run"])
+
+
+@R.add("a12_available_components", f"""WITH {RESET} SELECT r.version, CAST(r.run // 10 AS INTEGER) AS run, r.instrument_id, array_to_string(r.errors, ',') AS errors, count(given) FILTER (off IS NULL) AS usable, array_to_string(r.warnings, ',') AS warnings,
+  count(*) FILTER (off = 'STALE_FILING') AS stale_filing, count(*) FILTER (off = 'STALE_SHARES') AS stale_shares FROM r LEFT JOIN u ON r.run = u.run AND r.instrument_id = u.instrument_id GROUP BY ALL""")
+def _a12(v: Views) -> DataFrame:
+    cards, rows = _reset(v)
+    usable = rows.groupBy("version", *ON).agg(F.count("raw").alias("usable"), *(F.count_if(F.col("reason") == r).alias(r.lower()) for r in ("STALE_FILING", "STALE_SHARES")))
+    none = {c: F.coalesce(c, F.lit(0)) for c in ("usable", "stale_filing", "stale_shares")}
+    return cards.join(usable, ["version", *ON], "left").withColumns(none).select("version", *ON, F.array_join("errors", ",").alias("errors"), *none, F.array_join("warnings", ",").alias("warnings"))
 
 
-SOFT_SQL = """(x IN ('INSUFFICIENT_VALUE_COVERAGE', 'INSUFFICIENT_QUALITY_COVERAGE', 'MISSING_MOMENTUM_BOUNDARY', 'INVALID_MARKET_CAP', 'STALE', 'INSUFFICIENT_HISTORY', 'MISSING_PROFILE_ANCHOR', 'NON_POSITIVE_EBITDARE')
-  OR starts_with(x, 'MODEL_NOT_SUPPORTED') OR starts_with(x, 'MISSING_RISK_INPUT:') OR (version = '1.5' AND x = 'NON_PRIMARY_SHARE_CLASS'))"""
+@R.add("a15_versioned_cohorts", f"WITH {VERSIONED} SELECT version, CAST(run // 10 AS INTEGER) AS run, instrument_id, family, metric, fit AND raw IS NOT NULL AS fit, cohort, cohort_n, round(z, 6) AS z, told AS reason FROM z2")
+def _a15(v: Views) -> DataFrame:
+    _, norm = _versioned(v)
+    return norm.select("version", *ON, "family", "metric", "fit", "cohort", "cohort_n", F.round("z", 6).alias("z"), "reason")
 
 
-@R.add("a12_available_components", f"""WITH {ASSESSED}, ver AS (SELECT e.*, version, NOT (profile_supported AND profile = 'GENERAL') AS price_only FROM e, (VALUES ('1.3'), ('1.4'), ('1.5')) v(version)),
-u AS (SELECT version, run, instrument_id, errors, warnings, price_only, CASE WHEN price_only OR list_contains(errors, 'STALE') THEN 0 ELSE CAST(ebit_ev IS NOT NULL AS INT) + CAST(fcf_yield IS NOT NULL AS INT) + CAST(book_market IS NOT NULL AS INT) + CAST(gross_profitability IS NOT NULL AS INT) + CAST(roic IS NOT NULL AS INT) + CAST(cash_earnings IS NOT NULL AS INT) END
-  + CASE WHEN history_count < 252 THEN 0 ELSE CAST(momentum IS NOT NULL AS INT) END AS usable FROM ver)
-SELECT version, run, instrument_id, array_to_string(list_filter(errors, lambda x: NOT {SOFT_SQL}), ',') AS errors, usable,
-  array_to_string(list_sort(list_concat(warnings, list_transform(list_filter(errors, lambda x: {SOFT_SQL}), lambda x: 'LIMITATION:' || x), CASE WHEN price_only THEN ['LIMITATION:PRICE_ONLY_UNSUPPORTED_ACCOUNTING_PROFILE'] ELSE [] END)), ',') AS warnings FROM u""")
-def _a12(v: Views) -> DataFrame:
-    a, out = settle(_assessed(v)), None
-    for version in ("1.3", "1.4", "1.5"):
-        cards, rows = M.available_components(a, ON, version)
-        usable = rows.groupBy(*ON).agg(F.count("raw").alias("usable"))
-        one = cards.join(usable, ON, "left").select(F.lit(version).alias("version"), *ON, F.array_join("errors", ",").alias("errors"), F.coalesce("usable", F.lit(0)).alias("usable"), F.array_join("warnings", ",").alias("warnings"))
-        out = one if out is None else out.unionByName(one)
-    return out
+@R.add("a16_versioned_composites", f"""WITH {COMPOSED} SELECT version, CAST(run // 10 AS INTEGER) AS run, instrument_id, array_to_string(CASE WHEN len(errors) = 0 AND have = 0 THEN ['NO_VALID_NORMALIZED_METRICS'] ELSE errors END, ',') AS errors,
+  array_to_string(list_sort(list_concat(warnings, coalesce(fell, []), CASE WHEN have > 0 AND normalized < 7 THEN ['PARTIAL_SCORE:AVAILABLE_COMPONENTS_ONLY'] ELSE [] END)), ',') AS warnings, normalized, round(composite, 6) AS composite, CASE WHEN have > 0 AND fv IS NOT NULL THEN round(0.5 / CAST(have AS DOUBLE), 6) ELSE 0 END AS weight_value,
+  CASE WHEN have > 0 THEN round(fm * 0.2 / CAST(have AS DOUBLE), 6) END AS contribution_momentum, CASE WHEN have = 0 THEN 'UNAVAILABLE' WHEN normalized = 7 THEN 'COMPLETE' ELSE 'PARTIAL' END AS status, rank FROM j2""")
+def _a16(v: Views) -> DataFrame:
+    cards, norm = _versioned(v)
+    out = model.compose_available(norm, cards, ["version", *ON], ["version", "run"])
+    return out.select("version", *ON, F.array_join("errors", ",").alias("errors"), F.array_join("warnings", ",").alias("warnings"), "normalized", *(F.round(c, 6).alias(c) for c in ("composite", "weight_value", "contribution_momentum")), "status", F.col("rank").cast("long").alias("rank"))

@@ -11,7 +11,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 #: Inputs of the scoring views: key, unit, size and days before the statement.
 INPUTS = """
-RAW_CLOSE:USD:1e-05:0 ADJUSTED_CLOSE:USD:1e-05:0 SHARES_OUTSTANDING:shares:1:0 MEDIAN_DOLLAR_VOLUME:USD:8:0 MOMENTUM_RECENT:USD:1.1e-05:0
+RAW_CLOSE:USD:1.6e-04:0 ADJUSTED_CLOSE:USD:1.6e-04:0 SHARES_OUTSTANDING:shares:1:0 MEDIAN_DOLLAR_VOLUME:USD:128:0 MOMENTUM_RECENT:USD:1.1e-05:0
 MOMENTUM_OLD:USD:1e-05:0 TOTAL_ASSETS:USD:30:0 COMMON_EQUITY:USD:12:0 CASH:USD:2:0 DEBT_CURRENT:USD:2:0 DEBT_NONCURRENT:USD:6:0
 PREFERRED_EQUITY:USD:0.2:0 MINORITY_INTEREST:USD:0.1:0 GOODWILL:USD:1:0 INTANGIBLES:USD:0.5:0 CET1_CAPITAL:USD:3:0 RISK_WEIGHTED_ASSETS:USD:20:0
 NONACCRUAL_LOANS:USD:0.2:0 PAST_DUE_90_LOANS:USD:0.1:0 GROSS_LOANS:USD:15:0 TOTAL_ADJUSTED_CAPITAL:USD:4:0 AUTHORIZED_CONTROL_LEVEL_RBC:USD:1:0
@@ -79,26 +79,28 @@ VIEWS = {
                p.score IS NOT NULL AND i.profile = 'GENERAL' AS eligible
         FROM {b_panel} AS p JOIN {b_instruments} AS i ON p.instrument_id = i.instrument_id""",
     "b_years": """
-        SELECT l_suppkey AS instrument_id, CAST(year(l_shipdate) AS INT) AS run, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 100 AS size, CAST(count(*) AS INT) AS n
-        FROM {lineitem} GROUP BY l_suppkey, year(l_shipdate)""",
+        SELECT l_suppkey * 8 + l_partkey % 8 AS instrument_id, l_suppkey AS supplier, CAST(year(l_shipdate) AS INT) AS run, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 100 AS size, CAST(count(*) AS INT) AS n
+        FROM {lineitem} GROUP BY l_suppkey * 8 + l_partkey % 8, l_suppkey, year(l_shipdate)""",
     "b_cards": """
-        SELECT run, y.instrument_id, issuer_id, make_date(run, 12, 31) AS score_date, CAST(make_date(run, 12, 31) AS TIMESTAMP) + INTERVAL '20' HOUR AS cutoff, make_date(run, 9, 30) AS statement_end,
-               CASE WHEN y.instrument_id % 10 < 5 THEN 'GENERAL' WHEN y.instrument_id % 10 < 7 THEN 'BANK' WHEN y.instrument_id % 10 = 7 THEN 'PC_INSURER' WHEN y.instrument_id % 10 = 8 THEN 'LIFE_INSURER' ELSE 'EQUITY_REIT' END AS profile,
-               CASE WHEN n % 11 <> 0 THEN sector END AS peer_group, n % 29 <> 0 AS profile_supported, n % 31 <> 0 AS in_universe, n % 37 <> 0 AS active, primary_class,
-               CASE WHEN n % 23 = 0 THEN 'FUND' ELSE 'COMMON_STOCK' END AS security_type, n * 5 AS history_count, CAST(floor(n / 2) AS INT) AS liquidity_count,
-               CAST(make_date(run, 12, 31) - CAST(n * 2 AS INT) AS DATE) AS filing_date, CASE WHEN n % 5 = 0 THEN 'CA' ELSE 'US' END AS jurisdiction,
-               CASE WHEN n % 13 = 0 THEN 'SUBSIDIARY' ELSE 'PUBLIC_PARENT' END AS regulatory_scope, CASE WHEN n % 19 <> 0 THEN 'STANDARDIZED' END AS capital_approach,
-               n % 7 <> 0 AS reit_reconciled, n % 17 <> 0 AS same_store_pool_consistent, CASE WHEN n % 9 = 0 THEN 0 ELSE 2 END AS requirement_count
-        FROM {b_years} AS y JOIN {b_instruments} AS i ON y.instrument_id = i.instrument_id""",
+        SELECT run, instrument_id, issuer_id, make_date(run, 12, 31) AS score_date, CAST(make_date(run, 12, 31) AS TIMESTAMP) + INTERVAL '20' HOUR AS cutoff, make_date(run, 9, 30) AS statement_end,
+               CASE WHEN instrument_id % 10 < 5 THEN 'GENERAL' WHEN instrument_id % 10 < 7 THEN 'BANK' WHEN instrument_id % 10 = 7 THEN 'PC_INSURER' WHEN instrument_id % 10 = 8 THEN 'LIFE_INSURER' ELSE 'EQUITY_REIT' END AS profile,
+               CASE WHEN h % 11 <> 0 THEN sector END AS peer_group, h % 29 <> 0 AS profile_supported, h % 31 <> 0 AS in_universe, h % 37 <> 0 AS active, instrument_id % 10 <> 1 AS primary_class,
+               CASE WHEN h % 23 = 0 THEN 'FUND' ELSE 'COMMON_STOCK' END AS security_type, CAST(CASE WHEN h % 26 = 0 THEN 200 ELSE 260 + h % 50 END AS INT) AS history_count, CAST(CASE WHEN h % 34 = 0 THEN 10 ELSE 20 + h % 5 END AS INT) AS liquidity_count,
+               CAST(make_date(run, 12, 31) - CAST(CASE WHEN h % 19 = 0 THEN 200 ELSE 30 + h % 120 END AS INT) AS DATE) AS filing_date, CASE WHEN h % 5 = 0 THEN 'CA' ELSE 'US' END AS jurisdiction,
+               CASE WHEN h % 13 = 0 THEN 'SUBSIDIARY' ELSE 'PUBLIC_PARENT' END AS regulatory_scope, CASE WHEN h % 19 <> 0 THEN 'STANDARDIZED' END AS capital_approach,
+               h % 7 <> 0 AS reit_reconciled, h % 17 <> 0 AS same_store_pool_consistent, CASE WHEN h % 9 = 0 THEN 0 ELSE 2 END AS requirement_count,
+               concat_ws(',', CASE WHEN h % 21 = 0 THEN 'STALE_OR_MISSING_FILING' END, CASE WHEN h % 43 = 0 THEN concat('MISSING_SESSION:', CAST(run AS STRING), '-11-30') END, CASE WHEN h % 41 = 0 THEN 'STALE_SHARES' END, CASE WHEN h % 47 = 0 THEN 'INACTIVE_OR_UNSUPPORTED_SECURITY:DEPOSITARY_RECEIPT' END) AS blocked
+        FROM (SELECT run, instrument_id, CASE WHEN instrument_id % 10 = 1 THEN instrument_id - 1 ELSE instrument_id END AS issuer_id, r_name AS sector, CAST((instrument_id * 37 + run * 11 + n * 5) % 1009 AS INT) AS h
+              FROM {b_years} AS y JOIN {supplier} ON supplier = s_suppkey JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey) AS c""",
     "b_inputs": f"""
-        SELECT run, instrument_id, key, CASE WHEN fault <> 0 THEN CASE WHEN unit = 'pure' THEN scale * part ELSE size * scale * part END END AS value,
+        SELECT run, instrument_id, key, CASE WHEN fault <> 0 THEN CASE WHEN run = 1998 AND key = 'MOMENTUM_RECENT' THEN 110.0 WHEN run = 1998 AND key = 'MOMENTUM_OLD' THEN 100.0 WHEN unit = 'pure' THEN scale * part ELSE size * scale * part END END AS value,
                CASE WHEN fault = 4 THEN 'EUR' ELSE unit END AS unit, CASE WHEN fault = 1 THEN 0 ELSE 1 END AS sources,
                CAST(CAST(make_date(run, 12, 31) - CASE WHEN fault = 2 THEN -1 ELSE 20 END AS DATE) AS TIMESTAMP) AS available_at,
                CAST(CAST(make_date(run, 12, 31) - CASE WHEN fault = 3 THEN -1 ELSE 19 END AS DATE) AS TIMESTAMP) AS observed_at,
                CAST(period_end - 90 AS DATE) AS period_start, period_end,
                make_date(run, 1, 1) AS effective_from, CASE WHEN fault = 5 THEN make_date(run, 6, 1) ELSE make_date(run + 1, 1, 1) END AS effective_to
         FROM (SELECT *, CAST(CASE WHEN key IN ('RAW_CLOSE', 'ADJUSTED_CLOSE') THEN make_date(run, 12, 31) ELSE make_date(run, 9, 30) END - (back + CASE WHEN fault = 5 THEN 150 WHEN fault = 6 THEN -100 ELSE 0 END) AS DATE) AS period_end
-              FROM (SELECT run, instrument_id, size, key, unit, scale, back, (instrument_id * 7 + no * 13 + run * 3) % 131 AS fault, CAST((instrument_id * 31 + run * 17 + no * 7) % 23 + 2 AS DOUBLE) / 14 - CASE WHEN (instrument_id + no * 5 + run) % 41 = 0 THEN 2 ELSE 0 END AS part
+              FROM (SELECT run, instrument_id, size, key, unit, scale, back, (instrument_id * 7 + no * 13 + run * 3) % 523 AS fault, CAST((instrument_id * 31 + run * 17 + no * 7) % 23 + 2 AS DOUBLE) / 14 - CASE WHEN (instrument_id + no * 5 + run) % 211 = 0 THEN 2 ELSE 0 END AS part
                     FROM {{b_years}} AS y JOIN (VALUES {_KEYS}) AS k(no, key, unit, scale, back) ON true) AS e) AS d""",
 }
 
