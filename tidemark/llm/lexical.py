@@ -21,6 +21,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SHORT = 64
 #: Documents of a block, of a range within it that is skipped or scored at once, and items of a chunk.
 BLOCK_DOCS, RANGE_DOCS, CHUNK_ITEMS = 4096, 128, 256
+#: Wanted terms up to which they are sent to every task (about 32 bytes each).
+FEW_TERMS = 500_000
 #: The term under which a document's number of terms is posted.
 LENGTH = ""
 _LOWERED = str.maketrans(UPPER, LOWER)
@@ -52,7 +54,9 @@ def postings(docs: DataFrame, wanted: DataFrame, ident: str = "doc_id") -> DataF
     """(row, id, n, term, tf), written, for the terms in ``wanted`` (term: unique) and LENGTH; every row of ``docs`` is a document with a number of its own."""
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(ident).cast("long").alias("id"), "text")
     bags = numbered.mapInArrow(_counted, "row long, id long, n long, term string, tf long")
-    return cut(bags.join(wanted.union(wanted.sparkSession.createDataFrame([(LENGTH,)], "term string")), "term", "left_semi").select("row", "id", "n", "term", "tf"), "postings")
+    kept = cut(wanted.union(wanted.sparkSession.createDataFrame([(LENGTH,)], "term string")), "wanted")
+    few = kept.count() <= FEW_TERMS  # else all terms of all documents are shuffled to meet them
+    return cut(bags.join(F.broadcast(kept) if few else kept, "term", "left_semi").select("row", "id", "n", "term", "tf"), "postings")
 
 
 def best_in_block(frame: pd.DataFrame, k: int, range_docs: int = RANGE_DOCS) -> pd.DataFrame:
