@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators.calendar import run_ordinals
-from tidemark.operators.temporal import bars_as_of, session_ordinals
+from tidemark.operators.temporal import bars_as_of, session_ordinals, settle
 
 
 def zscore(df: DataFrame, value: str, by: list[str], out: str = "z") -> DataFrame:
@@ -66,7 +66,7 @@ def price_features(bars: DataFrame, ordinals: DataFrame, latest: int = 2, refere
 def momentum_zscores(bars: DataFrame, sessions: DataFrame, cutoff: str, day: str) -> DataFrame:
     """Momentum of every instrument as known at ``cutoff``, standardised over all."""
     ordinals = session_ordinals(sessions, F.lit(day).cast("date"), 1 << 30, F.lit(cutoff).cast("timestamp"))
-    features = price_features(bars_as_of(bars, cutoff, "RAW"), ordinals).filter("latest_close IS NOT NULL AND reference_close IS NOT NULL")
+    features = settle(price_features(bars_as_of(bars, cutoff, "RAW"), ordinals).filter("latest_close IS NOT NULL AND reference_close IS NOT NULL"))  # a row per instrument, which moments, cuts and ranks read
     return zscore(features.withColumn("momentum", F.col("latest_close") / F.col("reference_close") - 1), "momentum", [])
 
 

@@ -68,27 +68,54 @@ def newest_vintage(df: DataFrame, keys: list[str], order: list[Column], out: str
     return ranked if out else ranked.filter("_dr = 1").drop("_dr")
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, values: list[str], direction: str = "backward", strict: bool = False) -> DataFrame:
+#: Into how many ranges of time a key's rows are dealt once it has more than so many.
+HOT_BUCKETS, HOT_ROWS = 64, 200_000
+
+
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, values: list[str], direction: str = "backward", strict: bool = False, buckets: int = HOT_BUCKETS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Each left row with the nearest right row of its key at or before (``backward``) or at or after (``forward``) its time.
 
-    One window over both sides: no range join, so the plan holds for any number of rows per key that sort on disk. ``strict``
-    leaves out equal times. Of right rows with the same time the greatest values win backward, the least forward.
+    One window over both sides, no range join. A key of more than ``hot_rows`` rows is cut at its times' approximate quantiles into ``buckets`` ranges; each
+    is ordered by itself, and the last right row before it is carried in from a table with a row per range. The result is the same for any number.
+    ``strict`` leaves out equal times. Of right rows with the same time the greatest values win backward, the least forward. Right rows
+    without a time are never met, and left ones meet none.
     """
+    backward = direction == "backward"
     payload = F.struct(F.col(right_time).alias(right_time), *(F.col(v) for v in values))
     a = left.withColumn("_t", F.col(left_time)).withColumn("_p", F.lit(None).cast(right.select(payload.alias("p")).schema["p"].dataType)).withColumn("_right", F.lit(False))
-    b = right.select(*by, F.col(right_time).alias("_t"), payload.alias("_p")).withColumn("_right", F.lit(True))
-    backward = direction == "backward"
+    b = right.filter(F.col(right_time).isNotNull()).select(*by, F.col(right_time).alias("_t"), payload.alias("_p")).withColumn("_right", F.lit(True))
+    both = a.unionByName(b, allowMissingColumns=True)
+    range_of = F.size(F.filter("_cuts", lambda c: c < F.col("_t")))
+    cuts = both.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_t", [i / buckets for i in range(1, buckets)], 20 * buckets).alias("_cuts")).filter(F.col("_n") > hot_rows).drop("_n")
+    dealt = both.join(cuts, by, "left").withColumn("_b", F.when(F.col("_cuts").isNull() | F.col("_t").isNull(), 0).otherwise(range_of)).drop("_cuts")
     # A right row of equal time must stand before the left one, unless strict.
     first = F.col("_right").cast("int") if (strict == backward) else -F.col("_right").cast("int")
     order = [F.col("_t"), first, F.col("_p")] if backward else [F.col("_t").desc(), (-F.col("_right").cast("int") if not strict else F.col("_right").cast("int")), F.col("_p").desc()]
-    near = F.last("_p", ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    both = a.unionByName(b, allowMissingColumns=True).withColumn("_n", near).filter(~F.col("_right"))
-    return both.select(*left.columns, *(F.col(f"_n.{c}").alias(c) for c in [right_time, *values]))
+    near = F.last("_p", ignorenulls=True).over(Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    edge = (F.max if backward else F.min)(F.when(F.col("_right"), F.struct("_t", "_p")))
+    onward = Window.partitionBy(*by).orderBy("_b" if backward else F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    edges = b.join(cuts, by).withColumn("_b", range_of).groupBy(*by, "_b").agg(edge.alias("_e"))
+    grid = cuts.select(*by, F.explode(F.sequence(F.lit(0), F.size("_cuts"))).alias("_b")).join(edges, [*by, "_b"], "left")
+    carried = grid.withColumn("_carried", F.last("_e._p", ignorenulls=True).over(onward)).select(*by, "_b", "_carried").filter(F.col("_carried").isNotNull())
+    met = dealt.withColumn("_near", near).filter(~F.col("_right")).join(carried, [*by, "_b"], "left").withColumn("_n", F.when(F.col("_t").isNotNull(), F.coalesce("_near", "_carried")))
+    return met.select(*left.columns, *(F.col(f"_n.{c}").alias(c) for c in [right_time, *values]))
+
 
+def effective_join(left: DataFrame, dim: DataFrame, key: str, day: str, order: list[Column], bucket_days: int = 366) -> DataFrame:
+    """Each left row with the dimension row of its key in force on its day, or nulls; of several, the first in ``order``. Left rows are unique by key and day.
 
-def effective_join(left: DataFrame, dim: DataFrame, key: str, day: str, order: list[Column]) -> DataFrame:
-    """Each left row with the dimension row of its key in force on its day; of several, the first in ``order``. Left rows are unique by key and day."""
-    met = left.join(dim, key, "left").filter(F.col("effective_from").isNull() | ((F.col("effective_from") <= F.col(day)) & (F.col("effective_to").isNull() | (F.col("effective_to") > F.col(day)))))
+    Both sides meet by key and range of ``bucket_days`` days: an interval is copied into each range that it covers, as far as left rows go, so a key's rows
+    are pairs only within a range, whatever its history; ranges that are still large are split by Spark's skew join. An interval without a start or an end is open there.
+    """
+    number = lambda d: F.floor(F.unix_date(d) / bucket_days)
+    span = left.agg(F.min(F.unix_date(F.col(day).cast("date"))).alias("_first"), F.max(F.unix_date(F.col(day).cast("date"))).alias("_last"))  # one row
+    begin, end = (F.floor(F.col(c) / bucket_days) for c in ("_first", "_last"))
+    covers = F.sequence(F.greatest(F.coalesce(number(F.col("effective_from").cast("date")), begin), begin), F.least(F.coalesce(number(F.date_sub(F.col("effective_to").cast("date"), 1)), end), end))
+    starts = F.greatest(F.coalesce(number(F.col("effective_from").cast("date")), begin), begin) <= F.least(F.coalesce(number(F.date_sub(F.col("effective_to").cast("date"), 1)), end), end)
+    spread = dim.join(span).filter(starts).withColumn("_range", F.explode(covers)).drop("_first", "_last")
+    asked = left.withColumn("_range", number(F.col(day).cast("date")))
+    on = [F.col("l._range") == F.col("r._range"), F.col(f"l.{key}") == F.col(f"r.{key}"), F.col("effective_from").isNull() | (F.col("effective_from") <= F.col(f"l.{day}")), F.col("effective_to").isNull() | (F.col("effective_to") > F.col(f"l.{day}"))]
+    met = asked.alias("l").join(spread.alias("r"), on, "left").select(*(F.col(f"l.{c}") for c in left.columns), *(F.col(f"r.{c}") for c in dim.columns if c != key))
     return latest_per(met, [key, day], order)
 
 

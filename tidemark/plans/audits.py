@@ -266,3 +266,48 @@ def _st04(v: Views) -> DataFrame:
 def _st06(v: Views) -> DataFrame:
     parts = audits.fan_out(v.events, "event_type", ["click", "purchase", "error", "view", "signup", "add_to_cart", "login", "logout"])
     return comparisons.union_all([d.agg(F.count("*").alias("n")).select(F.lit(t).alias("target"), "n") for t, d in parts.items()]).filter("n > 0")
+
+
+EBITDA = """SELECT c.*, count(*) OVER (PARTITION BY c.total_id) AS k, period_end - period_start + 1 AS days, max(period_end) OVER (PARTITION BY c.total_id) AS newest FROM b_components c"""
+
+
+@R.add("e08_ebitda_from_source", f"""WITH p AS ({EBITDA}), s AS (SELECT *, CASE WHEN k = 3 AND days NOT BETWEEN 350 AND 380 AND period_end <> newest THEN -1 ELSE 1 END AS sign FROM p),
+m AS (SELECT s.total_id, s.fact_id, count(DISTINCT val) FILTER (concept = 'DepreciationDepletionAndAmortization') AS n1, max(val) FILTER (concept = 'DepreciationDepletionAndAmortization') AS v1, count(DISTINCT val) FILTER (concept = 'DepreciationAndAmortization') AS n2, max(val) FILTER (concept = 'DepreciationAndAmortization') AS v2
+  FROM s JOIN b_entries e ON s.artifact_id = e.artifact_id AND s.accession = e.accn AND s.period_start = e.start AND s.period_end = e.ending WHERE e.form IN ('10-K', '10-Q', '10-K/A', '10-Q/A') GROUP BY 1, 2),
+j AS (SELECT s.*, coalesce(n1, 0) AS n1, v1, coalesce(n2, 0) AS n2, v2 FROM s LEFT JOIN m ON s.fact_id = m.fact_id),
+g AS (SELECT total_id, count(*) AS k, count(*) FILTER (days BETWEEN 350 AND 380) AS years, count(*) FILTER (days BETWEEN 70 AND 110) AS quarters, count(*) FILTER (days NOT BETWEEN 350 AND 380 AND period_end = newest) AS recent, sum(sign * value) AS checked, bool_or(artifact_id IS NULL) AS lost, max(period_end) AS period_end,
+  CASE WHEN count(*) FILTER (n1 <> 1) = 0 THEN sum(sign * v1) END AS d1, CASE WHEN count(*) FILTER (n2 <> 1) = 0 THEN sum(sign * v2) END AS d2, coalesce(arg_min(n1, (period_end, period_start, fact_id)) FILTER (n1 <> 1) > 1, false) OR coalesce(arg_min(n2, (period_end, period_start, fact_id)) FILTER (n2 <> 1) > 1, false) AS many FROM j GROUP BY 1),
+r AS (SELECT t.total_id, total, coalesce(d1, d2) AS dep, CASE WHEN d1 IS NOT NULL THEN 'DepreciationDepletionAndAmortization' WHEN d2 IS NOT NULL THEN 'DepreciationAndAmortization' END AS concept, period_end,
+  CASE WHEN total IS NULL THEN coalesce('OPERATING_INCOME_TTM:' || total_reason, 'MISSING_INPUT:OPERATING_INCOME_TTM') WHEN k <> sources THEN 'OPERATING_INCOME_FACTS_NOT_FOUND'
+    WHEN NOT (k = 1 AND years = 1 OR k = 4 AND quarters = 4 OR k = 3 AND years = 1 AND recent = 1) OR checked <> total THEN 'OPERATING_INCOME_PERIODS_UNRESOLVED' WHEN lost THEN 'SOURCE_ARTIFACT_NOT_RETAINED'
+    WHEN coalesce(d1, d2) IS NULL THEN CASE WHEN many THEN 'DEPRECIATION_AMORTIZATION_AMBIGUOUS' ELSE 'DEPRECIATION_AMORTIZATION_NOT_REPORTED' END WHEN coalesce(d1, d2) < 0 THEN 'NEGATIVE_DEPRECIATION_AMORTIZATION' END AS reason FROM b_totals t JOIN g ON t.total_id = g.total_id)
+SELECT total_id, CASE WHEN reason IS NULL THEN CAST(dep AS DOUBLE) END AS depreciation, CASE WHEN reason IS NULL THEN CAST(total + dep AS DOUBLE) END AS ebitda, CASE WHEN reason IS NULL THEN concept END AS concept, CASE WHEN reason IS NULL THEN CAST(period_end AS STRING) END AS period_end, reason FROM r""")
+def _e08_source(v: Views) -> DataFrame:
+    """Documents hold the entries of many filings; each fact is matched in its own."""
+    from tidemark.operators import ebitda
+
+    entry = F.struct("concept", "accn", "start", F.col("ending").alias("end"), "form", "val")
+    documents = v.b_entries.groupBy("artifact_id").agg(F.collect_list(entry).alias("entries"))
+    out = ebitda.ebitda(v.b_totals, v.b_components.select("total_id", "fact_id", "period_start", "period_end", "value", "accession", "artifact_id"), documents, "total_id")
+    return out.select("total_id", F.col("depreciation").cast("double").alias("depreciation"), F.col("ebitda").cast("double").alias("ebitda"), "concept", F.col("period_end").cast("string").alias("period_end"), "reason")
+
+
+CUTOFFS = [f"{y}-{m}" for y in range(1996, 2002) for m in ("06-30", "12-31")]
+SELECTED = f"""k AS (SELECT CAST(c AS TIMESTAMP) AS lim, c, row_number() OVER (ORDER BY c) AS i FROM (VALUES {", ".join(f"('{c}')" for c in CUTOFFS)}) t(c)),
+d AS (SELECT issuer_id, metric, period_end, i, c, value FROM b_facts JOIN k ON available_at <= lim WHERE quality_state = 'VALID' QUALIFY row_number() OVER (PARTITION BY issuer_id, metric, period_end, i ORDER BY available_at DESC, filing_id DESC) = 1),
+r AS (SELECT * FROM (SELECT issuer_id, metric, period_end, i, c, value, filing_id FROM b_facts JOIN k ON available_at + INTERVAL 30 DAY <= lim WHERE quality_state <> 'VALID' QUALIFY row_number() OVER (PARTITION BY issuer_id, metric, period_end, i ORDER BY available_at DESC, filing_id DESC) = 1) x WHERE filing_id % 3 <> 0),
+s AS (SELECT issuer_id, metric, period_end, i, c, 'DIRECT' AS source, value FROM d UNION ALL SELECT r.issuer_id, r.metric, r.period_end, r.i, r.c, 'REVIEWED', r.value FROM r WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.issuer_id = r.issuer_id AND d.metric = r.metric AND d.period_end = r.period_end AND d.i = r.i))"""
+
+
+@R.add("v02_review_selection", f"""WITH {SELECTED}, p AS (SELECT coalesce(a.issuer_id, b.issuer_id) AS issuer_id, coalesce(a.metric, b.metric) AS metric, coalesce(a.period_end, b.period_end) AS period_end, coalesce(a.i, b.i + 1) AS i, a.source AS source, a.value AS value, b.source AS s0, b.value AS v0
+  FROM s a FULL JOIN s b ON a.issuer_id = b.issuer_id AND a.metric = b.metric AND a.period_end = b.period_end AND a.i = b.i + 1)
+SELECT issuer_id, metric, CAST(period_end AS STRING) AS period_end, k.c AS cutoff, CASE WHEN s0 IS NULL THEN 'ENTERED' WHEN source IS NULL THEN 'LEFT' ELSE 'CHANGED' END AS change, coalesce(source, s0) AS source, round(coalesce(value, v0), 2) AS value FROM p JOIN k ON p.i = k.i WHERE s0 IS NULL OR source IS NULL OR s0 <> source OR v0 <> value""")
+def _v02_selection(v: Views) -> DataFrame:
+    """Facts with a broken sign are reviewed a month after they came; two in three are accepted."""
+    from tidemark.operators import reviews
+
+    keys = ["issuer_id", "metric", "period_end"]
+    direct = v.b_facts.filter("quality_state = 'VALID'").select(*keys, "available_at", F.col("filing_id").alias("fact_id"), "value")
+    recorded = v.b_facts.filter("quality_state <> 'VALID'").select(*keys, (F.col("available_at") + F.expr("INTERVAL '30' DAY")).alias("recorded_at"), F.col("filing_id").alias("review_id"), F.when(F.col("filing_id") % 3 != 0, "ACCEPT").otherwise("REJECT").alias("decision"), "value")
+    changed = reviews.effect(reviews.selections(direct, recorded, keys, CUTOFFS), keys, CUTOFFS)
+    return changed.select("issuer_id", "metric", F.col("period_end").cast("string").alias("period_end"), "cutoff", "change", "source", F.round("value", 2).alias("value"))

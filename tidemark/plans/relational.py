@@ -11,6 +11,7 @@ from tidemark.operators import calendar as K
 from tidemark.operators import comparisons as C
 from tidemark.operators import contracts, facts, ranking, reference, screener
 from tidemark.operators import temporal as T
+from tidemark.operators.selection import quantiles
 from tidemark.plans.temporal import AS_OF, PICK, day, last_day
 from tidemark.plans.views import Registry, Views
 
@@ -46,10 +47,10 @@ def _g06(v: Views) -> DataFrame:
     return v.b_facts.groupBy("issuer_id").agg(F.bool_or(F.col("filed_date") >= F.lit("2001-06-01").cast("date")).alias("recent"))
 
 
-@R.add("g07_cohort_bounds", "SELECT sector, round(quantile_cont(composite, 0.025), 6) AS low, round(quantile_cont(composite, 0.975), 6) AS high FROM b_scores WHERE as_of = DATE '2000-12-31' AND composite IS NOT NULL GROUP BY 1")
+@R.add("g07_cohort_bounds", "SELECT CAST(as_of AS STRING) AS as_of, sector, count(*) AS n, round(quantile_cont(composite, 0.025), 6) AS low, round(quantile_cont(composite, 0.975), 6) AS high FROM b_scores s WHERE composite IS NOT NULL GROUP BY s.as_of, sector")
 def _g07(v: Views) -> DataFrame:
-    p = F.percentile("composite", F.array(F.lit(0.025), F.lit(0.975)))
-    return v.b_scores.filter((F.col("as_of") == last_day()) & F.col("composite").isNotNull()).groupBy("sector").agg(p.alias("p")).select("sector", F.round(F.col("p")[0], 6).alias("low"), F.round(F.col("p")[1], 6).alias("high"))
+    bounds = quantiles(v.b_scores, ["as_of", "sector"], "composite", {"low": 0.025, "high": 0.975})
+    return bounds.select(F.col("as_of").cast("string").alias("as_of"), "sector", "n", *(F.round(c, 6).alias(c) for c in ("low", "high")))
 
 
 @R.add("g08_cohort_moments", "WITH b AS (SELECT sector, quantile_cont(composite, 0.025) AS lo, quantile_cont(composite, 0.975) AS hi FROM b_scores WHERE composite IS NOT NULL GROUP BY 1) SELECT s.sector, count(*) AS n, round(avg(greatest(lo, least(hi, composite))), 6) AS mean, round(stddev_pop(greatest(lo, least(hi, composite))), 6) AS sd FROM b_scores s JOIN b ON s.sector = b.sector WHERE composite IS NOT NULL GROUP BY 1")
@@ -59,9 +60,9 @@ def _g08(v: Views) -> DataFrame:
     return cohort_moments(v.b_scores.filter("composite IS NOT NULL"), ["sector"], "composite").select("sector", F.col("n"), F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
 
 
-@R.add("g09_profile_coverage", "SELECT profile, count(*) AS n, count(*) FILTER (eligible) AS eligible FROM b_scores WHERE as_of = DATE '2000-12-31' GROUP BY 1")
+@R.add("g09_profile_coverage", "SELECT CAST(as_of AS STRING) AS as_of, profile, count(*) AS n, count(*) FILTER (eligible) AS eligible FROM b_scores s GROUP BY s.as_of, profile")
 def _g09(v: Views) -> DataFrame:
-    return v.b_scores.filter(F.col("as_of") == last_day()).groupBy("profile").agg(F.count("*").alias("n"), F.count_if("eligible").alias("eligible"))
+    return v.b_scores.groupBy(F.col("as_of").cast("string").alias("as_of"), "profile").agg(F.count("*").alias("n"), F.count_if("eligible").alias("eligible"))
 
 
 @R.add("g10_sector_counts", "SELECT sector, count(*) AS members, count(*) FILTER (eligible) AS eligible, count(*) FILTER (profile = 'GENERAL') AS \"general\" FROM b_scores WHERE as_of = DATE '2000-12-31' GROUP BY 1")
@@ -69,10 +70,12 @@ def _g10(v: Views) -> DataFrame:
     return screener.sector_counts(v.b_scores.filter(F.col("as_of") == last_day()))
 
 
-@R.add("g11_sector_metric_summary", "SELECT sector, round(median(market_cap), 2) AS median_cap, count(*) AS n, round(max(composite), 6) AS best FROM (SELECT *, bool_or(primary_class) OVER (PARTITION BY issuer_id) AS p FROM b_scores WHERE as_of = DATE '2000-12-31') x WHERE NOT p OR primary_class GROUP BY 1")
+@R.add("g11_sector_metric_summary", "SELECT CAST(as_of AS STRING) AS as_of, sector, round(median(market_cap), 2) AS median_cap, count(*) AS n, round(max(composite), 6) AS best FROM (SELECT *, bool_or(primary_class) OVER (PARTITION BY as_of, issuer_id) AS p FROM b_scores) x WHERE NOT p OR primary_class GROUP BY x.as_of, sector")
 def _g11(v: Views) -> DataFrame:
-    reps = screener.representatives(v.b_scores.filter(F.col("as_of") == last_day()), [])
-    return reps.groupBy("sector").agg(F.round(F.percentile("market_cap", F.lit(0.5)), 2).alias("median_cap"), F.count("*").alias("n"), F.round(F.max("composite"), 6).alias("best"))
+    by = ["as_of", "sector"]
+    reps = T.settle(screener.representatives(v.b_scores, ["as_of"]).select(*by, "market_cap", "composite"))
+    met = reps.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.max("composite"), 6).alias("best")).join(quantiles(reps, by, "market_cap", {"median_cap": 0.5}, settled=True).drop("n"), by)
+    return met.select(F.col("as_of").cast("string").alias("as_of"), "sector", F.round("median_cap", 2).alias("median_cap"), "n", "best")
 
 
 @R.add("g12_latest_evidence", "SELECT issuer_id, CAST(CAST(max(greatest(available_at, CAST(filed_date AS TIMESTAMP))) AS DATE) AS STRING) AS evidence FROM b_facts GROUP BY 1")

@@ -7,12 +7,16 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import comparisons, model
+from tidemark.functions.scalars import framed_hash
+from tidemark.operators import comparisons, model, publication, replay
+from tidemark.operators import scoring as M
 from tidemark.operators import temporal as T
+from tidemark.plans import scoring
 from tidemark.plans.domain import NORM, _norm
 from tidemark.plans.temporal import day
 from tidemark.plans.views import Registry, Views
 from tidemark.sources import readers, sinks
+from tidemark.streaming import observations
 
 R = Registry()
 
@@ -143,3 +147,117 @@ def _q05(v: Views) -> DataFrame:
     altered = F.when((F.month("as_of") == 6) & (F.col("sector") == "ASIA"), F.col("composite") + 0.25).otherwise(F.col("composite"))
     stored = model.score_runs(v.b_scores.withColumn("composite", altered), ["as_of"])
     return comparisons.replay(stored, model.score_runs(v.b_scores, ["as_of"]), ["as_of"], "instrument_id").withColumn("as_of", F.col("as_of").cast("string"))
+
+
+def _strict_tables(inputs: DataFrame, cards: DataFrame, spark) -> dict[str, DataFrame]:  # noqa: ANN001
+    """Factors, scores and exclusions of all runs under the strict model."""
+    norm, out = M.strict(M.assess(inputs, cards, scoring.ON, spark.sql(scoring.LAW)), ["run"], "instrument_id")
+    out = T.settle(out)
+    scores = model.score_runs(out, ["run"]).select(*scoring.ON, F.col("rank").cast("long").alias("rank"), F.round("composite", model.DIGITS).alias("composite"))
+    factors = norm.filter(F.col("z").isNotNull()).select(*scoring.ON, "metric", "family", "cohort", F.round("z", 9).alias("z"))
+    return {"factors": factors, "scores": T.settle(scores), "exclusions": out.filter(~F.col("eligible")).select(*scoring.ON, F.explode("errors").alias("reason"))}
+
+
+@R.add("k02_result_tables", f"""WITH {scoring.ASSESSED}, {scoring.STRICT}, n AS (SELECT run, 'lineage' AS table_name, count(*) AS rows FROM a WHERE reason IS NULL GROUP BY 1 UNION ALL SELECT run, 'artifacts', count(DISTINCT instrument_id) FROM b_inputs WHERE sources > 0 GROUP BY 1
+  UNION ALL SELECT run, 'scores', count(*) FILTER (len(errors) = 0) FROM o GROUP BY 1 UNION ALL SELECT run, 'factors', count(z) FROM z GROUP BY 1 UNION ALL SELECT run, 'exclusions', sum(len(errors)) FROM o GROUP BY 1)
+SELECT run, table_name, CAST(rows AS BIGINT) AS rows FROM n WHERE run <> 1996 AND rows > 0""")
+def _k02_tables(v: Views) -> DataFrame:
+    """All five result tables of all runs; a run that lost its exclusions violates the guard and isn't published."""
+    cards = scoring._cards(v)
+    made = _strict_tables(v.b_inputs, cards, v.spark)
+    lineage = M.accept(v.b_inputs, cards, scoring.ON).filter("reason IS NULL").select(*scoring.ON, "key", "available_at")
+    artifacts = v.b_inputs.filter("sources > 0").groupBy(*scoring.ON).agg(F.sum("sources").alias("sources"))
+    tables = {"lineage": lineage, "artifacts": artifacts} | made
+    tables = {n: T.settle(tables[n].filter("run <> 1996") if n == "exclusions" else tables[n]) for n in sinks.RESULT_TABLES}
+    guard = publication.guard(tables["scores"], tables["exclusions"], cards.select(*scoring.ON), ["run"])
+    return sinks.write_publications(tables, T.settle(guard), _place(v, "publications")).select("run", "table_name", "rows")
+
+
+@R.add("q05_replay_publications", f"""WITH {scoring.ASSESSED}, {scoring.STRICT}
+SELECT run, CASE run WHEN 1997 THEN 'inputs' WHEN 1999 THEN 'scores' END AS found_at, CASE WHEN run IN (1997, 1999) THEN 'ALTERED' END AS kind, count(*) FILTER (run = 1999 AND len(errors) = 0 AND instrument_id % 7 = 0) AS cells FROM o GROUP BY run HAVING count(*) FILTER (len(errors) = 0) > 0""")
+def _q05_publications(v: Views) -> DataFrame:
+    """Published runs are rebuilt from their stored inputs. In one a stored input was changed since, in another a score: each is found where it was changed."""
+    path, spark = _place(v, "replay"), v.spark
+    made = _strict_tables(v.b_inputs, scoring._cards(v), spark)
+    inputs = T.settle(v.b_inputs)
+    tables = {"inputs": inputs, "cards": T.settle(scoring._cards(v)), "factors": T.settle(made["factors"]), "scores": made["scores"]}
+    runs = tables["scores"].select("run").distinct()
+    manifest = sinks.write_publications(tables, runs.withColumn("missing", F.lit(0)), path)
+    doubled = F.when((F.col("key") == "RAW_CLOSE") & (F.col("instrument_id") % 5 == 0), F.col("value") * 2).otherwise(F.col("value"))
+    inputs.filter("run = 1997").withColumn("value", doubled).drop("run").write.mode("overwrite").parquet(f"{path}/inputs/run=1997")
+    raised = F.when(F.col("instrument_id") % 7 == 0, F.col("composite") + 0.25).otherwise(F.col("composite"))
+    tables["scores"].filter("run = 1999").withColumn("composite", raised).drop("run").write.mode("overwrite").parquet(f"{path}/scores/run=1999")
+    stored = {n: spark.read.schema(df.schema).parquet(f"{path}/{n}").select(*df.columns) for n, df in tables.items()}
+    again: dict[str, DataFrame] = {}
+
+    def rebuild(given: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        again.update({n: T.settle(df) for n, df in _strict_tables(given["inputs"], given["cards"], spark).items() if n != "exclusions"})
+        return again
+
+    found = T.settle(replay.first_difference(replay.replay_publications(manifest, stored, ["inputs", "cards"], rebuild)))
+    cells = replay.altered_cells(stored["scores"], again["scores"], found.filter("found_at = 'scores'"), scoring.ON, ["composite"], ["rank"])
+    return found.join(cells.groupBy("run").agg(F.count("*").alias("cells")), "run", "left").withColumn("cells", F.coalesce("cells", F.lit(0)))
+
+
+@R.add("k03_verified_export", "SELECT count(*) AS exported, count(*) AS read_back, 0 AS missing, 0 AS unexpected FROM part")
+def _k03_verified(v: Views) -> DataFrame:
+    path = _place(v, "export")
+    rows = v.part.select("p_partkey", F.concat_ws(', "', "p_name", "p_brand").alias("label"), F.when(F.col("p_size") % 3 > 0, F.col("p_type")).alias("type"), F.array("p_brand", "p_type").alias("tags"), "p_retailprice")
+    sinks.export_csv(rows, path)
+    return sinks.verify_export(rows, path).select("exported", "read_back", "missing", "unexpected")
+
+
+TYPES = {"click": "STOCK_BAR", "purchase": "DAILY_PRICE", "error": "FILING_FACTS", "view": "REGULATORY_FACTS", "signup": "FUNDAMENTAL_SNAPSHOT"}
+
+
+def _deliveries(v: Views) -> DataFrame:
+    """Two halves of envelopes: even events, then odd ones, clicks of the first half once more, and some ids again with another payload. Some have an old schema or a wrong hash."""
+    from itertools import chain
+
+    kinds = F.create_map(*(F.lit(x) for x in chain(*TYPES.items())))
+    number = F.col("event_id").cast("long")
+    base = v.events.select(F.lit(1).alias("half"), number.alias("no"), F.when(F.col("value") < 5, 1).otherwise(2).alias("schema_version"), F.col("user_id").cast("string").alias("instrument_id"), F.coalesce(kinds[F.col("event_type")], F.upper("event_type")).alias("event_type"), F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("economic_time"), F.col("props").alias("payload"), F.col("event_type").alias("_kind"))
+    even, second = base.filter("no % 2 = 0"), F.lit(2).alias("half")
+    rest = [c for c in base.columns if c != "half"]
+    parts = [even, base.filter("no % 2 = 1").select(second, *rest), even.filter("_kind = 'click'").select(second, *rest), even.filter("no % 97 = 3 OR no % 97 = 40").withColumn("payload", F.lit("{}")).select(second, *rest)]
+    rows = comparisons.union_all(parts)
+    key = framed_hash(F.col("instrument_id"), F.col("event_type"), F.date_format("economic_time", "yyyy-MM-dd'T'HH:mm:ss"))
+    return rows.select("half", F.col("no").cast("string").alias("event_id"), "schema_version", key.alias("observation_key"), "instrument_id", "event_type", "economic_time", "payload", F.when(F.col("no") % 50 == 7, "x").otherwise(F.sha2("payload", 256)).alias("payload_hash"))
+
+
+def _two_starts(v: Views, tag: str, start) -> str:  # noqa: ANN001
+    """The deliveries arrive in two halves; the stream is started, stops when it has taken what is there, and is started again. Rows of one key arrive in one file."""
+    path, rows = _place(v, tag), T.settle(_deliveries(v))
+    for half in (1, 2):
+        rows.filter(F.col("half") == half).drop("half").repartition(6, "observation_key").write.json(f"{path}/inbox/half{half}")
+        start(observations.read_stream(v.spark, f"{path}/inbox/*", 4), path).awaitTermination()
+    return path
+
+
+DELIVERIES = """k AS (SELECT CAST(event_id AS BIGINT) AS no, CASE WHEN value < 5 THEN 1 ELSE 2 END AS schema_version, user_id, event_type AS kind, CASE event_type WHEN 'click' THEN 'STOCK_BAR' WHEN 'purchase' THEN 'DAILY_PRICE' WHEN 'error' THEN 'FILING_FACTS' WHEN 'view' THEN 'REGULATORY_FACTS' WHEN 'signup' THEN 'FUNDAMENTAL_SNAPSHOT' ELSE upper(event_type) END AS event_type, date_trunc('hour', CAST(ts AS TIMESTAMP)) AS t, props AS payload FROM events),
+d AS (SELECT 1 AS half, * FROM k WHERE no % 2 = 0 UNION ALL SELECT 2, * FROM k WHERE no % 2 = 1 UNION ALL SELECT 2, * FROM k WHERE no % 2 = 0 AND kind = 'click' UNION ALL SELECT 2, * REPLACE ('{}' AS payload) FROM k WHERE no % 2 = 0 AND no % 97 IN (3, 40)),
+c AS (SELECT *, concat_ws(',', CASE WHEN schema_version <> 2 THEN 'BAD_SCHEMA_VERSION' END, CASE WHEN no % 50 = 7 THEN 'PAYLOAD_HASH_MISMATCH' END, CASE WHEN event_type NOT IN ('STOCK_BAR', 'DAILY_PRICE', 'FILING_FACTS', 'REGULATORY_FACTS', 'FUNDAMENTAL_SNAPSHOT') THEN 'UNSUPPORTED_TYPE' END) AS wrong FROM d),
+i AS (SELECT *, first_value(payload) OVER (PARTITION BY no ORDER BY half, sha256(payload)) AS first FROM c WHERE wrong = ''),
+j AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, t ORDER BY half, t, CAST(no AS VARCHAR)) AS place FROM i WHERE payload = first)"""
+
+
+@R.add("st01_stream_tables", f"""WITH {DELIVERIES} SELECT 'journal' AS table_name, CAST(no AS VARCHAR) AS event_id, event_type AS detail, 1 AS n FROM j WHERE place = 1 UNION ALL SELECT 'receipts', CAST(no AS VARCHAR), event_type, count(*) FROM j GROUP BY no, event_type
+UNION ALL SELECT 'quarantine', CAST(no AS VARCHAR), wrong, count(*) FROM c WHERE wrong <> '' GROUP BY no, wrong UNION ALL SELECT 'quarantine', CAST(no AS VARCHAR), 'IDENTITY_REUSED', count(*) FROM i WHERE payload <> first GROUP BY no
+UNION ALL SELECT 'canonical', CAST(no AS VARCHAR), CASE event_type WHEN 'STOCK_BAR' THEN 'bars' WHEN 'DAILY_PRICE' THEN 'daily_prices' WHEN 'FILING_FACTS' THEN 'filing_facts' WHEN 'REGULATORY_FACTS' THEN 'regulatory_facts' ELSE 'fundamental_snapshots' END, 1 FROM j WHERE place = 1""")
+def _st01(v: Views) -> DataFrame:
+    """The tables that a stream left after two starts: journal, receipts, quarantine, and the canonical tables it fans out to."""
+    path = _two_starts(v, "stream", lambda stream, place: observations.start(stream, place, observations.ROUTES))
+    read = lambda name: v.spark.read.parquet(f"{path}/{name}")
+    types = read("journal").select("observation_key", "event_type").distinct()
+    row = lambda df, name, detail: df.groupBy(F.lit(name).alias("table_name"), "event_id", detail.alias("detail")).agg(F.count("*").alias("n"))
+    return comparisons.union_all([
+        row(read("journal"), "journal", F.col("event_type")), row(read("receipts").join(types, "observation_key"), "receipts", F.col("event_type")),
+        row(read("quarantine"), "quarantine", F.array_join("violations", ",")), row(read("canonical"), "canonical", F.col("target")),
+    ])
+
+
+@R.add("st15_stream_gauges", f"WITH {DELIVERIES} SELECT CAST(date_trunc('day', t) AS DATE) AS day, event_type, count(*) AS n, CAST(max(t) AS VARCHAR) AS newest FROM d GROUP BY 1, 2")
+def _st15(v: Views) -> DataFrame:
+    """Deliveries by day and type, kept by a stream through two starts."""
+    path = _two_starts(v, "gauges", observations.start_gauges)
+    return observations.read_gauges(v.spark, path).select(F.to_date("window_start").alias("day"), "event_type", "n", F.date_format("newest", "yyyy-MM-dd HH:mm:ss").alias("newest"))

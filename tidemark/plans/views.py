@@ -78,6 +78,19 @@ VIEWS = {
         SELECT i.instrument_id, i.issuer_id, i.symbol, i.sector, i.profile, i.primary_class, p.signal_at AS as_of, p.score AS composite, p.market_cap,
                p.score IS NOT NULL AND i.profile = 'GENERAL' AS eligible
         FROM {b_panel} AS p JOIN {b_instruments} AS i ON p.instrument_id = i.instrument_id""",
+    "b_components": """
+        SELECT total_id, fact_id, n, no, start AS period_start, CAST(CASE WHEN n = 3 AND no = 1 OR n = 1 THEN start + 364 WHEN n = 3 THEN start + 180 WHEN total_id % 17 = 0 THEN start + 130 ELSE start + 90 END AS DATE) AS period_end, value, accession, CASE WHEN total_id % 19 <> 0 THEN document END AS artifact_id, document, size, part
+        FROM (SELECT l_orderkey AS total_id, l_orderkey * 16 + no AS fact_id, n, no, CAST(DATE '2001-01-01' + CAST(CASE WHEN n = 4 THEN 91 * (no - 1) WHEN n = 3 AND no = 2 THEN 365 ELSE 0 END AS INT) AS DATE) AS start,
+                     CAST(l_quantity * 100 AS DECIMAL(18, 4)) AS value, l_orderkey * 8 + no % 2 AS accession, CAST(floor(l_orderkey / 8) AS BIGINT) AS document, CAST(round(l_tax * 100) AS INT) * 10 - 5 AS size, l_partkey AS part
+              FROM (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS no, CAST(count(*) OVER (PARTITION BY l_orderkey) AS INT) AS n FROM {lineitem}) AS l) AS c""",
+    "b_totals": """
+        SELECT total_id, CASE WHEN total_id % 23 <> 0 THEN sum(CASE WHEN n = 3 AND no = 3 THEN -value ELSE value END) + CASE WHEN total_id % 13 = 0 THEN 0.01 ELSE 0 END END AS total,
+               CASE WHEN total_id % 46 = 0 THEN 'STALE' END AS total_reason, CAST(count(*) + CASE WHEN total_id % 29 = 0 THEN 1 ELSE 0 END AS INT) AS sources
+        FROM {b_components} GROUP BY total_id""",
+    "b_entries": """
+        SELECT document AS artifact_id, CASE WHEN k = 1 THEN 'DepreciationDepletionAndAmortization' WHEN k < 4 THEN 'DepreciationAndAmortization' ELSE 'Revenues' END AS concept, accession + CASE WHEN part % 9 = 1 THEN 1 ELSE 0 END AS accn,
+               period_start AS start, CAST(period_end + CASE WHEN part % 10 = 1 THEN 1 ELSE 0 END AS DATE) AS ending, CASE WHEN part % 12 = 1 THEN '8-K' WHEN no = 1 THEN '10-K' ELSE '10-Q/A' END AS form, CAST(size * k AS DECIMAL(18, 4)) AS val
+        FROM {b_components} JOIN (VALUES (1), (2), (3), (4)) AS t(k) ON CASE k WHEN 1 THEN part % 3 > 0 WHEN 2 THEN part % 8 > 0 WHEN 3 THEN part % 11 = 0 ELSE true END""",
     "b_years": """
         SELECT l_suppkey * 8 + l_partkey % 8 AS instrument_id, l_suppkey AS supplier, CAST(year(l_shipdate) AS INT) AS run, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 100 AS size, CAST(count(*) AS INT) AS n
         FROM {lineitem} GROUP BY l_suppkey * 8 + l_partkey % 8, l_suppkey, year(l_shipdate)""",

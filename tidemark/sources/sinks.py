@@ -2,22 +2,65 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.temporal import settle
+
+
+#: The result tables of a publication (fixed values).
+RESULT_TABLES = ("lineage", "artifacts", "scores", "factors", "exclusions")
+
+
+def table_hash(df: DataFrame, by: list[str]) -> DataFrame:
+    """(``by``, rows, content_hash) of each group: the sum of its rows' SHA-256, 60 bits each, over the columns in order of their names. The order of rows and how they are dealt don't matter; numbers count to 9 digits."""
+    cell = lambda c, kind: F.round(c, 9) + F.lit(0.0) if kind in ("double", "float") else F.col(c)
+    row = F.to_json(F.struct(*(cell(c, dict(df.dtypes)[c]).alias(c) for c in sorted(df.columns))))
+    bits = F.conv(F.substring(F.sha2(row, 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.withColumn("_h", bits).groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.sum("_h").cast("string").alias("content_hash"))
+
 
 def write_publication(tables: dict[str, DataFrame], violations: DataFrame, path: str, run_id: str) -> None:
-    """All result tables of a run, or none: tables go to the run's own folders, and the manifest row that makes readers see them is written last, only
-    when no guard is violated. A run that died half-way leaves folders that no reader looks at and a repeat overwrites.
+    """All result tables of a run, or none: tables go to the run's own folders and are read back; the manifest row that makes readers see them is written last, only
+    when no guard is violated and each table has the rows and content hash that were to be written. A run that died half-way leaves folders that no reader looks at and a repeat overwrites.
     """
     rules = [c for c in ("missing", "unexpected", "both", "no_reason", "rank_gap") if c in violations.columns]
     total = violations.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in rules)).first()
     if broken := [c for c in rules if total[c]]:
         raise ValueError(f"run {run_id} violates {broken}")
-    spark = violations.sparkSession
+    spark, written = violations.sparkSession, []
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}/run={run_id}")
-    spark.range(1).select(F.lit(run_id).alias("run_id"), F.array(*(F.lit(n) for n in sorted(tables))).alias("tables")).write.mode("overwrite").parquet(f"{path}/manifest/{run_id}")
+        meant, back = (table_hash(d, []).select("rows", "content_hash").first() for d in (df, spark.read.schema(df.schema).parquet(f"{path}/{name}/run={run_id}")))
+        if meant != back:
+            raise ValueError(f"{name} of run {run_id} was read back with {back['rows']} rows instead of {meant['rows']}, or other content")
+        written.append((run_id, name, back["rows"], back["content_hash"]))
+    rows = spark.createDataFrame(written, "run_id string, table_name string, rows long, content_hash string")
+    rows.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("table_name", "rows", "content_hash"))).alias("tables")).write.mode("overwrite").parquet(f"{path}/manifest/{run_id}")
+
+
+def write_publications(tables: dict[str, DataFrame], violations: DataFrame, path: str, run: str = "run") -> DataFrame:
+    """Many runs at once, in one job per table (folders by ``run``): runs whose guards hold and whose tables are read back as they were meant get manifest rows (run, table_name, rows, content_hash), which are returned.
+
+    Tables are read twice, so they should be settled. Each call has a folder of its own; readers see only what the manifest of that folder names.
+    """
+    spark = violations.sparkSession
+    rules = [c for c in ("missing", "unexpected", "both", "no_reason", "rank_gap") if c in violations.columns]
+    sound = violations.filter(reduce(lambda a, b: a & b, (F.coalesce(F.col(c), F.lit(0)) == 0 for c in rules))).select(run).distinct()
+    meant, back = [], []
+    for name, df in tables.items():
+        df.join(sound, run, "left_semi").write.mode("overwrite").partitionBy(run).parquet(f"{path}/{name}")
+        again = spark.read.schema(df.schema).parquet(f"{path}/{name}")
+        meant.append(table_hash(df.join(sound, run, "left_semi"), [run]).withColumn("table_name", F.lit(name)))
+        back.append(table_hash(again.select(*df.columns), [run]).withColumn("table_name", F.lit(name)))
+    columns = [run, "table_name", "rows", "content_hash"]
+    union = lambda frames: reduce(lambda a, b: a.unionByName(b), frames).select(*columns)
+    sides = settle(union(meant).withColumn("_n", F.lit(1)).unionByName(union(back).withColumn("_n", F.lit(-1))).groupBy(*columns).agg(F.sum("_n").alias("_n")))
+    manifest = sides.filter("_n = 0").drop("_n").join(sides.filter("_n <> 0").select(run), run, "left_anti")
+    manifest.write.mode("overwrite").parquet(f"{path}/manifest")
+    return spark.read.schema(manifest.schema).parquet(f"{path}/manifest")
 
 
 def read_publication(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -40,13 +83,34 @@ def append_if_absent(new: DataFrame, path: str, key: str) -> None:
     one.join(held, key, "left_anti").write.mode("append").parquet(path)
 
 
+def _flat(df: DataFrame) -> DataFrame:
+    return df.select(*(F.to_json(c).alias(c) if df.schema[c].dataType.typeName() in ("array", "map", "struct") else F.col(c).cast("string").alias(c) for c in df.columns))
+
+
+def _evidence(flat: DataFrame) -> DataFrame:
+    empty = sum((F.col(c).isNull().cast("int") for c in flat.columns), F.lit(0))
+    return flat.select(flat.columns[0], F.lit(len(flat.columns)).alias("cells"), empty.alias("empty"), F.sha2(F.concat_ws("\n", *(F.coalesce(F.col(c), F.lit("")) for c in flat.columns)), 256).alias("digest"))
+
+
 def export_csv(df: DataFrame, path: str) -> DataFrame:
     """CSV in UTF-8 with a byte-order mark, nested cells as JSON and nulls empty; returns a row of evidence per row: its number of cells, of empty ones, and a hash."""
-    flat = df.select(*(F.to_json(c).alias(c) if df.schema[c].dataType.typeName() in ("array", "map", "struct") else F.col(c) for c in df.columns))
+    flat = _flat(df)
     first = flat.columns[0]
     flat.withColumnRenamed(first, f"\ufeff{first}").write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
-    empty = sum((F.col(c).isNull().cast("int") for c in flat.columns), F.lit(0))
-    return flat.select(flat.columns[0], F.lit(len(flat.columns)).alias("cells"), empty.alias("empty"), F.sha2(F.concat_ws("\n", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in flat.columns)), 256).alias("digest"))
+    return _evidence(df.select(*(F.to_json(c).alias(c) if df.schema[c].dataType.typeName() in ("array", "map", "struct") else F.col(c) for c in df.columns)).select(df.columns[0], *(F.col(c).cast("string") for c in df.columns[1:])))
+
+
+def verify_export(df: DataFrame, path: str) -> DataFrame:
+    """The export at ``path`` read back and held against ``df``, as one row: exported, read_back, missing and unexpected rows, files, and the SHA-256 over the files' own hashes in order. Empty cells are nulls."""
+    spark, columns = df.sparkSession, df.columns
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select(F.sha2("content", 256).alias("h"))
+    told = files.agg(F.count(F.lit(1)).alias("files"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("sha256"))  # one hash a file
+    schema = ", ".join(f"`c{i}` STRING" for i in range(len(columns)))
+    back = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("escape", '"').option("multiLine", True).csv(path).toDF(*columns)
+    blank = lambda d: d.select(*(F.when(F.col(c) != "", F.col(c)).alias(c) for c in columns))
+    both = blank(_flat(df)).withColumn("_n", F.lit(1)).unionByName(blank(back).withColumn("_n", F.lit(-1))).groupBy(*columns).agg(F.sum("_n").alias("_n"), F.count_if(F.col("_n") > 0).alias("_out"))
+    counts = both.agg(F.sum("_out").alias("exported"), (F.sum("_out") - F.sum("_n")).alias("read_back"), F.coalesce(F.sum(F.when(F.col("_n") > 0, F.col("_n"))), F.lit(0)).alias("missing"), F.coalesce(-F.sum(F.when(F.col("_n") < 0, F.col("_n"))), F.lit(0)).alias("unexpected"))
+    return counts.join(told)  # two rows of one line each
 
 
 def write_sector_audit(norm: DataFrame, stored: DataFrame, path: str) -> None:

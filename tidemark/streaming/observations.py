@@ -42,27 +42,69 @@ def table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def ingest_batch(path: str) -> Callable[[DataFrame, int], None]:
-    """What a micro-batch does: quarantine what breaks the contract, journal the rest once. Each write goes to the batch's own folder and overwrites it, so
-    a repeated batch changes nothing; a batch reads the journal of the batches before it only.
+#: Where accepted observations of a type go (fixed values); other types are quarantined where routes are asked for.
+ROUTES = {
+    "STOCK_BAR": "bars", "DAILY_BAR": "bars", "DAILY_PRICE": "daily_prices", "CORPORATE_ACTION_BATCH": "corporate_actions", "FILING_FACTS": "filing_facts",
+    "FUNDAMENTAL_COLLECTION_STATUS": "collection_status", "REGULATORY_FACTS": "regulatory_facts", "FUNDAMENTAL_SNAPSHOT": "fundamental_snapshots",
+}
+
+
+def identified(valid: DataFrame, receipts: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(sound, reused): an event id stands for one key and payload, the one first received; the least of several that come at once. Redeliveries of it are sound."""
+    mine = F.struct("observation_key", "payload_hash")
+    first = valid.groupBy("event_id").agg(F.min(F.struct(F.lit(1).alias("o"), mine.alias("m"))).alias("_f"))
+    if receipts is not None:
+        known = receipts.groupBy("event_id").agg(F.min(F.struct(F.lit(0).alias("o"), mine.alias("m"))).alias("_f"))
+        first = first.unionByName(known.join(valid.select("event_id").distinct(), "event_id", "left_semi")).groupBy("event_id").agg(F.min("_f").alias("_f"))
+    met = valid.join(first.select("event_id", F.col("_f.m").alias("_m")), "event_id")
+    same = F.col("_m") == mine
+    return met.filter(same).drop("_m"), met.filter(~same).drop("_m")
+
+
+def ingest_batch(path: str, routes: dict[str, str] | None = None) -> Callable[[DataFrame, int], None]:
+    """What a micro-batch does: quarantine what breaks the contract or reuses an event id, journal the rest once, fan it out. Each write goes to the batch's own
+    folder and overwrites it, so a repeated batch changes nothing; a batch reads the tables of the batches before it only.
+
+    ``receipts`` has each sound delivery (event_id, observation_key, payload_hash). With ``routes`` (type to table) accepted rows also go to ``canonical``, one folder per
+    table, in one pass, and other types are quarantined. The journal is kept by economic day: as the day is part of an observation's key, a
+    batch meets only its own days there.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.persist()
-        valid, rejected = contracts.split(contracts.events(batch))
-        journal = table_or_none(spark, f"{path}/journal")
-        before = journal.filter(F.col("batch") < batch_id) if journal is not None else None
-        rejected.write.mode("overwrite").parquet(f"{path}/quarantine/batch={batch_id}")
-        accept_once(valid, before).write.mode("overwrite").parquet(f"{path}/journal/batch={batch_id}")
-        batch.unpersist()
+        checked = contracts.events(batch)
+        if routes:
+            known = F.when(~F.col("event_type").isin(*routes) | F.col("event_type").isNull(), F.array(F.lit("UNSUPPORTED_TYPE"))).otherwise(F.array().cast("array<string>"))
+            checked = checked.withColumn("violations", F.array_sort(F.concat("violations", known)))
+        checked.persist()
+        valid, rejected = contracts.split(checked)
+        earlier = lambda name: (t.filter(F.col("batch") < batch_id) if (t := table_or_none(spark, f"{path}/{name}")) is not None else None)
+        sound, reused = identified(valid, earlier("receipts"))
+        at = f"batch={batch_id}"
+        rejected.unionByName(reused.withColumn("violations", F.array(F.lit("IDENTITY_REUSED")))).write.mode("overwrite").parquet(f"{path}/quarantine/{at}")
+        sound.select("event_id", "observation_key", "payload_hash").write.mode("overwrite").parquet(f"{path}/receipts/{at}")
+        journal = earlier("journal")
+        if journal is not None:
+            days = [r[0] for r in sound.select(F.to_date("economic_time")).distinct().limit(MOST_DAYS + 1).collect()]
+            journal = journal.filter(F.col("day").isin(days)) if len(days) <= MOST_DAYS else journal
+        accept_once(sound, journal).withColumn("day", F.to_date("economic_time")).hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(f"{path}/journal/{at}")
+        if routes:
+            written = table_or_none(spark, f"{path}/journal/{at}")
+            to = F.create_map(*(F.lit(x) for pair in routes.items() for x in pair))
+            if written is not None:
+                written.withColumn("target", to[F.col("event_type")]).hint("rebalance", "target").write.mode("overwrite").partitionBy("target").parquet(f"{path}/canonical/{at}")
+        checked.unpersist()
 
     return run
 
 
-def start(stream: DataFrame, path: str) -> StreamingQuery:
+#: Days of a batch up to which the journal is read by day.
+MOST_DAYS = 400
+
+
+def start(stream: DataFrame, path: str, routes: dict[str, str] | None = None) -> StreamingQuery:
     """Ingest everything that is there, then stop; call again, or use another trigger, to go on."""
-    return stream.writeStream.foreachBatch(ingest_batch(path)).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(ingest_batch(path, routes)).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
 
 
 def replay(quarantine: DataFrame, fixes: DataFrame, done: DataFrame | None) -> DataFrame:
@@ -80,3 +122,24 @@ def gauges(stream: DataFrame, name: str) -> StreamingQuery:
 def dedupe_recent(stream: DataFrame, lateness: str = "1 hour") -> DataFrame:
     """Bounded state: repeats within ``lateness`` go; later ones are left to the journal."""
     return stream.withWatermark("economic_time", lateness).dropDuplicatesWithinWatermark(["observation_key"])
+
+
+def start_gauges(stream: DataFrame, path: str, width: str = "1 day", lateness: str = "60 days") -> StreamingQuery:
+    """Counts, distinct payloads and the newest time by type and window of ``width``, refreshed with the stream, in a durable table.
+
+    State is kept until the watermark, ``lateness`` behind the newest row, has passed a window. Each micro-batch writes the windows that changed to its own
+    folder and overwrites it, so a repeated batch changes nothing; ``read_gauges`` takes the newest row of each window.
+    """
+    w = F.window("economic_time", width)
+    counts = stream.withWatermark("economic_time", lateness).groupBy(w.alias("_w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.max("economic_time").alias("newest"))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.select(F.col("_w.start").alias("window_start"), "event_type", "n", "newest").write.mode("overwrite").parquet(f"{path}/gauges/batch={batch_id}")
+
+    return counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{path}/gauges_checkpoint").trigger(availableNow=True).start()
+
+
+def read_gauges(spark: SparkSession, path: str) -> DataFrame:
+    """The newest state of each window and type."""
+    rows = spark.read.parquet(f"{path}/gauges")
+    return rows.groupBy("window_start", "event_type").agg(F.max_by(F.struct("n", "newest"), "batch").alias("_g")).select("window_start", "event_type", "_g.*")
