@@ -70,12 +70,12 @@ def _g10(v: Views) -> DataFrame:
     return screener.sector_counts(v.b_scores.filter(F.col("as_of") == last_day()))
 
 
-@R.add("g11_sector_metric_summary", "SELECT CAST(as_of AS STRING) AS as_of, sector, round(median(market_cap), 2) AS median_cap, count(*) AS n, round(max(composite), 6) AS best FROM (SELECT *, bool_or(primary_class) OVER (PARTITION BY as_of, issuer_id) AS p FROM b_scores) x WHERE NOT p OR primary_class GROUP BY x.as_of, sector")
+@R.add("g11_sector_metric_summary", "SELECT CAST(as_of AS STRING) AS as_of, sector, round(median(market_cap), 6) AS median_cap, count(*) AS n, round(max(composite), 6) AS best FROM (SELECT *, bool_or(primary_class) OVER (PARTITION BY as_of, issuer_id) AS p FROM b_scores) x WHERE NOT p OR primary_class GROUP BY x.as_of, sector")
 def _g11(v: Views) -> DataFrame:
     by = ["as_of", "sector"]
     reps = T.settle(screener.representatives(v.b_scores, ["as_of"]).select(*by, "market_cap", "composite"))
     met = reps.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.max("composite"), 6).alias("best")).join(quantiles(reps, by, "market_cap", {"median_cap": 0.5}, settled=True).drop("n"), by)
-    return met.select(F.col("as_of").cast("string").alias("as_of"), "sector", F.round("median_cap", 2).alias("median_cap"), "n", "best")
+    return met.select(F.col("as_of").cast("string").alias("as_of"), "sector", F.round("median_cap", 6).alias("median_cap"), "n", "best")
 
 
 @R.add("g12_latest_evidence", "SELECT issuer_id, CAST(CAST(max(greatest(available_at, CAST(filed_date AS TIMESTAMP))) AS DATE) AS STRING) AS evidence FROM b_facts GROUP BY 1")
