@@ -256,8 +256,8 @@ def _st01(v: Views) -> DataFrame:
     ])
 
 
-@R.add("st15_stream_gauges", f"WITH {DELIVERIES} SELECT CAST(date_trunc('day', t) AS DATE) AS day, event_type, count(*) AS n, CAST(max(t) AS VARCHAR) AS newest FROM d GROUP BY 1, 2")
+@R.add("st15_stream_gauges", f"WITH {DELIVERIES} SELECT CAST(CAST(date_trunc('day', t) AS DATE) AS STRING) AS day, event_type, count(*) AS n, CAST(max(t) AS VARCHAR) AS newest FROM d GROUP BY 1, 2")
 def _st15(v: Views) -> DataFrame:
     """Deliveries by day and type, kept by a stream through two starts."""
     path = _two_starts(v, "gauges", observations.start_gauges)
-    return observations.read_gauges(v.spark, path).select(F.to_date("window_start").alias("day"), "event_type", "n", F.date_format("newest", "yyyy-MM-dd HH:mm:ss").alias("newest"))
+    return observations.read_gauges(v.spark, path).select(F.to_date("window_start").cast("string").alias("day"), "event_type", "n", F.date_format("newest", "yyyy-MM-dd HH:mm:ss").alias("newest"))
