@@ -601,6 +601,71 @@ def test_quality_bands(spark):
     assert quality.rules(odd_docs(spark)).count() == len(ODD) + 3 and quality.rules(empty_docs(spark)).count() == 0
 
 
+def test_quality_bands_follow_the_corpus(spark):
+    """Repetitive and incompressible texts that pass the base rule go at every length, and every verdict is that of a plain version."""
+    import math
+    import random
+    import statistics
+
+    import zstandard
+
+    rng = random.Random(1)
+    stock = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
+    prose = lambda n: " ".join(rng.choice(stock) for _ in range(n))
+    noise = lambda n: " ".join("".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(5)) for _ in range(n))
+
+    def drone(n):  # few words, no window of three twice
+        few, out, seen = stock[:24], stock[:2], set()
+        while len(out) < n:
+            w = rng.choice(few)
+            if (out[-2], out[-1], w) not in seen or rng.random() < 0.02:
+                seen.add((out[-2], out[-1], w))
+                out.append(w)
+        return " ".join(out)
+
+    texts = {i: prose(rng.choice([90, 180, 370, 740, 1500])) for i in range(400)}
+    bad = {}
+    for n in (150, 400, 800, 1600):
+        bad[1000 + n], bad[5000 + n] = drone(n), noise(n)
+    texts |= bad | {9000: prose(60), 9001: prose(7000)}
+    texts |= {10000 + i: texts[3] for i in range(500)}  # copies don't set the limits
+    got = {r["doc_id"]: r for r in quality.rules(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert not any(got[d]["base_failed"] for d in texts)
+    assert {d for d in texts if not got[d]["kept"]} == set(bad)
+
+    share = lambda raw: len(zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False).compress(raw)) / len(raw)
+    chunks = lambda raw: [raw[i : i + 4096] for i in [*range(0, len(raw) - 4096, 4096), len(raw) - 4096]] if len(raw) > 4096 else []
+    raws = {d: t.encode() for d, t in texts.items()}
+    classes, pieces_ = {}, set()
+    for raw in raws.values():
+        classes.setdefault(int(math.log2(len(raw)) + 1e-9), set()).add((len(raw), share(raw)))
+        pieces_ |= {(len(raw), share(c)) for c in chunks(raw)}
+
+    def fence(values):
+        v = sorted(round(x, 3) for _, x in values)
+        at = lambda p: v[math.ceil(p * len(v)) - 1]
+        far = 3 * max(at(0.75) - at(0.25), 0.03 * at(0.5))
+        return at(0.25) - far, at(0.75) + far
+
+    points = {round(2 ** (k + 0.5)): fence(c) for k, c in classes.items() if len(c) >= 30}
+    wide = quality.Bands()
+    points |= {s: wide.limits(s) for s in wide.sizes if not min(points) / 2 < s < 2 * max(points)}
+    line = sorted(points)
+
+    def limits(size):
+        lo = max((s for s in line if s <= size), default=line[0])
+        hi = min((s for s in line if s >= size), default=line[-1])
+        part = 0 if lo == hi or size <= line[0] else (math.log(size) - math.log(lo)) / (math.log(hi) - math.log(lo))
+        return [a + part * (b - a) for a, b in zip(points[lo], points[hi], strict=True)]
+
+    inner = fence(pieces_) if len(pieces_) >= 30 else wide.limits(4096)
+    assert statistics.median(x for _, x in pieces_) > inner[0]
+    for d, raw in raws.items():
+        low, high = limits(len(raw))
+        out = [not inner[0] <= share(c) <= inner[1] for c in chunks(raw)]
+        assert got[d]["kept"] == (low <= share(raw) <= high and sum(out) <= 0.34 * len(out)), d
+
+
 def test_quality_chunks_cover_every_byte(spark, texts):
     prose = " ".join(t for t in texts.values() if len(t) < 3000).encode().decode("ascii", "ignore")
     again = "this one sentence comes again. " * 500
