@@ -678,6 +678,22 @@ def test_quality_chunks_cover_every_byte(spark, texts):
 # Toxicity
 
 
+def test_samples_hold_rows_of_one_id_or_none_to_their_bound(spark):
+    from tidemark.llm.common import sampled
+
+    rows = [(None, "same words", "en", i % 2) for i in range(5000)] + [(7, "other words", "en", i % 2) for i in range(5000)] + [(i, f"text {i}", "de", 0) for i in range(5000)]
+    many = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int").repartition(4)
+    number = F.monotonically_increasing_id().alias("row")
+    kept = sampled(many.select("*", number), 1500)
+    got = {r[0]: r[1] for r in kept.groupBy("text").count().filter("count > 1").collect()}
+    assert 1300 < kept.count() < 1700 and all(350 < n < 650 for n in got.values()) and len(got) == 2
+    assert sampled(many.select("*", number), 15000).count() == 15000
+    assert language.train(many, sample=1500).languages == ("de", "en")
+    insults = spark.createDataFrame([(7, f"you utter moron {i} a", 1) for i in range(5000)] + [(None, f"a quiet day {i}", 0) for i in range(5000)], "doc_id long, text string, toxic int")
+    lexicon = toxicity.learn(insults, sample=1000)
+    assert "moron" in lexicon.words or any("moron".startswith(s) for s in lexicon.stems)
+
+
 def test_grammar_weighs_clauses():
     s = toxicity.Scorer(toxicity.Lexicon({"moron": 6.0}, {"lowei": 6.0}))
     weight = lambda t: s.score(t)[1]

@@ -53,6 +53,15 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def sampled(rows: DataFrame, most: int, number: str = "row") -> DataFrame:
+    """About ``most`` of ``rows`` (text, ``number``), by a hash of both; all if there are no more.
+
+    ``number`` tells rows apart, so that any number of rows of one id, of none or of one text are thinned like others. It must be repeatable.
+    """
+    n = rows.count()
+    return rows if n <= most else rows.filter(F.pmod(F.xxhash64("text", number), F.lit(1 << 30)) < int(most / n * (1 << 30)))
+
+
 def bucket_of(n: int, *cols: Column | str) -> Column:
     """An even bucket from 0 to n - 1, by hash."""
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")

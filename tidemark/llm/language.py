@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import sampled
+
 UNDETERMINED = "und"
 #: Feature slots: byte pairs directly, byte triples and quadruples by hash.
 PAIRS, HASHED = 1 << 16, 1 << 16
@@ -96,18 +98,15 @@ def language_counts(docs: DataFrame, known: str = "lang") -> DataFrame:
 
 
 def train(docs: DataFrame, sample: int = 20_000) -> Model:
-    """Fit on labelled rows (``lang``, ``text``); of more than ``sample`` rows, the whole texts of those with the least hash of doc_id.
+    """Fit on labelled rows (``lang``, ``text``); of more than ``sample`` rows, the whole texts of about as many, by a hash of text and row number.
 
     The bound is on the fit alone; it keeps its cost from growing with the corpus. Per bit, naive Bayes weighs the n-grams of the
     languages whose bit is set, each language counting alike, against the others. Rows without ``lang`` or text teach nothing; very long
-    texts are counted whole; repeated rows count each time (and share their place in the sample); other columns are ignored; without any
+    texts are counted whole; repeated rows count each time, and repeated and null doc_ids are sampled like others; other columns are ignored; without any
     labelled row the model knows only ``und``.
     """
     labelled = docs.filter(F.col("lang").isNotNull())
-    n = labelled.count()  # reads one column
-    if n > sample:
-        share = int(sample / n * (1 << 30))
-        labelled = labelled.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) < share)
+    labelled = sampled(labelled.select("lang", "text", F.monotonically_increasing_id().alias("row")), sample)
     packed = F.collect_list(F.struct("slot", "n"))  # SLOTS at most
     merged = language_counts(labelled).groupBy("lang").agg(packed.alias("c")).select("lang", F.col("c.slot").alias("slot"), F.col("c.n").alias("n"))
     rows = []

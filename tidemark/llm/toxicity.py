@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, sampled
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, INSULT_AT, THREAT_AT = range(8)
 #: Insults and threats become these where a target follows.
@@ -174,18 +174,17 @@ def origin(text: str) -> int:
 
 
 def learn(labelled: DataFrame, sample: int = 20_000, support: int = 4) -> Lexicon:
-    """Insult entries from ``labelled`` (doc_id, text, toxic).
+    """Insult entries from ``labelled`` (text, toxic; ``row``, a repeatable row number, if it has one).
 
-    The fit reads the whole texts of at most about ``sample`` rows, those with the least hash of doc_id. An entry must occur in
+    The fit reads the whole texts of at most about ``sample`` rows, by a hash of text and row number: rows of one doc_id, or without one,
+    are as many as they are. An entry must occur in
     toxic texts of ``support`` different origins (near copies count once) and far more often than in others; of the many words that stand beside
     insults, only those stay that explain texts which better entries don't. Candidates and entries are as many as the sample holds; that
     bounds what the driver gets. Null texts and labels teach nothing.
     """
-    rows = labelled.filter(F.col("toxic").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    n = rows.count()
-    if n > sample:
-        rows = rows.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
-    rows = cut(rows, "labelled")
+    number = F.col("row") if "row" in labelled.columns else F.monotonically_increasing_id()
+    rows = labelled.filter(F.col("toxic").isNotNull() & F.col("text").isNotNull()).select("text", F.col("toxic").cast("int").alias("toxic"), number.alias("row"))
+    rows = cut(sampled(rows, sample).select("text", "toxic"), "labelled")
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sum(v for k, v in sizes.items() if k != 1)
 
@@ -224,8 +223,8 @@ def learn(labelled: DataFrame, sample: int = 20_000, support: int = 4) -> Lexico
         return lexicon
     for f in cover([set(r["found"]) for r in have.collect()], weight, support):
         (lexicon.words if f[0] == "=" else lexicon.stems)[f.strip("=*")] = min(7.5, weight[f])
-    totals = score(rows.select("doc_id", "text"), replace(lexicon, bias=0.0)).select("doc_id", "total").join(rows.select("doc_id", "toxic"), "doc_id")
-    bins = totals.groupBy(F.least(F.round("total", 0), F.lit(40.0)).alias("x"), (F.col("toxic") == 1).alias("y")).count().collect()
+    totals = with_toxicity(rows, replace(lexicon, bias=0.0), "_t")
+    bins = totals.groupBy(F.least(F.round("_t.total", 0), F.lit(40.0)).alias("x"), (F.col("toxic") == 1).alias("y")).count().collect()
     return replace(lexicon, **calibrate([(r["x"], r["y"], r["count"]) for r in bins]))
 
 
@@ -306,7 +305,7 @@ def held_out(doc_id: Column, folds: int = 3, fold: int = 1) -> Column:
 def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
     """Learn from the labelled rows that aren't held out. Labels that disagree about a document count as toxic."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").filter(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
-    return learn(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id"))
+    return learn(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row")).join(known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id"))
 
 
 def detect(docs: DataFrame, labels: DataFrame) -> DataFrame:
