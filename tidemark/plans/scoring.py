@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import PROFILE_METRICS
-from tidemark.operators import model
+from tidemark.operators import model, screener
 from tidemark.operators import scoring as M
 from tidemark.operators.temporal import settle
 from tidemark.plans.views import Registry, Views
@@ -276,3 +276,82 @@ def _a16(v: Views) -> DataFrame:
     cards, norm = _versioned(v)
     out = model.compose_available(norm, cards, ["version", *ON], ["version", "run"])
     return out.select("version", *ON, F.array_join("errors", ",").alias("errors"), F.array_join("warnings", ",").alias("warnings"), "normalized", *(F.round(c, 6).alias(c) for c in ("composite", "weight_value", "contribution_momentum")), "status", F.col("rank").cast("long").alias("rank"))
+
+
+def _composed(v: Views) -> tuple[DataFrame, DataFrame]:
+    """Composites of all versions with what the screener shows of a card, and the metric rows behind them."""
+    cards, norm = _versioned(v)
+    norm = settle(norm)
+    out = model.compose_available(norm, cards.select("version", *ON, "errors", "warnings"), ["version", *ON], ["version", "run"])
+    shown = v.b_cards.select(*ON, "issuer_id", "primary_class", "profile", F.coalesce(F.nullif("peer_group", F.lit("")), F.lit("UNKNOWN")).alias("sector"))
+    return settle(out.select("version", *ON, "eligible", "composite", "rank", "value", "quality", "momentum").join(shown, ON)), norm
+
+
+MEMBERS = f"""{COMPOSED},
+m2 AS (SELECT j2.run, j2.version, j2.instrument_id, e.issuer_id, e.primary_class, coalesce(nullif(e.peer_group, ''), 'UNKNOWN') AS sector, CASE WHEN e.profile = 'GENERAL' THEN 'GENERAL' ELSE 'PRICE_ONLY' END AS comparison, j2.have > 0 AS eligible, composite, rank
+  FROM j2 JOIN e ON j2.run = e.run AND j2.instrument_id = e.instrument_id)"""
+SECTOR_ROWS = f"""{MEMBERS},
+gen AS (SELECT *, primary_class OR count(*) FILTER (primary_class) OVER (PARTITION BY run, sector, issuer_id) = 0 AS one FROM m2 WHERE comparison = 'GENERAL'),
+base AS (SELECT run, version, sector, metric, family, n FROM (SELECT run, version, sector, count(*) AS n FROM gen GROUP BY ALL), (VALUES ('book_market', 'value'), ('cash_earnings', 'quality'), ('ebit_ev', 'value'), ('fcf_yield', 'value'), ('gross_profitability', 'quality'), ('momentum', 'momentum'), ('roic', 'quality')) t(metric, family)),
+sm AS (SELECT gen.run, gen.sector, z2.metric, count(*) FILTER (one AND eligible AND raw IS NOT NULL) AS observations, quantile_cont(raw, 0.5) FILTER (one AND eligible AND raw IS NOT NULL) AS median, count(*) FILTER (starts_with(cohort, 'PRIMARY:')) AS standardised, count(*) FILTER (NOT starts_with(cohort, 'PRIMARY:')) AS fallback,
+  max(cohort_n) FILTER (starts_with(cohort, 'PRIMARY:')) AS peer_size, min(cohort) FILTER (NOT starts_with(cohort, 'PRIMARY:')) AS fallback_cohort, max(cohort_n) FILTER (NOT starts_with(cohort, 'PRIMARY:')) AS fallback_size FROM gen JOIN z2 ON gen.run = z2.run AND gen.instrument_id = z2.instrument_id GROUP BY ALL),
+sx AS (SELECT base.*, coalesce(observations, 0) AS observations, median, coalesce(standardised, 0) AS standardised, coalesce(fallback, 0) AS fallback, n - coalesce(standardised, 0) - coalesce(fallback, 0) AS unplaced, peer_size, fallback_cohort, fallback_size
+  FROM base LEFT JOIN sm ON base.run = sm.run AND base.sector = sm.sector AND base.metric = sm.metric)"""
+
+
+@R.add("e04_sector_members", f"""WITH {MEMBERS}, gr AS (SELECT *, row_number() OVER (PARTITION BY run, sector, comparison ORDER BY composite DESC, instrument_id) AS group_rank, count(*) OVER (PARTITION BY run, sector, comparison) AS group_n FROM m2 WHERE rank IS NOT NULL),
+  hr AS (SELECT *, CASE WHEN group_n > 1 THEN round(100.0 * (group_n - avg(group_rank) OVER (PARTITION BY run, sector, comparison, composite)) / (group_n - 1), 6) END AS group_percentile FROM gr)
+SELECT m2.version, CAST(m2.run // 10 AS INTEGER) AS run, m2.instrument_id, m2.sector, m2.comparison, m2.eligible, group_rank, group_percentile, group_n FROM m2 LEFT JOIN hr ON m2.run = hr.run AND m2.instrument_id = hr.instrument_id""")
+def _e04_members(v: Views) -> DataFrame:
+    scores, _ = _composed(v)
+    return screener.sector_members(scores, ["version", "run"]).select("version", *ON, "sector", "comparison", "eligible", "group_rank", "group_percentile", "group_n")
+
+
+@R.add("e04_sector_metrics", f"WITH {SECTOR_ROWS} SELECT version, CAST(run // 10 AS INTEGER) AS run, sector, metric, family, observations, round(median, 6) + 0.0 AS median, standardised, fallback, unplaced, peer_size, fallback_cohort, fallback_size, observations < 20 AS small_sample FROM sx")
+def _e04_metrics(v: Views) -> DataFrame:
+    scores, norm = _composed(v)
+    out = screener.sector_metrics(screener.sector_members(scores, ["version", "run"]), norm, ["version", "run"])
+    return out.withColumn("median", F.round("median", 6) + F.lit(0.0))
+
+
+@R.add("e04_sector_overview", f"""WITH {SECTOR_ROWS}, n AS (SELECT run, version, sector, count(*) AS members, count(*) FILTER (eligible) AS eligible, count(*) FILTER (comparison = 'GENERAL') AS general, count(*) FILTER (comparison <> 'GENERAL') AS price_only,
+  count(*) FILTER (eligible AND comparison = 'GENERAL') AS g, count(*) FILTER (eligible AND comparison <> 'GENERAL') AS p FROM m2 GROUP BY ALL),
+  t AS (SELECT run, sector, 'FALLBACK_NORMALIZATION:' || metric AS w FROM sx WHERE fallback > 0 UNION ALL SELECT run, sector, 'NO_OBSERVATIONS:' || metric FROM sx WHERE observations = 0 UNION ALL SELECT run, sector, 'PUBLISHED_SCORES_NOT_RECALCULATED' FROM n
+    UNION ALL SELECT run, sector, 'PEER_GROUP_SMALLER_THAN_SECTOR' FROM n WHERE price_only > 0 UNION ALL SELECT run, sector, 'PRICE_ONLY_MEMBERS_RANKED_SEPARATELY' FROM n WHERE price_only > 0 AND general > 0
+    UNION ALL SELECT run, sector, 'SMALL_SAMPLE:GENERAL' FROM n WHERE general > 0 AND g < 20 UNION ALL SELECT run, sector, 'SMALL_SAMPLE:PRICE_ONLY' FROM n WHERE price_only > 0 AND p < 20)
+SELECT version, CAST(n.run // 10 AS INTEGER) AS run, n.sector, members, eligible, general, price_only, string_agg(w, ',' ORDER BY w) AS warnings FROM n JOIN t ON n.run = t.run AND n.sector = t.sector GROUP BY ALL""")
+def _e04_overview(v: Views) -> DataFrame:
+    scores, norm = _composed(v)
+    members = settle(screener.sector_members(scores, ["version", "run"]))
+    out = screener.sector_overview(members, screener.sector_metrics(members, norm, ["version", "run"]), ["version", "run"])
+    return out.withColumn("warnings", F.array_join("warnings", ","))
+
+
+@R.add("a18_candidate_composites", f"WITH {COMPOSED} SELECT version, CAST(run // 10 AS INTEGER) AS run, instrument_id, candidate, round(fv * a + fq * b + fm * c, 6) + 0.0 AS composite FROM h2, (VALUES ('primary', 0.5, 0.3, 0.2), ('balanced', 0.4, 0.4, 0.2), ('value_quality', 0.6, 0.4, 0.0), ('pure_value', 1.0, 0.0, 0.0)) w(candidate, a, b, c)")
+def _a18(v: Views) -> DataFrame:
+    scores, _ = _composed(v)
+    return model.candidates(scores.select("version", *ON, "value", "quality", "momentum")).select("version", *ON, "candidate", (F.round("candidate_composite", 6) + F.lit(0.0)).alias("composite"))
+
+
+def _shown(section: str, name: str, unit: str, rule: str, refused: str | None = None) -> str:
+    """A figure of the display as a DuckDB struct."""
+    top, how, bottom = rule.split() if " " in rule else (rule, None, None)
+    told = {n: f"CASE WHEN {n} IS NULL THEN '{n}:' || coalesce({n}__why, 'NOT_REPORTED') END" for n in (top, bottom) if n}
+    value = {None: f"{top} * 100" if unit == "PERCENT" else top, "-": f"{top} - {bottom}", "over": f"CASE WHEN {bottom} > 0 THEN ({top} / {bottom} - 1) * 100 END"}.get(how) or f"CASE WHEN {bottom} > 0 THEN {top} * {100 if unit == 'PERCENT' else 1} / {bottom} END"
+    below = [f"CASE WHEN {bottom} <= 0 THEN '{refused or 'NON_POSITIVE_DENOMINATOR:' + bottom}' END"] if how in ("/", "over") else []
+    return f"{{section: '{section}', figure: '{name}', unit: '{unit}', value: CAST({value} AS DOUBLE), reason: coalesce({', '.join([*told.values(), *below, 'NULL'])})}}"
+
+
+WHYS = f"""CASE WHEN market_cap IS NULL THEN 'NOT_REPORTED' END AS market_cap__why, {_lacks('DEBT_CURRENT', 'DEBT_NONCURRENT')} AS debt__why, coalesce(CASE WHEN market_cap IS NULL THEN 'NOT_REPORTED' END, {_lacks('DEBT_CURRENT', 'DEBT_NONCURRENT', 'PREFERRED_EQUITY', 'MINORITY_INTEREST', 'CASH')}) AS ev__why,
+  {_lacks('TOTAL_ASSETS', 'TOTAL_ASSETS_PRIOR')} AS avg_assets__why, {_lacks('PRETAX_INCOME_TTM', 'INTEREST_EXPENSE_TTM')} AS ebit__why, CASE WHEN CAPEX_TTM < 0 THEN 'FAILED_QUALITY_CHECK' ELSE {_lacks('OPERATING_CASH_FLOW_TTM', 'CAPEX_TTM')} END AS fcf__why,
+  REVENUE_TTM - COST_OF_REVENUE_TTM AS gross_profit, {_lacks('REVENUE_TTM', 'COST_OF_REVENUE_TTM')} AS gross_profit__why, CASE WHEN MOMENTUM_RECENT <= 0 THEN 'FAILED_QUALITY_CHECK' ELSE coalesce({_lacks('MOMENTUM_RECENT', 'MOMENTUM_OLD')}, CASE WHEN MOMENTUM_OLD <= 0 THEN 'INVALID_DENOMINATOR' END) END AS momentum__why"""
+
+
+@R.add("e07_display_figures", f"""WITH {ACCEPTED}, {PIVOT}, {TAX}, y AS (SELECT *, {WHYS} FROM gm),
+  u AS (SELECT run, instrument_id, unnest([{', '.join(_shown(*row) for row in screener.DISPLAYED)}]) AS f FROM y)
+SELECT run, instrument_id, f.section, f.figure, f.unit, round(f.value, 6) + 0.0 AS value, f.reason FROM u""")
+def _e07(v: Views) -> DataFrame:
+    keys = [*dict.fromkeys([*M.keys_of("GENERAL"), *M.YEARS, "COMMON_DIVIDENDS_TTM", "OPERATING_INCOME_TTM"])]
+    wide = M.widen(M.accept(v.b_inputs, v.b_cards, ON), v.b_cards, ON, keys, M.YEARS)
+    shown = screener.display_metrics(M.general(M.normal_tax(M.shared(wide), v.spark.sql(LAW))), ON)
+    return shown.select(*ON, "section", "figure", "unit", *_numbers("value"), "reason")
