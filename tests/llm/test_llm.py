@@ -440,6 +440,62 @@ def test_backoff_with_frequent_contexts_pruning_and_another_model(spark, docs, t
     same_scores(lm.backoff_scores(docs, model, rare=20, spelt=50).collect(), texts, plain_backoff(said, [t for d, t in texts.items() if d % 3 == 0], 1))
 
 
+def plain_backoff_apart(texts):
+    """The same, each text under the counts of the others: all counts less its own."""
+    lines = [[0, 0, *(t or "").encode().lower().split(), 1] for t in texts]
+    grams = lambda line: (Counter(zip(line, line[1:], line[2:], strict=False)), Counter(zip(line[1:], line[2:], strict=False)), Counter(line[2:]))
+    three, two, one, of_three, of_two = Counter(), Counter(), Counter(), Counter(), Counter()
+    for line in lines:
+        for total, part in zip((three, two, one), grams(line), strict=True):
+            total.update(part)
+    for (a, b, _), n in three.items():
+        of_three[a, b] += n
+    for (a, _), n in two.items():
+        of_two[a] += n
+    everything, out = one.total(), []
+    for line in lines:
+        mine3, mine2, mine1 = grams(line)
+        score, seen, again = 0.0, 0, 0
+        mine_of3, mine_of2 = Counter(zip(line, line[1:-1], strict=False)), Counter(line[1:-1])
+        for a, b, c in zip(line, line[1:], line[2:-1], strict=False):
+            n, m = three[a, b, c] - mine3[a, b, c], two[b, c] - mine2[b, c]
+            seen, again = seen + (n > 0), again + (three[a, b, c] > 1)
+            if n:
+                share = n / (of_three[a, b] - mine_of3[a, b])
+            elif m:
+                share = 0.4 * m / (of_two[b] - mine_of2[b])
+            else:
+                share = 0.16 * max(one[c] - mine1[c], 1) / max(everything - len(line) + 2, 1)
+            score += math.log(share)
+        out.append((len(line) - 3, score, seen, again))
+    return out
+
+
+@pytest.mark.parametrize(("sf", "rare"), [("sf0.001", 1000), ("sf0.001", 20), ("sf0.1", 1000)])
+def test_scores_apart_from_own_counts_match_a_plain_version(spark, sf, rare):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = lm.backoff_scores(docs, rare=rare, apart=True).collect()
+    same_scores(rows, texts, plain_backoff_apart(texts.values()))
+    assert all(math.isfinite(r["log_score"]) and r["log_score"] <= 0 for r in rows)
+    # Backoff is at work: most texts have places that no other text knows.
+    assert sum(r["n_seen"] < r["n_words"] for r in rows) > len(rows) / 2
+
+
+def test_scores_apart_of_repeats_one_text_and_awkward_rows(spark):
+    many = [(1, "a b c"), (1, "a b c"), (2, "a a a a a a"), (3, None), (4, ""), (5, "A\tB\nd"), (6, "b")] + [(k, f"the same start {k} " * 30) for k in range(10, 60)]
+    docs = spark.createDataFrame(many, "doc_id long, text string")
+    for rare in (3, 1000):
+        rows = lm.backoff_scores(docs, rare=rare, apart=True).collect()
+        got = sorted((r["doc_id"], r["n_words"], r["n_seen"], r["n_again"], round(r["log_score"], 6)) for r in rows)
+        assert got == sorted((d, n, seen, again, round(score, 6)) for (d, _), (n, score, seen, again) in zip(many, plain_backoff_apart([t for _, t in many]), strict=True))
+    (alone,) = lm.backoff_scores(docs.filter("doc_id = 6"), apart=True).collect()
+    assert alone["n_seen"] == 0 and alone["log_score"] == pytest.approx(2 * math.log(0.4))
+    assert lm.backoff_scores(empty_docs(spark), apart=True).count() == 0 and len(lm.backoff_scores(odd_docs(spark), apart=True).collect()) == len(ODD) + 3
+    with pytest.raises(ValueError):
+        lm.backoff_scores(docs, docs, apart=True)
+
+
 def test_spellings_never_begin_another(spark):
     words = [bytes([x]) * n for x in (0x00, 0x7F, 0x80, 0xC0, 0xFF) for n in (1, 2, 126, 127, 300)]
     s = lm.Spelling.of([b"w%d" % i for i in range(20_000)])

@@ -105,6 +105,6 @@ def attach(left: DataFrame, right: DataFrame, key: str, weight: str, hot_keys: i
     hot = right.filter(is_hot).select(F.col(key), F.lit(True).alias("_hot"), F.struct(*payload).alias("_h"))
     cold = right.filter(~is_hot).select(F.col(key).alias("_k"), F.lit(False).alias("_f"), F.struct(*payload).alias("_c"))
     near = left.join(F.broadcast(hot), key, "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
-    spread = near.withColumn("_s", F.when(F.col("_hot"), F.xxhash64(*left.columns).cast(left.schema[key].dataType)).otherwise(F.col(key)))
+    spread = near.withColumn("_s", F.when(F.col("_hot"), F.xxhash64(*left.columns).cast("string").cast(left.schema[key].dataType)).otherwise(F.col(key)))
     both = spread.join(cold, (F.col("_s") == F.col("_k")) & (F.col("_hot") == F.col("_f")), "left")
     return both.select(*left.columns, *(F.coalesce(F.col(f"_h.{c}"), F.col(f"_c.{c}")).alias(c) for c in payload))

@@ -1,16 +1,18 @@
 """Language-model scores by stupid backoff, from n-gram count tables partitioned by hash.
 
-A text is two start marks, its words and an end mark. Every place of a text is a row: the two words before it (``ctx``), the word
-(``word``), both spelt exactly. Rows are shuffled once, by a hash of ``ctx``; within such a partition the count of a trigram and that of
-its context are sums over equal rows, which go to the rows and are summed per text. Places whose trigram is unknown to the model meet the
-tables of shorter n-grams by joins.
+A text is two start marks, its words and an end mark. Each different trigram of a text is a row: the two words before (``ctx``), the word
+(``word``), both spelt exactly, and how often the text has it and its shorter n-grams. Rows are shuffled once, by a hash of ``ctx``;
+within such a partition the counts of a trigram and of its context are sums over equal rows, which go to the rows. A text may be scored
+without its own counts: they are taken off. Rows whose trigram is then unknown to the model are joined with the count table of bigrams,
+and those left with that of words; the three parts are summed per text.
 
 Contexts that a partition could not hold, and trigrams of them, are few and counted beforehand: rows of such a context are spread by
-their word, rows of such a trigram are summed in their text and need no other row.
+their word, rows of such a trigram by their text.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,7 +29,7 @@ from tidemark.llm.common import attach, cut
 
 #: Numbers of the marks; words follow.
 START, END = 0, 1
-PLACE = "row long, doc_id long, ctx binary, word binary, salt int, occurs int, asked int, known long, settled double"
+PLACE = "row long, doc_id long, ctx binary, word binary, salt int, occurs int, asked int, known_n long, known_of long, own int, own_of int, own_two int, own_two_of int, own_one int"
 
 
 @dataclass
@@ -127,55 +129,54 @@ def frequent(texts: DataFrame, words: list[bytes], least: int) -> list[tuple[int
     return [tuple(r) for r in counted.filter(F.col("n") >= least).collect()]
 
 
-def places(texts: DataFrame, spelling: Spelling, hot_words: list[bytes], hot: list[tuple[int, int, int, int]], spread: int, counted: bool, asked: bool) -> DataFrame:
-    """A row per place of the texts (row, doc_id, text). ``counted``: it counts in the model; ``asked``: it wants a score (end marks never do).
+def within(text: np.ndarray, *words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every place a number of its text and n-gram, and how often that text has that n-gram."""
+    key = text
+    for w in words:
+        key = np.unique(key * (int(w.max(initial=0)) + 1) + w, return_inverse=True)[1]
+    return key, np.bincount(key)[key]
 
-    ``known`` is the count of a frequent context, whose rows are spread by ``salt``. Places of a frequent trigram come as one row per
-    text: ``settled`` is their sum of scores, ``known`` is -1. The row of the end mark carries doc_id.
+
+def places(texts: DataFrame, spelling: Spelling, hot_words: list[bytes], hot: list[tuple[int, int, int, int]], spread: int, counted: bool, asked: bool, apart: bool) -> DataFrame:
+    """A row per text (row, doc_id, text) and different trigram. ``occurs``: how often it counts in the model; ``asked``: how many of its places want a score (end marks never do).
+
+    ``known_n`` and ``known_of`` are the counts of a frequent trigram and context, whose rows are spread by ``salt``; else 0. ``own`` and
+    the like are what the text itself adds to the counts of its n-grams and their contexts; 0 unless texts are scored ``apart`` from
+    their own counts. The row of the end mark carries doc_id.
     """
     of = {w: i for i, w in enumerate(hot_words, 2)}
     base = len(of) + 2
     contexts = sorted((a * base + b, n) for a, b, c, n in hot if c < 0)
-    size_of = dict(contexts)
-    thirds = sorted(((a * base + b) * base + c, n, size_of[a * base + b]) for a, b, c, n in hot if c >= 0)
-    find = lambda table: np.array([x[0] for x in table] or [-1], np.int64)
-    ctx_keys, tri_keys = find(contexts), find(thirds)
-    ctx_n, tri_n, tri_ctx = (np.array([x[i] for x in t] or [1], np.int64) for t, i in ((contexts, 1), (thirds, 1), (thirds, 2)))
-    tri_score = np.log(tri_n) - np.log(tri_ctx)
+    thirds = sorted(((a * base + b) * base + c, n) for a, b, c, n in hot if c >= 0)
+    column = lambda table, i, none: np.array([x[i] for x in table] or [none], np.int64)
+    ctx_keys, ctx_n, tri_keys, tri_n = column(contexts, 0, -1), column(contexts, 1, 0), column(thirds, 0, -1), column(thirds, 1, 0)
+
+    def looked_up(keys: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[at] == wanted, counts[at], 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, held in texts_of(batches):
             different, text, a, b, c = numbered(held)
             row_ids, docs = (pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1))
             codes = pa.array([Spelling._short(START), Spelling._short(END), *map(spelling.spell, different)], pa.binary())
+            key, times = within(text, a, b, c)
+            first = np.unique(key, return_index=True)[1]
+            own = [times, within(text, a, b)[1], within(text, b, c)[1], within(text, b)[1], within(text, c)[1]] if apart else [np.zeros(len(c), np.int64)] * 5
+            text, a, b, c, times, *own = (x[first] for x in (text, a, b, c, times, *own))
             frequent_word = np.array([START, END, *(of.get(w, -1) for w in different)], np.int64)
             ha, hb, hc = frequent_word[a], frequent_word[b], frequent_word[c]
             pair = np.where((ha >= 0) & (hb >= 0), ha * base + hb, -2)
-            at = np.minimum(np.searchsorted(ctx_keys, pair), len(ctx_keys) - 1)
-            is_hot = ctx_keys[at] == pair
-            known = np.where(is_hot, ctx_n[at], 0)
-            triple = np.where(is_hot & (hc >= 0), pair * base + hc, -2)
-            at = np.minimum(np.searchsorted(tri_keys, triple), len(tri_keys) - 1)
-            done = tri_keys[at] == triple
-            by_word = np.fromiter(map(crc32, codes.to_pylist()), np.int64, len(codes)) % spread + 1
-            salt = np.where(is_hot, by_word[c], 0)
+            known_of = looked_up(ctx_keys, ctx_n, pair)
+            known_n = looked_up(tri_keys, tri_n, np.where((known_of > 0) & (hc >= 0), pair * base + hc, -2))
+            by_word = np.fromiter(map(crc32, codes.to_pylist()), np.int64, len(codes)) % spread
+            by_text = np.fromiter((crc32(str(x).encode()) for x in row_ids.to_pylist()), np.int64, len(rows)) % spread
+            salt = np.where(known_n > 0, by_text[text], np.where(known_of > 0, by_word[c], -1)) + 1
             is_end = c == END
-            wants = np.where(is_end | (not asked), 0, 1)
-            settled, occurs = np.zeros(len(c)), np.full(len(c), int(counted))
-            if done.any():  # one row per text and trigram
-                first, back, times = np.unique(text[done] * np.int64(len(tri_keys)) + at[done], return_index=True, return_inverse=True, return_counts=True)[1:]
-                where = np.flatnonzero(done)[first]
-                settled[where] = np.where(is_end[where], 0.0, tri_score[at[where]] * times) if asked else 0.0
-                wants[where] *= times
-                known[done], salt[done] = -1, text[done] % spread + 1
-                keep = ~done
-                keep[where] = True
-            else:
-                keep = slice(None)
-            text, a, b, c = text[keep], a[keep], b[keep], c[keep]
             ctx = pc.binary_join_element_wise(codes.take(pa.array(a)), codes.take(pa.array(b)), pa.scalar(b"", pa.binary()))
-            doc = pc.if_else(pa.array(is_end[keep]), docs.take(pa.array(text)), pa.scalar(None, pa.int64()))
-            columns = [row_ids.take(pa.array(text)), doc, ctx, codes.take(pa.array(c)), *(pa.array(x[keep], k) for x, k in ((salt, pa.int32()), (occurs, pa.int32()), (wants, pa.int32()), (known, pa.int64()), (settled, pa.float64())))]
+            doc = pc.if_else(pa.array(is_end), docs.take(pa.array(text)), pa.scalar(None, pa.int64()))
+            ints = [salt, times * counted, np.where(is_end, 0, times * asked)]
+            columns = [row_ids.take(pa.array(text)), doc, ctx, codes.take(pa.array(c)), *(pa.array(x, pa.int32()) for x in ints), pa.array(known_n), pa.array(known_of), *(pa.array(x, pa.int32()) for x in own)]
             for i in range(0, len(c), 50_000):
                 yield pa.RecordBatch.from_arrays([x.slice(i, 50_000) for x in columns], names=[x.split()[0] for x in PLACE.split(", ")])
 
@@ -196,35 +197,44 @@ def gram_counts(texts: DataFrame, spelling: Spelling, order: int) -> DataFrame:
     return texts.select("text").mapInArrow(run, "ctx binary, word binary, n long").groupBy("ctx", "word").agg(F.sum("n").alias("n"))
 
 
-def backed_off(unmet: DataFrame, model: DataFrame, spelling: Spelling, total: int, least: int, backoff: float) -> DataFrame:
-    """(row, score) of places whose trigram the model lacks: the bigram's share of its context, else the word's share of all; a word the model lacks counts as one."""
-    key = F.concat(F.hex("ctx"), F.lit("."), F.hex("word"))
-    asked = cut(unmet.select("row", "asked", after_first(F.col("ctx")).alias("ctx"), "word").select("row", "asked", "word", key.alias("gram")), "unmet")
-    pairs = cut(gram_counts(model, spelling, 2), "bigrams")
-    shares = pairs.join(pairs.groupBy("ctx").agg(F.sum("n").alias("_of")), "ctx").filter(F.col("n") >= least).select(key.alias("gram"), (F.log("n") - F.log("_of")).alias("two"))
-    met = cut(attach(asked, asked.groupBy("gram").agg(F.count(F.lit(1)).alias("_w")).join(shares, "gram"), "gram", "_w"), "pairs")
-    rest = met.filter("two IS NULL").select("row", "asked", F.hex("word").alias("word"))
-    single = gram_counts(model, spelling, 1).select(F.hex("word").alias("word"), F.log("n").alias("one"))
-    rest = attach(rest, rest.groupBy("word").agg(F.count(F.lit(1)).alias("_w")).join(single, "word"), "word", "_w")
-    near = (F.col("two") + float(np.log(backoff))) * F.col("asked")
-    far = (F.coalesce("one", F.lit(0.0)) - float(np.log(max(total, 1))) + 2 * float(np.log(backoff))) * F.col("asked")
-    return met.filter("two IS NOT NULL").select("row", near.alias("score")).unionByName(rest.select("row", far.alias("score")))
-
+def backed_off(unmet: DataFrame, model: DataFrame, spelling: Spelling, least: int, backoff: float) -> DataFrame:
+    """(row, score, far) of rows whose trigram the model lacks (row, asked, gram, own_two, own_two_of, own_one): the bigram's share of its context, else the word's count.
 
-def backoff_scores(docs: DataFrame, model: DataFrame | None = None, least: int = 1, backoff: float = 0.4, spelt: int = 1 << 18, share: int = 4, rare: int = 1000) -> DataFrame:
+    A word the model lacks counts as one. ``far`` places are those that came down to words: their scores lack the share's divisor.
+    """
+    pairs = cut(gram_counts(model, spelling, 2), "bigrams")
+    of = pairs.groupBy("ctx").agg(F.count(F.lit(1)).alias("_w"), F.sum("n").alias("two_of"))
+    table = attach(pairs.filter(F.col("n") >= least), of, "ctx", "_w").select(F.concat("ctx", "word").alias("gram"), F.col("n").alias("two"), "two_of")
+    wanted = unmet.groupBy("gram").agg(F.count(F.lit(1)).alias("_w"))
+    met = cut(attach(unmet, wanted.join(table, "gram"), "gram", "_w").withColumn("two", F.coalesce("two", F.lit(0)) - F.col("own_two")), "pairs")
+    rest = met.filter(F.col("two") < least).select("row", "asked", "own_one", after_first(F.col("gram")).alias("word"))
+    words = rest.groupBy("word").agg(F.count(F.lit(1)).alias("_w")).join(gram_counts(model, spelling, 1).select("word", F.col("n").alias("one")), "word")
+    near = (F.log("two") - F.log(F.col("two_of") - F.col("own_two_of")) + math.log(backoff)) * F.col("asked")
+    far = (F.log(F.greatest(F.coalesce("one", F.lit(0)) - F.col("own_one"), F.lit(1))) + 2 * math.log(backoff)) * F.col("asked")
+    ending = attach(rest, words, "word", "_w").select("row", far.alias("score"), F.col("asked").alias("far"))
+    return met.filter(F.col("two") >= least).select("row", near.alias("score"), F.lit(0).alias("far")).unionByName(ending)
+
+
+def backoff_scores(docs: DataFrame, model: DataFrame | None = None, least: int = 1, backoff: float = 0.4, spelt: int = 1 << 18, share: int = 4, rare: int = 1000, apart: bool = False) -> DataFrame:
     """Trigram score of every whole text of ``docs`` (doc_id, text) under the counts of ``model`` (text; by default ``docs`` itself).
 
     A word after two others scores the trigram's count over that of its context if the trigram occurs ``least`` times or more, else
-    ``backoff`` times the bigram's share of its context, else ``backoff`` squared times the word's share of all places. Words are what
-    stands between ASCII white space, A-Z lowered; start and end marks are context and counted, but end marks aren't scored.
+    ``backoff`` times the bigram's share of its context, else ``backoff`` squared times the word's share of all places; a word the model
+    lacks counts as one. ``apart``: each row's text is scored by the other rows alone, that is all counts without its own (no ``model``
+    then). Words are what stands between ASCII white space, A-Z lowered; start and end marks are context and counted, but end marks
+    aren't scored.
+
     Returns doc_id, n_words, log_score, mean_score (per word; null without words), n_seen (places whose trigram the model has), n_again
-    (those whose trigram occurs at another place too). Null and empty texts have no words and score 0; repeated rows each count and each
-    get their row; very long texts are read whole; other columns are ignored; an empty table gives none. Row order must be repeatable (a
-    table in files), for rows are told apart by it.
+    (those whose trigram occurs at another place too, of the same text or not). Null and empty texts have no words and score 0; repeated
+    rows each count and each get their row, and are other texts to each other; very long texts are read whole; other columns are ignored;
+    an empty table gives none. Rows are told apart by their place in the table's files, which a task that is run again after a lost
+    executor reads in the same order; give a written table, not one whose row order may change.
 
     ``spelt`` words get short codes, the others are spelt out: it changes no result. A context with over 1 / (``share`` x partitions) of
     all places, and ``rare`` at least, counts as frequent; there are at most ``share`` x partitions.
     """
+    if apart and model is not None:
+        raise ValueError("texts have no counts of their own in another model")
     spark = docs.sparkSession
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = texts if model is None else model.select("text")
@@ -236,20 +246,26 @@ def backoff_scores(docs: DataFrame, model: DataFrame | None = None, least: int =
     top = [(bytes(r["word"]), r["n"]) for r in words.orderBy(F.desc("n"), "word").limit(max(spelt, share * partitions)).collect()]
     spelling, hot_words = Spelling.of([w for w, _ in top[:spelt]]), [w for w, n in top if n >= limit]
     hot = frequent(known, hot_words, limit) if total >= limit else []
-    rows = places(texts, spelling, hot_words, hot, share * partitions, model is None, True)
+    rows = places(texts, spelling, hot_words, hot, share * partitions, model is None, True, apart)
     if model is not None:
         nameless = known.select(F.lit(None).cast("long").alias("row"), F.lit(None).cast("long").alias("doc_id"), "text")
-        rows = rows.unionByName(places(nameless, spelling, hot_words, hot, share * partitions, True, False))
+        rows = rows.unionByName(places(nameless, spelling, hot_words, hot, share * partitions, True, False, False))
     over = lambda *keys: F.sum("occurs").over(Window.partitionBy("ctx", "salt", *keys))
-    counted = rows.repartition("ctx", "salt").withColumn("n", over("word")).withColumn("of", F.when(F.col("known") > 0, F.col("known")).otherwise(over()))
-    settled, met = F.col("known") < 0, F.col("n") >= least
-    if backs_off := model is not None or least > 1:
-        counted = cut(counted.filter("row IS NOT NULL"), "places")
-    score = F.when(F.col("asked") == 0, 0.0).when(settled, F.col("settled")).when(met, F.log("n") - F.log("of")).otherwise(0.0)
-    places_where = lambda rule: F.sum(F.when(rule, F.col("asked")).otherwise(0))
-    whole = counted.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("asked").alias("n_words"), F.sum(score).alias("log_score"), places_where(settled | met).alias("n_seen"), places_where(settled | (F.col("n") > 1)).alias("n_again"))
+    counted = rows.repartition("ctx", "salt").withColumn("n", F.when(F.col("known_n") > 0, F.col("known_n")).otherwise(over("word"))).withColumn("of", F.when(F.col("known_of") > 0, F.col("known_of")).otherwise(over()))
+    left, left_of, asked = F.col("n") - F.col("own"), F.col("of") - F.col("own_of"), F.col("asked") > 0
+    scored = counted.filter("row IS NOT NULL").select("row", "doc_id", "asked", F.col("n") > 1, left >= least, F.log(left) - F.log(left_of), F.concat(after_first(F.col("ctx")), "word"), "own_two", "own_two_of", "own_one")
+    scored = scored.toDF("row", "doc_id", "asked", "again", "seen", "share", "gram", "own_two", "own_two_of", "own_one")
+    if backs_off := model is not None or least > 1 or apart:
+        unless_seen = [F.when(asked & ~F.col("seen"), F.col(c)).alias(c) for c in ("gram", "own_two", "own_two_of", "own_one")]
+        scored = cut(scored.select("row", "doc_id", "asked", "again", "seen", "share", *unless_seen), "places")
+    count = lambda rule: F.when(F.col(rule), F.col("asked")).otherwise(0)
+    share_sum = F.when(asked & F.col("seen"), F.col("share") * F.col("asked")).otherwise(0.0)
+    parts = scored.select("row", "doc_id", "asked", count("seen").alias("seen"), count("again").alias("again"), share_sum.alias("score"), F.lit(0).alias("far"))
     if backs_off:
-        unmet = counted.filter((F.col("asked") > 0) & ~settled & ~met)
-        more = backed_off(unmet, known, spelling, total, least, backoff).groupBy("row").agg(F.sum("score").alias("_more"))
-        whole = whole.join(more, "row", "left").withColumn("log_score", F.col("log_score") + F.coalesce("_more", F.lit(0.0)))
+        unmet = scored.filter(asked & ~F.col("seen")).select("row", "asked", "gram", "own_two", "own_two_of", "own_one")
+        parts = parts.unionByName(backed_off(unmet, known, spelling, least, backoff), allowMissingColumns=True)
+    sums = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("asked", "seen", "again", "score", "far")))
+    rest = F.lit(total) - F.when(F.lit(apart), F.col("asked") + 1).otherwise(0)
+    score = F.col("score") - F.col("far") * F.log(F.greatest(rest, F.lit(1)))
+    whole = sums.select("doc_id", F.col("asked").alias("n_words"), score.alias("log_score"), F.col("seen").alias("n_seen"), F.col("again").alias("n_again"))
     return whole.select("doc_id", "n_words", "log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("mean_score"), "n_seen", "n_again")

@@ -41,7 +41,8 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.backoff_scores(table(spark, sf_dir, "documents"))
+    """Every document's score under the counts of all other documents."""
+    return lm.backoff_scores(table(spark, sf_dir, "documents"), apart=True)
 
 
 def op7_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
