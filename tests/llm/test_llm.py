@@ -820,6 +820,12 @@ def test_attach_keeps_every_row_of_hot_keys(spark):
     assert out.count() == 3000 and out.filter("v = k * 2").count() == 3000
 
 
+def test_attach_by_a_binary_key(spark):
+    left = spark.range(300).select("id", F.when(F.col("id") < 150, F.lit("hot")).otherwise(F.col("id").cast("string")).cast("binary").alias("k"))
+    right = left.groupBy("k").agg(F.count("*").alias("n")).withColumn("v", F.col("k").cast("string"))
+    assert attach(left, right, "k", "n", hot_keys=10).filter("v = CAST(k AS string)").count() == 300
+
+
 @pytest.mark.parametrize("parts", [3, None])
 def test_gapless_numbers(spark, parts):
     df = spark.range(500).select((F.col("id") % 3).alias("p"), "id", F.lit(1).alias("_bucket"))
@@ -829,14 +835,15 @@ def test_gapless_numbers(spark, parts):
         assert sorted(mine) == list(range(len(mine)))
 
 
-def test_near_copies_by_overlap_match_all_pairs(spark):
+@pytest.mark.parametrize(("groups", "lengths", "copies"), [(25, (5, 300), (1, 7)), (2, (150, 200), (150, 200))])
+def test_near_copies_by_overlap_match_all_pairs(spark, groups, lengths, copies):
     """Of each component under a Jaccard similarity of 0.8 on five-word shingles, or two fingerprint bits, one text stays; no other goes."""
     rng = random.Random(5)
     words = [f"w{i}" for i in range(400)]
     texts = {}
-    for _ in range(25):
-        base = [rng.choice(words) for _ in range(rng.randint(5, 300))]
-        for _ in range(rng.randint(1, 7)):
+    for _ in range(groups):
+        base = [rng.choice(words) for _ in range(rng.randint(*lengths))]
+        for _ in range(rng.randint(*copies)):
             copy = list(base)
             for _ in range(rng.randint(0, 4)):  # edits that land on both sides of the threshold
                 copy[rng.randrange(len(copy))] = rng.choice(words)

@@ -105,13 +105,14 @@ def _may(n: np.ndarray, at: np.ndarray, m: np.ndarray, on: np.ndarray, t: float)
     return np.minimum(n - at, m - on) >= np.ceil(t / (1 + t) * (n + m) - 1e-9)
 
 
-def candidates(groups: DataFrame, t: float, stars: bool) -> DataFrame:
-    """Different pairs (a, b) of set keys of different roots. ``stars``: only each member with the first and the last of its bucket; else all of them."""
+def candidates(groups: DataFrame, t: float, stars: int | None = None) -> DataFrame:
+    """Different pairs (a, b) of set keys of different roots. ``stars``: only each member with the first and the last of its bucket, in an order by hash that goes by that number and is one for all buckets; else all of them."""
     least = f"ceil({t / (1 + t)!r}D * (x.n + y.n) - 1e-9D)"
     meet = F.expr(f"x.key <> y.key AND x.root <> y.root AND least(x.n - x.at, y.n - y.at) >= {least}")
     ends = lambda pairs: pairs.filter(meet).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"))
-    if stars:
-        few = F.expr("array_distinct(array(array_min(ms), array_max(ms)))")
+    if stars is not None:
+        drawn = f"transform(ms, m -> struct(xxhash64(m.key, {stars}) AS o, m.key, m.n, m.at, m.root))"
+        few = F.expr(f"array_distinct(array(array_min({drawn}), array_max({drawn})))")
         return cut(ends(groups.select(F.explode("ms").alias("y"), few.alias("few")).select("y", F.explode("few").alias("x"))).distinct(), "candidates")
 
     def arrays(ms: list[dict]) -> list[np.ndarray]:

@@ -10,6 +10,7 @@ there, whatever the number of documents. Copies share a fingerprint and enter on
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,8 @@ from tidemark.llm.common import attach, cut, discard, fresh
 
 #: Bits apart at which two fingerprints link, as the covering above is built for it.
 THRESHOLD = 2
+#: Stars go on while one in so many of their pairs is similar. It changes no result: what isn't linked then meets pair by pair.
+WORTH = 20
 
 
 def _fingerprint(text: str | None, width: int) -> int:
@@ -160,12 +163,19 @@ def one_of_each(docs: DataFrame, width: int = 3, overlap_width: int = 5, similar
     texts = keyed.select(F.col(fp).alias("fp"), F.col(key).alias("key"), F.col(row).alias("row"), "text")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").cast("long").alias("id"), F.col(row).alias("row"))
     own = cut(keyed.groupBy(F.col(fp).alias("fp")).agg(F.min(order).alias("first")), "own")
-    # Pairs in stars first; what they link need not meet pair by pair.
+    # Stars first: what they link need not meet pair by pair. In a large group of near copies some are not like the star's middle, but like another's; a round that links few of its pairs is the last.
     groups = overlap.buckets(texts, overlap_width, similarity)
-    some = overlap.checked(texts, overlap.candidates(groups, similarity, stars=True), overlap_width, similarity)
-    edges = cut(links(own.select("fp")).unionByName(overlap.equal_sets(texts)).unionByName(some).filter("a <> b"), "links")
-    roots = components(edges)
-    rest = overlap.candidates(overlap.rerooted(groups, texts, roots), similarity, stars=False)
+    edges = cut(links(own.select("fp")).unionByName(overlap.equal_sets(texts)).filter("a <> b"), "links")
+    for step in count():
+        pairs = overlap.candidates(groups, similarity, stars=step)
+        some = overlap.checked(texts, pairs, overlap_width, similarity).filter("a <> b")
+        tried, found = pairs.count(), some.count()
+        edges = edges.unionByName(some)
+        roots = components(edges)
+        groups = overlap.rerooted(groups, texts, roots)
+        if found * WORTH < tried or not tried:
+            break
+    rest = overlap.candidates(groups, similarity)
     if rest.limit(1).count():
         more = overlap.checked(texts, rest, overlap_width, similarity).filter("a <> b")
         if more.limit(1).count():
