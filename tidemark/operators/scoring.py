@@ -236,7 +236,7 @@ def risks(wide: DataFrame) -> tuple[list[tuple[Column, str]], list[tuple[Column,
         ((p == "PC_INSURER") & (c("combined_ratio") > COMBINED_WARN), "HIGH_COMBINED_RATIO"),
         (reit & (cover >= COVERAGE_BROKEN) & (cover < COVERAGE_WARN), "REIT_INTEREST_COVERAGE_WARNING"),
         (reit & (lever <= LEVERAGE_BROKEN) & (lever > LEVERAGE_WARN), "REIT_LEVERAGE_WARNING"),
-        (reit & pay.isNotNull() & before.isNotNull() & (paid <= PAYOUT_BROKEN) & (pay > PAYOUT_WARN), "REIT_PAYOUT_WARNING"),
+        (reit & (pay > PAYOUT_WARN) & ((pay <= PAYOUT_BROKEN) | (before <= PAYOUT_BROKEN)), "REIT_PAYOUT_WARNING"),
     ]
     return broken, warned
 
