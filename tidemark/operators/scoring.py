@@ -133,11 +133,17 @@ def keys_of(*groups: str) -> list[str]:
 
 
 def widen(accepted: DataFrame, cards: DataFrame, on: list[str], keys: list[str], dated: list[str] = ()) -> DataFrame:
-    """Cards with a column per key and one for its reason, from one aggregate; an absent input is not reported. ``dated`` keys also get their dates."""
-    pick = lambda k, column, name: F.expr(f"max(CASE WHEN key = '{k}' THEN {column} END) AS {name}")
-    columns = [x for k in keys for x in (pick(k, "value", k), pick(k, "reason", why(k)))]
-    columns += [x for k in dated for x in (pick(k, "period_start", f"{k}__start"), pick(k, "period_end", f"{k}__end"))]
-    wide = cards.join(accepted.filter(F.col("key").isin(keys)).groupBy(*on).agg(*columns), on, "left")
+    """Cards with a column per key and one for its reason; an absent input is not reported. ``dated`` keys also get their dates.
+
+    A card's inputs meet in one map, whose keys are then looked up: an aggregate with a column per key would ask every row for every key.
+    """
+    parts = ["value", "reason", *(["period_start", "period_end"] if dated else [])]
+    one = accepted.filter(F.col("key").isin(keys)).groupBy(*on, "key").agg(*(F.max(c).alias(c) for c in parts))
+    packed = one.groupBy(*on).agg(F.map_from_entries(F.collect_list(F.struct("key", F.struct(*parts)))).alias("_m"))
+    found = packed.select(*on, *(F.try_element_at("_m", F.lit(k)).alias(f"_{k}") for k in keys))
+    columns = [x for k in keys for x in (F.col(f"_{k}.value").alias(k), F.col(f"_{k}.reason").alias(why(k)))]
+    columns += [x for k in dated for x in (F.col(f"_{k}.period_start").alias(f"{k}__start"), F.col(f"_{k}.period_end").alias(f"{k}__end"))]
+    wide = cards.join(found.select(*on, *columns), on, "left")
     return wide.withColumns({why(k): F.expr(f"CASE WHEN {k} IS NULL THEN coalesce({why(k)}, 'NOT_REPORTED') END") for k in keys})
 
 
@@ -276,17 +282,22 @@ def coverage(wide: DataFrame) -> list[tuple[Column, str]]:
     return rules
 
 
-def assess(inputs: DataFrame, cards: DataFrame, on: list[str], statutory: DataFrame) -> DataFrame:
-    """A row per card with all quantities, ``errors`` and ``warnings`` (sorted codes).
-
-    Capital requirements are the inputs named CET1_REQUIREMENT_*, as many as the card's ``requirement_count`` (none: missing). Errors begin with the
-    card's ``blocking_reasons``, if it has such a column.
-    """
+def gather(inputs: DataFrame, cards: DataFrame, on: list[str]) -> DataFrame:
+    """Cards with all accepted inputs as columns, and ``requirement``: the sum of the inputs named CET1_REQUIREMENT_*, as many as the card's ``requirement_count`` (none: missing)."""
     accepted = accept(inputs, cards, on)
     keys = [*dict.fromkeys([*keys_of("GENERAL", "FINANCIAL", "REIT"), *YEARS, *QUARTERS])]
     wide = widen(accepted, cards, on, keys, [*YEARS, *QUARTERS, *QUARTER_BACK])
     named = accepted.filter(F.startswith("key", F.lit("CET1_REQUIREMENT_"))).groupBy(*on).agg(F.sum("value").alias("_sum"), F.count_if(F.col("value") >= 0).alias("_sound"))
-    wide = wide.join(named, on, "left").withColumn("requirement", F.when((F.col("requirement_count") > 0) & (F.col("_sound") == F.col("requirement_count")), F.col("_sum"))).drop("_sum", "_sound")
+    return wide.join(named, on, "left").withColumn("requirement", F.when((F.col("requirement_count") > 0) & (F.col("_sound") == F.col("requirement_count")), F.col("_sum"))).drop("_sum", "_sound")
+
+
+def assess(inputs: DataFrame, cards: DataFrame, on: list[str], statutory: DataFrame) -> DataFrame:
+    """A row per card with all quantities, ``errors`` and ``warnings`` (sorted codes). Errors begin with the card's ``blocking_reasons``, if it has such a column."""
+    return assess_wide(gather(inputs, cards, on), statutory)
+
+
+def assess_wide(wide: DataFrame, statutory: DataFrame) -> DataFrame:
+    """``assess`` of cards that have their inputs as columns (``gather``)."""
     wide = stability(general(normal_tax(shared(wide), statutory)))
     wide = refuse(add(add(wide, FINANCIAL), REIT), "affo_payout_prior", ~F.col("AFFO_PRIOR_TTM__end").eqNullSafe(F.col("DIVIDENDS_DECLARED_PRIOR_TTM__end")), "INSUFFICIENT_HISTORY")
     broken, warned = risks(wide)
@@ -317,13 +328,14 @@ def _levels(pool: Column, label: Column) -> list[tuple[Column, Column, int]]:
     return [(F.concat(F.lit("PRIMARY:"), peer), F.when(peer != "", F.concat_ws("|", pool, peer)), model.PEER), (label, pool, model.FALLBACK)]
 
 
-def strict(assessed: DataFrame, run: list[str], ident: str) -> tuple[DataFrame, DataFrame]:
+def strict(assessed: DataFrame, run: list[str], ident: str, settled: bool = False) -> tuple[DataFrame, DataFrame]:
     """The strict model: standardised metric rows of the cards without errors, and a row per card with composite, ``eligible``, all ``errors`` and ``warnings``.
 
     Statistics come from those cards once: the peer group within the profile if it has ten, else the profile if it has twenty, of which PEER_FALLBACK:
-    and the metric warns. Cards and metric rows are settled in the checkpoint folder, for several aggregates read them.
+    and the metric warns. Cards (unless ``settled``) and metric rows are settled in the checkpoint folder, for several aggregates read them.
     """
-    assessed = settle(assessed.select(*run, ident, "profile", "peer_group", "errors", "warnings", *used(assessed)))
+    assessed = assessed.select(*run, ident, "profile", "peer_group", "errors", "warnings", *used(assessed))
+    assessed = assessed if settled else settle(assessed)
     base = metric_rows(assessed.filter(F.size("errors") == 0), [*run, ident, "profile", "peer_group"])
     pool = F.concat(F.lit("PROFILE:"), "profile")
     norm = settle(model.standardize(base, [*run, "metric"], _levels(pool, pool), "raw"))
@@ -346,19 +358,27 @@ MULTI_CLASS = "MULTI_CLASS_ISSUER_CAPITALIZATION_UNAVAILABLE"
 def assess_versions(inputs: DataFrame, cards: DataFrame, on: list[str], statutory: DataFrame, versions: list[str] = VERSIONS) -> DataFrame:
     """``assess`` for each version: a row per card and ``version``.
 
-    From ISSUER_SINCE on an issuer with several cards in a run has no shares of its own class, and its cards carry MULTI_CLASS. Only those cards are assessed
-    twice; all others once for all versions. ``cards`` have issuer_id and blocking_reasons; the last of ``on`` tells the cards of a run apart.
+    From ISSUER_SINCE on an issuer with several cards in a run has no shares of its own class, and its cards carry MULTI_CLASS. Inputs are gathered once per card; only those
+    cards are assessed twice, all others once for all versions. ``cards`` have issuer_id and blocking_reasons; the last of ``on`` tells the cards of a run apart.
     """
+    done = _assess_split(inputs, cards, on, statutory, versions)
+    return done.withColumn("version", F.explode("_versions")).drop("_versions")
+
+
+def _assess_split(inputs: DataFrame, cards: DataFrame, on: list[str], statutory: DataFrame, versions: list[str]) -> DataFrame:
+    """``assess_versions`` before a row is repeated for each of its ``_versions``."""
     several = F.count(F.lit(1)).over(Window.partitionBy(*on[:-1], "issuer_id")) > 1
-    marked = settle(cards.withColumn("_several", several))
+    wide = gather(inputs, cards.withColumn("_several", several), on)
     early, late = ([v for v in versions if (v >= ISSUER_SINCE) == since] for since in (False, True))
     of = lambda names: F.array(*(F.lit(v) for v in names)).cast("array<string>")
-    whole = marked.withColumns({"_split": F.lit(False), "_versions": F.when(F.col("_several"), of(early)).otherwise(of(versions))})
-    split = marked.filter("_several").withColumns({"_split": F.lit(True), "_versions": of(late), "blocking_reasons": F.concat("blocking_reasons", F.array(F.lit(MULTI_CLASS)))})
-    unshared = inputs.filter("key <> 'SHARES_OUTSTANDING'").join(marked.filter("_several").select(*on), on, "left_semi")
-    every = inputs.withColumn("_split", F.lit(False)).unionByName(unshared.withColumn("_split", F.lit(True)))
-    done = assess(every, whole.unionByName(split).drop("_several"), [*on, "_split"], statutory)
-    return done.withColumn("version", F.explode("_versions")).drop("_versions", "_split")
+    as_is, split = (F.struct(F.lit(s).alias("split"), of(v).alias("versions")) for s, v in ((False, early), (True, late)))
+    wide = wide.withColumn("_as", F.explode(F.when(F.col("_several"), F.array(as_is, split)).otherwise(F.array(F.struct(F.lit(False).alias("split"), of(versions).alias("versions"))))))
+    apart, shares = F.col("_as.split"), "SHARES_OUTSTANDING"
+    wide = wide.withColumns({
+        shares: F.when(~apart, F.col(shares)), why(shares): F.when(apart, "NOT_REPORTED").otherwise(F.col(why(shares))),
+        "blocking_reasons": F.when(apart, F.concat("blocking_reasons", F.array(F.lit(MULTI_CLASS)))).otherwise(F.col("blocking_reasons")), "_versions": F.col("_as.versions"),
+    })
+    return assess_wide(wide.drop("_as", "_several"), statutory)
 
 
 def soft(code: Column, version: Column) -> Column:
@@ -396,9 +416,11 @@ def available_components(assessed: DataFrame, keep: list[str]) -> tuple[DataFram
 
 def reset_versions(inputs: DataFrame, cards: DataFrame, on: list[str], statutory: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
     """``available_components`` of all versions in one plan, from inputs and cards: what the strict model finds in each version's own population is where the reset begins."""
-    assessed = settle(assess_versions(inputs, cards, on, statutory))
+    done = _assess_split(inputs, cards, on, statutory, VERSIONS)
+    wanted = dict.fromkeys([*on, *keep, "profile", "profile_supported", "peer_group", "history_count", "errors", "warnings", "_versions", *used(done)])
+    assessed = settle(done.select(*wanted)).withColumn("version", F.explode("_versions")).drop("_versions")  # one row for all versions that share it, without the inputs
     by = ["version", *on]
-    _, found = strict(assessed, by[:-1], on[-1])
+    _, found = strict(assessed, by[:-1], on[-1], settled=True)
     told = found.select(*by, "errors", F.filter("warnings", lambda w: ~F.startswith(w, F.lit("PEER_FALLBACK:"))).alias("warnings"))
     return available_components(assessed.drop("errors", "warnings").join(told, by), [*by, *keep])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +21,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """``df``, computed once and kept in the checkpoint folder: the plans that read it neither repeat its work nor depend on an executor's disk."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """``df``, computed once and kept in the checkpoint folder: the plans that read it neither repeat its work nor depend on an executor's disk.
+
+    It is kept as Parquet: columns are packed, plans read those they need, and sizes are known to joins. A checkpoint would keep whole rows unpacked.
+    """
+    path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df = df.select(*(F.col(f"`{f.name}`").cast("string").alias(f.name) if f.dataType.typeName() == "void" else F.col(f"`{f.name}`") for f in df.schema))
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class LookAheadViolation(ValueError):
