@@ -36,12 +36,25 @@ def simple_composite(raw: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("composite", (F.col("value_z") + F.col("momentum_z") + F.col("quality_z")) / 3)
 
 
+def exact_sum(x: Column) -> Column:
+    """Sum of small numbers (under 100 each), as decimals of 18 digits: the same whatever the order of the rows."""
+    return F.sum(x.cast("decimal(20,18)")).cast("double")
+
+
 def cohort_moments(df: DataFrame, by: list[str], value: str, settled: bool = False) -> DataFrame:
-    """Exact bounds, then count, mean and population deviation of values held within them, per cohort of any size. ``settled``: ``df`` may be read twice at no great cost."""
+    """Exact bounds, then count, mean and population deviation of values held within them, per cohort of any size. ``settled``: ``df`` may be read twice at no great cost.
+
+    Moments are sums of decimals, of each value's place between the bounds (0 to 1), so they are the same to the last bit in whatever order rows come.
+    """
     rows = df if settled else settle(df.select(*by, value))
     bounds = quantiles(rows, by, value, {"low": LOW, "high": HIGH}, settled=True).drop("n")
-    inside = rows.filter(F.col(value).isNotNull()).join(bounds, by).withColumn("_x", clamp(F.col(value), F.col("low"), F.col("high")))
-    return inside.groupBy(*by).agg(F.count("*").alias("n"), F.avg("_x").alias("mean"), F.stddev_pop("_x").alias("sd"), F.min("low").alias("low"), F.min("high").alias("high"))
+    half = F.col("high") / 2 - F.col("low") / 2  # halves: a difference of doubles may be too large for one
+    place = F.when(half > 0, (clamp(F.col(value), F.col("low"), F.col("high")) / 2 - F.col("low") / 2) / half).otherwise(0.0)
+    inside = rows.filter(F.col(value).isNotNull()).join(bounds, by).withColumn("_p", place)
+    sums = inside.groupBy(*by).agg(F.count("*").alias("n"), exact_sum(F.col("_p")).alias("_p"), exact_sum(F.col("_p") * F.col("_p")).alias("_pp"), F.min("low").alias("low"), F.min("high").alias("high"))
+    share = F.col("_p") / F.col("n")
+    spread = F.sqrt(F.greatest(F.col("_pp") / F.col("n") - share * share, F.lit(0.0)))
+    return sums.select(*by, "n", (F.col("low") * (1 - share) + F.col("high") * share).alias("mean"), (2 * half * spread).alias("sd"), "low", "high")
 
 
 def standardize(rows: DataFrame, run: list[str], levels: list[tuple[Column, Column, int]], value: str, fit: Column | None = None) -> DataFrame:

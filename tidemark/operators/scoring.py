@@ -340,7 +340,7 @@ def strict(assessed: DataFrame, run: list[str], ident: str, settled: bool = Fals
     pool = F.concat(F.lit("PROFILE:"), "profile")
     norm = settle(model.standardize(base, [*run, "metric"], _levels(pool, pool), "raw"))
     fell = F.when(F.startswith("cohort", F.lit("PROFILE:")), F.concat(F.lit("PEER_FALLBACK:"), "metric"))
-    families = norm.groupBy(*run, ident).agg(*(F.sum(F.when(F.col("family") == f, F.coalesce("z", F.lit(0.0)))).alias(f) for f in ("value", "quality", "momentum")), *(F.count(F.when(F.col("family") == f, F.col("z"))).alias(f"n_{f}") for f in ("value", "quality", "momentum")), F.collect_set(fell).alias("_fell"))
+    families = norm.groupBy(*run, ident).agg(*(model.exact_sum(F.when(F.col("family") == f, F.coalesce("z", F.lit(0.0)))).alias(f) for f in ("value", "quality", "momentum")), *(F.count(F.when(F.col("family") == f, F.col("z"))).alias(f"n_{f}") for f in ("value", "quality", "momentum")), F.collect_set(fell).alias("_fell"))
     short = reasons(*((F.col(f"n_{f}") < least, f"INSUFFICIENT_NORMALIZED_{f.upper()}") for f, least in (("value", 2), ("quality", 2), ("momentum", 1))))
     scored = families.select(*run, ident, short.alias("_short"), "_fell", (0.5 * F.col("value") / 3 + 0.3 * F.col("quality") / 3 + 0.2 * F.col("momentum")).alias("composite"))
     out = assessed.select(*run, ident, "errors", "warnings").join(scored, [*run, ident], "left")
