@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -154,40 +155,69 @@ def factor_diagnostics(df: DataFrame, columns: list[str], by: list[str]) -> Data
     return wide.withColumn("_s", solve("r")).select(*by, "_s.*")
 
 
-def market_regimes(returns: DataFrame, key: str, order: str, value: str, states: int = 2, rounds: int = 50) -> DataFrame:
+def _regimes(lengths: np.ndarray, x: np.ndarray, states: int, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """States (series, place), means and volatilities (series, state) of several series at once: ``x`` (series, place) is filled with zeros behind a series' end."""
+    most = x.shape[1]
+    there = np.arange(most) < lengths[:, None]
+    mean = np.array([np.quantile(row[:n], (np.arange(states) + 0.5) / states) for n, row in zip(lengths, x, strict=True)])
+    sd = np.repeat(np.array([row[:n].std() + 1e-9 for n, row in zip(lengths, x, strict=True)])[:, None], states, axis=1)
+    move, first = np.full((len(x), states, states), 0.1 / max(states - 1, 1)), np.full((len(x), states), 1 / states)
+    move[:, range(states), range(states)] = 0.9
+    each = there[:, :, None]
+    for _ in range(rounds):
+        logs = -0.5 * ((x[:, :, None] - mean[:, None]) / sd[:, None]) ** 2 - np.log(sd)[:, None]
+        like = np.where(each, np.exp(logs - logs.max(axis=2, keepdims=True)) + 1e-300, 1.0)
+        ahead, back, scale = np.zeros_like(like), np.ones_like(like), np.ones((len(x), most))
+        for t in range(most):
+            now = (first if t == 0 else (ahead[:, t - 1, :, None] * move).sum(axis=1)) * like[:, t]
+            scale[:, t] = now.sum(axis=1)
+            ahead[:, t] = now / scale[:, t, None]
+        for t in range(most - 2, -1, -1):  # behind a series' end it stays 1
+            now = (move * (like[:, t + 1] * back[:, t + 1])[:, None]).sum(axis=2) / scale[:, t + 1, None]
+            back[:, t] = np.where(each[:, t + 1], now, 1.0)
+        share = ahead * back
+        share /= share.sum(axis=2, keepdims=True)
+        onward = np.where(each[:, 1:], like[:, 1:] * back[:, 1:] / scale[:, 1:, None], 0.0)
+        step = np.einsum("sti,sij,stj->sij", ahead[:, :-1], move, onward)
+        first, move = share[:, 0], step / step.sum(axis=2, keepdims=True)
+        held = np.where(each, share, 0.0)
+        total = held.sum(axis=1) + 1e-12
+        mean = (held * x[:, :, None]).sum(axis=1) / total
+        sd = np.sqrt((held * (x[:, :, None] - mean[:, None]) ** 2).sum(axis=1) / total) + 1e-6
+    rank = np.argsort(np.argsort(mean, axis=1), axis=1)
+    best = share.argmax(axis=2)
+    at = np.arange(len(x))[:, None]
+    return rank[at, best].astype("int32"), mean[at, best], sd[at, best]
+
+
+def market_regimes(returns: DataFrame, key: str, order: str, value: str, states: int = 2, rounds: int = 50, cells: int = 1 << 17) -> DataFrame:
     """Hidden regimes of each key's returns: a Gaussian model fitted by expectation maximisation from quantiles, states in order of mean.
 
-    Rows: key, order, state, and the state's mean and volatility. A key's series is fitted in a task of its own.
+    Rows: key, order, state, and the state's mean and volatility. A key's series is a row; the series of a batch that are about as long are fitted together, up to ``cells`` places at a time.
     """
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna().sort_values(order)
-        x = pdf[value].to_numpy(float)
-        if len(x) < 2 * states:
-            return pd.DataFrame(columns=[key, order, "state", "mean", "volatility"])
-        mean = np.quantile(x, (np.arange(states) + 0.5) / states)
-        sd, move, first = np.full(states, x.std() + 1e-9), np.full((states, states), 0.1 / max(states - 1, 1)), np.full(states, 1 / states)
-        np.fill_diagonal(move, 0.9)
-        for _ in range(rounds):
-            logs = -0.5 * ((x[:, None] - mean) / sd) ** 2 - np.log(sd)
-            like = np.exp(logs - logs.max(axis=1, keepdims=True)) + 1e-300
-            ahead, back, scale = np.zeros_like(like), np.ones_like(like), np.zeros(len(x))
-            for t in range(len(x)):
-                ahead[t] = (first if t == 0 else ahead[t - 1] @ move) * like[t]
-                scale[t] = ahead[t].sum()
-                ahead[t] /= scale[t]
-            for t in range(len(x) - 2, -1, -1):
-                back[t] = move @ (like[t + 1] * back[t + 1]) / scale[t + 1]
-            share = ahead * back
-            share /= share.sum(axis=1, keepdims=True)
-            step = np.einsum("ti,ij,tj->ij", ahead[:-1] / scale[1:, None], move, like[1:] * back[1:])
-            first, move = share[0], step / step.sum(axis=1, keepdims=True)
-            total = share.sum(axis=0) + 1e-12
-            mean = share.T @ x / total
-            sd = np.sqrt((share * (x[:, None] - mean) ** 2).sum(axis=0) / total) + 1e-6
-        rank = np.argsort(np.argsort(mean))
-        best = share.argmax(axis=1)
-        return pd.DataFrame({key: pdf[key], order: pdf[order], "state": rank[best].astype("int32"), "mean": mean[best], "volatility": sd[best]})
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf.iloc[np.argsort(pdf["_x"].map(len).to_numpy(), kind="stable")]
+            lengths = pdf["_x"].map(len).to_numpy()
+            at = 0
+            while at < len(pdf):
+                upto = at + 1
+                while upto < len(pdf) and (upto + 1 - at) * lengths[upto] <= cells and lengths[upto] <= 2 * lengths[at]:
+                    upto += 1
+                x = np.zeros((upto - at, lengths[upto - 1]))
+                for i, series in enumerate(pdf["_x"].iloc[at:upto]):
+                    x[i, : len(series)] = series
+                found = _regimes(lengths[at:upto], x, states, rounds)
+                told = pdf[["_key", "_o"]].iloc[at:upto].copy()
+                for name, got in zip(("state", "mean", "volatility"), found, strict=True):
+                    told[name] = [row[:n] for row, n in zip(got, lengths[at:upto], strict=True)]
+                yield told
+                at = upto
 
     kinds = {c: returns.schema[c].dataType.simpleString() for c in (key, order)}
-    return returns.select(key, order, value).groupBy(key).applyInPandas(fit, f"{key} {kinds[key]}, {order} {kinds[order]}, state int, mean double, volatility double")
+    sound = returns.select(F.col(key).alias("_key"), F.col(order).alias("_o"), F.col(value).cast("double").alias("_x")).filter("_key IS NOT NULL AND _o IS NOT NULL AND _x IS NOT NULL AND NOT isnan(_x)")
+    series = sound.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_o", "_x"))).alias("_s")).filter(F.size("_s") >= 2 * states)
+    fitted = series.select("_key", F.col("_s._o").alias("_o"), F.col("_s._x").alias("_x")).mapInPandas(fit, f"_key {kinds[key]}, _o array<{kinds[order]}>, state array<int>, mean array<double>, volatility array<double>")
+    rows = fitted.select("_key", F.explode(F.arrays_zip("_o", "state", "mean", "volatility")).alias("_r"))
+    return rows.select(F.col("_key").alias(key), F.col("_r._o").alias(order), "_r.state", "_r.mean", "_r.volatility")
