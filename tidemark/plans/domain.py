@@ -259,7 +259,8 @@ def _q01(v: Views) -> DataFrame:
     scored = ranking.ordinal_rank(known.filter("eligible"), ["as_of"]).withColumn("rank", F.col("rank") + (F.month("as_of") == 3).cast("int"))
     excluded = known.filter("NOT eligible OR composite > 0.5").withColumn("reason", F.when(F.col("profile") != "GENERAL", "PROFILE"))
     days = F.broadcast(v.b_sessions.select(F.col("session_date").alias("as_of")))  # a calendar
-    universe = v.b_instruments.join(days, F.col("valid_to").isNull() | (F.col("valid_to") > F.col("as_of")))
+    dealt = v.b_instruments.select("instrument_id", "valid_to").repartition(4 * v.spark.sparkContext.defaultParallelism, "instrument_id")  # by number: few short rows would be put into one task, which then makes all their days
+    universe = dealt.join(days, F.col("valid_to").isNull() | (F.col("valid_to") > F.col("as_of")))
     return publication.guard(scored, excluded, universe, ["as_of"]).withColumn("as_of", F.col("as_of").cast("string"))
 
 
