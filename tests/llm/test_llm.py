@@ -899,3 +899,22 @@ def test_pipeline_stages_on_awkward_and_empty_rows(spark, sf_dir):
         for _, stage in P.STAGES:
             out = stage(spark, frame, sf_dir)
             out.count()
+
+
+def test_pairs_of_near_copies_that_are_too_unlike_never_become_rows(spark):
+    """300 copies of a text, each with three words of its own: nearly all meet, few are 0.8 alike, and few go on to be compared."""
+    from tidemark.llm import overlap
+
+    rng = random.Random(5)
+    words, rows = [f"w{i}" for i in range(150)], []
+    for i in range(300):
+        mine = list(words)
+        for n, at in enumerate(rng.sample(range(10, 140), 3)):
+            mine[at] = f"own{i}x{n}"
+        rows.append((i, overlap.set_key(overlap.shingles(" ".join(mine), 5)), i, " ".join(mine)))
+    texts = spark.createDataFrame(rows, "fp long, key long, row long, text string")
+    sets = [set(overlap.shingles(r[3], 5).tolist()) for r in rows]
+    near = {(rows[i][1], rows[j][1]) for i in range(300) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    groups = overlap.buckets(texts, 5, 0.8)
+    met = {tuple(r) for r in overlap.candidates(overlap.outlined(groups, texts, 5), 0.8).collect()}
+    assert {(min(p), max(p)) for p in near} <= met and len(met) < 0.1 * 300 * 299 / 2

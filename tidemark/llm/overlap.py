@@ -11,7 +11,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,8 +18,8 @@ from pyspark.sql.window import Window
 
 from tidemark.llm.common import cut, discard
 
-#: Bits of the filter of sets to be checked; members of a bucket whose pairs are made in Spark; members of a block of larger ones.
-BITS, SMALL, BLOCK = 22, 8, 1024
+#: Bits of the filter of sets to be checked; members of a bucket whose pairs are made in Spark; members of a block of larger ones; ranges of their outlines there.
+BITS, SMALL, BLOCK, COARSE = 22, 8, 1024, 256
 #: Bits of a shingle's hash in a posting.
 POSTED = 48
 
@@ -56,9 +55,13 @@ def prefix(n: int, t: float) -> int:
     return n - math.ceil(t * n - 1e-9) + 1
 
 
-def often(texts: DataFrame, width: int, sample: int = 5_000, support: int = 4, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of ``support`` and more of about ``sample`` texts (by hash of the row number), ascending, and their counts. At most ``most``."""
+def often(texts: DataFrame, width: int, sample: int = 5_000, one_in: int = 8, support: int = 4, most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of ``support`` and more of one ``one_in`` texts, ``sample`` at least (by hash of the row number), ascending, and their counts. At most ``most``.
+
+    As many texts are looked at as there are in proportion: under a sample of one size the shingles that it doesn't know grow as common as the table is large.
+    """
     total = texts.count()
+    sample = max(sample, total // one_in)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,8 +69,8 @@ def often(texts: DataFrame, width: int, sample: int = 5_000, support: int = 4, m
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(text.as_py(), width).astype(np.int64))], names=["h"])
 
     some = texts.filter(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < int(min(1.0, sample / max(total, 1)) * (1 << 30))).select("text").mapInArrow(run, "h long")
-    rows = some.groupBy("h").count().filter(F.col("count") >= support).orderBy(F.desc("count"), "h").limit(most).collect()
-    h, n = np.array([r[0] for r in rows], np.int64).astype(np.uint64), np.array([r[1] for r in rows], np.int64)
+    rows = some.groupBy("h").count().filter(F.col("count") >= support).orderBy(F.desc("count"), "h").limit(most).toArrow()
+    h, n = rows.column(0).to_numpy().astype(np.uint64), rows.column(1).to_numpy().astype(np.int64)
     return h[by := np.argsort(h)], n[by]
 
 
@@ -106,7 +109,8 @@ def _may(n: np.ndarray, at: np.ndarray, m: np.ndarray, on: np.ndarray, t: float)
 
 
 def candidates(groups: DataFrame, t: float, stars: int | None = None) -> DataFrame:
-    """Different pairs (a, b) of set keys of different roots. ``stars``: only each member with the first and the last of its bucket, in an order by hash that goes by that number and is one for all buckets; else all of them."""
+    """Different pairs (a, b) of set keys of different roots. ``stars``: only each member with the first and the last of its bucket, in an order by hash that goes by that number and is one for all buckets; else all of them,
+    where members of buckets larger than SMALL have outlines (``outlined``), less those that the outlines rule out: these pairs never become rows."""
     least = f"ceil({t / (1 + t)!r}D * (x.n + y.n) - 1e-9D)"
     meet = F.expr(f"x.key <> y.key AND x.root <> y.root AND least(x.n - x.at, y.n - y.at) >= {least}")
     ends = lambda pairs: pairs.filter(meet).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"))
@@ -115,19 +119,20 @@ def candidates(groups: DataFrame, t: float, stars: int | None = None) -> DataFra
         few = F.expr(f"array_distinct(array(array_min({drawn}), array_max({drawn})))")
         return cut(ends(groups.select(F.explode("ms").alias("y"), few.alias("few")).select("y", F.explode("few").alias("x"))).distinct(), "candidates")
 
-    def arrays(ms: list[dict]) -> list[np.ndarray]:
-        return [np.array([m[c] for m in ms], np.int64) for c in ("key", "n", "at", "root")]
+    def arrays(ms: pa.ListScalar) -> tuple[np.ndarray, ...]:
+        return (*(ms.values.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "n", "at", "root")), coarse(ms.values.field("held").to_pylist()))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for left, right, same in zip(batch["x"], batch["y"], batch["same"], strict=True):
-                (a, n, at, r), (b, m, on, s) = arrays(left), arrays(right)
+            for left, right, same in zip(*batch.columns, strict=True):
+                (a, n, at, r, p), (b, m, on, s, q) = arrays(left), arrays(right)
+                first = np.arange(1, len(a) + 1) if same.as_py() else np.zeros(len(a), np.int64)
+                found = []
                 for i in range(len(a)):
-                    ok = (r[i] != s) & (a[i] != b) & _may(n[i], at[i], m, on, t)
-                    if same:
-                        ok[: i + 1] = False
-                    if ok.any():
-                        yield pd.DataFrame({"a": np.minimum(a[i], b[ok]), "b": np.maximum(a[i], b[ok])})
+                    k = first[i] + np.flatnonzero((r[i] != s[first[i] :]) & (a[i] != b[first[i] :]) & _may(n[i], at[i], m[first[i] :], on[first[i] :], t))
+                    k = k[np.minimum(p[i], q[k]).sum(axis=1) >= t / (1 + t) * (n[i] + m[k]) - 1e-9]
+                    found.append((np.minimum(a[i], b[k]), np.maximum(a[i], b[k])))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[c] for f in found])) for c in (0, 1)], names=["a", "b"])
 
     small = groups.filter(F.size("ms") <= SMALL)
     pairs = ends(small.select(F.explode("ms").alias("x"), "ms").select("x", F.explode("ms").alias("y")).filter("x.key < y.key"))
@@ -136,12 +141,12 @@ def candidates(groups: DataFrame, t: float, stars: int | None = None) -> DataFra
     blocks = blocks.withColumn("_i", F.explode(F.expr("sequence(0, _e)"))).withColumn("_j", F.explode(F.expr("sequence(_i, _e)")))
     block = lambda k: F.expr(f"slice(ms, {k} * {BLOCK} + 1, {BLOCK})")
     parts = blocks.select(block("_i").alias("x"), block("_j").alias("y"), (F.col("_i") == F.col("_j")).alias("same"), F.xxhash64("h", "_i", "_j").alias("_d")).repartition("_d").drop("_d")
-    return cut(pairs.unionByName(parts.mapInPandas(run, "a long, b long")).distinct(), "candidates")
+    return cut(pairs.unionByName(parts.mapInArrow(run, "a long, b long")).distinct(), "candidates")
 
 
 def outline(hashes: np.ndarray) -> bytes:
-    """How many hashes of a set lie in each of some equal ranges of the hash space (a byte each, 255: that or more); about four to eight in one."""
-    bits = max(6, math.ceil(math.log2(max(len(hashes), 1) / 8)))
+    """How many hashes of a set lie in each of some equal ranges of the hash space (a byte each, 255: that or more); about four to eight in one, COARSE ranges at least."""
+    bits = max(int(math.log2(COARSE)), math.ceil(math.log2(max(len(hashes), 1) / 8)))
     return np.minimum(np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
@@ -157,9 +162,28 @@ def most_shared(x: bytes, y: bytes) -> float:
     return float(np.minimum(p, q).sum())
 
 
-def sets_of(texts: DataFrame, pairs: DataFrame, width: int, outlined: bool) -> DataFrame:
-    """(key, fp, n, held) of each set that ``pairs`` (a, b) name: its size and its outline or all its hashes. Texts are read again, those of other sets only as far as their key."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("key"))
+def coarse(outlines: list[bytes]) -> np.ndarray:
+    """Outlines as rows of COARSE counts, wider ones summed up; more than any set has where a count is cut off."""
+    counts = np.zeros((len(outlines), COARSE), np.int32)
+    for row, x in zip(counts, outlines, strict=True):
+        each = np.frombuffer(x, np.uint8)
+        row[:] = np.iinfo(np.int32).max if (each == 255).any() else each.reshape(COARSE, -1).sum(axis=1, dtype=np.int32)
+    return counts
+
+
+def outlined(groups: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """``groups`` with ``held``, the outline of its set, for each member of a bucket larger than SMALL; for others null."""
+    size, member = F.size("ms"), ("key", "n", "at", "root")
+    flat = groups.filter(size > SMALL).select("h", F.explode("ms").alias("m")).select("h", *(f"m.{c}" for c in member))
+    held = sets_of(texts, flat.select("key"), width, True).select("key", "held")
+    large = flat.join(held, "key").groupBy("h").agg(F.collect_list(F.struct(*member, "held")).alias("ms"))
+    few = groups.filter(size <= SMALL).select("h", F.transform("ms", lambda m: F.struct(*(m[c].alias(c) for c in member), F.lit(None).cast("binary").alias("held"))).alias("ms"))
+    return cut(large.unionByName(few), "outlined")
+
+
+def sets_of(texts: DataFrame, keys: DataFrame, width: int, outlined: bool) -> DataFrame:
+    """(key, fp, n, held) of each set that ``keys`` (key) name: its size and its outline or all its hashes. Texts are read again, those of other sets only as far as their key."""
+    needed = cut(keys.distinct(), "needed")
     mask = (1 << BITS) - 1
     bits = np.zeros(1 << BITS, bool)
     bits[[r[0] for r in needed.select(F.col("key").bitwiseAND(F.lit(mask)).cast("int").alias("k")).distinct().collect()]] = True
@@ -174,7 +198,7 @@ def sets_of(texts: DataFrame, pairs: DataFrame, width: int, outlined: bool) -> D
                     h = shingles(text.as_py(), width)
                     yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([fp]), pa.array([len(h)]), pa.array([outline(h) if outlined else h.tobytes()], pa.binary())], names=["key", "fp", "n", "held"])
 
-    sets = texts.select("fp", "key", "text").mapInArrow(run, "key long, fp long, n long, held binary").join(needed.distinct(), "key", "left_semi")
+    sets = texts.select("fp", "key", "text").mapInArrow(run, "key long, fp long, n long, held binary").join(needed, "key", "left_semi")
     return cut(sets.groupBy("key").agg(F.min_by("held", "fp").alias("held"), F.min("n").alias("n"), F.min("fp").alias("fp")), "sets")
 
 
@@ -199,9 +223,10 @@ def checked(texts: DataFrame, pairs: DataFrame, width: int, t: float) -> DataFra
         one, two = (sets.select(F.col("key").alias(k), F.col("held").alias(f"h{k}"), F.col("n").alias(f"n{k}"), F.col("fp").alias(f"f{k}")) for k in ("a", "b"))
         return some.join(one, "a").join(two, "b")
 
-    outlines = sets_of(texts, pairs, width, True)
+    ends = lambda some: some.select("a").union(some.select("b")).toDF("key")
+    outlines = sets_of(texts, ends(pairs), width, True)
     near = cut(met(pairs, outlines).filter(may_be("ha", "hb", "na", "nb")).select("a", "b"), "near")
-    whole = sets_of(texts, near, width, False)
+    whole = sets_of(texts, ends(near), width, False)
     out = cut(met(near, whole).filter(similar("ha", "hb")).select(F.col("fa").alias("a"), F.col("fb").alias("b")), "similar")
     discard(outlines, near, whole)
     return out

@@ -175,7 +175,7 @@ def one_of_each(docs: DataFrame, width: int = 3, overlap_width: int = 5, similar
         groups = overlap.rerooted(groups, texts, roots)
         if found * WORTH < tried or not tried:
             break
-    rest = overlap.candidates(groups, similarity)
+    rest = overlap.candidates(overlap.outlined(groups, texts, overlap_width), similarity)
     if rest.limit(1).count():
         more = overlap.checked(texts, rest, overlap_width, similarity).filter("a <> b")
         if more.limit(1).count():
