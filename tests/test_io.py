@@ -206,3 +206,24 @@ def test_export_is_verified(spark, tmp_path):
     assert (told["exported"], told["read_back"], told["missing"], told["unexpected"], told["files"]) == (3, 3, 0, 0, 1) and len(told["sha256"]) == 64
     other = sinks.verify_export(rows.filter("k = 1").union(rows.filter("k = 1")), path).first()
     assert (other["missing"], other["unexpected"]) == (1, 2)
+
+
+def test_stream_batch_of_few_rows_takes_few_tasks(spark, tmp_path):
+    """A stream plans its batches without adaptive execution: shuffles are sized by the batch's rows, and what the identity of events says is made once."""
+    run, sc = observations.ingest_batch(str(tmp_path / "out"), {"BAR": "bars"}), spark.sparkContext
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "150")
+    try:
+        for n in range(2):
+            sc.setJobGroup(f"batch-{n}", "")
+            run(envelope(spark, [(f"{n}1", "a", "{}", True), (f"{n}2", f"b{n}", "{}", True)]), n)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "150"
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, x in held.items():
+            spark.conf.set(k, x)
+    status = sc.statusTracker()
+    stages = {s for job in status.getJobIdsForGroup("batch-1") for s in status.getJobInfo(job).stageIds}
+    assert stages and max(status.getStageInfo(s).numTasks for s in stages if status.getStageInfo(s)) < 150
+    assert spark.read.parquet(f"{tmp_path}/out/journal").count() == 3

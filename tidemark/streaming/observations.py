@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.window import Window
 
 from tidemark.operators import contracts
 
@@ -49,16 +50,14 @@ ROUTES = {
 }
 
 
-def identified(valid: DataFrame, receipts: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(sound, reused): an event id stands for one key and payload, the one first received; the least of several that come at once. Redeliveries of it are sound."""
-    mine = F.struct("observation_key", "payload_hash")
-    first = valid.groupBy("event_id").agg(F.min(F.struct(F.lit(1).alias("o"), mine.alias("m"))).alias("_f"))
+def marked(valid: DataFrame, receipts: DataFrame | None) -> DataFrame:
+    """``valid`` with ``sound``: an event id stands for one key and payload, the one first received; the least of several that come at once. Redeliveries of it are sound."""
+    rows = valid.withColumn("_new", F.lit(True))
     if receipts is not None:
-        known = receipts.groupBy("event_id").agg(F.min(F.struct(F.lit(0).alias("o"), mine.alias("m"))).alias("_f"))
-        first = first.unionByName(known.join(valid.select("event_id").distinct(), "event_id", "left_semi")).groupBy("event_id").agg(F.min("_f").alias("_f"))
-    met = valid.join(first.select("event_id", F.col("_f.m").alias("_m")), "event_id")
-    same = F.col("_m") == mine
-    return met.filter(same).drop("_m"), met.filter(~same).drop("_m")
+        rows = rows.unionByName(receipts.select("event_id", "observation_key", "payload_hash", F.lit(False).alias("_new")), allowMissingColumns=True)
+    mine = F.struct("observation_key", "payload_hash")
+    first = F.min(F.struct("_new", mine.alias("m"))).over(Window.partitionBy("event_id")).getField("m")
+    return rows.withColumn("sound", first == mine).filter("_new").drop("_new")
 
 
 def ingest_batch(path: str, routes: dict[str, str] | None = None) -> Callable[[DataFrame, int], None]:
@@ -77,9 +76,19 @@ def ingest_batch(path: str, routes: dict[str, str] | None = None) -> Callable[[D
             known = F.when(~F.col("event_type").isin(*routes) | F.col("event_type").isNull(), F.array(F.lit("UNSUPPORTED_TYPE"))).otherwise(F.array().cast("array<string>"))
             checked = checked.withColumn("violations", F.array_sort(F.concat("violations", known)))
         checked.persist()
+        usual = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", max(spark.sparkContext.defaultParallelism, checked.count() // PART_ROWS))
+        try:
+            write(spark, checked, batch_id)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", usual)
+            checked.unpersist()
+
+    def write(spark: SparkSession, checked: DataFrame, batch_id: int) -> None:
         valid, rejected = contracts.split(checked)
         earlier = lambda name: (t.filter(F.col("batch") < batch_id) if (t := table_or_none(spark, f"{path}/{name}")) is not None else None)
-        sound, reused = identified(valid, earlier("receipts"))
+        told = marked(valid, earlier("receipts")).persist()  # four writes and reads below start from it
+        sound, reused = told.filter("sound").drop("sound"), told.filter("NOT sound").drop("sound")
         at = f"batch={batch_id}"
         rejected.unionByName(reused.withColumn("violations", F.array(F.lit("IDENTITY_REUSED")))).write.mode("overwrite").parquet(f"{path}/quarantine/{at}")
         sound.select("event_id", "observation_key", "payload_hash").write.mode("overwrite").parquet(f"{path}/receipts/{at}")
@@ -93,13 +102,13 @@ def ingest_batch(path: str, routes: dict[str, str] | None = None) -> Callable[[D
             to = F.create_map(*(F.lit(x) for pair in routes.items() for x in pair))
             if written is not None:
                 written.withColumn("target", to[F.col("event_type")]).hint("rebalance", "target").write.mode("overwrite").partitionBy("target").parquet(f"{path}/canonical/{at}")
-        checked.unpersist()
+        told.unpersist()
 
     return run
 
 
-#: Days of a batch up to which the journal is read by day.
-MOST_DAYS = 400
+#: Days of a batch up to which the journal is read by day; rows of a batch for each task of its shuffles, which a stream doesn't size by itself.
+MOST_DAYS, PART_ROWS = 400, 50_000
 
 
 def start(stream: DataFrame, path: str, routes: dict[str, str] | None = None) -> StreamingQuery:
