@@ -505,6 +505,23 @@ def test_spellings_never_begin_another(spark):
     assert {bytes(r[0]) for r in spark.createDataFrame(pairs, "c binary").select(lm.after_first(F.col("c"))).collect()} == {b"\x85\x01"}
 
 
+def test_trigrams_travel_in_few_bytes_and_come_back(spark):
+    """Rows of spelt trigrams took 29 bytes each in the shuffle."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    said = Counter(w for r in docs.collect() for w in (r["text"] or "").encode().lower().split())
+    words = [w for w, n in said.most_common() if n > 2]
+    known = lm.Known(words, np.array([0, 0, *(said[w] for w in words)]), np.zeros(len(words) + 3, bool), [])
+    rows = lm.dealt(docs, known, 4, True, True, True).collect()
+    n = sum(len(lm.unpack(r["size"], r["block"])[0][5]) for r in rows)
+    assert {r["part"] for r in rows} == set(range(4)) and sum(len(r["block"]) for r in rows) < 14 * n
+    arrays = [np.array(x, np.int64) for x in ([], [0], [5, 1 << 20, 3], [7, (5 << 33) + 1], [-3, 4])]
+    _, size, block = lm.pack(0, arrays, [b"a", b""])
+    back, rare = lm.unpack(size, block)
+    # An id beyond 32 bits or below 0 comes back whole, also beside others.
+    assert [x.astype(np.int64).tolist() for x in back] == [x.tolist() for x in arrays] and rare == [b"a", b""]
+    assert np.concatenate(back[2:4]).dtype == np.int64
+
+
 def test_backoff_of_awkward_rows(spark):
     rows = lm.backoff_scores(odd_docs(spark)).collect()
     assert len(rows) == len(ODD) + 3

@@ -1,20 +1,24 @@
-"""Language-model scores by stupid backoff, from n-gram count tables partitioned by hash.
+"""Language-model scores by stupid backoff, from n-gram counts partitioned by hash.
 
-A text is two start marks, its words and an end mark. Each different trigram of a text is a row: the two words before (``ctx``), the word
-(``word``), both spelt exactly, and how often the text has it and its shorter n-grams. Rows are shuffled once, by a hash of ``ctx``;
-within such a partition the counts of a trigram and of its context are sums over equal rows, which go to the rows. A text may be scored
-without its own counts: they are taken off. Rows whose trigram is then unknown to the model are joined with the count table of bigrams,
-and those left with that of words; the three parts are summed per text.
+A text is two start marks, its words and an end mark. Each different trigram of a text goes, with how often the text has it and its
+shorter n-grams, to a partition by a hash of its middle word. There all that is counted of the trigram meets: the trigram and its context
+(the first two words), the bigram of the last two words and its context. A text may be scored without its own counts: they are taken
+off. Places whose trigram is unknown take the bigram's share, or the word's count; the places of a text are summed per partition, then per text.
 
-Contexts that a partition could not hold, and trigrams of them, are few and counted beforehand: rows of such a context are spread by
-their word, rows of such a trigram by their text.
+A frequent middle word is dealt by both words of the context. The counts of its bigrams are then parts, which are sent on, dealt by the
+bigram, with the places that want them; so are those of words that are not among the common ones. Contexts that a partition could not
+hold, and trigrams of them, are few and counted beforehand: they are dealt by all three words, or by their text.
+
+Trigrams travel as packed arrays, one for each partition from some 200,000 words of text. Common words are numbers, others are spelt out in
+each pack, so words are told apart exactly.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from zlib import crc32
 
@@ -23,13 +27,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tidemark.llm.common import attach, cut
+from tidemark.llm.common import cut, discard
 
 #: Numbers of the marks; words follow.
 START, END = 0, 1
-PLACE = "row long, doc_id long, ctx binary, word binary, salt int, occurs int, asked int, known_n long, known_of long, own int, own_of int, own_two int, own_two_of int, own_one int"
+PACK = "part int, size int, block binary"
+SUMS = "row long, doc_id long, n_words long, seen long, again long, score double, far long"
+#: Places for which a partition is made. There are at least as many partitions as tasks, and a task takes its partitions one after the other.
+PART_PLACES = 1_000_000
+#: Texts whose sums a task holds.
+TEXTS_HELD = 1_000_000
 
 
 @dataclass
@@ -90,7 +98,7 @@ def numbered(held: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarr
     return list(number), text, line[at - 2], line[at - 1], line[at]
 
 
-def word_counts(texts: DataFrame, flush: int = 300_000) -> DataFrame:
+def word_counts(texts: DataFrame, flush: int = 600_000) -> DataFrame:
     """(word, n): how often each word occurs, summed in the tasks first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,90 +137,305 @@ def frequent(texts: DataFrame, words: list[bytes], least: int) -> list[tuple[int
     return [tuple(r) for r in counted.filter(F.col("n") >= least).collect()]
 
 
-def within(text: np.ndarray, *words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every place a number of its text and n-gram, and how often that text has that n-gram."""
-    key = text
-    for w in words:
-        key = np.unique(key * (int(w.max(initial=0)) + 1) + w, return_inverse=True)[1]
-    return key, np.bincount(key)[key]
+def within(key: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every place a number of its key and word, in their order, and how often these occur together; and where each number occurs first."""
+    _, key, n = np.unique(key * (int(words.max(initial=0)) + 1) + words, return_inverse=True, return_counts=True)
+    first = np.empty(len(n), np.int64)
+    first[key[::-1]] = np.arange(len(key))[::-1]
+    return key, n[key], first
 
 
-def places(texts: DataFrame, spelling: Spelling, hot_words: list[bytes], hot: list[tuple[int, int, int, int]], spread: int, counted: bool, asked: bool, apart: bool) -> DataFrame:
-    """A row per text (row, doc_id, text) and different trigram. ``occurs``: how often it counts in the model; ``asked``: how many of its places want a score (end marks never do).
+def looked_up(keys: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The counts of ``wanted`` keys, 0 where there is none; ``keys`` are sorted."""
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, counts[at], 0)
 
-    ``known_n`` and ``known_of`` are the counts of a frequent trigram and context, whose rows are spread by ``salt``; else 0. ``own`` and
-    the like are what the text itself adds to the counts of its n-grams and their contexts; 0 unless texts are scored ``apart`` from
-    their own counts. The row of the end mark carries doc_id.
-    """
-    of = {w: i for i, w in enumerate(hot_words, 2)}
-    base = len(of) + 2
-    contexts = sorted((a * base + b, n) for a, b, c, n in hot if c < 0)
-    thirds = sorted(((a * base + b) * base + c, n) for a, b, c, n in hot if c >= 0)
-    column = lambda table, i, none: np.array([x[i] for x in table] or [none], np.int64)
-    ctx_keys, ctx_n, tri_keys, tri_n = column(contexts, 0, -1), column(contexts, 1, 0), column(thirds, 0, -1), column(thirds, 1, 0)
 
-    def looked_up(keys: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return np.where(keys[at] == wanted, counts[at], 0)
+@dataclass
+class Known:
+    """What is known of a model beforehand: its common ``words`` by falling count (numbered from 2) with their ``counts`` by number (START: as a context), which numbers are frequent, and the (a, b, c, n) of `frequent`."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, held in texts_of(batches):
-            different, text, a, b, c = numbered(held)
-            row_ids, docs = (pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1))
-            codes = pa.array([Spelling._short(START), Spelling._short(END), *map(spelling.spell, different)], pa.binary())
-            key, times = within(text, a, b, c)
-            first = np.unique(key, return_index=True)[1]
-            own = [times, within(text, a, b)[1], within(text, b, c)[1], within(text, b)[1], within(text, c)[1]] if apart else [np.zeros(len(c), np.int64)] * 5
-            text, a, b, c, times, *own = (x[first] for x in (text, a, b, c, times, *own))
-            frequent_word = np.array([START, END, *(of.get(w, -1) for w in different)], np.int64)
-            ha, hb, hc = frequent_word[a], frequent_word[b], frequent_word[c]
-            pair = np.where((ha >= 0) & (hb >= 0), ha * base + hb, -2)
-            known_of = looked_up(ctx_keys, ctx_n, pair)
-            known_n = looked_up(tri_keys, tri_n, np.where((known_of > 0) & (hc >= 0), pair * base + hc, -2))
-            by_word = np.fromiter(map(crc32, codes.to_pylist()), np.int64, len(codes)) % spread
-            by_text = np.fromiter((crc32(str(x).encode()) for x in row_ids.to_pylist()), np.int64, len(rows)) % spread
-            salt = np.where(known_n > 0, by_text[text], np.where(known_of > 0, by_word[c], -1)) + 1
-            is_end = c == END
-            ctx = pc.binary_join_element_wise(codes.take(pa.array(a)), codes.take(pa.array(b)), pa.scalar(b"", pa.binary()))
-            doc = pc.if_else(pa.array(is_end), docs.take(pa.array(text)), pa.scalar(None, pa.int64()))
-            ints = [salt, times * counted, np.where(is_end, 0, times * asked)]
-            columns = [row_ids.take(pa.array(text)), doc, ctx, codes.take(pa.array(c)), *(pa.array(x, pa.int32()) for x in ints), pa.array(known_n), pa.array(known_of), *(pa.array(x, pa.int32()) for x in own)]
-            for i in range(0, len(c), 50_000):
-                yield pa.RecordBatch.from_arrays([x.slice(i, 50_000) for x in columns], names=[x.split()[0] for x in PLACE.split(", ")])
-
-    return texts.select("row", "doc_id", "text").mapInArrow(run, PLACE)
-
-
-def gram_counts(texts: DataFrame, spelling: Spelling, order: int) -> DataFrame:
-    """Count table of bigrams or single words (end marks included): ctx (empty for single words), word, n. Summed in the tasks first."""
+    words: list[bytes]
+    counts: np.ndarray
+    is_hot: np.ndarray
+    grams: list[tuple[int, int, int, int]]
+
+    def __post_init__(self) -> None:
+        self.base = len(self.words) + 2
+        column = lambda table, i, none: np.array([x[i] for x in table] or [none], np.int64)
+        contexts = sorted((a * self.base + b, n) for a, b, c, n in self.grams if c < 0)
+        self.pairs = column(contexts, 0, -1), column(contexts, 1, 0)
+        place = {key: i for i, (key, _) in enumerate(contexts)}
+        thirds = sorted((place[a * self.base + b] * self.base + c, n) for a, b, c, n in self.grams if c >= 0)
+        self.thirds = column(thirds, 0, -1), column(thirds, 1, 0)
+
+    def hot(self, words: np.ndarray) -> np.ndarray:
+        return self.is_hot[np.minimum(words, self.base)]
+
+    def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Counts of frequent pairs as contexts, which are also those of the bigrams; else 0."""
+        return looked_up(*self.pairs, np.where((a < self.base) & (b < self.base), a * self.base + b, -2))
+
+    def third(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Counts of frequent trigrams; else 0."""
+        at = np.searchsorted(self.pairs[0], a * self.base + b)
+        return np.where(self.pair(a, b) > 0, looked_up(*self.thirds, np.where(c < self.base, at * self.base + c, -2)), 0)
+
+
+def mixed(*numbers: np.ndarray) -> np.ndarray:
+    """An even hash of some non-negative numbers."""
+    h = np.zeros(len(numbers[0]), np.uint64)
+    for x in numbers:
+        h = (h ^ x.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, held in texts_of(batches):
-            different, _, _, b, c = numbered(held)
-            codes = pa.array([Spelling._short(START), Spelling._short(END), *map(spelling.spell, different)], pa.binary())
-            key, n = np.unique(c if order == 1 else b * len(codes) + c, return_counts=True)
-            ctx = pa.array([b""] * len(key), pa.binary()) if order == 1 else codes.take(pa.array(key // len(codes)))
-            yield pa.RecordBatch.from_arrays([ctx, codes.take(pa.array(key % len(codes))), pa.array(n, pa.int64())], names=["ctx", "word", "n"])
 
-    return texts.select("text").mapInArrow(run, "ctx binary, word binary, n long").groupBy("ctx", "word").agg(F.sum("n").alias("n"))
+def pack(part: int, arrays: list[np.ndarray], rare: list[bytes]) -> tuple[int, int, bytes]:
+    """Numbers in as few bytes as they need (8 if one is negative), byte by byte, and spelt words, compressed; with the size before that."""
+    plain = [x.view(np.uint64) if x.dtype == np.int64 else x for x in arrays]
+    small = [x.astype(np.min_scalar_type(x.max(initial=0))) for x in plain]
+    raw = pickle.dumps(([(x.dtype.str, x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()) for x in small], rare))
+    return part, len(raw), pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def backed_off(unmet: DataFrame, model: DataFrame, spelling: Spelling, least: int, backoff: float) -> DataFrame:
-    """(row, score, far) of rows whose trigram the model lacks (row, asked, gram, own_two, own_two_of, own_one): the bigram's share of its context, else the word's count.
+def unpack(size: int, block: bytes) -> tuple[list[np.ndarray], list[bytes]]:
+    arrays, rare = pickle.loads(pa.decompress(block, decompressed_size=size, codec="zstd", asbytes=True))
+    whole = lambda dtype, planes: np.frombuffer(planes, np.uint8).reshape(np.dtype(dtype).itemsize, -1).T.copy().view(dtype).ravel()
+    return [x.astype(np.int64) if x.dtype == np.uint64 else x for x in (whole(*a) for a in arrays)], rare
 
-    A word the model lacks counts as one. ``far`` places are those that came down to words: their scores lack the share's divisor.
+
+def by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part with the places of its rows, in their order."""
+    order = np.argsort(part, kind="stable")
+    found, starts = np.unique(part[order], return_index=True)
+    for p, at in zip(found.tolist(), np.split(order, starts[1:]), strict=True) if len(part) else ():
+        yield p, at
+
+
+def local(base: int, *columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Columns of word numbers whose numbers from ``base`` on are replaced by their places, from ``base`` on, in a list of those that occur; and that list."""
+    rare = np.unique(np.concatenate([x[x >= base] for x in columns]))
+    return [np.where(x < base, x, np.searchsorted(rare, x) + base) for x in columns], rare
+
+
+class Names:
+    """Numbers for the spelt words of many packs, from ``base`` on."""
+
+    def __init__(self, base: int) -> None:
+        self.base, self.number = base, {}
+
+    def of(self, rare: list[bytes], *columns: np.ndarray) -> list[np.ndarray]:
+        there = np.array([self.number.setdefault(w, self.base + len(self.number)) for w in rare] or [0], np.int64)
+        columns = [x.astype(np.int64) for x in columns]
+        return [np.where(x < self.base, x, there[np.maximum(x - self.base, 0)]) for x in columns] if rare else columns
+
+
+def dealt(texts: DataFrame, known: Known, parts: int, counted: bool, asked: bool, apart: bool) -> DataFrame:
+    """PACK of the different trigrams of some texts (row, doc_id, text), by partition.
+
+    Per text: row + 1 (0: none, of a model's text), doc_id and whether it is null, its words, its trigrams in this pack. Per trigram: its
+    words, how often the text has it, and what the text itself adds to the counts of its context, its bigram, the bigram's context and its last word (0 unless
+    texts are scored ``apart``). At last whether the texts are ``counted`` in the model, ``asked`` for scores, and scored ``apart``.
     """
-    pairs = cut(gram_counts(model, spelling, 2), "bigrams")
-    of = pairs.groupBy("ctx").agg(F.count(F.lit(1)).alias("_w"), F.sum("n").alias("two_of"))
-    table = attach(pairs.filter(F.col("n") >= least), of, "ctx", "_w").select(F.concat("ctx", "word").alias("gram"), F.col("n").alias("two"), "two_of")
-    wanted = unmet.groupBy("gram").agg(F.count(F.lit(1)).alias("_w"))
-    met = cut(attach(unmet, wanted.join(table, "gram"), "gram", "_w").withColumn("two", F.coalesce("two", F.lit(0)) - F.col("own_two")), "pairs")
-    rest = met.filter(F.col("two") < least).select("row", "asked", "own_one", after_first(F.col("gram")).alias("word"))
-    words = rest.groupBy("word").agg(F.count(F.lit(1)).alias("_w")).join(gram_counts(model, spelling, 1).select("word", F.col("n").alias("one")), "word")
-    near = (F.log("two") - F.log(F.col("two_of") - F.col("own_two_of")) + math.log(backoff)) * F.col("asked")
-    far = (F.log(F.greatest(F.coalesce("one", F.lit(0)) - F.col("own_one"), F.lit(1))) + 2 * math.log(backoff)) * F.col("asked")
-    ending = attach(rest, words, "word", "_w").select("row", far.alias("score"), F.col("asked").alias("far"))
-    return met.filter(F.col("two") >= least).select("row", near.alias("score"), F.lit(0).alias("far")).unionByName(ending)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = {w: i for i, w in enumerate(known.words, 2)}
+        for rows, held in texts_of(batches):
+            different, text, a, b, c = numbered(held)
+            key, two_of, _ = within(text, b)
+            key, two, _ = within(key, c)
+            _, times, first = within(key, a)
+            if apart:  # a place's context is the bigram of the place before
+                at_start = np.flatnonzero(np.diff(text, prepend=-1))
+                before, last = np.roll(two, 1), np.roll(two_of, -1)
+                before[at_start] = 1
+                last[at_start - 1] = 1  # an end mark
+                own = [before, two, two_of, last]
+            else:
+                own = [np.zeros(len(c), np.int64)] * 4
+            text, a, b, c, times, *own = (x[first] for x in (text, a, b, c, times, *own))
+            number = np.array([START, END, *(of.get(w, -1) for w in different)], np.int64)
+            unknown = np.flatnonzero(number < 0)
+            number[unknown] = known.base + np.arange(len(unknown))
+            spelt = [different[i - 2] for i in unknown]
+            crc = np.array([START, END, *map(crc32, different)], np.int64)
+            hash_a, hash_b, hash_c, a, b, c = crc[a], crc[b], crc[c], number[a], number[b], number[c]
+            row = np.array([-1 if r[0] is None else r[0] for r in rows], np.int64) + 1
+            known_of = known.pair(a, b)
+            known_n = known.third(a, b, c)
+            part = mixed(hash_b, np.where(known.hot(b), hash_a, 0), np.where(known_of > 0, hash_c, 0), np.where(known_n > 0, row[text] + text, 0)) % np.uint64(parts)
+            doc = np.array([r[1] or 0 for r in rows], np.int64)
+            nameless = np.array([r[1] is None for r in rows], np.int64)
+            words = np.fromiter(map(len, held), np.int64, len(held))
+            flags = np.array([counted, asked, apart], np.int64)
+            packs = []
+            for p, at in by_part(part.astype(np.int64)):
+                here, sizes = np.unique(text[at], return_counts=True)
+                grams, rare = local(known.base, a[at], b[at], c[at])
+                packs.append(pack(p, [*(x[here] for x in (row, doc, nameless, words)), sizes, *grams, times[at], *(x[at] for x in own), flags], [spelt[i - known.base] for i in rare]))
+            yield from packed(packs)
+
+    return texts.select("row", "doc_id", "text").mapInArrow(run, PACK)
+
+
+def packed(packs: list[tuple[int, int, bytes]], **none: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Rows of packs, after columns that they have not."""
+    part, size, block = zip(*packs, strict=True) if packs else ((), (), ())
+    columns = [*(pa.nulls(len(part), t) for t in none.values()), pa.array(part, pa.int32()), pa.array(size, pa.int32()), pa.array(block, pa.binary())]
+    yield pa.RecordBatch.from_arrays(columns, names=[*none, "part", "size", "block"])
+
+
+SUM_TYPES = {name: pa.float64() if kind == "double" else pa.int64() for name, kind in (x.split() for x in SUMS.split(", "))}
+
+
+def _flagged(arrays: list[np.ndarray]) -> list[np.ndarray]:
+    """A pack of `dealt` with how often each trigram counts, is asked for, and is the text's own; end marks are never asked for."""
+    *first, c, times, of, two, two_of, one, (counted, asked, apart) = arrays
+    return [*first, c, times * counted, np.where(c == END, 0, times * asked), times * apart, of, two, two_of, one]
+
+
+def unpacked(table: pa.Table, names: Names, words_at: list[int], then: Callable[[list[np.ndarray]], list[np.ndarray]] = list) -> list[np.ndarray]:
+    """The arrays of all packs of a group, words numbered alike."""
+    out = []
+    for size, block in zip(table["size"].to_pylist(), table["block"], strict=True):
+        arrays, rare = unpack(size, block.as_py())
+        for i, x in zip(words_at, names.of(rare, *(arrays[i] for i in words_at)), strict=True):
+            arrays[i] = x
+        out.append(then(arrays))
+    return [np.concatenate(x) for x in zip(*out, strict=True)]
+
+
+def summed(n: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for every different key, and the sum of ``n`` over the rows of a row's key."""
+    key = np.unique(keys, return_inverse=True)[1]
+    return key, np.bincount(key, n).astype(np.int64)[key]
+
+
+def in_turn(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """``run`` for the partitions of a task one after the other, with the sums of a text added up."""
+
+    def whole(table: pa.Table) -> pa.Table:
+        out, sums = [], []
+        for part in sorted(set(table["part"].to_pylist())):
+            made = run(table.filter(pc.equal(table["part"], part)))
+            of_texts = pc.is_valid(made["row"])
+            sums.append(made.filter(of_texts).select(list(SUM_TYPES)))
+            if sum(map(len, sums)) > TEXTS_HELD:
+                sums = [added(sums)]
+                if len(sums[0]) > TEXTS_HELD // 2:
+                    out.append(sums.pop())
+            out.append(made.filter(pc.invert(of_texts)))
+        tables = [*out, *([added(sums)] if sums else [])]
+        return pa.concat_tables(tables, promote_options="default").select(made.column_names)
+
+    return whole
+
+
+def added(sums: list[pa.Table]) -> pa.Table:
+    """SUMS with one row per text."""
+    one = pa.concat_tables(sums).group_by("row").aggregate([("doc_id", "max"), ("n_words", "max"), *((c, "sum") for c in ("seen", "again", "score", "far"))])
+    return one.rename_columns(list(SUM_TYPES))
+
+
+def met(known: Known, parts: int, least: int, backoff: float, backs_off: bool) -> Callable[[pa.Table], pa.Table]:
+    """Scores of a partition's places, summed per text (SUMS), and PACK of the counts and places that other partitions settle."""
+
+    def run(table: pa.Table) -> pa.Table:
+        names = Names(known.base)
+        row, doc, nameless, words, sizes, a, b, c, occurs, asked, own, own_of, own_two, own_two_of, own_one = unpacked(table, names, [5, 6, 7], _flagged)
+        text = np.repeat(np.arange(len(row)), sizes)
+        known_n, known_of = known.third(a, b, c), known.pair(a, b)
+        many = known.base + len(names.number)
+        context, of = summed(occurs, b * many + a)
+        n = np.where(known_n > 0, known_n, summed(occurs, context * many + c)[1])
+        left, left_of = n - own, np.where(known_of > 0, known_of, of) - own_of
+        seen = (asked > 0) & (left >= least)
+        score, far = np.zeros(len(c)), np.zeros(len(c), np.int64)
+        score[seen] = np.log(left[seen]) - np.log(left_of[seen])
+        packs = []
+        if backs_off:
+            spread, known_two = known.hot(b), known.pair(b, c)
+            pair, two = summed(occurs, b * many + c)
+            two_of = np.where(spread, known.counts[np.minimum(b, known.base - 1)], summed(occurs, b)[1]) - own_two_of
+            left_two = np.where(known_two > 0, known_two, two) - own_two
+            unmet = (asked > 0) & ~seen
+            settled = unmet & (~spread | (known_two > 0))
+            near = settled & (left_two >= least)
+            score[near] = np.log(left_two[near]) - np.log(two_of[near]) + math.log(backoff)
+            by_word = settled & ~near & (c < known.base)
+            score[by_word] = np.log(np.maximum(known.counts[c[by_word]] - own_one[by_word], 1)) + 2 * math.log(backoff)
+            far[by_word] = asked[by_word]
+            want = np.flatnonzero((unmet & ~settled) | (settled & ~near & ~by_word))
+            want_b = np.where(settled[want], 0, b[want] + 1)
+            # Parts of the counts of bigrams whose first word is spread, and of spelt words.
+            pairs = np.unique(np.where(spread & (known_two == 0) & (occurs > 0), pair, -1), return_index=True)[1]
+            pairs = pairs[spread[pairs] & (known_two[pairs] == 0) & (occurs[pairs] > 0)]
+            rare_at = np.flatnonzero((c >= known.base) & (occurs > 0))
+            rare_c, at = np.unique(c[rare_at], return_inverse=True)
+            count_b, count_c = np.concatenate([b[pairs] + 1, np.zeros(len(rare_c), np.int64)]), np.concatenate([c[pairs], rare_c])
+            count_n = np.concatenate([two[pairs], np.bincount(at, occurs[rare_at], minlength=len(rare_c)).astype(np.int64)])
+            spelt = list(names.number)
+            crc = np.fromiter(map(crc32, spelt), np.int64, len(spelt))
+            target = lambda b, c: (mixed(np.where(c < known.base, c, np.append(crc, 0)[np.maximum(c - known.base, -1)]), np.where(c < known.base, b, 0)) % np.uint64(parts)).astype(np.int64)
+            counts, wants = dict(by_part(target(count_b, count_c))), dict(by_part(target(want_b, c[want])))
+            nothing = np.zeros(0, np.int64)
+            for p in sorted(wants):
+                w, k = wants[p], counts.get(p, nothing)
+                here, texts = np.unique(text[want[w]], return_counts=True)
+                (of_want, of_count), rare = local(known.base, c[want[w]], count_c[k])
+                packs.append(pack(p, [row[here], texts, want_b[w], of_want, *(x[want[w]] for x in (asked, own_two, two_of, own_one)), count_b[k], of_count, count_n[k]], [spelt[i - known.base] for i in rare]))
+            for p in sorted(counts.keys() - wants.keys()):
+                (of_count,), rare = local(known.base, count_c[counts[p]])
+                packs.append(pack(p, [*[nothing] * 8, count_b[counts[p]], of_count, count_n[counts[p]]], [spelt[i - known.base] for i in rare]))
+        total = lambda x: np.bincount(text, x, minlength=len(row))
+        ends = np.zeros(len(row), bool)
+        ends[text[c == END]] = True
+        sums = [total(np.where(seen, asked, 0)), total(np.where(n > 1, asked, 0)), total(score * asked), total(far)]
+        keep = (row > 0) & (ends | (total(asked) > 0))
+        columns = [row - 1, pa.array(doc[keep], mask=((nameless > 0) | ~ends)[keep]), pa.array(words[keep], mask=~ends[keep]), *sums]
+        columns = [(x if isinstance(x, pa.Array) else pa.array(x[keep])).cast(t) for x, t in zip(columns, SUM_TYPES.values(), strict=True)]
+        lacks = [pa.nulls(int(keep.sum()), t) for t in (pa.int32(), pa.int32(), pa.binary())]
+        done = pa.RecordBatch.from_arrays([*columns, *lacks], names=[*SUM_TYPES, "part", "size", "block"])
+        return pa.Table.from_batches([done, *packed(packs, **SUM_TYPES)])
+
+    return run
+
+
+def settled_elsewhere(known: Known, least: int, backoff: float) -> Callable[[pa.Table], pa.Table]:
+    """Scores of the places that `met` sent on: the bigram's share of its context, else the word's count."""
+
+    def run(table: pa.Table) -> pa.Table:
+        names = Names(known.base)
+        row, sizes, b, c, asked, own_two, two_of, own_one, count_b, count_c, count_n = unpacked(table, names, [3, 9])
+        text = np.repeat(np.arange(len(row)), sizes)
+
+        def count(first: np.ndarray) -> np.ndarray:
+            key = np.unique(np.concatenate([count_c, c]) * (known.base + 1) + np.concatenate([count_b, first]), return_inverse=True)[1]
+            return np.bincount(key[: len(count_c)], count_n, minlength=int(key.max(initial=0)) + 1).astype(np.int64)[key[len(count_c) :]]
+
+        two = count(b) - own_two
+        near = (b > 0) & (two >= least)
+        score = np.zeros(len(c))
+        score[near] = np.log(two[near]) - np.log(two_of[near]) + math.log(backoff)
+        one = np.where(c < known.base, known.counts[np.minimum(c, known.base - 1)], count(np.zeros(len(c), np.int64))) - own_one
+        score[~near] = np.log(np.maximum(one[~near], 1)) + 2 * math.log(backoff)
+        total = lambda x: np.bincount(text, x, minlength=len(row))
+        columns = [row - 1, None, None, np.zeros(len(row)), np.zeros(len(row)), total(score * asked), total(np.where(near, 0, asked))]
+        return pa.table([pa.nulls(len(row), t) if x is None else pa.array(x).cast(t) for x, t in zip(columns, SUM_TYPES.values(), strict=True)], names=list(SUM_TYPES))
+
+    return run
+
+
+def common_from(words: DataFrame, most: int) -> int:
+    """The least count from which on there are at most ``most`` words."""
+    falling = [(r["n"], r["k"]) for r in words.groupBy("n").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n")).collect()]
+    found, so_far = falling[0][0] + 1 if falling else 1, 0
+    for n, k in falling:
+        if (so_far := so_far + k) > most:
+            break
+        found = n
+    return found
 
 
 def backoff_scores(docs: DataFrame, model: DataFrame | None = None, least: int = 1, backoff: float = 0.4, spelt: int = 1 << 18, share: int = 4, rare: int = 1000, apart: bool = False) -> DataFrame:
@@ -230,8 +453,8 @@ def backoff_scores(docs: DataFrame, model: DataFrame | None = None, least: int =
     an empty table gives none. Rows are told apart by their place in the table's files, which a task that is run again after a lost
     executor reads in the same order; give a written table, not one whose row order may change.
 
-    ``spelt`` words get short codes, the others are spelt out: it changes no result. A context with over 1 / (``share`` x partitions) of
-    all places, and ``rare`` at least, counts as frequent; there are at most ``share`` x partitions.
+    ``spelt`` words at the most, and all frequent ones, get numbers, the others are spelt out: it changes no result. A word or context with over 1 / (``share`` x partitions) of
+    all places, and ``rare`` at least, counts as frequent; there are at most ``share`` x partitions, or more where that would be over 2 x PART_PLACES.
     """
     if apart and model is not None:
         raise ValueError("texts have no counts of their own in another model")
@@ -241,31 +464,31 @@ def backoff_scores(docs: DataFrame, model: DataFrame | None = None, least: int =
     words = cut(word_counts(known), "words")
     n_docs = known.count()
     total = (words.agg(F.sum("n")).first()[0] or 0) + n_docs
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    limit = max(rare, least, total // (share * partitions))
-    top = [(bytes(r["word"]), r["n"]) for r in words.orderBy(F.desc("n"), "word").limit(max(spelt, share * partitions)).collect()]
-    spelling, hot_words = Spelling.of([w for w, _ in top[:spelt]]), [w for w, n in top if n >= limit]
-    hot = frequent(known, hot_words, limit) if total >= limit else []
-    rows = places(texts, spelling, hot_words, hot, share * partitions, model is None, True, apart)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = tasks * max(1, -(-total // (tasks * PART_PLACES)))
+    limit = max(rare, least, min(total // (share * tasks), 2 * PART_PLACES))
+    table = words.filter(F.col("n") >= min(limit, common_from(words, spelt))).toArrow()
+    discard(words)
+    counts = table["n"].to_numpy()
+    order = np.argsort(-counts, kind="stable")
+    common, counts = table["word"].combine_chunks().take(pa.array(order)).to_pylist() if len(order) else [], np.array([n_docs, 0, *counts[order]], np.int64)
+    hot = frequent(known, common[: int((counts[2:] >= limit).sum())], limit) if total >= limit else []
+    model_known = Known(common, counts, np.append(counts >= limit, False), hot)
+    packs = dealt(texts, model_known, parts, model is None, True, apart)
     if model is not None:
         nameless = known.select(F.lit(None).cast("long").alias("row"), F.lit(None).cast("long").alias("doc_id"), "text")
-        rows = rows.unionByName(places(nameless, spelling, hot_words, hot, share * partitions, True, False, False))
-    over = lambda *keys: F.sum("occurs").over(Window.partitionBy("ctx", "salt", *keys))
-    counted = rows.repartition("ctx", "salt").withColumn("n", F.when(F.col("known_n") > 0, F.col("known_n")).otherwise(over("word"))).withColumn("of", F.when(F.col("known_of") > 0, F.col("known_of")).otherwise(over()))
-    left, left_of, asked = F.col("n") - F.col("own"), F.col("of") - F.col("own_of"), F.col("asked") > 0
-    scored = counted.filter("row IS NOT NULL").select("row", "doc_id", "asked", F.col("n") > 1, left >= least, F.log(left) - F.log(left_of), F.concat(after_first(F.col("ctx")), "word"), "own_two", "own_two_of", "own_one")
-    scored = scored.toDF("row", "doc_id", "asked", "again", "seen", "share", "gram", "own_two", "own_two_of", "own_one")
-    if backs_off := model is not None or least > 1 or apart:
-        unless_seen = [F.when(asked & ~F.col("seen"), F.col(c)).alias(c) for c in ("gram", "own_two", "own_two_of", "own_one")]
-        scored = cut(scored.select("row", "doc_id", "asked", "again", "seen", "share", *unless_seen), "places")
-    count = lambda rule: F.when(F.col(rule), F.col("asked")).otherwise(0)
-    share_sum = F.when(asked & F.col("seen"), F.col("share") * F.col("asked")).otherwise(0.0)
-    parts = scored.select("row", "doc_id", "asked", count("seen").alias("seen"), count("again").alias("again"), share_sum.alias("score"), F.lit(0).alias("far"))
+        packs = packs.unionByName(dealt(nameless, model_known, parts, True, False, False))
+    backs_off = model is not None or least > 1 or apart
+    together = lambda packs: packs.withColumn("task", F.col("part") % tasks).repartition(tasks, "task").groupBy("task")
+    first = together(packs).applyInArrow(in_turn(met(model_known, parts, least, backoff, backs_off)), f"{SUMS}, {PACK}")
+    if backs_off:
+        first = cut(first, "places")
+    rows = first.filter("row IS NOT NULL").select(*SUM_TYPES)
     if backs_off:
-        unmet = scored.filter(asked & ~F.col("seen")).select("row", "asked", "gram", "own_two", "own_two_of", "own_one")
-        parts = parts.unionByName(backed_off(unmet, known, spelling, least, backoff), allowMissingColumns=True)
-    sums = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("asked", "seen", "again", "score", "far")))
-    rest = F.lit(total) - F.when(F.lit(apart), F.col("asked") + 1).otherwise(0)
+        on = first.filter("part IS NOT NULL").select("part", "size", "block")
+        rows = rows.unionByName(together(on).applyInArrow(in_turn(settled_elsewhere(model_known, least, backoff)), SUMS))
+    sums = rows.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_words", "seen", "again", "score", "far")))
+    rest = F.lit(total) - F.when(F.lit(apart), F.col("n_words") + 1).otherwise(0)
     score = F.col("score") - F.col("far") * F.log(F.greatest(rest, F.lit(1)))
-    whole = sums.select("doc_id", F.col("asked").alias("n_words"), score.alias("log_score"), F.col("seen").alias("n_seen"), F.col("again").alias("n_again"))
+    whole = sums.select("doc_id", "n_words", score.alias("log_score"), F.col("seen").alias("n_seen"), F.col("again").alias("n_again"))
     return whole.select("doc_id", "n_words", "log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("mean_score"), "n_seen", "n_again")
