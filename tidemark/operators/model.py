@@ -83,6 +83,22 @@ def standardize(rows: DataFrame, run: list[str], levels: list[tuple[Column, Colu
     return met.withColumns({"cohort_n": F.col("_c.n"), "z": clamp(z, -CLIP, CLIP), "reason": reason}).withColumnRenamed("_fit", "fit").drop("_c", *names, *(f"_s{i}" for i in range(len(levels))))
 
 
+def place(rows: DataFrame, run: list[str], levels: list[tuple[Column, Column, int]], value: str) -> DataFrame:
+    """``rows`` with ``placed``: whether ``standardize`` finds a cohort for the value. Sizes are one aggregate over the levels; no value is ordered."""
+    x = F.col(value)
+    names = [f"_name{i}" for i in range(len(levels))]
+    base = rows.withColumns({n: name.cast("string") for n, (_, name, _) in zip(names, levels, strict=True)})
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("_no"), F.col(n).alias("_name")) for i, n in enumerate(names))))
+    counted = base.filter(x.isNotNull() & ~F.isnan(x)).groupBy(*run, *names).agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.abs(x) < float("inf")).alias("_sound"))
+    sizes = counted.select(*run, each.alias("_l"), "_n", "_sound").select(*run, "_l.*", "_n", "_sound").filter(F.col("_name").isNotNull())
+    sizes = settle(sizes.groupBy(*run, "_no", "_name").agg(F.sum("_n").alias("_n"), F.sum("_sound").alias("_sound")).filter("_sound > 0"))
+    for i, (n, (_, _, least)) in enumerate(zip(names, levels, strict=True)):
+        large = sizes.filter((F.col("_no") == i) & (F.col("_n") >= least)).select(*run, F.col("_name").alias(n), F.lit(True).alias(f"_p{i}"))
+        base = base.join(large, [*run, n], "left")
+    found = reduce(lambda a, b: a | b, (F.coalesce(F.col(f"_p{i}"), F.lit(False)) for i in range(len(levels))))
+    return base.withColumn("placed", x.isNotNull() & found).drop(*names, *(f"_p{i}" for i in range(len(levels))))
+
+
 def normalize(rows: DataFrame, run: list[str], peer: str, profile: str | None, value: str, fit: Column | None = None, peer_least: int = PEER, fallback_least: int = FALLBACK) -> DataFrame:
     """``standardize`` within the peer group if it has ``peer_least`` fitted rows, else within the profile (or the whole run) if that has ``fallback_least``, else nowhere. ``cohort`` is PEER or FALLBACK."""
     return standardize(rows, run, [(F.lit("PEER"), F.col(peer), peer_least), (F.lit("FALLBACK"), F.col(profile) if profile else F.lit(""), fallback_least)], value, fit)

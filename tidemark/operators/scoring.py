@@ -104,13 +104,13 @@ def why(name: str) -> str:
 
 
 def accept(inputs: DataFrame, cards: DataFrame, on: list[str]) -> DataFrame:
-    """``inputs`` with ``reason``; the value of a refused input is null. Cards (cutoff, score_date, statement_end) meet inputs on ``on``.
+    """``inputs`` with ``reason``; the value of a refused input is null. Cards (cutoff, score_date, statement_end) meet inputs on ``on``: cards are hashed and inputs, of which there are many more, go by unsorted.
 
     The ladder: no value; value or evidence unsound; known or dated after the run; unit; then, by the kind of key, its date.
     """
-    x = inputs.join(cards.select(*on, "cutoff", "score_date", "statement_end"), on)
+    x = inputs.join(cards.select(*on, "cutoff", "score_date", "statement_end").hint("shuffle_hash"), on)
     key, end = F.col("key"), F.col("period_end")
-    unit = F.when(key.rlike("^(OPERATING_ROA_Q|CET1_REQUIREMENT_)"), "pure").when(key == "SHARES_OUTSTANDING", "shares").when(key.isin(AREAS), "square_feet").otherwise("USD")
+    unit = F.when(F.startswith(key, F.lit("OPERATING_ROA_Q")) | F.startswith(key, F.lit("CET1_REQUIREMENT_")), "pure").when(key == "SHARES_OUTSTANDING", "shares").when(key.isin(AREAS), "square_feet").otherwise("USD")
     back = F.datediff("statement_end", "period_end")
     late = (F.col("available_at") > F.col("cutoff")) | (F.col("observed_at") > F.col("cutoff")) | (end > F.col("score_date"))
     unsound = F.isnan("value") | (F.abs("value") == float("inf")) | (F.coalesce("sources", F.lit(0)) < 1) | F.col("available_at").isNull() | F.col("observed_at").isNull() | end.isNull()
@@ -132,50 +132,81 @@ def keys_of(*groups: str) -> list[str]:
     return [*dict.fromkeys([*(n for n in _NAME.findall(text) if n.isupper()), *BARS, "SHARES_OUTSTANDING", "MEDIAN_DOLLAR_VOLUME"])]
 
 
-def widen(accepted: DataFrame, cards: DataFrame, on: list[str], keys: list[str], dated: list[str] = ()) -> DataFrame:
-    """Cards with a column per key and one for its reason; an absent input is not reported. ``dated`` keys also get their dates.
+#: Reasons of ``accept``, in order, and how many keys of a card are gathered in one row.
+REFUSALS = ["FAILED_QUALITY_CHECK", "FUTURE_INFORMATION", "INSUFFICIENT_HISTORY", "INVALID_UNIT", "MISSING_SCORE_DATE_BAR", "NOT_REPORTED", "STALE"]
+SLOTS = 4
 
-    A card's inputs meet in one map, whose keys are then looked up: an aggregate with a column per key would ask every row for every key.
+
+def widen(accepted: DataFrame, cards: DataFrame, on: list[str], keys: list[str], dated: list[str] = (), more: dict[str, Column] | None = None) -> DataFrame:
+    """Cards with a column per key and one for its reason; an absent input is not reported. ``dated`` keys also get their dates, and ``more`` are sums or counts of a card's inputs.
+
+    A card's inputs are read once. They meet in blocks of SLOTS keys, by numbers alone, so that Spark hashes them and sorts none; an aggregate with a column per key would ask every row
+    for every key. Of inputs with the same key the greatest parts count. The wide rows meet their cards unsorted as well.
     """
-    parts = ["value", "reason", *(["period_start", "period_end"] if dated else [])]
-    one = accepted.filter(F.col("key").isin(keys)).groupBy(*on, "key").agg(*(F.max(c).alias(c) for c in parts))
-    packed = one.groupBy(*on).agg(F.map_from_entries(F.collect_list(F.struct("key", F.struct(*parts)))).alias("_m"))
-    found = packed.select(*on, *(F.try_element_at("_m", F.lit(k)).alias(f"_{k}") for k in keys))
-    columns = [x for k in keys for x in (F.col(f"_{k}.value").alias(k), F.col(f"_{k}.reason").alias(why(k)))]
-    columns += [x for k in dated for x in (F.col(f"_{k}.period_start").alias(f"{k}__start"), F.col(f"_{k}.period_end").alias(f"{k}__end"))]
-    wide = cards.join(found.select(*on, *columns), on, "left")
-    return wide.withColumns({why(k): F.expr(f"CASE WHEN {k} IS NULL THEN coalesce({why(k)}, 'NOT_REPORTED') END") for k in keys})
+    more = more or {}
+    code = reduce(lambda a, i: a.when(F.col("reason") == REFUSALS[i], i), range(1, len(REFUSALS)), F.when(F.col("reason") == REFUSALS[0], 0))
+    parts = {"value": F.col("value"), "code": code} | ({"start": F.col("period_start"), "end": F.col("period_end")} if dated else {})
+    places = accepted.sparkSession.sql("SELECT * FROM VALUES " + ", ".join(f"('{k}', {i // SLOTS}, {i % SLOTS})" for i, k in enumerate(keys)) + " AS t(key, _block, _slot)")
+    slots = {f"_{p}{j}": F.max(F.when(F.col("_slot") == j, c)) for j in range(SLOTS) for p, c in parts.items()}
+    blocks = accepted.join(F.broadcast(places), "key", "left").groupBy(*on, "_block").agg(*(c.alias(n) for n, c in (slots | more).items()))
+    block = F.when(F.col("_block").isNotNull(), F.struct("_block", F.struct(*slots)))
+    packed = blocks.groupBy(*on).agg(F.map_from_entries(F.collect_list(block)).alias("_m"), *(F.sum(n).alias(n) for n in more))
+    met = packed.join(cards.hint("shuffle_hash"), on, "right")
+    found = met.select(*cards.columns, *more, *(F.try_element_at("_m", F.lit(b)).alias(f"_b{b}") for b in range(-(-len(keys) // SLOTS))))
+    at = {k: lambda part, i=i: f"_b{i // SLOTS}._{part}{i % SLOTS}" for i, k in enumerate(keys)}
+    told = " ".join(f"WHEN {i} THEN '{r}'" for i, r in enumerate(REFUSALS))
+    columns = [x for k in keys for x in (F.col(at[k]("value")).alias(k), F.expr(f"CASE WHEN {at[k]('value')} IS NULL THEN CASE {at[k]('code')} {told} ELSE 'NOT_REPORTED' END END").alias(why(k)))]
+    columns += [F.col(at[k](part)).alias(f"{k}__{part}") for k in dated for part in ("start", "end")]
+    return found.select(*cards.columns, *more, *columns)
+
+
+#: Quantities that are refused, when and why.
+REFUSED = {
+    "momentum": ("MOMENTUM_RECENT <= 0", "FAILED_QUALITY_CHECK"),
+    "fcf": ("CAPEX_TTM < 0", "FAILED_QUALITY_CHECK"),
+    "book_market": ("COMMON_EQUITY <= 0", "INVALID_DENOMINATOR"),
+    "affo_payout_prior": ("NOT (AFFO_PRIOR_TTM__end <=> DIVIDENDS_DECLARED_PRIOR_TTM__end)", "INSUFFICIENT_HISTORY"),
+}
 
 
 def add(wide: DataFrame, quantities: dict[str, str | tuple[str, str, float]]) -> DataFrame:
-    """``wide`` with each quantity and its reason: sums are null where a term is, quotients also where the bottom isn't positive."""
-    batch: dict[str, Column] = {}  # one projection for quantities that don't need each other
+    """``wide`` with each quantity and its reason: sums are null where a term is, quotients also where the bottom isn't positive, and all where REFUSED says so.
+
+    Quantities are added in as few projections as they need each other: each projection copies the whole row.
+    """
+    terms = {n: list(dict.fromkeys(_NAME.findall(rule))) if isinstance(rule, str) else list(rule[:2]) for n, rule in quantities.items()}
+    depth: dict[str, int] = {}
+    for name in quantities:  # parts come before what is made of them
+        depth[name] = 1 + max((depth[t] for t in terms[name] if t in depth), default=0)
     known = {*wide.columns, *(x for n in quantities for x in (n, why(n)))}
-    for name, rule in quantities.items():
-        terms = list(dict.fromkeys(_NAME.findall(rule))) if isinstance(rule, str) else rule[:2]
-        if any(t in batch for t in terms):
-            wide, batch = wide.withColumns(batch), {}
-        lacks = ", ".join(f"CASE WHEN {t} IS NULL THEN " + (f"coalesce({why(t)}, 'NOT_REPORTED')" if why(t) in known else "'NOT_REPORTED'") + " END" for t in terms)
+
+    def made(name: str) -> dict[str, Column]:
+        rule = quantities[name]
+        lacks = ", ".join(f"CASE WHEN {t} IS NULL THEN " + (f"coalesce({why(t)}, 'NOT_REPORTED')" if why(t) in known else "'NOT_REPORTED'") + " END" for t in terms[name])
         if isinstance(rule, str):
             value, reason = rule, f"coalesce({lacks})"
         else:
             top, bottom, added = rule
             value, reason = f"CASE WHEN {bottom} > 0 THEN {top} / {bottom} + {added}D END", f"coalesce({lacks}, CASE WHEN {bottom} <= 0 THEN 'INVALID_DENOMINATOR' END)"
-        batch |= {name: F.expr(value), why(name): F.expr(reason)}
-    return wide.withColumns(batch)
+        if name in REFUSED:
+            bad, told = REFUSED[name]
+            value, reason = f"CASE WHEN NOT coalesce({bad}, false) THEN {value} END", f"CASE WHEN {bad} THEN '{told}' ELSE {reason} END"
+        return {name: F.expr(value), why(name): F.expr(reason)}
+
+    for d in range(1, max(depth.values(), default=0) + 1):
+        wide = wide.withColumns({c: x for n in quantities if depth[n] == d for c, x in made(n).items()})
+    return wide
 
 
-def refuse(wide: DataFrame, name: str, rule: Column, reason: str) -> DataFrame:
-    """The quantity becomes null, for ``reason``, where ``rule`` holds."""
-    bad = F.coalesce(rule, F.lit(False))
-    return wide.withColumns({name: F.when(~bad, F.col(name)), why(name): F.when(bad, reason).otherwise(F.col(why(name)))})
+def capital(wide: DataFrame) -> DataFrame:
+    """``market_cap``: close times shares, both above zero."""
+    close, shares = F.col("RAW_CLOSE"), F.col("SHARES_OUTSTANDING")
+    return wide.withColumns({"market_cap": F.when((close > 0) & (shares > 0), close * shares), why("market_cap"): F.lit(None).cast("string")})
 
 
 def shared(wide: DataFrame) -> DataFrame:
     """Market value, debt, enterprise value, average assets, momentum."""
-    close, shares = F.col("RAW_CLOSE"), F.col("SHARES_OUTSTANDING")
-    wide = wide.withColumns({"market_cap": F.when((close > 0) & (shares > 0), close * shares), why("market_cap"): F.lit(None).cast("string")})
-    return refuse(add(wide, SHARED), "momentum", F.col("MOMENTUM_RECENT") <= 0, "FAILED_QUALITY_CHECK")
+    return add(capital(wide), SHARED)
 
 
 YEARS = [f"ANNUAL_{x}_{i}" for i in (1, 2, 3) for x in ("TAX", "PRETAX")]
@@ -195,10 +226,7 @@ def normal_tax(wide: DataFrame, statutory: DataFrame) -> DataFrame:
 
 def general(wide: DataFrame) -> DataFrame:
     """Metrics of the general profile. Negative investment makes free cash flow unsound; equity must be positive."""
-    spent = lambda d, names: reduce(lambda x, n: refuse(x, n, F.col("CAPEX_TTM") < 0, "FAILED_QUALITY_CHECK"), names, d)
-    first = {k: GENERAL[k] for k in ("ebit", "fcf")}
-    out = add(spent(add(wide, first), ["fcf"]), {k: r for k, r in GENERAL.items() if k not in first})
-    return refuse(out, "book_market", F.col("COMMON_EQUITY") <= 0, "INVALID_DENOMINATOR")
+    return add(wide, GENERAL)
 
 
 QUARTERS = [f"OPERATING_ROA_Q{q}" for q in range(1, 13)]
@@ -286,9 +314,10 @@ def gather(inputs: DataFrame, cards: DataFrame, on: list[str]) -> DataFrame:
     """Cards with all accepted inputs as columns, and ``requirement``: the sum of the inputs named CET1_REQUIREMENT_*, as many as the card's ``requirement_count`` (none: missing)."""
     accepted = accept(inputs, cards, on)
     keys = [*dict.fromkeys([*keys_of("GENERAL", "FINANCIAL", "REIT"), *YEARS, *QUARTERS])]
-    wide = widen(accepted, cards, on, keys, [*YEARS, *QUARTERS, *QUARTER_BACK])
-    named = accepted.filter(F.startswith("key", F.lit("CET1_REQUIREMENT_"))).groupBy(*on).agg(F.sum("value").alias("_sum"), F.count_if(F.col("value") >= 0).alias("_sound"))
-    return wide.join(named, on, "left").withColumn("requirement", F.when((F.col("requirement_count") > 0) & (F.col("_sound") == F.col("requirement_count")), F.col("_sum"))).drop("_sum", "_sound")
+    named = F.startswith("key", F.lit("CET1_REQUIREMENT_"))
+    need = {"_sum": F.sum(F.when(named, F.col("value"))), "_sound": F.count_if(named & (F.col("value") >= 0))}
+    wide = widen(accepted, cards, on, keys, [*YEARS, *QUARTERS, *QUARTER_BACK], need)
+    return wide.withColumn("requirement", F.when((F.col("requirement_count") > 0) & (F.col("_sound") == F.col("requirement_count")), F.col("_sum"))).drop("_sum", "_sound")
 
 
 def assess(inputs: DataFrame, cards: DataFrame, on: list[str], statutory: DataFrame) -> DataFrame:
@@ -298,8 +327,7 @@ def assess(inputs: DataFrame, cards: DataFrame, on: list[str], statutory: DataFr
 
 def assess_wide(wide: DataFrame, statutory: DataFrame) -> DataFrame:
     """``assess`` of cards that have their inputs as columns (``gather``)."""
-    wide = stability(general(normal_tax(shared(wide), statutory)))
-    wide = refuse(add(add(wide, FINANCIAL), REIT), "affo_payout_prior", ~F.col("AFFO_PRIOR_TTM__end").eqNullSafe(F.col("DIVIDENDS_DECLARED_PRIOR_TTM__end")), "INSUFFICIENT_HISTORY")
+    wide = add(stability(capital(normal_tax(wide, statutory))), SHARED | GENERAL | FINANCIAL | REIT)
     broken, warned = risks(wide)
     tax = ((F.col("profile") == "GENERAL") & F.col("tax_fallback"), "STATUTORY_TAX_FALLBACK")
     errors = reasons(*universal(wide), *broken, *coverage(wide))
@@ -328,6 +356,11 @@ def _levels(pool: Column, label: Column) -> list[tuple[Column, Column, int]]:
     return [(F.concat(F.lit("PRIMARY:"), peer), F.when(peer != "", F.concat_ws("|", pool, peer)), model.PEER), (label, pool, model.FALLBACK)]
 
 
+def _too_few() -> Column:
+    """Reasons of a card whose families have too few standardised metrics (n_value, n_quality, n_momentum)."""
+    return reasons(*((F.col(f"n_{f}") < least, f"INSUFFICIENT_NORMALIZED_{f.upper()}") for f, least in (("value", 2), ("quality", 2), ("momentum", 1))))
+
+
 def strict(assessed: DataFrame, run: list[str], ident: str, settled: bool = False) -> tuple[DataFrame, DataFrame]:
     """The strict model: standardised metric rows of the cards without errors, and a row per card with composite, ``eligible``, all ``errors`` and ``warnings``.
 
@@ -341,8 +374,7 @@ def strict(assessed: DataFrame, run: list[str], ident: str, settled: bool = Fals
     norm = settle(model.standardize(base, [*run, "metric"], _levels(pool, pool), "raw"))
     fell = F.when(F.startswith("cohort", F.lit("PROFILE:")), F.concat(F.lit("PEER_FALLBACK:"), "metric"))
     families = norm.groupBy(*run, ident).agg(*(model.exact_sum(F.when(F.col("family") == f, F.coalesce("z", F.lit(0.0)))).alias(f) for f in ("value", "quality", "momentum")), *(F.count(F.when(F.col("family") == f, F.col("z"))).alias(f"n_{f}") for f in ("value", "quality", "momentum")), F.collect_set(fell).alias("_fell"))
-    short = reasons(*((F.col(f"n_{f}") < least, f"INSUFFICIENT_NORMALIZED_{f.upper()}") for f, least in (("value", 2), ("quality", 2), ("momentum", 1))))
-    scored = families.select(*run, ident, short.alias("_short"), "_fell", (0.5 * F.col("value") / 3 + 0.3 * F.col("quality") / 3 + 0.2 * F.col("momentum")).alias("composite"))
+    scored = families.select(*run, ident, _too_few().alias("_short"), "_fell", (0.5 * F.col("value") / 3 + 0.3 * F.col("quality") / 3 + 0.2 * F.col("momentum")).alias("composite"))
     out = assessed.select(*run, ident, "errors", "warnings").join(scored, [*run, ident], "left")
     none = F.array().cast("array<string>")
     errors, warnings = (F.array_sort(F.array_distinct(F.concat(c, F.coalesce(more, none)))) for c, more in (("errors", "_short"), ("warnings", "_fell")))
@@ -414,15 +446,30 @@ def available_components(assessed: DataFrame, keep: list[str]) -> tuple[DataFram
     return cards.drop("_shares", "_stale", "_gaps", *used(assessed)), rows
 
 
+def insufficient(assessed: DataFrame, run: list[str], ident: str) -> DataFrame:
+    """(``run``, ident, _short): the reasons that ``strict`` adds to a card without errors, whose metrics find too few cohorts. They follow from the sizes of cohorts, so no value is ordered or standardised."""
+    base = metric_rows(assessed.filter(F.size("errors") == 0), [*run, ident, "profile", "peer_group"])
+    pool = F.concat(F.lit("PROFILE:"), "profile")
+    placed = model.place(base, [*run, "metric"], _levels(pool, pool), "raw")
+    counts = placed.groupBy(*run, ident).agg(*(F.count_if((F.col("family") == f) & F.col("placed")).alias(f"n_{f}") for f in ("value", "quality", "momentum")))
+    return counts.select(*run, ident, _too_few().alias("_short"))
+
+
 def reset_versions(inputs: DataFrame, cards: DataFrame, on: list[str], statutory: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
-    """``available_components`` of all versions in one plan, from inputs and cards: what the strict model finds in each version's own population is where the reset begins."""
+    """``available_components`` of all versions in one plan, from inputs and cards: what the strict model finds in each version's own population is where the reset begins.
+
+    Versions before ISSUER_SINCE have one population, and so have those after it: what the strict model finds is found once for each.
+    """
     done = _assess_split(inputs, cards, on, statutory, VERSIONS)
     wanted = dict.fromkeys([*on, *keep, "profile", "profile_supported", "peer_group", "history_count", "errors", "warnings", "_versions", *used(done)])
-    assessed = settle(done.select(*wanted)).withColumn("version", F.explode("_versions")).drop("_versions")  # one row for all versions that share it, without the inputs
-    by = ["version", *on]
-    _, found = strict(assessed, by[:-1], on[-1], settled=True)
-    told = found.select(*by, "errors", F.filter("warnings", lambda w: ~F.startswith(w, F.lit("PEER_FALLBACK:"))).alias("warnings"))
-    return available_components(assessed.drop("errors", "warnings").join(told, by), [*by, *keep])
+    early = F.filter("_versions", lambda v: v < ISSUER_SINCE)
+    sides = F.filter(F.array(early, F.array_except("_versions", early)), lambda a: F.size(a) > 0)
+    each = settle(done.select(*wanted)).withColumn("_versions", F.explode(sides)).withColumn("_late", F.col("_versions")[0] >= ISSUER_SINCE)  # one settled row for all versions that share it, without the inputs
+    by = ["_late", *on]
+    told = each.join(insufficient(each, by[:-1], on[-1]).hint("shuffle_hash"), by, "left")  # the wide cards go by unsorted
+    errors = F.array_sort(F.array_distinct(F.concat("errors", F.coalesce("_short", F.array().cast("array<string>")))))
+    assessed = told.withColumn("errors", errors).withColumn("version", F.explode("_versions")).drop("_versions", "_late", "_short")
+    return available_components(assessed, ["version", *on, *keep])
 
 
 def versioned_cohorts(rows: DataFrame, run: list[str]) -> DataFrame:
@@ -434,6 +481,8 @@ def versioned_cohorts(rows: DataFrame, run: list[str]) -> DataFrame:
     universe = (F.col("version") >= PRICE_POOL_SINCE) & (F.col("family") == "momentum")
     pool = F.when(universe, F.lit("PRICE_UNIVERSE")).otherwise(F.concat(F.lit("PROFILE:"), "profile"))
     valued = F.col("primary_class") & F.col("raw").isNotNull()
-    marked = rows.withColumn("_pool", pool).withColumn("_primary", F.max(valued.cast("int")).over(Window.partitionBy("version", *run, "metric", "_pool", "issuer_id")) == 1)
-    fit = (F.col("version") < ISSUER_SINCE) | F.col("primary_class") | ~F.col("_primary")
+    pooled, late = rows.withColumn("_pool", pool), F.coalesce(F.col("version") >= ISSUER_SINCE, F.lit(True))
+    primary = F.max(valued.cast("int")).over(Window.partitionBy("version", *run, "metric", "_pool", "issuer_id")) == 1
+    marked = pooled.filter(~late).withColumn("_primary", F.lit(False)).unionByName(pooled.filter(late).withColumn("_primary", primary))  # earlier versions ask nothing of an issuer's other classes
+    fit = ~late | F.col("primary_class") | ~F.col("_primary")
     return model.standardize(marked, ["version", *run, "metric"], _levels(F.col("_pool"), F.col("_pool")), "raw", fit).drop("_pool", "_primary")
