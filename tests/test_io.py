@@ -227,3 +227,16 @@ def test_stream_batch_of_few_rows_takes_few_tasks(spark, tmp_path):
     stages = {s for job in status.getJobIdsForGroup("batch-1") for s in status.getJobInfo(job).stageIds}
     assert stages and max(status.getStageInfo(s).numTasks for s in stages if status.getStageInfo(s)) < 150
     assert spark.read.parquet(f"{tmp_path}/out/journal").count() == 3
+
+
+def test_row_hashes_make_no_json_and_tell_cells_apart(spark):
+    df = spark.sql("SELECT 1L AS k, 'a|b' AS s, CAST(NULL AS STRING) AS t, 0.1D AS d, DATE'2001-02-03' AS day, TIMESTAMP'2001-02-03 04:05:06' AS at, array(1, 2) AS l")
+    flat = df.drop("l")
+    assert "to_json" not in sinks.table_hash(flat, [])._jdf.queryExecution().optimizedPlan().toString(), "JSON took 10 microseconds a row"
+    one = lambda d: sinks.table_hash(d, []).first()["content_hash"]
+    other = {"k": F.lit(2), "s": F.lit("a"), "t": F.lit("~"), "d": F.lit(0.100000002), "day": F.lit("2001-02-04").cast("date"), "at": F.expr("at + INTERVAL '1' MICROSECOND"), "l": F.array(F.lit(1), F.lit(3))}
+    assert len({one(df), *(one(df.withColumn(c, x)) for c, x in other.items())}) == 8
+    assert one(df) == one(df.withColumn("d", F.lit(0.1 + 1e-13))) and one(flat.withColumn("d", F.lit(-0.0))) == one(flat.withColumn("d", F.lit(0.0)))
+    assert one(flat.select(F.lit("x").alias("s"), F.lit("y|1:z").alias("t"))) != one(flat.select(F.lit("x|5:y").alias("s"), F.lit("z").alias("t")))
+    big = [one(spark.createDataFrame([(x,)], "d double")) for x in (1e7, 1e7 + 2e-9, 1e300, 1.1e300, float("inf"), float("-inf"), float("nan"), None, 0.0)]
+    assert len(set(big)) == 9
